@@ -22,6 +22,37 @@ FROM lines l LEFT JOIN hot h ON l.key = h.key
 GROUP BY l.r, l.doc_id
 """
 
+OP9 = rf"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), per AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
+  FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, CASE place % 3 WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN 2.0 ELSE 1.0 END AS weight, source_size * 3.0::DOUBLE AS cap
+  FROM per
+), levels AS (
+  SELECT *, row_number() OVER o AS rank,
+         (sum(source_size) OVER () - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / (sum(weight) OVER () - coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS lvl
+  FROM weighed WINDOW o AS (ORDER BY cap / weight, place)
+), aimed AS (
+  SELECT source, source_size,
+         least(cap, weight * (SELECT arg_min(lvl, rank) FROM levels WHERE cap / weight >= lvl)) AS target
+  FROM levels
+), runs AS (
+  SELECT s.doc_id, s.size, a.source_size, a.target, round(a.target)::BIGINT AS words,
+         coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5('0|' || coalesce(s.doc_id::VARCHAR, '')), s.doc_id, s.size
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+  FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source
+)
+SELECT doc_id, size::BIGINT AS size, source_size, target::DOUBLE AS target,
+       (greatest(0, least(size, words - start)) + greatest(0, least(size, words - start - source_size))
+        + greatest(0, least(size, words - start - 2 * source_size)))::BIGINT AS taken
+FROM runs
+"""
+
 ORACLES: dict[str, str] = {
     "op4_line_dedup": OP4,
+    "op9_mix_sources": OP9,
 }
