@@ -22,6 +22,34 @@ FROM lines l LEFT JOIN hot h ON l.key = h.key
 GROUP BY l.r, l.doc_id
 """
 
+OP8 = rf"""
+WITH dw AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS span, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - least(len(w), 10) + 1)) AS i FROM iw WHERE len(w) > 0)
+), grams AS (
+  SELECT r, s.span, i, array_to_string(w[i:i + s.span - 1], ' ') AS g
+  FROM (SELECT r, w, span, unnest(generate_series(1, len(w) - span + 1)) AS i
+        FROM dw, (SELECT DISTINCT span FROM win) WHERE len(w) >= span) s
+), hits AS (
+  SELECT r, i, g.span, item_id FROM grams g JOIN win ON g.span = win.span AND g.g = win.g
+), words AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(generate_series(i, i + span - 1)) AS p FROM hits) GROUP BY r
+), found AS (
+  SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT r, item_id::VARCHAR AS item FROM hits) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_hit, coalesce(found.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM dw LEFT JOIN words ON dw.r = words.r LEFT JOIN found ON dw.r = found.r
+"""
+
 OP9 = rf"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
@@ -54,5 +82,6 @@ FROM runs
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": OP4,
+    "op8_decontaminate": OP8,
     "op9_mix_sources": OP9,
 }

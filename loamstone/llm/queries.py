@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm import line_dedup, mix
+from loamstone.llm import decontaminate, line_dedup, mix
 from loamstone.llm.common import materialise
 
 
@@ -25,6 +25,20 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = materialise(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")), "contaminated")
+    items = F.coalesce("item_ids", F.array().cast("array<string>"))
+    return decontaminate.judged(docs, found, "left").select(
+        "doc_id",
+        F.size(decontaminate.words_of(F.col("text"))).cast("long").alias("n_words"),
+        F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
+        F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+    )
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sized = materialise(docs.select("doc_id", "source", mix.word_count(F.col("text")).alias("size")), "sizes")
@@ -34,5 +48,6 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
+    "op8_decontaminate": op8_decontaminate,
     "op9_mix_sources": op9_mix_sources,
 }
