@@ -3,6 +3,32 @@
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WS = r"[\x20\x09-\x0D]"
 
+OP2 = rf"""
+WITH RECURSIVE dw AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), sh AS (
+  SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w[1] ELSE w[i] || ' ' || w[i + 1] END AS s
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 1, least(len(w), 1)))) AS i FROM dw)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM sh a JOIN n na ON a.doc_id = na.doc_id JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id JOIN n nb ON b.doc_id = nb.doc_id
+  WHERE 100 * least(na.n, nb.n) >= 80 * greatest(na.n, nb.n)
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n
+  HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))
+), reach(a, b) AS (
+  SELECT a, b FROM (SELECT a, b FROM links UNION ALL SELECT b, a FROM links)
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) l ON r.b = l.a
+), top AS (
+  SELECT a, min(b) AS m FROM reach GROUP BY a
+)
+SELECT dw.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(dw.doc_id, coalesce(m, dw.doc_id)) AS component_id,
+       dw.doc_id = least(dw.doc_id, coalesce(m, dw.doc_id)) AS kept
+FROM dw LEFT JOIN n ON dw.doc_id = n.doc_id LEFT JOIN top ON dw.doc_id = top.a
+"""
+
 OP4 = rf"""
 WITH lines AS (
   SELECT d.doc_id, d.rowid AS r, u.pos, u.line,
@@ -81,6 +107,7 @@ FROM runs
 """
 
 ORACLES: dict[str, str] = {
+    "op2_near_dup": OP2,
     "op4_line_dedup": OP4,
     "op8_decontaminate": OP8,
     "op9_mix_sources": OP9,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm import decontaminate, line_dedup, mix
+from loamstone.llm import decontaminate, line_dedup, mix, near_dup
 from loamstone.llm.common import materialise
 
 
@@ -15,6 +15,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return done.select(
@@ -47,6 +51,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_dup": op2_near_dup,
     "op4_line_dedup": op4_line_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_mix_sources": op9_mix_sources,
