@@ -48,6 +48,26 @@ FROM lines l LEFT JOIN hot h ON l.key = h.key
 GROUP BY l.r, l.doc_id
 """
 
+OP5 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach(a, b) AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), top AS (
+  SELECT a, min(b) AS m FROM reach GROUP BY a
+), n AS (
+  SELECT a, count(*) AS n FROM links GROUP BY a
+)
+SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(top.m, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(top.m, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN n ON e.vec_id = n.a LEFT JOIN top ON e.vec_id = top.a
+"""
+
 OP8 = rf"""
 WITH dw AS (
   SELECT row_number() OVER () AS r, doc_id,
@@ -109,6 +129,7 @@ FROM runs
 ORACLES: dict[str, str] = {
     "op2_near_dup": OP2,
     "op4_line_dedup": OP4,
+    "op5_vector_join": OP5,
     "op8_decontaminate": OP8,
     "op9_mix_sources": OP9,
 }

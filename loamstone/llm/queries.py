@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm import decontaminate, line_dedup, mix, near_dup
+from loamstone.llm import decontaminate, line_dedup, mix, near_dup, vector_join
 from loamstone.llm.common import materialise
 
 
@@ -29,6 +29,10 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.cosine_join(table(spark, sf_dir, "embeddings"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = materialise(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")), "contaminated")
@@ -53,6 +57,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dup": op2_near_dup,
     "op4_line_dedup": op4_line_dedup,
+    "op5_vector_join": op5_vector_join,
     "op8_decontaminate": op8_decontaminate,
     "op9_mix_sources": op9_mix_sources,
 }
