@@ -3,6 +3,57 @@
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WS = r"[\x20\x09-\x0D]"
 
+OP1 = rf"""
+WITH parsed AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), hosts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM parsed
+), bare AS (
+  SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM hosts
+), split AS (
+  SELECT *, string_split(bare, '.') AS parts, regexp_matches(bare, '^[0-9.]+$|^\[') AS address,
+         array_to_string(parts[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'net.au', 'org.au', 'co.nz', 'co.jp',
+         'com.br', 'com.cn', 'co.in', 'co.za') AND len(parts) > 2 AS wide
+  FROM bare
+), named AS (
+  SELECT *, CASE WHEN address THEN bare WHEN wide THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain,
+         CASE WHEN address THEN bare WHEN wide THEN array_to_string(parts[-2:], '.') ELSE parts[-1] END AS suffix
+  FROM split
+), h AS (
+  SELECT bare, domain, suffix, count(quality) AS n, coalesce(sum(quality), 0) AS good
+  FROM named LEFT JOIN labels ON page_id = doc_id GROUP BY ALL
+), overall AS (
+  SELECT (coalesce(sum(good), 0) + 0.5::DOUBLE) / (coalesce(sum(n), 0) + 1) AS m FROM h
+), s AS (
+  SELECT suffix, sum(n) AS n, sum(good) AS good, (SELECT m FROM overall) AS m FROM h GROUP BY suffix
+), s1 AS (
+  SELECT 1 / least(greatest(sum((good - n * m) ** 2 - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)), 0.001), 0.999) - 1 AS v FROM s WHERE n > 0
+), d AS (
+  SELECT h.domain, sum(h.n) AS n, sum(h.good) AS good, any_value((s.good + v * s.m) / (s.n + v)) AS m
+  FROM h JOIN s ON h.suffix = s.suffix, s1 GROUP BY h.domain
+), s2 AS (
+  SELECT 1 / least(greatest(sum((good - n * m) ** 2 - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)), 0.001), 0.999) - 1 AS v FROM d WHERE n > 0
+), b AS (
+  SELECT h.bare, h.n, h.good, (d.good + v * d.m) / (d.n + v) AS m FROM h JOIN d ON h.domain = d.domain, s2
+), s3 AS (
+  SELECT 1 / least(greatest(sum((good - n * m) ** 2 - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)), 0.001), 0.999) - 1 AS v FROM b WHERE n > 0
+), post AS (
+  SELECT bare, good + v * m AS x, n - good + v * (1 - m) AS y FROM b, s3
+), upper_bound AS (
+  SELECT bare, x / (x + y) + 1.645 * sqrt(x * y / ((x + y) * (x + y) * (x + y + 1))) AS u FROM post
+), rules(action, rule, rh, rp) AS (
+  VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'),
+         ('block', 'example.org/en/1', 'example.org', '/en/1'), ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')
+)
+SELECT n.page_id, n.host, n.path,
+       (SELECT arg_max(rule, length(rule)) FROM rules WHERE (n.host = rh OR ends_with(n.host, '.' || rh)) AND starts_with(n.path, rp)) AS rule,
+       coalesce((SELECT arg_max(action, length(rule)) FROM rules WHERE (n.host = rh OR ends_with(n.host, '.' || rh)) AND starts_with(n.path, rp)),
+                CASE WHEN u.u < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM named n LEFT JOIN upper_bound u ON n.bare = u.bare
+"""
+
 OP2 = rf"""
 WITH RECURSIVE dw AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -127,6 +178,7 @@ FROM runs
 """
 
 ORACLES: dict[str, str] = {
+    "op1_url_filter": OP1,
     "op2_near_dup": OP2,
     "op4_line_dedup": OP4,
     "op5_vector_join": OP5,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm import decontaminate, line_dedup, mix, near_dup, vector_join
+from loamstone.llm import decontaminate, line_dedup, mix, near_dup, url_filter, vector_join
 from loamstone.llm.common import materialise
 
 
@@ -15,6 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = (
+    ("allow", "org/"),
+    ("block", "example.org/es/"),
+    ("block", "example.org/en/1"),
+    ("allow", "com/fr/"),
+    ("block", "com/de/"),
+)
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The outcome of a page is the quality label with its number."""
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
+    done = url_filter.judge_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
+    return done.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
@@ -55,6 +71,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op2_near_dup": op2_near_dup,
     "op4_line_dedup": op4_line_dedup,
     "op5_vector_join": op5_vector_join,
