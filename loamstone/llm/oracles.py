@@ -80,6 +80,24 @@ SELECT dw.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(dw.doc_id, coale
 FROM dw LEFT JOIN n ON dw.doc_id = n.doc_id LEFT JOIN top ON dw.doc_id = top.a
 """
 
+OP3 = """
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), e AS (
+  SELECT *, length(replace(replace(text, '\\', '\\\\'), '<|', '<\\|')) AS body,
+         length(replace(replace(replace(role, '\\', '\\\\'), '<|', '<\\|'), chr(10), '\\n')) AS head
+  FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(12 + head + 1 + body + 10 + 1)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 OP4 = rf"""
 WITH lines AS (
   SELECT d.doc_id, d.rowid AS r, u.pos, u.line,
@@ -180,6 +198,7 @@ FROM runs
 ORACLES: dict[str, str] = {
     "op1_url_filter": OP1,
     "op2_near_dup": OP2,
+    "op3_chat_format": OP3,
     "op4_line_dedup": OP4,
     "op5_vector_join": OP5,
     "op8_decontaminate": OP8,
