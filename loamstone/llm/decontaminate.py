@@ -33,8 +33,9 @@ from pyspark.sql import functions as F
 
 from loamstone.llm.common import ascii_fold, let, materialise
 
-#: Word characters of the byte image of a text: digits, small letters and all that is not ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Runs of word characters of the byte image of a text: digits, small letters and all that is not ASCII.
+#: Each is listed, since Java looks up single characters in a bit set but tries ranges one by one.
+WORD = "[" + "".join(f"\\x{c:02x}" for c in (*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100))) + "]+"
 
 
 def words_of(text: Column) -> Column:
