@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm import chat, decontaminate, line_dedup, mix, near_dup, url_filter, vector_join
+from loamstone.llm import chat, decontaminate, line_dedup, mix, near_dup, pii, url_filter, vector_join
 from loamstone.llm.common import materialise
 
 
@@ -77,6 +77,10 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_near_dup": op2_near_dup,
@@ -85,4 +89,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_vector_join": op5_vector_join,
     "op8_decontaminate": op8_decontaminate,
     "op9_mix_sources": op9_mix_sources,
+    "op10_pii": op10_pii,
 }
