@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm import chat, decontaminate, line_dedup, mix, near_dup, pii, url_filter, vector_join
+from loamstone.llm import chat, decontaminate, line_dedup, mix, near_dup, pii, toxicity, url_filter, vector_join
 from loamstone.llm.common import materialise
 
 
@@ -56,6 +56,12 @@ def op5_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.cosine_join(table(spark, sf_dir, "embeddings"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tagged = toxicity.tag(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return tagged.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = materialise(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")), "contaminated")
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": op3_chat_format,
     "op4_line_dedup": op4_line_dedup,
     "op5_vector_join": op5_vector_join,
+    "op6_toxicity": op6_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op9_mix_sources": op9_mix_sources,
     "op10_pii": op10_pii,
