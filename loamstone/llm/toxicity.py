@@ -2,8 +2,8 @@
 
 Labels. Only documents are labelled, so words get labels first: every word of
 a clean document is clean, and a word of a toxic document is toxic if one of its
-features (itself or a prefix) sits in toxic documents so often that a likelihood-ratio
-test rejects chance after correction for the number of features.
+features (itself or a prefix) is many times as frequent in toxic documents as in
+clean ones, and a likelihood-ratio test rejects chance after correction for the number of features.
 
 Model. Two states; a word's state score is the sum of hashed weights of its
 features, and neighbours interact through a 2 x 2 table. It is fitted by
@@ -46,6 +46,8 @@ MAX_FEATURES = 50_000
 PREFIXES = (3, 4, 5, 6)
 #: Toxic words are rare: the score of a word of which no feature is known.
 OFFSET = -4.0
+#: A feature that marks toxic words is so many times as frequent in toxic documents as in clean ones.
+SEED_RATIO = 10.0
 SEPARATOR = np.ones(256, dtype=bool)
 SEPARATOR[128:] = False
 SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
@@ -137,23 +139,30 @@ def summaries(p: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def seed_labels(f: np.ndarray, rows: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """1 for the words of toxic rows with a feature that toxic rows hold beyond chance, else 0."""
-    row_of = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    """1 for the words of toxic rows with a feature that toxic rows hold beyond chance, else 0.
+
+    A feature counts once after each distinct preceding word, so copies of a passage add no evidence.
+    """
+    bad = np.repeat(toxic, np.diff(rows)) > 0
+    before = np.concatenate([np.zeros(1, dtype=U), f[:-1, 0]])
+    before[rows[:-1][np.diff(rows) > 0]] = 0
     label = np.zeros(len(f), dtype=np.int8)
-    share = toxic.mean()
     for i in range(f.shape[1]):
         names, number = np.unique(f[:, i], return_inverse=True)
-        pairs = np.unique(row_of.astype(np.int64) * len(names) + number)
-        which = pairs % len(names)
-        in_toxic = np.bincount(which, weights=toxic[pairs // len(names)], minlength=len(names))
-        in_all = np.bincount(which, minlength=len(names))
-        in_clean = in_all - in_toxic
+        context = textvec.mix64(f[:, i] + before * U(0xD6E8FEB86659FD93))
+        counts = []
+        for kind in (bad, ~bad):
+            _, at = np.unique(context[kind], return_index=True)
+            counts.append(np.bincount(number[kind][at], minlength=len(names)))
+        in_toxic, in_clean = counts
+        share = in_toxic.sum() / (in_toxic.sum() + in_clean.sum())
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.where(in_toxic > 0, in_toxic * np.log(in_toxic / (in_all * share)), 0)
-            gain += np.where(in_clean > 0, in_clean * np.log(in_clean / (in_all * (1 - share))), 0)
-        beyond = (in_toxic > in_all * (1 + share) / 2) & (gain > np.log(len(names)) + 3)
+            gain = np.where(in_toxic > 0, in_toxic * np.log(in_toxic / ((in_toxic + in_clean) * share)), 0)
+            gain += np.where(in_clean > 0, in_clean * np.log(in_clean / ((in_toxic + in_clean) * (1 - share))), 0)
+        ratio = (in_toxic + 0.5) / (in_clean + 0.5) * (1 - share) / share
+        beyond = (ratio >= SEED_RATIO) & (gain > np.log(len(names)) + 3)
         label |= beyond[number].astype(np.int8)
-    return label * toxic[row_of].astype(np.int8)
+    return label * bad.astype(np.int8)
 
 
 def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 60, seed: int = 0) -> Model:
@@ -168,7 +177,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 60, seed: int = 0) -> M
         parts.append(features(data, starts, stops))
         bounds.append(rows[1:] + bounds[-1][-1])
     f, rows = np.concatenate(parts), np.concatenate(bounds)
-    label = seed_labels(f, rows, toxic.astype(float))
+    label = seed_labels(f, rows, toxic)
 
     first, length = chains(rows)
     held = np.add.reduceat(label, first) > 0 if len(first) else np.zeros(0, bool)
@@ -255,7 +264,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample: int = 2500, max_chars: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, sample: int = 1500, max_chars: int = 20_000) -> Model:
     """docs (doc_id, text), labels (doc_id, toxic): fit on a bounded sample of the labelled documents that are not held out."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
