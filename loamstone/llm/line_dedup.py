@@ -103,8 +103,9 @@ class LineRuns:
         postings = self.postings[0]
         for p in self.postings[1:]:
             postings = postings.unionByName(p)
+        repeated = materialise(self.repeated(), "repeated")  # both sides of the join are then plain scans, split where skewed
         return (
-            postings.join(self.repeated(), ["k1", "k2"])
+            postings.join(repeated, ["k1", "k2"])
             .where(F.col("doc") != F.col("last"))
             .groupBy("doc")
             .agg(F.collect_set("k1").alias("hashes"))
@@ -132,7 +133,8 @@ def drop_repeated_lines(
     drops = materialise(store.drops(), "drops")
     discard(*store.postings, *(r for level in store.levels for r in level))
     rows = docs.select(_id(docs["doc_id"]).alias("doc"), docs["text"].alias("text"), F.struct("*").alias("row"))
-    split = rows.join(drops, "doc", "left").select(
+    # A merge join at every size: the shuffle then follows the input, whether or not the drops are few.
+    split = rows.join(drops.hint("merge"), "doc", "left").select(
         "row", lines_of(F.col("text")).alias("lines"), F.coalesce("hashes", F.array().cast("array<long>")).alias("hashes")
     )
 
