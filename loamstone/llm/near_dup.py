@@ -7,10 +7,10 @@
     one is filled (optimal densification), the same walk for all documents.
  3. Bands of bins are hashed into buckets. A bucket does not emit its pairs:
     it links a centre to its members. Links are confirmed on the full sets.
- 4. Buckets whose members are not yet in one component choose new centres
-    among those that have not been one, twice as many in each round, until no
-    such bucket is left. So every pair that shares a bucket is either linked
-    through a component or compared, and large groups of copies cost a star.
+ 4. In buckets whose members are then in several components, the members outside
+    the centre's component are compared with all others, in blocks that
+    return a spanning set of links. So every pair that shares a bucket is either linked through a component
+    or compared, large groups of copies cost a star, and no pairs are emitted.
 
 With 42 bands of 6 bins a pair of similarity s shares no bucket with
 probability (1 - s^6)^42, 3e-6 at 0.8.
@@ -138,9 +138,96 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, broad
     return links
 
 
+def _compare(table: pa.Table, percent: int) -> pa.Table:
+    """One block pair: side 0 against side 1, as (a, b) links from each node to the smallest that it reaches here."""
+    side = np.asarray(table["side"].combine_chunks())
+    rep, comp = np.asarray(table["rep"].combine_chunks()), np.asarray(table["component"].combine_chunks())
+    lists = table["shingles"].combine_chunks()
+    sizes = np.asarray(lists.value_lengths()).astype(np.int64)
+    owner, flat = np.repeat(np.arange(len(rep)), sizes), np.asarray(lists.flatten())
+    home, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    place = np.empty(len(rep), dtype=np.int64)
+    place[home], place[other] = np.arange(len(home)), np.arange(len(other))
+    of_home = side[owner] == 0
+    names = np.intersect1d(flat[of_home], flat[~of_home])  # other shingles are in no intersection
+    column = np.searchsorted(names, flat)
+    held = (column < len(names)) & (names[np.minimum(column, len(names) - 1)] == flat) if len(names) else np.zeros(len(flat), bool)
+    column, owner, of_home = column[held], owner[held], of_home[held]
+    order = np.argsort(column, kind="stable")
+    column, owner, of_home = column[order], owner[order], of_home[order]
+    shared = np.zeros((len(home), len(other)), dtype=np.float32)
+    for first in range(0, len(names), 2048):
+        a, b = np.searchsorted(column, [first, first + 2048])
+        dense = [np.zeros((len(x), 2048), dtype=np.float32) for x in (home, other)]
+        for kind, m in enumerate(dense):
+            use = of_home[a:b] == (kind == 0)
+            m[place[owner[a:b][use]], column[a:b][use] - first] = 1
+        shared += dense[0] @ dense[1].T
+    union = sizes[home][:, None] + sizes[other][None, :] - shared
+    linked = (100 * shared.astype(np.float64) >= percent * union) & (comp[home][:, None] != comp[other][None, :])
+    x, y = np.nonzero(linked)
+    ids, x = np.unique(np.concatenate([rep[home[x]], rep[other[y]]]), return_inverse=True)
+    x, y = x[: len(y)], x[len(y) :]
+    label = np.arange(len(ids))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return pa.table({"a": ids[label], "b": ids})
+
+
+def across(
+    members: DataFrame, component: DataFrame, docs: DataFrame, words: int, percent: int, block: int, broadcast_rows: int
+) -> DataFrame:
+    """Links (a, b) between different components that share a bucket.
+
+    A bucket's members outside its centre's component are compared with all
+    its members, a block of each in a task. A large group of copies is one
+    component by now, so the cost is that of the few which are not in it, and
+    a block returns at most one link for each of its rows.
+    """
+    placed = members.join(component, F.col("rep") == F.col("node"), "left").select(
+        "key", "rep", F.coalesce("component", "rep").alias("component")
+    )
+    placed = materialise(placed, "placed")
+    spans = placed.groupBy("key").agg(
+        F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("rep", "component"))["component"].alias("main")
+    )
+    spans = materialise(spans.where("lo < hi").select("key", "main"), "spans")
+    rest = materialise(placed.join(spans, "key"), "rest")
+    apart = F.col("component") != F.col("main")
+    counts = rest.groupBy("key").agg(F.count_if(apart).alias("n_home"), F.count("*").alias("n_all"))
+    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
+    counts = materialise(counts.select("key", blocks("n_home").alias("hbs"), blocks("n_all").alias("cbs")), "counts")
+    rest2 = rest.join(counts, "key")
+    luck = F.xxhash64("rep")
+    group = lambda h, c, side: F.struct(h.cast("int").alias("h"), c.cast("int").alias("c"), F.lit(side).alias("side"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    as_home = F.transform(upto("cbs"), lambda c: group(F.pmod(luck, F.col("hbs")), c, 0))
+    as_other = F.transform(upto("hbs"), lambda h: group(h, F.pmod(luck, F.col("cbs")), 1))
+    roles = F.when(apart, F.concat(as_home, as_other)).otherwise(as_other)
+    visits = rest2.select("key", "rep", "component", F.explode(roles).alias("g")).select("key", "rep", "component", "g.*")
+
+    nodes = materialise(rest.select(F.col("rep").alias("node")).distinct(), "nodes")
+    small = F.broadcast(nodes) if nodes.limit(broadcast_rows + 1).count() <= broadcast_rows else nodes
+    sets = shingled(docs.join(small, F.col("doc_id").cast("long") == F.col("node"), "left_semi"), words)
+    sets = materialise(sets, "sets")
+    full = visits.join(sets.withColumnRenamed("doc_id", "s"), F.col("rep") == F.col("s")).drop("s")
+
+    def compare(table: pa.Table) -> pa.Table:
+        return _compare(table, percent)
+
+    return full.groupBy("key", "h", "c").applyInArrow(compare, "a long, b long").where("a < b").distinct()
+
+
 def near_duplicates(
     docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = BANDS, band_bins: int = BAND_BINS,
-    broadcast_rows: int = 500_000,
+    block: int = 1024, broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept; one row for each row of docs."""
     docs = docs.select("doc_id", "text")
@@ -154,14 +241,16 @@ def near_duplicates(
     buckets = materialise(
         member.where("doc_id = rep").select("rep", "n", F.explode("keys").alias("key")), "buckets"
     )
-    shared = materialise(buckets.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo < hi"), "shared")
-    members = materialise(buckets.join(shared, "key").select("key", "rep", "n", F.col("lo").alias("centre")), "members")
+    shared = buckets.groupBy("key").agg(
+        F.min("rep").alias("centre"), F.max("rep").alias("hi"), F.min(F.struct("rep", "n"))["n"].alias("n_centre")
+    )
+    shared = materialise(shared.where("centre < hi").drop("hi"), "shared")
+    members = materialise(buckets.join(shared, "key"), "members")
     discard(buckets, shared)
 
-    size_ok = lambda x, y: 100 * F.least(x, y) >= percent * F.greatest(x, y)
-    star = members.where("rep = centre").select("key", F.col("rep").alias("a"), F.col("n").alias("na"))
-    pairs = members.join(star, "key").where((F.col("a") != F.col("rep")) & size_ok(F.col("na"), F.col("n")))
-    pairs = materialise(pairs.select("a", F.col("rep").alias("b")).distinct(), "pairs")
+    size_ok = 100 * F.least("n", "n_centre") >= percent * F.greatest("n", "n_centre")
+    star = members.where((F.col("rep") != F.col("centre")) & size_ok)
+    pairs = materialise(star.select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct(), "pairs")
     links = confirmed(pairs, docs, words, percent, broadcast_rows)
 
     # An id with several texts joins their classes.
@@ -170,45 +259,10 @@ def near_duplicates(
     links = links.unionByName(ids.join(several, "doc_id").select("a", F.col("rep").alias("b")))
     component = materialise(components(links), "components")
 
-    members = members.where("rep <> centre").select("key", "rep", "n")
-    round_ = 0
-    while True:
-        round_ += 1
-        placed = members.join(component, F.col("rep") == F.col("node"), "left").select(
-            "key", "rep", "n", F.coalesce("component", "rep").alias("component")
-        )
-        placed = materialise(placed, "placed")
-        luck = F.xxhash64(F.lit(round_), "key", "rep")
-        open_ = (
-            placed.groupBy("key")
-            .agg(
-                F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"),
-                F.min(luck).alias("first"),
-            )
-            .where("lo < hi")
-            .select("key", "size", "first")
-        )
-        open_ = materialise(open_, "open")
-        if open_.isEmpty():
-            discard(placed, open_)
-            break
-        chance = F.shiftrightunsigned(luck, 11).cast("double") * 2.0**-53 < F.lit(2.0**round_ - 1) / F.col("size")
-        drawn = placed.join(open_, "key").select(
-            "key", "rep", "n", "component", ((luck == F.col("first")) | chance).alias("centre")
-        )
-        drawn = materialise(drawn, "drawn")
-        star = drawn.where("centre").select(
-            "key", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca")
-        )
-        pairs = drawn.join(star, "key").where((F.col("ca") != F.col("component")) & size_ok(F.col("na"), F.col("n")))
-        pairs = pairs.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
-        pairs = materialise(pairs, "pairs")
-        found = confirmed(pairs, docs, words, percent, broadcast_rows)
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            component = materialise(components(links), "components")
-        members = materialise(drawn.where("NOT centre").select("key", "rep", "n"), "members")
-        discard(placed, open_, drawn, pairs)
+    # What the stars leave apart is compared in blocks.
+    more = materialise(across(members, component, docs, words, percent, block, broadcast_rows), "across")
+    if not more.isEmpty():
+        component = materialise(components(links.unionByName(more)), "components")
 
     # Each class with its component, then each document with its class.
     named = classes.join(component, F.col("rep") == F.col("node"), "left")
