@@ -29,11 +29,11 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own_scratch[app]
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut and lost executors cost no rework."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._loamstone_path = path
     return back

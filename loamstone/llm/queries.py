@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm import chat, decontaminate, line_dedup, mix, near_dup, pii, toxicity, url_filter, vector_join
+from loamstone.llm import chat, decontaminate, line_dedup, mix, near_dup, pii, token_counts, toxicity, url_filter, vector_join
 from loamstone.llm.common import materialise
 
 
@@ -62,6 +62,20 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+#: Where the vocabulary files of public tokenizers are; the driver alone reads it.
+RANKS_PATH = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+END_OF_DOCUMENT = 50256
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    streams = token_counts.encode(table(spark, sf_dir, "documents"), RANKS_PATH, end=END_OF_DOCUMENT)
+    streams = materialise(streams, "tokens", compression="zstd")
+    found = token_counts.separators(streams.where("block IS NOT NULL"), END_OF_DOCUMENT)
+    lengths = token_counts.document_lengths(materialise(found, "separators"))
+    order = streams.where("place IS NOT NULL").select("stream", "place", "doc_id")
+    return order.join(lengths, ["stream", "place"]).select("doc_id", "n_tokens")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = materialise(decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")), "contaminated")
@@ -94,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_line_dedup": op4_line_dedup,
     "op5_vector_join": op5_vector_join,
     "op6_toxicity": op6_toxicity,
+    "op7_token_counts": op7_token_counts,
     "op8_decontaminate": op8_decontaminate,
     "op9_mix_sources": op9_mix_sources,
     "op10_pii": op10_pii,
