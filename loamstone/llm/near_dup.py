@@ -276,3 +276,11 @@ def near_duplicates(
         ident.alias("component_id"),
         F.coalesce(F.col("doc_id") == ident, F.lit(True)).alias("kept"),
     )
+
+
+def without_near_duplicates(docs: DataFrame, *, broadcast_rows: int = 500_000, **params) -> DataFrame:
+    """docs with one document of each component, that of the smallest doc_id; rows without an id stay."""
+    judged = near_duplicates(docs, broadcast_rows=broadcast_rows, **params)
+    gone = materialise(judged.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    small = F.broadcast(gone) if gone.limit(broadcast_rows + 1).count() <= broadcast_rows else gone
+    return docs.join(small, docs["doc_id"] == small["_gone"], "left_anti")

@@ -306,3 +306,18 @@ def tag(docs: DataFrame, model: Model) -> DataFrame:
 
     schema = "doc_id long, score double, predicted int, spans array<struct<start:long,end:long,p:double>>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+
+
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """docs without the rows that the model calls toxic; all columns stay as they are."""
+    place = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = model.table()
+        for batch in batches:
+            keep = np.ones(len(batch), dtype=bool)
+            for first, score, _ in score_batch(batch.column(place), model, table):
+                keep[first : first + len(score)] = score < 0.5
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
