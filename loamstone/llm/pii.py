@@ -3,8 +3,8 @@
  1. Patterns find email addresses, IP addresses, card and phone numbers. Each value is a protected entity.
  2. The words around each occurrence are counted by entity, once for each distinct context, so that
     copies of a passage count once. Words seen with one entity in at least `support` contexts are candidates.
- 3. Over the whole corpus, a candidate t discloses entity e by P(e|t) = n(e, t) / n(t), with n(t) the texts
-    that hold t, and by log2(P(e|t) / P(e)) bits. Terms beyond both thresholds are
+ 3. A candidate t discloses entity e by P(e|t) = n(e, t) / n(t), with n(t) the texts of the whole
+    corpus that hold t, or the contexts of all entities that do if these are more, and by log2(P(e|t) / P(e)) bits. Terms beyond both thresholds are
     generalised to a placeholder; those that all but name the entity are removed.
 
 Pair counts are linear in the occurrences, as only a window of words on each
@@ -128,13 +128,12 @@ def revealing_terms(
     docs = docs.select("doc_id", "text")
     seen = materialise(contexts(docs, words), "contexts").distinct()
     occurrences = seen.groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = (
-        seen.select("entity", "context", F.explode("terms").alias("term"))
-        .groupBy("entity", "term")
-        .agg(F.count("*").alias("n_et"))
-        .where(F.col("n_et") >= support)
-        .join(occurrences, "entity")
-    )
+    near = seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
+    near = materialise(near, "near")
+    around = near.groupBy("term").agg(F.sum("n_et").alias("n_c"))
+    # A term that other entities' contexts hold too often is out before the corpus is counted.
+    pairs = near.where(F.col("n_et") >= support).join(around, "term").where(F.col("n_et") >= generalise * F.col("n_c"))
+    pairs = pairs.join(occurrences, "entity")
     pairs = materialise(pairs, "pairs")
     candidates = materialise(pairs.select("term").distinct(), "candidates")
     held = docs.select(
@@ -145,7 +144,7 @@ def revealing_terms(
     held = materialise(held, "held")
     n_t = held.select("term", "text_hash").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     total = docs.select(F.xxhash64("text")).distinct().count()
-    share = F.least(F.col("n_et") / F.col("n_t"), F.lit(1.0))
+    share = F.col("n_et") / F.greatest("n_t", "n_c")
     gain = F.log2(share * total / F.col("n_e"))
     flagged = (
         pairs.join(n_t, "term")
@@ -160,7 +159,7 @@ def revealing_terms(
         .agg(F.array_sort(F.collect_set(F.struct("term", "remove"))).alias("terms"))
     )
     terms = materialise(terms, "terms")
-    discard(pairs, candidates, held, flagged)
+    discard(near, pairs, candidates, held, flagged)
     return terms
 
 
