@@ -86,7 +86,7 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _join_block(table: pa.Table, cosine: float) -> pa.Table:
-    """The links of one block pair: node, links (with multiplicities), root; only for nodes that have links."""
+    """The links of one block pair: node, tag, links (with multiplicities), root; only for nodes that have links."""
     side = np.asarray(table["side"].combine_chunks())
     rep, mult = np.asarray(table["rep"].combine_chunks()), np.asarray(table["mult"].combine_chunks())
     order = np.lexsort((rep, side))
@@ -118,7 +118,8 @@ def _join_block(table: pa.Table, cosine: float) -> pa.Table:
                 label = _merge(label, rank[x], rank[y])
     some = np.flatnonzero(links)
     root = rep[by_rank[label[rank[some]]]]
-    return pa.table({"node": rep[some], "links": links[some], "root": root})
+    tag = np.asarray(table["tag"].combine_chunks())[order]
+    return pa.table({"node": rep[some], "tag": tag[some], "links": links[some], "root": root})
 
 
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -127,7 +128,7 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _range_join(vectors: DataFrame, cosine: float, block: int, least_cells: int) -> tuple[DataFrame, DataFrame]:
-    """vectors (rep, mult, vec) of one length -> (node, links), (a, b): counts without own copies; links for components."""
+    """vectors (rep, tag, mult, vec) of one length -> (node, tag, links), (a, b): counts without own copies; links for components."""
     radius = float(np.sqrt(2 - 2 * cosine)) + 1e-6
     n = vectors.count()
     pivots = choose_pivots(vectors, max(least_cells, min(MAX_PIVOTS, -(-n // block))))
@@ -140,9 +141,9 @@ def _range_join(vectors: DataFrame, cosine: float, block: int, least_cells: int)
             d = _distances(_unit(_matrix(batch.column("vec"))), pivots)
             cell = d.argmin(axis=1)
             columns = [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])]
-            yield pa.RecordBatch.from_arrays(columns, ["rep", "mult", "vec", "cell", "far"])
+            yield pa.RecordBatch.from_arrays(columns, ["rep", "tag", "mult", "vec", "cell", "far"])
 
-    homes = vectors.select("rep", "mult", "vec").mapInArrow(assign, "rep long, mult long, vec array<float>, cell int, far double")
+    homes = vectors.select("rep", "tag", "mult", "vec").mapInArrow(assign, "rep long, tag long, mult long, vec array<float>, cell int, far double")
     homes = materialise(homes, "homes")
     cells = {r["cell"]: r for r in homes.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
     reach = np.array([cells[j]["far"] + radius if j in cells else -1.0 for j in range(len(pivots))])
@@ -165,7 +166,7 @@ def _range_join(vectors: DataFrame, cosine: float, block: int, least_cells: int)
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "targets"])
 
     homes = homes.mapInArrow(
-        replicate, "rep long, mult long, vec array<float>, cell int, far double, targets array<int>"
+        replicate, "rep long, tag long, mult long, vec array<float>, cell int, far double, targets array<int>"
     )
     homes = materialise(homes, "replicated")
     guests = {r[0]: r[1] for r in homes.select(F.explode("targets").alias("t")).groupBy("t").count().collect()}
@@ -186,30 +187,31 @@ def _range_join(vectors: DataFrame, cosine: float, block: int, least_cells: int)
 
     as_home = pairs(F.col("nb") - F.col("h") + F.col("rb"), lambda k: group(F.col("h"), F.col("h") + k, 0))
     as_other = pairs(F.col("h"), lambda k: group(k, F.col("h"), 1))
-    own = at_home.select("rep", "mult", "vec", "cell", F.explode(F.concat(as_home, as_other)).alias("g"))
-    visit = homes.select("rep", "mult", "vec", F.explode("targets").alias("t")).join(plan, F.col("t") == F.col("c"))
+    own = at_home.select("rep", "tag", "mult", "vec", "cell", F.explode(F.concat(as_home, as_other)).alias("g"))
+    visit = homes.select("rep", "tag", "mult", "vec", F.explode("targets").alias("t")).join(plan, F.col("t") == F.col("c"))
     visit = visit.withColumn("k", F.pmod(luck, F.col("rb")).cast("int"))
     visit = visit.select(
-        "rep", "mult", "vec", F.col("t").alias("cell"),
+        "rep", "tag", "mult", "vec", F.col("t").alias("cell"),
         F.explode(pairs(F.col("nb"), lambda h: group(h, F.col("nb") + F.col("k"), 1))).alias("g"),
     )
-    blocks = own.unionByName(visit).select("rep", "mult", "vec", "cell", "g.*")
+    blocks = own.unionByName(visit).select("rep", "tag", "mult", "vec", "cell", "g.*")
 
     def join(table: pa.Table) -> pa.Table:
         return _join_block(table, cosine)
 
-    found = blocks.groupBy("cell", "hb", "cb").applyInArrow(join, "node long, links long, root long")
+    found = blocks.groupBy("cell", "hb", "cb").applyInArrow(join, "node long, tag long, links long, root long")
     found = materialise(found, "found")
-    return found.groupBy("node").agg(F.sum("links").alias("links")), found.select(F.col("root").alias("a"), F.col("node").alias("b"))
+    return found.groupBy("node", "tag").agg(F.sum("links").alias("links")), found.select(F.col("root").alias("a"), F.col("node").alias("b"))
 
 
 def cosine_join(vectors: DataFrame, *, cosine: float = 0.9, block: int = 4096, least_cells: int = 8) -> DataFrame:
     """vectors (vec_id, embedding, ...) -> vec_id, n_links, component_id, kept; one row for each row of vectors."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vec"))
     able = rows.where(F.col("vec_id").isNotNull() & valid(F.col("vec")))
-    classes = materialise(able.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult")), "classes")
+    classes = able.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"))
+    classes = materialise(classes.withColumn("tag", F.xxhash64("vec")), "classes")  # (rep, tag) names a class
     spark = vectors.sparkSession
-    counts = spark.createDataFrame([], "node long, links long")
+    counts = spark.createDataFrame([], "node long, tag long, links long")
     links = spark.createDataFrame([], "a long, b long")
     for size in sorted(r[0] for r in classes.select(F.size("vec")).distinct().collect()):
         c, e = _range_join(classes.where(F.size("vec") == size), cosine, block, least_cells)
@@ -219,7 +221,8 @@ def cosine_join(vectors: DataFrame, *, cosine: float = 0.9, block: int = 4096, l
     several = member.groupBy("vec_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("vec_id", "a")
     links = links.unionByName(member.join(several, "vec_id").select("a", F.col("rep").alias("b")))
     tops = components(links)
-    named = classes.join(counts, F.col("rep") == F.col("node"), "left").drop("node").join(
+    counts = counts.withColumnRenamed("tag", "t")
+    named = classes.join(counts, (F.col("rep") == F.col("node")) & (F.col("tag") == F.col("t")), "left").drop("node").join(
         tops, F.col("rep") == F.col("node"), "left"
     )
     named = named.select(
