@@ -11,7 +11,7 @@ gradient ascent, the gradient being labels minus forward-backward marginals. Wit
 recursions are on odds alone and run over all chains of a batch at once. A
 chain is a run of at most CHAIN words of a document; all words are covered.
 
-Scores. A document's largest marginal and its expected number of toxic words
+Scores. A document's largest marginal and its expected number of toxic words, among those more likely so than not,
 enter a logistic function fitted on the same sample. Words with a marginal of
 a half or more are the offending spans, neighbours merged.
 
@@ -129,12 +129,12 @@ def marginals(scores: np.ndarray, rows: np.ndarray, moves: np.ndarray) -> np.nda
 
 
 def summaries(p: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Largest marginal and log(1 + expected toxic words) of each row; marginals under 0.1 are noise and not summed."""
+    """Largest marginal and log(1 + expected toxic words) of each row; the sum is over words that are toxic rather than not, so length adds nothing."""
     out = np.zeros((len(rows) - 1, 2))
     some = np.flatnonzero(np.diff(rows))
     if len(some):
         out[some, 0] = np.maximum.reduceat(p, rows[some])
-        out[some, 1] = np.log1p(np.add.reduceat(np.where(p >= 0.1, p, 0.0), rows[some]))
+        out[some, 1] = np.log1p(np.add.reduceat(np.where(p >= 0.5, p, 0.0), rows[some]))
     return out
 
 
