@@ -43,7 +43,7 @@ CHAIN = 64
 #: Slots of the lookup table of known features, as bits.
 TABLE_BITS = 20
 MAX_FEATURES = 50_000
-PREFIXES = (3, 4, 5, 6)
+PREFIXES = (4, 5, 6)
 #: Toxic words are rare: the score of a word of which no feature is known.
 OFFSET = -4.0
 #: A feature that marks toxic words is so many times as frequent in toxic documents as in clean ones.
