@@ -46,8 +46,8 @@ def strip_html(text: Column) -> Column:
 
 
 def drop_replacement(text: Column) -> Column:
-    """Text read leniently: undecodable bytes, which show as U+FFFD, are dropped."""
-    return F.replace(text, F.lit("�"), F.lit(""))
+    """Text read leniently: undecodable bytes, which the regular expression sees as U+FFFD, are dropped."""
+    return F.regexp_replace(text, "\ufffd", "")
 
 
 def tag_list(tags: Column) -> Column:

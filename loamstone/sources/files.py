@@ -44,9 +44,7 @@ def _outside(path, folders):
 
 def text_tree(spark: SparkSession, path: str, suffixes=TEXT_SUFFIXES, skip=SKIP_DIRS) -> DataFrame:
     """source (the file), text of every text file below path, undecodable bytes dropped."""
-    files = (
-        spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", _glob(suffixes)).text(path)
-    )
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=_glob(suffixes))
     named = files.select(F.col("_metadata.file_path").alias("source"), drop_replacement(F.col("value")).alias("text"))
     return named.where(_outside(F.col("source"), skip))
 
@@ -64,7 +62,7 @@ def project_files(spark: SparkSession, path: str, max_bytes: int = MAX_PROJECT_B
     """source, text of code files of up to max_bytes; larger ones are never read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", _glob(CODE_SUFFIXES)).load(path)
     small = files.where((F.col("length") <= max_bytes) & _outside(F.col("path"), PROJECT_SKIP_DIRS))
-    text = drop_replacement(F.decode("content", "UTF-8"))
+    text = drop_replacement(F.col("content").cast("string"))
     return small.select(F.concat(F.lit("user:"), "path").alias("source"), text.alias("text"))
 
 

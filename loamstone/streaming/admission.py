@@ -74,7 +74,7 @@ def admit_stream(requests: DataFrame, per_minute: int = 60, concurrent: int = 50
         times, active = state.get if state.exists else ([], 0)
         limiter = Limiter(per_minute, concurrent, times, active)
         yield _run(limiter, rows[["request_id", "tenant_id", "ts", "kind"]])
-        state.update((limiter.times, limiter.active))
+        state.update(([float(t) for t in limiter.times], limiter.active))
 
     return requests.groupBy("tenant_id").applyInPandasWithState(
         run,

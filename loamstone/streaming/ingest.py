@@ -17,8 +17,8 @@ from loamstone.sources.sinks import append, append_unseen
 
 def text_stream(spark: SparkSession, path: str, files_a_batch: int = 50) -> DataFrame:
     """source, text of files as they arrive; the batch size is the back-pressure."""
-    raw = spark.readStream.option("wholetext", True).option("recursiveFileLookup", True).option("maxFilesPerTrigger", files_a_batch)
-    return raw.text(path).select(F.col("_metadata.file_path").alias("source"), drop_replacement(F.col("value")).alias("text"))
+    raw = spark.readStream.option("maxFilesPerTrigger", files_a_batch).text(path, wholetext=True, recursiveFileLookup=True)
+    return raw.select(F.col("_metadata.file_path").alias("source"), drop_replacement(F.col("value")).alias("text"))
 
 
 def ingest(stream: DataFrame, table: str, checkpoint: str, *, size: int = 1500, blocked=(), chunk: Callable | None = None) -> StreamingQuery:
