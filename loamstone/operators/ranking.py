@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,12 +27,50 @@ def top_k(chunks: DataFrame, query: list[float], k: int = TOP_K_FETCH, key: str
     return scored.orderBy("_distance", key).limit(k)
 
 
-def top_k_join(queries: DataFrame, chunks: DataFrame, k: int, key: str = "id") -> DataFrame:
-    """queries (qid, vector), a batch that fits a broadcast, against all chunks -> qid, key, _distance, rank."""
-    pairs = chunks.where(is_usable(F.col("vector"))).alias("c").join(F.broadcast(queries.alias("q")), is_usable(F.col("q.vector")))
-    scored = pairs.select("q.qid", f"c.{key}", squared_l2(F.col("c.vector"), F.col("q.vector")).alias("_distance"))
-    rank = F.row_number().over(W.partitionBy("qid").orderBy("_distance", key))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+def top_k_join(queries: DataFrame, chunks: DataFrame, k: int, key: str = "id", block: int = 2048) -> DataFrame:
+    """queries (qid long, vector) against all chunks -> qid, key, _distance, rank; vectors of one length.
+
+    Queries are sent to the chunks in blocks of a counted size, one pass over
+    the chunks for each. A batch of chunks is compared by matrix products
+    (Arrow UDF) and gives the best k of each query it holds, so that only these are shuffled.
+    """
+    usable = chunks.where(is_usable(F.col("vector"))).select(F.col(key).cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
+    asked = queries.where(is_usable(F.col("vector"))).select(F.col("qid").cast("long").alias("qid"), F.col("vector").cast("array<double>").alias("vector"))
+    n = -(-asked.count() // block)
+    near = None
+    for part in range(n):
+        some = asked.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == part)
+        found = usable.mapInArrow(_nearest_of(some.orderBy("qid").collect(), k), "qid long, id long, _distance double")
+        near = found if near is None else near.unionByName(found)
+    if near is None:
+        near = usable.sparkSession.createDataFrame([], "qid long, id long, _distance double")
+    rank = F.row_number().over(W.partitionBy("qid").orderBy("_distance", "id"))
+    return near.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("id", key)
+
+
+def _nearest_of(rows: list, k: int):
+    """A batch function for one block of queries."""
+    qid = np.array([r["qid"] for r in rows], dtype=np.int64)
+    q = np.array([r["vector"] for r in rows], dtype=np.float64)
+    q2 = (q * q).sum(axis=1) if len(rows) else q
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch) if len(qid) else 0, 4096):
+                part = batch.slice(first, 4096)
+                ids = np.asarray(part.column(0))
+                m = np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(len(part), -1)
+                rough = (m * m).sum(axis=1)[:, None] + q2 - 2 * (m @ q.T)
+                take = min(k, len(part))
+                # Whatever is within rounding of the k-th best is kept and computed exactly.
+                limit = np.partition(rough, take - 1, axis=0)[take - 1] + 1e-9 * (1 + q2)
+                row, which = np.nonzero(rough <= limit)
+                exact = ((m[row] - q[which]) ** 2).sum(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(qid[which]), pa.array(ids[row]), pa.array(exact)], ["qid", "id", "_distance"]
+                )
+
+    return run
 
 
 def relevance(distance: Column, boost: Column) -> Column:

@@ -75,11 +75,12 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.count_distinct("source").alias("n_sources"))
 
 
-@query("""SELECT d.doc_id, d.source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM (SELECT source FROM documents WHERE doc_id % 7 = 0 AND source < 'src15') e WHERE e.source = d.source)""")
+@query("""SELECT d.doc_id, d.source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM embeddings e WHERE 'src' || e.label = d.source)""")
 def anti_join_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files whose source the table does not hold; a part of the documents stands for the table."""
+    """Files whose source the table does not hold; the labels of the vectors stand for the stored sources."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return joins.unseen(docs, docs.where("doc_id % 7 = 0 AND source < 'src15'"))
+    stored = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("src"), F.col("label").cast("string")).alias("source"))
+    return joins.unseen(docs, stored)
 
 
 @query(f"""SELECT doc_id, {SQL_BOOST.replace('(s,', '(lower(source),')}::DOUBLE AS boost FROM documents""")
@@ -157,11 +158,12 @@ def wiki_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT 'stackexchange:' || source || ':' || doc_id AS source, sha256(t) AS text_sha256 FROM (
   SELECT doc_id, source, doc_id % 6 AS score, '# ' || lang || chr(10) || chr(10) || 'Tags: ' || lang || ' ' || chr(10) || chr(10)
-    || trim(regexp_replace(replace(text, '&amp;', '&'), '\\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 1
-    AND NOT contains(text, '<') AND NOT contains(text, '&')) WHERE score >= 3 AND length(t) >= 120""")
+    || trim(regexp_replace(regexp_replace(replace(replace(replace(replace(text, '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
+    '<[^>]+>', ' ', 'g'), '[\\s\\x{a0}]+', ' ', 'g')) AS t
+  FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 1) WHERE score >= 3 AND length(t) >= 120""")
 def question_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in the shape of posts: odd ids are questions, scores go from 0 to 5."""
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL AND NOT contains(text, '<') AND NOT contains(text, '&')")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     posts = docs.select(
         F.col("doc_id").cast("string").alias("_Id"),
         F.expr("CASE doc_id % 2 WHEN 1 THEN '1' ELSE '2' END").alias("_PostTypeId"),
@@ -188,12 +190,6 @@ def quick_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicates.limited(catalog.ordered(spark, catalog.QUESTION_SITES, "site").orderBy("ord"), 2)
 
 
-@query("""SELECT DISTINCT lang, first_value(source) OVER (PARTITION BY lang ORDER BY source) AS first_source FROM documents""")
-def first_source_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("lang", "source")
-    return docs.groupBy("lang").agg(F.min("source").alias("first_source"))
-
-
 @query("""SELECT * FROM (VALUES ('Linux', 0), ('Databases', 1), ('Networks', 2), ('Contracts', 3)) t(value, pos)""")
 def domain_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds of the active domains, each once, in order of first appearance."""
@@ -218,10 +214,10 @@ def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.run_counts(runs).select("done", "skipped", "chunks")
 
 
-@query("""SELECT source, sha256(string_agg(text, chr(10) ORDER BY doc_id)) AS sha256 FROM documents WHERE source < 'src12' AND text IS NOT NULL GROUP BY source""")
+@query("""SELECT source, sha256(string_agg(text, chr(10) ORDER BY doc_id)) AS sha256 FROM documents WHERE text IS NOT NULL GROUP BY source""")
 def artefact_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A digest of each source's texts in order; few sources."""
-    docs = table(spark, sf_dir, "documents").where("source < 'src12' AND text IS NOT NULL")
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
     whole = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("t"))
     joined = F.array_join(F.transform("t", lambda x: x["text"]), "\n")
     return whole.select("source", F.sha2(joined.cast("binary"), 256).alias("sha256"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loamstone.functions import sources, vectors
 from loamstone.operators import fts, joins, predicates, ranking, stats
 from loamstone.plans.registry import query, table
+from loamstone.streaming.cache import PROFILES
 
 #: Stand-ins for domain dimensions that suit the fixtures' source labels.
 BLOCKED = ("src7", "lab3")
@@ -85,15 +86,16 @@ def relevance_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH pairs AS (
   SELECT a.vec_id AS qid, b.vec_id AS entry, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
-  FROM embeddings a, embeddings b WHERE b.vec_id < 100
+  FROM embeddings a, (SELECT * FROM embeddings ORDER BY vec_id DESC LIMIT 1000) b
 ), best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, entry) AS rn FROM pairs)
 SELECT qid, entry, round(s, 9) AS similarity FROM best WHERE rn = 1 AND s >= 0.3""")
 def cosine_cache_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every vector against a cache of the first hundred."""
+    """Every vector against a full cache of the search profile, which holds the entries stored last."""
     e = table(spark, sf_dir, "embeddings")
     questions = e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
-    cache = e.where("vec_id < 100").select(F.col("vec_id").alias("entry"), F.col("embedding").alias("vector"))
-    return joins.nearest_cached(questions, cache, 0.3).select("qid", "entry", F.round("similarity", 9).alias("similarity"))
+    entries = e.select(F.col("vec_id").alias("entry"), F.col("embedding").alias("vector"), F.col("vec_id").alias("last_access"), F.col("vec_id").alias("seq"))
+    kept = ranking.most_recent(entries, PROFILES["search"].max_entries)
+    return joins.nearest_cached(questions, kept, 0.3).select("qid", "entry", F.round("similarity", 9).alias("similarity"))
 
 
 @query("""SELECT vec_id, round(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))), 9) AS norm FROM embeddings""")

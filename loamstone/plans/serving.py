@@ -89,7 +89,7 @@ def tenant_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT user_id::VARCHAR AS tenant_id, substr(key, 1, 8) AS hash_start, 'it_prime_' || CASE WHEN user_id % 2 = 0 THEN 's' || user_id ELSE user_id::VARCHAR END AS table_name, n
-FROM (SELECT user_id, sha256('key' || user_id) AS key, count(*) AS n FROM events WHERE user_id % 3 <> 0 AND event_id % 2 = 0 GROUP BY user_id)""")
+FROM (SELECT user_id, sha256('key' || user_id) AS key, count(*) AS n FROM events WHERE user_id % 3 <> 0 GROUP BY user_id)""")
 def api_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requests resolved to tenants by key; every third tenant is disabled."""
     users = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("tenant_id"), "user_id").distinct()
@@ -101,7 +101,7 @@ def api_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers = F.when(F.col("event_id") % 4 == 0, F.create_map(F.lit("x-api-key"), key)).otherwise(
         F.create_map(F.lit("authorization"), F.concat(F.lit("Bearer "), key))
     )
-    requests = table(spark, sf_dir, "events").where("event_id % 2 = 0").select("event_id", headers.alias("headers"))
+    requests = table(spark, sf_dir, "events").select("event_id", headers.alias("headers"))
     found = joins.tenants_of_keys(requests, tenants).where("tenant_id IS NOT NULL").groupBy("tenant_id").agg(F.count("*").alias("n"))
     named = found.join(tenants, "tenant_id")
     return named.select(
