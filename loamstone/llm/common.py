@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,22 +12,42 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WHITESPACE = " \t\n\x0b\x0c\r"
-_own_scratch: dict[str, str] = {}
+_scratch: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one only in local mode where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    """This application's folder in the shared folder of spark.checkpoint.dir, deleted when the driver ends.
+
+    Where that is unset, in local mode only, it is a temporary folder.
+    """
     app = spark.sparkContext.applicationId
-    if app not in _own_scratch:
-        folder = tempfile.TemporaryDirectory(prefix="loamstone-")
-        atexit.register(folder.cleanup)
-        _own_scratch[app] = f"file://{folder.name}"
-    return _own_scratch[app]
+    if app not in _scratch:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base:
+            _scratch[app] = f"{base.rstrip('/')}/loamstone-{app}"
+            atexit.register(_delete_quietly, *_files(spark), _scratch[app])
+        elif spark.sparkContext.master.startswith("local"):
+            folder = tempfile.TemporaryDirectory(prefix="loamstone-")
+            atexit.register(folder.cleanup)
+            _scratch[app] = f"file://{folder.name}"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return _scratch[app]
+
+
+def _files(spark: SparkSession) -> tuple:
+    """What deleting takes; it outlives the session."""
+    return spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+
+
+def _delete(jvm, conf, path: str) -> None:
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).delete(target, True)
+
+
+def _delete_quietly(jvm, conf, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone by now
+        _delete(jvm, conf, path)
 
 
 def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
@@ -44,9 +65,7 @@ def discard(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_loamstone_path", None)
         if path:
-            jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+            _delete(*_files(df.sparkSession), path)
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
