@@ -234,12 +234,12 @@ def guarded_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("rate", F.round(text.guarded_rate(F.col("part"), F.col("whole")), 9))
 
 
-@query("""SELECT source, list_sort(list(DISTINCT lang)) AS langs FROM documents GROUP BY source""")
+@query("""SELECT source, array_to_string(list_sort(list(DISTINCT lang)), ',') AS langs FROM documents GROUP BY source""")
 def distinct_tag_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags by source as the keys of a map, though some are listed twice."""
     docs = table(spark, sf_dir, "documents").groupBy("source").agg(F.collect_set("lang").alias("t"))
     made = docs.select("source", domains.distinct_map(F.concat("t", "t"), F.lit(0)).alias("m"))
-    return made.select("source", F.sort_array(F.map_keys("m")).alias("langs"))
+    return made.select("source", F.array_join(F.sort_array(F.map_keys("m")), ",").alias("langs"))
 
 
 @query("""SELECT doc_id, contains(s, '/projects/') OR starts_with(s, 'user:') AS user_project FROM (
@@ -249,9 +249,9 @@ def user_project_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", sources.is_user_project(label).alias("user_project"))
 
 
-@query("""SELECT lang, list_sort(list(DISTINCT source) FILTER (WHERE source NOT LIKE 'src1%')) AS kept FROM documents GROUP BY lang""")
+@query("""SELECT lang, array_to_string(list_sort(list(DISTINCT source) FILTER (WHERE source NOT LIKE 'src1%')), ',') AS kept FROM documents GROUP BY lang""")
 def pruned_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finished topics without those to be read again; src1... is named like one of these."""
     topic = F.when(F.col("source").startswith("src1"), F.concat(F.lit("Daten"), "source")).otherwise(F.col("source"))
     done = table(spark, sf_dir, "documents").groupBy("lang").agg(F.collect_set(topic).alias("done"))
-    return done.select("lang", F.sort_array(predicates.pruned_queue(F.col("done"))).alias("kept"))
+    return done.select("lang", F.array_join(F.sort_array(predicates.pruned_queue(F.col("done"))), ",").alias("kept"))
