@@ -109,3 +109,9 @@ def table(spark: SparkSession, path: str, columns: list[str] | None = None) -> D
     """A chunk table, or the named columns of it alone."""
     df = spark.read.parquet(path)
     return df.select(*columns) if columns else df
+
+
+def with_live_hits(hits: DataFrame, live: DataFrame, engine: str) -> DataFrame:
+    """hits and the results of a live search (title, text, _distance), labelled as such."""
+    label = F.concat(F.lit(f"live:{engine}:"), "title")
+    return hits.select("source", "text", "_distance").unionByName(live.select(label.alias("source"), "text", "_distance"))

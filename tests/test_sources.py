@@ -5,10 +5,11 @@ import gzip
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from loamstone.operators import chunking, embed, joins, predicates
-from loamstone.sources import catalog, files, sinks
+from loamstone.sources import api, catalog, files, optional, sinks
 
 PAGE = "<page><title>{}</title><ns>0</ns><revision><text>{}</text></revision></page>"
 LONG = "A text that is long enough to be an article of its own, with more than one hundred characters in it, all told."
@@ -124,3 +125,29 @@ def test_embedding_failures_and_backfill(spark):
 def test_anti_join_keeps_duplicates(spark):
     new = spark.createDataFrame([("a",), ("b",), ("b",)], "source string")
     assert joins.unseen(new, new.where("source = 'a'")).count() == 2
+
+
+def fake_api(topic, page):
+    return [{"title": f"{topic} {page} {i}", "tags": [topic], "body": "b", "votes": 10 * page - i} for i in range(3)] if page < 4 else []
+
+
+def test_topic_api(spark):
+    spark.dataSource.register(api.ApiSource)
+    read = spark.read.format("topic_api").option("topics", "python,linux").option("fetch", "tests.test_sources:fake_api").load()
+    assert read.count() == 18
+    best = api.best_of_topic(read, 2).where("topic = 'linux'").orderBy(F.desc("votes")).collect()
+    assert [r.title for r in best] == ["linux 3 0", "linux 3 1"]
+
+
+def test_optional_libraries(spark, tmp_path):
+    df = spark.createDataFrame([("'''bold'''",)], "t string")
+    assert "bold" in df.select(optional.plain_wikitext(F.col("t"))).first()[0]
+    if not optional._has("pypdf"):
+        with pytest.raises(ImportError):
+            optional.pdf_texts(spark, str(tmp_path))
+
+
+def test_live_hits(spark):
+    hits = spark.createDataFrame([("a", "t", 0.5)], "source string, text string, _distance double")
+    live = spark.createDataFrame([("page", "t", None)], "title string, text string, _distance double")
+    assert {r.source for r in files.with_live_hits(hits, live, "web").collect()} == {"a", "live:web:page"}
