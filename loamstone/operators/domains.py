@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loamstone.functions.text import strip
+
 #: Neutral domains of our own; users bring theirs as a table of the same columns.
 DOMAINS = [
     ("it", "Informatics", ["spam", "tracker"], ["server", "code"], ["software", "network"], ["Linux", "Databases", "Networks"]),
@@ -22,16 +25,10 @@ def domain_table(spark: SparkSession) -> DataFrame:
 def active(domains: DataFrame, ids: list[str], default: str = DEFAULT_DOMAIN) -> DataFrame:
     """The domains of valid ids; the default one if none is valid. One pass over the dimension."""
     valid = F.col("id").isin(ids)
-    flagged = domains.withColumn("_any", F.max(valid).over(_everything()))
+    flagged = domains.withColumn("_any", F.max(valid).over(W.partitionBy()))
     return flagged.where(F.when(F.col("_any"), valid).otherwise(F.col("id") == default)).drop("_any")
 
 
-def _everything():
-    from pyspark.sql import Window as W
-
-    return W.partitionBy()
-
-
 def is_universal(ids: Column) -> Column:
     return F.exists(ids, lambda x: x == "universal")
 
@@ -50,8 +47,6 @@ def merged(domains: DataFrame, column: str, default: list[str] | None = None) ->
 
 def enhanced(query: Column, names: Column, universal: Column) -> Column:
     """A question with the domains' names before it, unless it starts with one or the mode is universal."""
-    from loamstone.functions.text import strip
-
     q = strip(query)
     named = F.exists(names, lambda n: F.lower(q).startswith(F.substring(F.lower(n), 1, 6)))
     return F.when(universal | named, q).otherwise(F.concat(F.array_join(names, " "), F.lit(": "), q))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamstone.functions.text import guarded_rate
+from loamstone.functions.text import basename, guarded_rate, head
+from loamstone.operators.ranking import relevance
 
 
 def source_counts(chunks: DataFrame) -> DataFrame:
@@ -49,9 +50,6 @@ def all_ok(checks: DataFrame) -> DataFrame:
 
 def hit_summary(hits: DataFrame, boost: Column) -> DataFrame:
     """hits (qid, source, _distance) -> the best relevance, its distance and the start of its source's last part."""
-    from loamstone.functions.text import basename, head
-    from loamstone.operators.ranking import relevance
-
     scored = hits.select("qid", relevance(F.col("_distance"), boost).alias("score"), "_distance", "source")
     best = scored.groupBy("qid").agg(F.max(F.struct("score", -F.col("_distance"), "source")).alias("b"))
     return best.select("qid", F.col("b.score").alias("score"), (-F.col("b.col2")).alias("distance"), head(basename(F.col("b.source")), 48).alias("label"))

@@ -51,8 +51,8 @@ def articles(pages: DataFrame, path: str) -> None:
 
 
 def compacted(df: DataFrame, path: str, rows_a_file: int = 1_000_000) -> None:
-    """Rewrite a table to few files of bounded size; path must be another than df's."""
-    df.select("*").repartition(F.floor(F.rand(0) * 64)).write.mode("overwrite").option("maxRecordsPerFile", rows_a_file).parquet(path)
+    """Rewrite a table to few files of the advisory partition size; path must be another than df's."""
+    df.hint("rebalance").write.mode("overwrite").option("maxRecordsPerFile", rows_a_file).parquet(path)
 
 
 def tenants_json(tenants: DataFrame, path: str) -> None:
