@@ -270,15 +270,19 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     """The rows of docs that the mix takes words of, with size, source_size, target, taken and placements.
 
     placements: an array of (shard, order_key, epoch, first, n). Columns of docs by these names are replaced.
+    Rows are numbered as they are written, so texts move once, to meet what is decided about them.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.struct("*").alias("row"))
-    sized = materialise(sized, "sized")
-    rows, pieces = mix(sized, **params)
+    new = ["size", "source_size", "target", "taken", "placements"]
+    numbered = docs.select(
+        F.monotonically_increasing_id().alias("id"), "doc_id", "source", word_count(F.col("text")).alias("size"), F.struct("*").alias("row")
+    )
+    numbered = materialise(numbered, "numbered")
+    rows, pieces = mix(numbered.select("id", "doc_id", "source", "size"), **params)
     placed = pieces.groupBy(F.col("source").alias("s"), F.col("bucket").alias("b"), F.col("slot").alias("l")).agg(
         F.sum("n").alias("taken"),
         F.array_sort(F.collect_list(F.struct("shard", "order_key", "epoch", "first", "n"))).alias("placements"),
     )
     same = F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")) & (F.col("slot") == F.col("l"))
-    new = ["size", "source_size", "target", "taken", "placements"]
-    out = rows.where(F.size("pieces") > 0).join(placed, same)
+    placed = materialise(rows.select("id", *new[:3], "source", "bucket", "slot").join(placed, same).select("id", *new), "placed")
+    out = numbered.select("id", "row").join(placed.hint("merge"), "id")
     return out.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in new], *new)
