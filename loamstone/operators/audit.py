@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loamstone.functions.text import contains_any
 from loamstone.schema import FINDING
 
 #: The patterns, each with our name for it and its severity.
@@ -37,22 +38,43 @@ RULES = (
     (r"disable.*auth|auth.*bypass|skip.*auth", "possible authentication bypass", "high"),
     (r"debug\s*=\s*True.*#.*prod|#.*nur.*test.*production", "debugging in production", "high"),
 )
+#: What a text holds, lower-cased, wherever the rule of the same place fits; looked for before the pattern is tried.
+NEEDED = (
+    ("eval",), ("exec",), ("__import__",), ("pickle.load",), ("yaml.load",), ("subprocess.",), ("os.system",), ("child_process.exec",),
+    ("dangerouslysetinnerhtml",), ("document.write",), ("innerhtml",), ("verify",), ("ssl._create_unverified_context",), ("chmod",),
+    ("0o777", "0o666"), ("password",), ("api",), ("secret",), ("private key",), ("backdoor",), ("auth",), ("debug", "nur"),
+)
+#: Characters that stand for ASCII letters when case is ignored, though they do not lower-case to them.
+ODD_CASE = "\u017f\u212a\u0130\u0131"
 MARGIN, MOST_FINDINGS, KEY_CHARS, SHOWN_CHARS = 40, 12, 60, 120
 
 
 def rule_counts(text: Column) -> Column:
-    """An array of (rule, severity, n): how often each rule fits, inside the JVM."""
-    return F.array(
-        *[
-            F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), F.regexp_count(text, F.lit(f"(?imdU){p}")).alias("n"))
-            for p, name, severity in RULES
-        ]
-    )
+    """An array of (rule, severity, n): how often each rule fits, inside the JVM; null for a null text."""
+
+    def count(x: Column, pattern: str, needed: tuple[str, ...]) -> Column:
+        found = F.regexp_count(x["text"], F.lit(f"(?imdU){pattern}"))
+        return F.when(contains_any(x["low"], needed) | x["odd"], found).when(x["text"].isNotNull(), F.lit(0))
+
+    def counts(x: Column) -> Column:
+        return F.array(
+            *[
+                F.struct(F.lit(name).alias("rule"), F.lit(severity).alias("severity"), count(x, p, needed).alias("n"))
+                for (p, name, severity), needed in zip(RULES, NEEDED, strict=True)
+            ]
+        )
+
+    # Bound in an array of one, so that nothing is computed once for each rule.
+    bound = F.struct(text.alias("text"), F.lower(text).alias("low"), contains_any(text, ODD_CASE).alias("odd"))
+    return F.element_at(F.transform(F.array(bound), counts), 1)
 
 
 def findings_in(text: str) -> list[dict]:
-    out = []
-    for pattern, name, severity in RULES:
+    out, low = [], text.lower()
+    odd = any(c in text for c in ODD_CASE)
+    for (pattern, name, severity), needed in zip(RULES, NEEDED, strict=True):
+        if not odd and not any(n in low for n in needed):
+            continue
         for m in re.finditer(pattern, text, re.IGNORECASE | re.MULTILINE):
             around = text[max(0, m.start() - MARGIN) : m.end() + MARGIN].replace("\n", " ")
             out.append({"severity": severity, "rule": name, "excerpt": around})
@@ -72,15 +94,13 @@ def fences(text: Column) -> Column:
 
 def audited(answers: DataFrame) -> DataFrame:
     """answers (text, ...) with findings: those in code fences, or in the whole text if the fences yield none."""
-    # Only texts that some rule fits reach Python.
-    suspicious = F.exists(rule_counts(F.col("text")), lambda x: x["n"] > 0)
+    # Only texts that some rule fits reach Python; the others send it empty lists.
+    suspicious = F.coalesce(F.exists(rule_counts(F.col("text")), lambda x: x["n"] > 0), F.lit(False))
+    none = F.array().cast("array<string>")
     marked = answers.withColumn("_s", suspicious)
-    some = marked.where("_s").withColumn("_f", text_findings(fences(F.col("text")))).withColumn(
-        "_w", text_findings(F.array("text"))
-    )
-    some = some.withColumn("findings", F.when(F.size("_f") > 0, F.col("_f")).otherwise(F.col("_w"))).drop("_f", "_w", "_s")
-    none = marked.where("NOT coalesce(_s, false)").drop("_s").withColumn("findings", F.array().cast(some.schema["findings"].dataType))
-    return some.unionByName(none)
+    inputs = {"_f": F.when(F.col("_s"), fences(F.col("text"))).otherwise(none), "_w": F.when(F.col("_s"), F.array("text")).otherwise(none)}
+    found = marked.withColumns(inputs).withColumns({"_f": text_findings("_f"), "_w": text_findings("_w")})
+    return found.withColumn("findings", F.when(F.size("_f") > 0, F.col("_f")).otherwise(F.col("_w"))).drop("_f", "_w", "_s")
 
 
 def shown_findings(findings: Column) -> Column:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamstone.functions.sources import DEFAULT_BOOST
-from loamstone.functions.vectors import cosine, is_usable
+from loamstone.functions.vectors import is_usable
 
 
 def unseen(files: DataFrame, existing: DataFrame, key: str = "source") -> DataFrame:
@@ -41,16 +45,38 @@ def tenants_of_keys(requests: DataFrame, tenants: DataFrame, *, multi_tenant: bo
     return requests.withColumn("_key", key).join(enabled, F.col("_key") == F.col("_hash"), "left").drop("_key", "_hash")
 
 
-def nearest_cached(queries: DataFrame, cache: DataFrame, threshold: float) -> DataFrame:
-    """queries (qid, vector), cache (entry, vector) -> qid, entry, similarity of the most similar entry at or above threshold.
+def nearest_cached(queries: DataFrame, cache: DataFrame, threshold: float, max_entries: int = 1000) -> DataFrame:
+    """queries (qid long, vector), cache (entry long, vector) -> qid, entry, similarity of the most similar entry at or above threshold.
 
-    The cache is bounded by its profile (at most 1,000 entries) and broadcast;
-    equal similarities go to the earlier entry.
+    A cache is bounded by its profile, so its matrix goes to the tasks with
+    the function; queries meet it in matrix products (Arrow UDF). Equal similarities go to the earlier entry.
     """
-    pairs = queries.alias("q").join(F.broadcast(cache.alias("c")), is_usable(F.col("q.vector")))
-    scored = pairs.select("q.qid", "c.entry", cosine(F.col("q.vector"), F.col("c.vector")).alias("similarity"))
-    best = scored.groupBy("qid").agg(F.max(F.struct("similarity", -F.col("entry"))).alias("b"))
-    return best.select("qid", (-F.col("b.col2")).alias("entry"), F.col("b.similarity")).where(F.col("similarity") >= threshold)
+    rows = cache.select("entry", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    rows = sorted(rows.limit(max_entries + 1).collect(), key=lambda r: r["entry"])
+    if len(rows) > max_entries:
+        raise ValueError(f"a cache has at most {max_entries} entries")
+    entries = np.array([r["entry"] for r in rows], dtype=np.int64)
+    matrix = _unit_rows(np.array([r["vector"] for r in rows], dtype=np.float64)) if rows else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if matrix is None or not len(batch):
+                continue
+            q = _unit_rows(np.asarray(batch.column(1).flatten(), dtype=np.float64).reshape(len(batch), -1))
+            similarity = q @ matrix.T
+            best = similarity.argmax(axis=1)
+            top = similarity[np.arange(len(best)), best]
+            hit = top >= threshold
+            columns = [batch.column(0).filter(pa.array(hit)), pa.array(entries[best[hit]]), pa.array(top[hit])]
+            yield pa.RecordBatch.from_arrays(columns, ["qid", "entry", "similarity"])
+
+    asked = queries.where(is_usable(F.col("vector"))).select(F.col("qid").cast("long").alias("qid"), F.col("vector").cast("array<double>").alias("vector"))
+    return asked.mapInArrow(run, "qid long, entry long, similarity double")
+
+
+def _unit_rows(m: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(size == 0, 1, size)
 
 
 def preferred_model(available: DataFrame, preferences) -> DataFrame:

@@ -141,6 +141,16 @@ def test_audit_rules(spark):
         assert sorted(h.rule for h in r.h) == sorted({f["rule"] for f in audit.findings_in(POSITIVE[r.rule])})
 
 
+def test_audit_looks_for_what_its_rules_need(spark):
+    texts = [v for v in POSITIVE.values()] + [v.upper() for v in POSITIVE.values()] + ["\u017fkip the auth", "bac\u212adoor", "# nur im test, production", None, ""]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", audit.rule_counts(F.col("text")).alias("c"))
+    for r in df.collect():
+        text = texts[r.i] or ""
+        want = {name: n for p, name, _ in audit.RULES if (n := len(list(re.finditer(p, text, re.IGNORECASE | re.MULTILINE))))}
+        found = [f["rule"] for f in audit.findings_in(text)]
+        assert {c.rule: c.n for c in r.c if c.n} == {f: found.count(f) for f in found} == want
+
+
 def test_audit_of_fences_and_report(spark):
     rows = [(1, "```py\nexec(a)\n``` eval(b)"), (2, "```\nfine\n``` eval(b)"), (3, "nothing"), (4, "eval(1) " * 20), (5, None)]
     got = {r.id: r for r in audit.audited(spark.createDataFrame(rows, "id int, text string")).withColumns(
