@@ -1,11 +1,18 @@
+import hashlib
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
+from loamstone.llm import toxicity
 from loamstone.llm.common import materialise
+from tests.llm.helpers import SPACE, ascii_lower
+from tests.llm.test_decontaminate import brute as hit_brute
+from tests.llm.test_mix import brute_targets
+from tests.llm.test_near_dup import brute as near_brute
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -54,3 +61,47 @@ def test_every_operator_has_a_query():
         assert sum(q.startswith(f"op{n}_") for q in names) == 1
     assert "pipeline" in names and "pipeline" not in __spark_entry__.oracle_sql()
     assert os.path.exists(SF)
+
+
+def plain_lines(rows, min_docs=5, min_chars=40):
+    key = lambda line: ascii_lower(line.strip(SPACE))
+    where = {}
+    for i, t in rows:
+        for line in t.split("\n"):
+            if len(key(line)) >= min_chars:
+                where.setdefault(key(line), set()).add(i)
+    gone = {k: max(v) for k, v in where.items() if len(v) >= min_docs}
+    return [(i, "\n".join(x for x in t.split("\n") if gone.get(key(x), i) == i)) for i, t in rows]
+
+
+def plain_mix(rows, source):
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, t in rows}
+    total = {}
+    for i in size:
+        total[source[i]] = total.get(source[i], 0) + size[i]
+    taken = {}
+    for s, target in brute_targets(total).items():
+        start, words = 0, round(target)
+        for i in sorted((i for i in size if source[i] == s), key=lambda i: hashlib.md5(f"0|{i}".encode()).hexdigest()):
+            taken[i] = sum(max(0, min(size[i], words - start - k * total[s])) for k in range(3))
+            start += size[i]
+    return {i: n for i, n in taken.items() if n}
+
+
+def test_whole_pipeline_against_brute_force(spark):
+    """All stages in plain Python, but for the model's verdicts, which test_toxicity holds against enumeration."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    toxic = {r.doc_id for r in toxicity.tag(docs, model).where("predicted = 1").collect()}
+    source = {r.doc_id: r.source for r in docs.collect()}
+    rows = plain_lines([(r.doc_id, r.text or "") for r in docs.collect() if r.doc_id not in toxic])
+    kept = {i for i, _, _, k in near_brute(rows, 5) if k}
+    rows = [(i, t) for i, t in rows if i in kept]
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    hit = {i for i, _, _ in hit_brute(rows, items)}
+    assert toxic and hit and len(kept) < len(source) - len(toxic)
+    rows = [(i, t) for i, t in rows if i not in hit]
+    text, want = dict(rows), plain_mix(rows, source)
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id: r.taken for r in got} == want
+    assert all((r.text or "") == text[r.doc_id] for r in got)
