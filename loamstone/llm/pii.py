@@ -2,10 +2,16 @@
 
  1. Patterns find email addresses, IP addresses, card and phone numbers. Each value is a protected entity.
  2. The words around each occurrence are counted by entity, once for each distinct context, so that
-    copies of a passage count once. Words seen with one entity in at least `support` contexts are candidates.
- 3. A candidate t discloses entity e by P(e|t) = n(e, t) / n(t), with n(t) the texts of the whole
-    corpus that hold t, or the contexts of all entities that do if these are more, and by log2(P(e|t) / P(e)) bits. Terms beyond both thresholds are
+    copies of a passage count once. Every such word is a candidate, however rare the entity.
+ 3. A candidate t discloses entity e by P(e|t) and by log2(P(e|t) / P(e)) bits. Terms beyond both thresholds are
     generalised to a placeholder; those that all but name the entity are removed.
+     - In at least `support` contexts of e, P(e|t) = n(e, t) / n(t), with n(t) the texts of the whole corpus
+       that hold t, or the contexts of all entities that do if these are more.
+     - For any pair, rare ones included, also P(e|t) = P(e|k, t) P(k|t) with k the kind of e: P(e|k, t) is e's part of the
+       texts that show t by entities of kind k, and P(k|t) = (x(k, t) + prior P(k)) / (n(t) + prior), with x(k, t) the texts that show t by
+       an entity of kind k: smoothed by `prior` texts in which k is as frequent as anywhere. The larger estimate counts.
+    With a prior of 1, a word that no other text holds is generalised if one value of a kind is by it; a word of
+    two texts that is by the value in only one of them stays.
 
 Pair counts are linear in the occurrences, as only a window of words on each
 side is paired. Counting is by partial aggregates; candidates, and the sets of terms by text, are broadcast
@@ -27,7 +33,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamstone.llm.common import discard, materialise
@@ -97,23 +103,26 @@ def context_of(text: str, span: Span, spans: list[Span], words: int, reach: int
 
 
 def contexts(docs: DataFrame, words: int) -> DataFrame:
-    """docs (text) -> entity, context (a hash of its terms), terms; a row for each occurrence of an entity."""
+    """docs (text) -> kind, entity, context (a hash of its terms), text_hash, terms; a row for each occurrence of an entity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            entity, context, terms = [], [], []
-            for text in batch.column(0):
+            kind, entity, context, hashes, terms = [], [], [], [], []
+            for text, text_hash in zip(batch.column(0), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 spans = base_spans(text)
                 for s in spans:
                     around = context_of(text, s, spans, words)
+                    kind.append(s[1])
                     entity.append(entity_of(text, s))
                     context.append(xxhash.xxh3_64_intdigest("\n".join(around)) - (1 << 63))
+                    hashes.append(text_hash.as_py())
                     terms.append(around)
-            columns = [pa.array(entity, pa.int64()), pa.array(context, pa.int64()), pa.array(terms, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["entity", "context", "terms"])
+            columns = [pa.array(kind, pa.int32()), *(pa.array(c, pa.int64()) for c in (entity, context, hashes)), pa.array(terms, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "entity", "context", "text_hash", "terms"])
 
-    return docs.select("text").mapInArrow(run, "entity long, context long, terms array<string>")
+    docs = docs.select("text", F.xxhash64("text").alias("text_hash"))
+    return docs.mapInArrow(run, "kind int, entity long, context long, text_hash long, terms array<string>")
 
 
 def _small(df: DataFrame, rows: int) -> DataFrame:
@@ -122,35 +131,50 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 def revealing_terms(
     docs: DataFrame, *, words: int = 8, support: int = 3, generalise: float = 0.5, remove: float = 0.9, bits: float = 4.0,
-    broadcast_rows: int = 200_000,
+    prior: float = 1.0, broadcast_rows: int = 200_000,
 ) -> DataFrame:
     """docs (doc_id, text) -> doc_id, text_hash, terms: array of (term, remove), for the texts that hold revealing terms."""
     docs = docs.select("doc_id", "text")
-    seen = materialise(contexts(docs, words), "contexts").distinct()
-    occurrences = seen.groupBy("entity").agg(F.count("*").alias("n_e"))
-    near = seen.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_et"))
+    total = docs.select(F.xxhash64("text")).distinct().count()
+    seen = materialise(contexts(docs, words), "contexts")
+    occurrences = seen.groupBy("entity").agg(F.count_distinct("context").alias("n_e"))
+    kinds = F.broadcast(seen.groupBy("kind").agg(F.count_distinct("text_hash").alias("x_k")))  # at most four rows
+    each = seen.select("kind", "entity", "context", "text_hash", F.explode("terms").alias("term"))
+    near = each.groupBy("kind", "entity", "term").agg(
+        F.count_distinct("context").alias("n_et"), F.count_distinct("text_hash").alias("x_et")
+    )
     near = materialise(near, "near")
     around = near.groupBy("term").agg(F.sum("n_et").alias("n_c"))
-    # A term that other entities' contexts hold too often is out before the corpus is counted.
-    pairs = near.where(F.col("n_et") >= support).join(around, "term").where(F.col("n_et") >= generalise * F.col("n_c"))
-    pairs = pairs.join(occurrences, "entity")
-    pairs = materialise(pairs, "pairs")
-    candidates = materialise(pairs.select("term").distinct(), "candidates")
-    held = docs.select(
+    by_kind = near.groupBy("kind", "term").agg(F.sum("x_et").alias("y_kt"))
+    by_kind = by_kind.join(each.groupBy("kind", "term").agg(F.count_distinct("text_hash").alias("x_kt")), ["kind", "term"])
+
+    def share(n_t: Column) -> Column:
+        """P(e|t) by the number of texts with t; it falls as n_t rises, so a lower bound of n_t gives an upper bound."""
+        plain = F.when(F.col("n_et") >= support, F.col("n_et") / F.greatest(n_t, "n_c"))
+        kind = (F.col("x_kt") + prior * F.col("x_k") / total) / (n_t + prior)
+        return F.greatest(plain, F.col("x_et") / F.col("y_kt") * kind)
+
+    def discloses(n_t: Column) -> Column:
+        return (share(n_t) >= generalise) & (F.log2(share(n_t) * total / F.col("n_e")) >= bits)
+
+    pairs = near.join(around, "term").join(by_kind, ["kind", "term"]).join(kinds, "kind").join(occurrences, "entity")
+    pairs = materialise(pairs.where(discloses(F.col("x_kt"))), "pairs")
+    # A term has at least as many texts as bits of the corpus set in 64; frequent terms are out by that before texts are looked up.
+    holds = docs.select(
         "doc_id",
         F.xxhash64("text").alias("text_hash"),
         F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("term"),
-    ).join(_small(candidates, broadcast_rows), "term")
-    held = materialise(held, "held")
+    )
+    marks = holds.groupBy("term").agg(F.expr("bit_count(bit_or(shiftleft(1L, CAST(text_hash & 63 AS INT))))").alias("least"))
+    pairs_left = materialise(pairs.join(marks, "term").where(discloses(F.greatest("x_kt", "least"))), "pairs_left")
+    candidates = materialise(pairs_left.select("term").distinct(), "candidates")
+    held = materialise(holds.join(_small(candidates, broadcast_rows), "term"), "held")
     n_t = held.select("term", "text_hash").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.select(F.xxhash64("text")).distinct().count()
-    share = F.col("n_et") / F.greatest("n_t", "n_c")
-    gain = F.log2(share * total / F.col("n_e"))
     flagged = (
-        pairs.join(n_t, "term")
-        .where((share >= generalise) & (gain >= bits))
+        pairs_left.join(n_t, "term")
+        .where(discloses(F.col("n_t")))
         .groupBy("term")
-        .agg((F.max(share) >= remove).alias("remove"))
+        .agg((F.max(share(F.col("n_t"))) >= remove).alias("remove"))
     )
     flagged = materialise(flagged, "flagged")
     terms = (
@@ -159,7 +183,7 @@ def revealing_terms(
         .agg(F.array_sort(F.collect_set(F.struct("term", "remove"))).alias("terms"))
     )
     terms = materialise(terms, "terms")
-    discard(near, pairs, candidates, held, flagged)
+    discard(seen, near, pairs, pairs_left, candidates, held, flagged)
     return terms
 
 

@@ -1,4 +1,6 @@
 import hashlib
+import math
+import random
 import re
 import time
 
@@ -77,3 +79,52 @@ def test_without_broadcasts_and_empty(spark):
     table = docs(spark, rows())
     assert key(pii.find(table, broadcast_rows=0)) == key(pii.find(table))
     assert pii.find(docs(spark, [])).count() == 0
+
+
+def test_names_beside_rare_values_at_production_thresholds(spark):
+    """Values that occur once or twice disclose too; words of other texts, and words by many values, do not."""
+    table = [(i, f"{FILL} {i} kontakt quiblark under jane@corp{'.example'} {FILL} {i}") for i in range(2)]
+    table += [(5, f"{FILL} vexholm at vx@corp{'.example'}, phone +1 (555) 123-4567 {FILL}")]
+    table += [(10 + i, f"{FILL} kontakt user{i}@corp{'.example'} nearby {FILL}") for i in range(4)]
+    table += [(20 + i, f"{FILL} plain nearby text {i}") for i in range(100)]
+    found = {r.doc_id: r.spans for r in pii.find(docs(spark, table)).collect()}
+    text = dict(table)
+    terms = lambda i: {text[i][int(a) : int(b)] for k, a, b in (s.split(":") for s in found[i].split(",") if s) if k == "term"}
+    assert [terms(0), terms(1), terms(5)] == [{"quiblark", "under"}, {"quiblark", "under"}, {"vexholm", "phone"}]
+    assert not any(terms(i) for i in text if i >= 10)
+
+
+def test_estimates_against_brute_force(spark):
+    """The texts that hold flagged terms, by plain counting; thresholds as in production."""
+    r = random.Random(7)
+    words = ["".join(r.choice("abcdefgh") for _ in range(3 + k % 3)) for k in range(400)]
+    table = []
+    for i in range(300):
+        body = [words[min(int(r.expovariate(0.01)), 399)] for _ in range(12)]
+        for _ in range(r.choice((0, 0, 1, 2))):
+            body.insert(r.randrange(len(body)), f"+1 (555) 000-{r.randrange(60):04}" if r.random() < 0.5 else f"u{r.randrange(30)}@corp{'.example'}")
+        table.append((i, " ".join(body)))
+    near, texts, seen = {}, {}, {}
+    for _, t in table:
+        spans = pii.base_spans(t)
+        for w in {m[0].lower() for m in pii.TERM.finditer(t)}:
+            texts.setdefault(w, set()).add(t)
+        for s in spans:
+            e, around = (s[1], pii.entity_of(t, s)), tuple(pii.context_of(t, s, spans, 8))
+            seen.setdefault(e, set()).add((around, t))
+            for w in around:
+                near.setdefault((e, w), set()).add((around, t))
+    total, flagged = len({t for _, t in table}), set()
+    count = lambda pairs, at: len({p[at] for p in pairs})
+    for (e, w), pairs in near.items():
+        n_t, n_c = len(texts[w]), sum(count(p, 0) for (_, v), p in near.items() if v == w)
+        mates = [p for (d, v), p in near.items() if v == w and d[0] == e[0]]
+        x_k = len({p[1] for d, ps in seen.items() if d[0] == e[0] for p in ps})
+        share = count(pairs, 1) / sum(count(p, 1) for p in mates) * (count(set().union(*mates), 1) + x_k / total) / (n_t + 1)
+        if count(pairs, 0) >= 3:
+            share = max(share, count(pairs, 0) / max(n_t, n_c))
+        if share >= 0.5 and math.log2(share * total / count(seen[e], 0)) >= 4:
+            flagged.add(w)
+    assert flagged
+    got = {t.term for row in pii.revealing_terms(docs(spark, table)).collect() for t in row.terms}
+    assert got == flagged
