@@ -27,20 +27,22 @@ def top_k(chunks: DataFrame, query: list[float], k: int = TOP_K_FETCH, key: str
     return scored.orderBy("_distance", key).limit(k)
 
 
-def top_k_join(queries: DataFrame, chunks: DataFrame, k: int, key: str = "id", block: int = 2048) -> DataFrame:
+def top_k_join(queries: DataFrame, chunks: DataFrame, k: int, key: str = "id", block: int = 2048, *, quantised: bool = False) -> DataFrame:
     """queries (qid long, vector) against all chunks -> qid, key, _distance, rank; vectors of one length.
 
     Queries are sent to the chunks in blocks of a counted size, one pass over
     the chunks for each. A batch of chunks is compared by matrix products
     (Arrow UDF) and gives the best k of each query it holds, so that only these are shuffled.
+    With quantised, sign bits leave out the chunks that they prove to be too far; the result is the same.
     """
+    nearest = _nearest_by_bits if quantised else _nearest_of
     usable = chunks.where(is_usable(F.col("vector"))).select(F.col(key).cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
     asked = queries.where(is_usable(F.col("vector"))).select(F.col("qid").cast("long").alias("qid"), F.col("vector").cast("array<double>").alias("vector"))
     n = -(-asked.count() // block)
     near = None
     for part in range(n):
         some = asked.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == part)
-        found = usable.mapInArrow(_nearest_of(some.orderBy("qid").collect(), k), "qid long, id long, _distance double")
+        found = usable.mapInArrow(nearest(some.orderBy("qid").collect(), k), "qid long, id long, _distance double")
         near = found if near is None else near.unionByName(found)
     if near is None:
         near = usable.sparkSession.createDataFrame([], "qid long, id long, _distance double")
@@ -73,6 +75,54 @@ def _nearest_of(rows: list, k: int):
     return run
 
 
+def _nearest_by_bits(rows: list, k: int, oversample: int = 8, size: int = 1024):
+    """As _nearest_of, with sign bits first.
+
+    The oversample * k rows of a part nearest by Hamming distance are compared exactly; the k-th best of them bounds the
+    k-th best of all. Where signs differ, (x - q)^2 >= q^2, so a row whose sum of these q^2 is beyond the bound is out.
+    All others are compared.
+    """
+    qid = np.array([r["qid"] for r in rows], dtype=np.int64)
+    q = np.array([r["vector"] for r in rows], dtype=np.float64)
+    q2 = (q * q).sum(axis=1) if len(rows) else q
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bound = np.full(len(qid), np.inf)  # of the k-th best distance of each query, over the parts so far
+        up = q > 0
+        where_up, where_down = (q * q * up).T, (q * q * ~up).T
+        signs = np.where(up, 1, -1).astype(np.float32).T
+        for batch in batches:
+            for first in range(0, len(batch) if len(qid) else 0, size):
+                part = batch.slice(first, size)
+                ids = np.asarray(part.column(0))
+                m = np.asarray(part.column(1).flatten(), dtype=np.float64).reshape(len(part), -1)
+                bits = m > 0
+                if len(part) >= k:
+                    coarse = min(oversample * k, len(part))
+                    alike = np.where(bits, 1, -1).astype(np.float32) @ signs
+                    close = np.argpartition(-alike, coarse - 1, axis=0)[:coarse]
+                    for j in range(len(qid)):
+                        d = ((m[close[:, j]] - q[j]) ** 2).sum(axis=1)
+                        bound[j] = min(bound[j], np.partition(d, k - 1)[k - 1])
+                slack = bound + 1e-9 * (1 + q2)
+                possible = ~bits @ where_up + bits @ where_down <= slack
+                left = np.flatnonzero(possible.any(axis=1))
+                if not len(left):
+                    continue
+                rough = (m[left] ** 2).sum(axis=1)[:, None] + q2 - 2 * (m[left] @ q.T)
+                rough[~possible[left]] = np.inf
+                take = min(k, len(left))
+                limit = np.minimum(np.partition(rough, take - 1, axis=0)[take - 1] + 1e-9 * (1 + q2), slack)
+                row, which = np.nonzero(rough <= limit)
+                row = left[row]
+                exact = ((m[row] - q[which]) ** 2).sum(axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(qid[which]), pa.array(ids[row]), pa.array(exact)], ["qid", "id", "_distance"]
+                )
+
+    return run
+
+
 def relevance(distance: Column, boost: Column) -> Column:
     return 1.0 / (1.0 + F.coalesce(distance.cast("double"), F.lit(NO_DISTANCE))) * boost
 
@@ -124,7 +174,11 @@ def two_branch(hits: DataFrame, user: Column, k: int = TOP_K_CONTEXT, k_user: in
 
 
 def quantised_top_k(chunks: DataFrame, query: list[float], k: int, *, oversample: int = 8, key: str = "id") -> DataFrame:
-    """Two stages: by Hamming distance of sign bits to oversample * k rows, then exactly among these."""
+    """Two stages: by Hamming distance of sign bits to oversample * k rows, then exactly among these.
+
+    Approximate: neighbours beyond the first stage are lost, more of them the larger the table.
+    top_k_join(..., quantised=True) loses none.
+    """
     dim = len(query)
     q = F.array(*[F.lit(float(x)) for x in query])
     usable = chunks.where(is_usable(F.col("vector")))
