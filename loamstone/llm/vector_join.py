@@ -85,15 +85,14 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _join_block(table: pa.Table, cosine: float) -> pa.Table:
-    """The links of one block pair: node, tag, links (with multiplicities), root; only for nodes that have links."""
+def _join_block(table: pa.Table, cosine: float, own: bool) -> pa.Table:
+    """The links of one block pair, or of a block with itself (own): node, tag, links (with multiplicities), root; only for nodes that have links."""
     side = np.asarray(table["side"].combine_chunks())
     rep, mult = np.asarray(table["rep"].combine_chunks()), np.asarray(table["mult"].combine_chunks())
     order = np.lexsort((rep, side))
     rep, mult, side = rep[order], mult[order], side[order]
     unit = _unit(_matrix(table["vec"]))[order]
     homes = int((side == 0).sum())
-    own = homes == len(side)  # a block with itself
     f32 = unit.astype(np.float32)
     margin = 1e-6 * max(unit.shape[1], 64)
     links = np.zeros(len(rep), dtype=np.int64)
@@ -174,7 +173,7 @@ def _range_join(vectors: DataFrame, cosine: float, block: int, least_cells: int)
     plan = [(j, -(-r["n"] // block), -(-guests.get(j, 0) // block)) for j, r in cells.items()]
     plan = F.broadcast(spark.createDataFrame(plan, "c int, nb int, rb int"))  # a row for each of at most MAX_PIVOTS cells
 
-    luck = F.xxhash64("rep")
+    luck = F.xxhash64("rep", "tag")
     at_home = homes.join(plan, F.col("cell") == F.col("c")).withColumn("h", F.pmod(luck, F.col("nb")).cast("int"))
 
     def pairs(n: Column, of) -> Column:
@@ -196,8 +195,9 @@ def _range_join(vectors: DataFrame, cosine: float, block: int, least_cells: int)
     )
     blocks = own.unionByName(visit).select("rep", "tag", "mult", "vec", "cell", "g.*")
 
-    def join(table: pa.Table) -> pa.Table:
-        return _join_block(table, cosine)
+    def join(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        _, hb, cb = (k.as_py() for k in key)
+        return _join_block(table, cosine, hb == cb)
 
     found = blocks.groupBy("cell", "hb", "cb").applyInArrow(join, "node long, tag long, links long, root long")
     found = materialise(found, "found")

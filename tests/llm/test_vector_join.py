@@ -59,6 +59,14 @@ def test_awkward_vectors(spark):
     check(spark, rows)
 
 
+def test_one_id_with_more_vectors_than_a_block(spark):
+    """Its rows fill several blocks, some of which get no row; no link counts twice."""
+    r = random.Random(5)
+    rows = [(7, [1.0, r.uniform(0, 0.5), r.uniform(0, 0.5)]) for _ in range(40)] + [(8, [1.0, 0.2, 0.1]), (9, [0.1, 1.0, 0.0])]
+    check(spark, rows, block=4, least_cells=1)
+    check(spark, rows, block=4, least_cells=4)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vector_join.cosine_join(df).count() == 0
