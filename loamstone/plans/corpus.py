@@ -175,6 +175,22 @@ def question_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("source", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+@query("""SELECT 'stackexchange:' || source || ':' || doc_id AS source, sha256(t) AS text_sha256 FROM (
+  SELECT doc_id, source, '# ' || lang || chr(10) || chr(10) || 'Tags: ' || lang || ' ' || chr(10) || chr(10)
+    || trim(regexp_replace(regexp_replace(replace(replace(replace(replace(text, '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
+    '<[^>]+>', ' ', 'g'), '[\\s\\x{a0}]+', ' ', 'g')) AS t
+  FROM documents WHERE text IS NOT NULL) WHERE length(t) >= 120""")
+def question_posts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in the shape of a question that is scored well enough, so that all texts are stripped."""
+    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    posts = docs.select(
+        F.col("doc_id").cast("string").alias("_Id"), F.lit("1").alias("_PostTypeId"), F.lit("3").alias("_Score"),
+        F.col("lang").alias("_Title"), F.col("text").alias("_Body"), F.format_string("<%s>", "lang").alias("_Tags"), "source",
+    )
+    made = predicates.question_posts(posts, F.col("source"))
+    return made.select("source", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 @query("""SELECT lang, doc_id, n FROM (SELECT lang, doc_id, n_chars AS n, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rn FROM documents) WHERE rn <= 20""")
 def top_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 20 of each tag; languages and lengths stand for tags and votes."""
