@@ -5,22 +5,27 @@ a clean document is clean, and a word of a toxic document is toxic if one of its
 features (itself or a prefix) is many times as frequent in toxic documents as in
 clean ones, and a likelihood-ratio test rejects chance after correction for the number of features.
 
-Model. Two states; a word's state score is the sum of hashed weights of its
+Model. Two states; a word's state score is the sum of the weights of its
 features, and neighbours interact through a 2 x 2 table. It is fitted by
-gradient ascent, the gradient being labels minus forward-backward marginals. With two states the
-recursions are on odds alone and run over all chains of a batch at once. A
-chain is a run of at most CHAIN words of a document; all words are covered.
+gradient ascent, the gradient being labels minus forward-backward marginals.
+A document is one chain, however long. With two states the recursions are on
+odds alone; they run over all documents of a batch at once, in pieces of PIECE
+words: what a piece makes of the odds that come in is a 2 x 2 matrix, so the
+odds at the ends of all pieces of a document follow by products, and the
+marginals are those of the whole chain.
 
 Scores. A document's largest marginal and its expected number of toxic words, among those more likely so than not,
 enter a logistic function fitted on the same sample. Words with a marginal of
 a half or more are the offending spans, neighbours merged.
 
-The fit reads a bounded sample, at most `sample` documents of either label, in hash order, of at
-most `max_chars` characters each. Scoring reads everything.
+The fit reads a bounded sample: at most `sample` documents of either label, in hash order, one text of
+each, whole. That is its only bound. All their words train the field, but for toxic documents without any
+word labelled toxic, whose word labels are unknown; these enter the logistic function alone. A feature has a weight if
+the sample shows it three times. Scoring reads everything.
 
 Defined results:
  - null or empty text, or without words: the score of no evidence, no spans;
- - null doc_id: scored like any row, never learned from; repeated rows: each by its own text;
+ - null doc_id: scored like any row, never learned from; repeated rows: each by its own text, the smallest is learned from;
  - several labels of a document: toxic if any is; null labels do not count;
  - no labels of one kind: the score is the share of toxic labels, 0 without labels;
  - very long texts: whole; an empty table gives an empty result; no column but the text enters a score.
@@ -39,10 +44,8 @@ from pyspark.sql import functions as F
 from loamstone.llm import textvec
 
 U = np.uint64
-CHAIN = 64
-#: Slots of the lookup table of known features, as bits.
-TABLE_BITS = 20
-MAX_FEATURES = 50_000
+#: Words that the recursions take one after another; longer documents are linked from pieces.
+PIECE = 512
 PREFIXES = (4, 5, 6)
 #: Toxic words are rare: the score of a word of which no feature is known.
 OFFSET = -4.0
@@ -55,77 +58,139 @@ SEPARATOR[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 @dataclass
 class Model:
-    known: np.ndarray  # hashes of the features that have a weight
+    known: np.ndarray  # hashes of the features that have a weight, ascending
     weights: np.ndarray
     moves: np.ndarray  # potentials of staying clean, turning toxic, turning clean, staying toxic
     logit: np.ndarray  # intercept, weight of the largest marginal, weight of log(1 + expected count)
 
-    def table(self) -> tuple[np.ndarray, np.ndarray]:
-        """Check values and weights by slot; where two features share a slot, the one of more weight holds it."""
-        check, weight = np.zeros(1 << TABLE_BITS, dtype=np.uint32), np.zeros(1 << TABLE_BITS, dtype=np.float32)
-        order = np.argsort(np.abs(self.weights), kind="stable")
-        slot = (self.known[order] >> U(64 - TABLE_BITS)).astype(np.int64)
-        check[slot], weight[slot] = self.known[order].astype(np.uint32), self.weights[order]
-        return check, weight
+    def table(self) -> Table:
+        return Table(self.known, self.weights)
 
 
-def word_scores(f: np.ndarray, table: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+class Table:
+    """Weights by feature hash. The leading bits of a hash lead to the few features that share them, and these are compared in full."""
+
+    def __init__(self, known: np.ndarray, weights: np.ndarray):
+        bits = min(24, max(8, len(known).bit_length() + 3))
+        self.known, self.weights, self.shift = known, weights, U(64 - bits)
+        self.first = np.searchsorted(known >> self.shift, np.arange((1 << bits) + 1, dtype=U)).astype(np.uint32)
+
+    def weight(self, h: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(h))
+        slot = (h >> self.shift).astype(np.int64)
+        at, end = self.first[slot], self.first[slot + 1]
+        ask = np.flatnonzero(at < end)
+        at, end = at[ask], end[ask]
+        while len(ask):
+            hit = self.known[at] == h[ask]
+            out[ask[hit]] = self.weights[at[hit]]
+            on = ~hit & (at + 1 < end)
+            ask, at, end = ask[on], at[on] + 1, end[on]
+        return out
+
+
+def word_scores(f: list[np.ndarray], table: Table) -> np.ndarray:
     """The sum of the weights of each word's known features, and the offset that every word has."""
-    check, weight = table
-    out = np.full(len(f), OFFSET)
-    for i in range(f.shape[1]):
-        slot = (f[:, i] >> U(64 - TABLE_BITS)).astype(np.int64)
-        out += np.where(check[slot] == f[:, i].astype(np.uint32), weight[slot], 0)
+    out = np.full(len(f[0]), OFFSET)
+    for column in f:
+        out += table.weight(column)
     return out
 
 
-def features(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A hash for each word and feature: the word and its prefixes; a word that is shorter repeats itself."""
-    if not len(starts):
-        return np.zeros((0, 1 + len(PREFIXES)), dtype=U)
-    sums = np.zeros(len(data) + 1, dtype=U)
-    np.cumsum(textvec._BYTE[data] * textvec._power(textvec._BASE, len(data)), out=sums[1:])
-    back = textvec._power(textvec._INVERSE, len(data))[starts]
-    out = np.empty((len(starts), 1 + len(PREFIXES)), dtype=U)
-    for i, n in enumerate((None, *PREFIXES)):
-        ends = stops if n is None else np.minimum(starts + n, stops)
-        kind = 0 if n is None else n
-        out[:, i] = textvec.mix64((sums[ends] - sums[starts]) * back + U(kind * 0x9E3779B97F4A7C15 % 2**64))
-    return out
+def features(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> list[np.ndarray]:
+    """Hashes of each word's features, a kind after another: the word and its prefixes; a word that is shorter repeats itself."""
+    data = textvec.folded(data)
+    return [textvec.span_hashes(data, starts, stops if n is None else np.minimum(starts + n, stops), n or 0) for n in (None, *PREFIXES)]
 
 
-def chains(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word offsets of rows -> first word and length of each chain."""
+def _pieces(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word offsets of rows -> first word, length, number in its row and number of pieces of the row, for each piece."""
     sizes = np.diff(rows)
-    many = -(-sizes // CHAIN)
-    first = np.repeat(rows[:-1], many) + CHAIN * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-    return first, np.minimum(CHAIN, np.repeat(rows[1:], many) - first)
+    many = -(-sizes // PIECE)
+    order = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    first = np.repeat(rows[:-1], many) + PIECE * order
+    return first, np.minimum(PIECE, np.repeat(rows[1:], many) - first), order, np.repeat(many, many)
+
+
+def _run(own: np.ndarray, ends: np.ndarray, step: int, size: np.ndarray, value: np.ndarray, moves: tuple, out: np.ndarray) -> np.ndarray:
+    """Carry odds through pieces. ends: their first words in the direction of step; value: the odds there. The odds times the
+    word's own go to out, forward; what comes out at the far ends is returned."""
+    base, into, leave, stay = moves
+    by = np.argsort(-size, kind="stable")
+    size, at, held = size[by], ends[by], value[by]
+    final = np.empty(len(by))
+    out[at] = held
+    t = 0
+    while len(held):
+        more = int(np.searchsorted(-size, -(t + 1), side="left"))  # pieces that go on
+        final[by[more : len(held)]] = held[more:]
+        held = held[:more]
+        t += 1
+        where = at[:more] + step * t
+        held = own[where] * (into + stay * held) / (base + leave * held)
+        out[where] = held
+    return final
+
+
+def _transfer(own: np.ndarray, ends: np.ndarray, step: int, moves: tuple) -> np.ndarray:
+    """For whole pieces, the matrix that takes the odds before the piece to those at its far end."""
+    base, into, leave, stay = moves
+    m = np.zeros((len(ends), 2, 2))
+    m[:, 0, 0] = m[:, 1, 1] = 1.0
+    for t in range(PIECE):
+        e = own[ends + step * t]
+        top, low = m[:, 0].copy(), m[:, 1].copy()
+        m[:, 0] = e[:, None] * (stay * top + into * low)
+        m[:, 1] = leave * top + base * low
+        m /= m.max(axis=(1, 2))[:, None, None]
+    return m
+
+
+def _carry(own: np.ndarray, rows: np.ndarray, step: int, moves: tuple) -> np.ndarray:
+    """own times the odds that come to each word from the words before it, in the direction of step; own alone at the start of a row."""
+    base, into, leave, stay = moves
+    out = np.empty(len(own))
+    first, size, order, many = _pieces(rows)
+    ends = first if step > 0 else first + size - 1
+    turn = order if step > 0 else many - 1 - order
+    start = turn == 0
+    far = np.zeros(len(first))
+    far[start] = _run(own, ends[start], step, size[start], own[ends[start]], moves, out)
+    rest = np.flatnonzero(~start)
+    if not len(rest):
+        return out
+    inner = np.flatnonzero(~start & (turn < many - 1))
+    matrix = np.zeros((len(first), 2, 2))
+    matrix[inner] = _transfer(own, ends[inner], step, moves)
+    come = np.zeros(len(first))
+    by_turn = rest[np.argsort(turn[rest], kind="stable")]
+    bounds = np.searchsorted(turn[by_turn], np.arange(1, turn.max() + 2))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        here = by_turn[a:b]
+        odds = far[here - step]
+        come[here] = odds
+        m = matrix[here]
+        with np.errstate(divide="ignore", invalid="ignore"):  # the last piece of a row has no matrix and needs none
+            far[here] = (m[:, 0, 0] * odds + m[:, 0, 1]) / (m[:, 1, 0] * odds + m[:, 1, 1])
+    value = own[ends[rest]] * (into + stay * come[rest]) / (base + leave * come[rest])
+    _run(own, ends[rest], step, size[rest], value, moves, out)
+    return out
 
 
-def odds(scores: np.ndarray, first: np.ndarray, size: np.ndarray, moves: np.ndarray):
-    """Forward and backward odds of all chains, as (chain, place) tables, with the words' places and their mask."""
-    place = first[:, None] + np.arange(CHAIN)
-    mask = np.arange(CHAIN) < size[:, None]
-    own = np.exp(np.clip(scores[np.where(mask, place, 0)], -30, 30)) if len(scores) else np.ones(place.shape)
+def odds(scores: np.ndarray, rows: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word: its own odds, own times those from before it, own times those from behind it; each row is one chain."""
+    own = np.exp(np.clip(scores, -30, 30))
     stay0, to1, to0, stay1 = moves
-    ahead, behind = np.empty_like(own), np.ones_like(own)
-    ahead[:, 0] = own[:, 0]
-    for t in range(1, CHAIN):
-        ahead[:, t] = own[:, t] * (to1 + stay1 * ahead[:, t - 1]) / (stay0 + to0 * ahead[:, t - 1])
-    for t in range(CHAIN - 2, -1, -1):
-        x = own[:, t + 1] * behind[:, t + 1]
-        behind[:, t] = np.where(mask[:, t + 1], (to0 + stay1 * x) / (stay0 + to1 * x), 1.0)
-    return own, ahead, behind, place, mask
+    ahead = _carry(own, rows, 1, (stay0, to1, to0, stay1))
+    behind = _carry(own, rows, -1, (stay0, to0, to1, stay1))
+    return own, ahead, behind
 
 
 def marginals(scores: np.ndarray, rows: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """The probability that each word is toxic."""
-    first, size = chains(rows)
-    _, ahead, behind, place, mask = odds(scores, first, size, moves)
-    both = ahead * behind
-    out = np.zeros(len(scores))
-    out[place[mask]] = (both / (1 + both))[mask]
-    return out
+    own, ahead, behind = odds(scores, rows, moves)
+    both = ahead * behind / own
+    return both / (1 + both)
 
 
 def summaries(p: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -138,18 +203,18 @@ def summaries(p: np.ndarray, rows: np.ndarray) -> np.ndarray:
     return out
 
 
-def seed_labels(f: np.ndarray, rows: np.ndarray, toxic: np.ndarray) -> np.ndarray:
+def seed_labels(f: list[np.ndarray], rows: np.ndarray, toxic: np.ndarray) -> np.ndarray:
     """1 for the words of toxic rows with a feature that toxic rows hold beyond chance, else 0.
 
     A feature counts once after each distinct preceding word, so copies of a passage add no evidence.
     """
     bad = np.repeat(toxic, np.diff(rows)) > 0
-    before = np.concatenate([np.zeros(1, dtype=U), f[:-1, 0]])
+    before = np.concatenate([np.zeros(1, dtype=U), f[0][:-1]])
     before[rows[:-1][np.diff(rows) > 0]] = 0
-    label = np.zeros(len(f), dtype=np.int8)
-    for i in range(f.shape[1]):
-        names, number = np.unique(f[:, i], return_inverse=True)
-        context = textvec.mix64(f[:, i] + before * U(0xD6E8FEB86659FD93))
+    label = np.zeros(len(f[0]), dtype=np.int8)
+    for column in f:
+        names, number = np.unique(column, return_inverse=True)
+        context = textvec.mix64(column + before * U(0xD6E8FEB86659FD93))
         counts = []
         for kind in (bad, ~bad):
             _, at = np.unique(context[kind], return_index=True)
@@ -165,7 +230,7 @@ def seed_labels(f: np.ndarray, rows: np.ndarray, toxic: np.ndarray) -> np.ndarra
     return label * bad.astype(np.int8)
 
 
-def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 60, seed: int = 0) -> Model:
+def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 60) -> Model:
     model = Model(np.zeros(0, dtype=U), np.zeros(0, dtype=np.float32), np.ones(4), np.zeros(3))
     n, n1 = len(toxic), int(toxic.sum())
     if n1 in (0, n):
@@ -176,54 +241,58 @@ def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 60, seed: int = 0) -> M
         starts, stops, rows = textvec.words(data, offsets, SEPARATOR)
         parts.append(features(data, starts, stops))
         bounds.append(rows[1:] + bounds[-1][-1])
-    f, rows = np.concatenate(parts), np.concatenate(bounds)
+    f, rows = [np.concatenate(column) for column in zip(*parts, strict=True)], np.concatenate(bounds)
+    del parts
     label = seed_labels(f, rows, toxic)
 
-    first, length = chains(rows)
-    held = np.add.reduceat(label, first) > 0 if len(first) else np.zeros(0, bool)
-    rng = np.random.default_rng(seed)
-    clean_rows = np.repeat(toxic == 0, -(-np.diff(rows) // CHAIN))
-    others = np.flatnonzero(clean_rows)
-    others = rng.permutation(others)[: max(2000, 3 * int(held.sum()))]
-    use = np.sort(np.concatenate([np.flatnonzero(held), others]))
-    first, length = first[use], length[use]
-    place = first[:, None] + np.arange(CHAIN)
-    mask = np.arange(CHAIN) < length[:, None]
-    words = place[mask]
-    first = np.cumsum(length) - length
-    y = label[words].astype(float)
-    names, number, times = np.unique(f[words], return_inverse=True, return_counts=True)
-    number, size = number.reshape(len(words), -1), len(names)
-    flat = number.ravel()
-    frequent = times >= 3  # what is rarer says nothing that carries over
-
-    w, theta = np.zeros(size), np.zeros(3)  # theta: log potentials relative to staying clean
-    state = [np.zeros(size), np.zeros(size), np.zeros(3), np.zeros(3)]
-    w_scale = 1.0 / max(len(first), 1)
-    ym = np.zeros(mask.shape)
-    ym[mask] = y
+    # The rows whose words have labels.
+    sizes = np.diff(rows)
+    some = np.flatnonzero(sizes)
+    seeds = np.zeros(n, dtype=np.int64)
+    seeds[some] = np.add.reduceat(label.astype(np.int64), rows[some]) if len(some) else 0
+    use = (sizes > 0) & ((toxic == 0) | (seeds > 0))
+    words = np.flatnonzero(np.repeat(use, sizes))
+    y, chain = label[words].astype(float), np.concatenate([[0], np.cumsum(sizes[use])])
+    pair = np.ones(len(words), dtype=bool)
+    pair[chain[1:] - 1] = False
+    pair = np.flatnonzero(pair)  # words that have a next one in their row
+    known, number = [], []
+    for column in f:
+        names, at, times = np.unique(column[words], return_inverse=True, return_counts=True)
+        frequent = times >= 3  # what is rarer says nothing that carries over
+        place = np.where(frequent, np.cumsum(frequent) + sum(map(len, known)), 0)  # 0 is the feature without weight
+        known.append(names[frequent])
+        number.append(place[at].astype(np.int32))
+    known = np.concatenate(known)
+
+    w, theta = np.zeros(len(known) + 1), np.zeros(3)  # theta: log potentials relative to staying clean
+    state = [np.zeros(len(w)), np.zeros(len(w)), np.zeros(3), np.zeros(3)]
+    scale = 64 / max(len(words), 1)
+    a, b = y[pair], y[pair + 1]
+    seen = np.array([((1 - a) * b).sum(), (a * (1 - b)).sum(), (a * b).sum()])
     for step in range(1, steps + 1):
         moves = np.exp(np.array([0.0, *theta]))
-        scores = w[number].sum(axis=1) + OFFSET
-        own, ahead, behind, at, m = odds(scores, first, length, moves)
-        both = ahead * behind
-        p = (both / (1 + both))[m]
-        grad = np.bincount(flat, weights=np.repeat(y - p, f.shape[1]), minlength=size)
-        grad = (grad * w_scale - 1e-5 * w) * frequent
-        x = own[:, 1:] * behind[:, 1:]
-        r = ahead[:, :-1]
-        joint = np.stack([np.ones_like(r) * moves[0], moves[1] * x, moves[2] * r, moves[3] * r * x])
-        joint /= joint.sum(axis=0)
-        a, b, pair = ym[:, :-1], ym[:, 1:], m[:, 1:]
-        seen = np.array([((1 - a) * b)[pair].sum(), (a * (1 - b))[pair].sum(), (a * b)[pair].sum()])
-        g_theta = (seen - joint[1:, pair].sum(axis=1)) * w_scale - 1e-3 * theta
+        scores = np.full(len(words), OFFSET)
+        for column in number:
+            scores += w[column]
+        own, ahead, behind = odds(scores, chain, moves)
+        both = ahead * behind / own
+        miss = y - both / (1 + both)
+        grad = np.zeros(len(w))
+        for column in number:
+            grad += np.bincount(column, weights=miss, minlength=len(w))
+        grad = grad * scale - 1e-5 * w
+        grad[0] = 0.0
+        r, x = ahead[pair], behind[pair + 1]
+        joint = [moves[1] * x, moves[2] * r, moves[3] * r * x]
+        total = moves[0] + joint[0] + joint[1] + joint[2]
+        g_theta = (seen - np.array([(j / total).sum() for j in joint])) * scale - 1e-3 * theta
         for value, g, m1, m2, rate in ((w, grad, state[0], state[1], 0.15), (theta, g_theta, state[2], state[3], 0.1)):
             m1 += 0.1 * (g - m1)
             m2 += 0.01 * (g * g - m2)
             value += rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.99**step)) + 1e-8)
-    best = np.argsort(-np.abs(w), kind="stable")[:MAX_FEATURES]
-    best = best[np.abs(w[best]) > 1e-3]
-    model.known, model.weights = names[best], w[best].astype(np.float32)
+    order = np.argsort(known, kind="stable")
+    model.known, model.weights = known[order], w[1:][order].astype(np.float32)
     model.moves = np.exp(np.array([0.0, *theta]))
 
     p = marginals(word_scores(f, model.table()), rows, model.moves)
@@ -237,7 +306,7 @@ def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 60, seed: int = 0) -> M
     return model
 
 
-def score_batch(texts: pa.Array, model: Model, table: tuple[np.ndarray, np.ndarray]) -> Iterator[tuple[int, np.ndarray, list[list[dict]]]]:
+def score_batch(texts: pa.Array, model: Model, table: Table) -> Iterator[tuple[int, np.ndarray, list[list[dict]]]]:
     """First row, scores, spans of each chunk of texts."""
     for first, data, offsets in textvec.chunks(texts):
         starts, stops, rows = textvec.words(data, offsets, SEPARATOR)
@@ -264,7 +333,7 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, *, sample: int = 1500, max_chars: int = 20_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, *, sample: int = 1500) -> Model:
     """docs (doc_id, text), labels (doc_id, toxic): fit on a bounded sample of the labelled documents that are not held out."""
     marked = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     marked = marked.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
@@ -273,7 +342,7 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 1500, max_chars:
     chosen = [k.orderBy(order, "doc_id").limit(sample) for k in kinds]
     ids = chosen[0].unionByName(chosen[1]).select(F.col("doc_id").alias("id"), "toxic")
     texts = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("id"))  # at most 2 * sample ids
-    texts = texts.where(F.length("text") <= max_chars).select("doc_id", "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
+    texts = texts.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), (F.max("toxic") > 0).cast("int").alias("toxic"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [b for b in batches if len(b)]

@@ -39,9 +39,47 @@ def test_marginals_against_enumeration():
             assert np.allclose(got[a:b], ones / total)
 
 
-def test_long_rows_are_cut_into_chains():
-    first, size = toxicity.chains(np.array([0, 0, 130, 131]))
-    assert first.tolist() == [0, 64, 128, 130] and size.tolist() == [64, 64, 2, 1]
+def uncut(scores, moves):
+    """Marginals of one chain by a plain recursion over all its words."""
+    table, own = moves.reshape(2, 2), np.exp(np.column_stack([np.zeros(len(scores)), scores]))
+    ahead, behind = own.copy(), np.ones((len(scores), 2))
+    for t in range(1, len(scores)):
+        ahead[t] = own[t] * (ahead[t - 1] @ table)
+        ahead[t] /= ahead[t].sum()
+    for t in range(len(scores) - 2, -1, -1):
+        behind[t] = table @ (own[t + 1] * behind[t + 1])
+        behind[t] /= behind[t].sum()
+    both = ahead * behind
+    return both[:, 1] / both.sum(axis=1)
+
+
+def test_a_document_is_one_chain_wherever_its_pieces_end():
+    r = np.random.default_rng(1)
+    moves = np.exp(r.normal(size=4))
+    sizes = [0, 1, 511, 512, 513, 1024, 1025, 0, 5000, 3]
+    rows, scores = np.concatenate([[0], np.cumsum(sizes)]), r.normal(scale=3, size=sum(sizes))
+    got = toxicity.marginals(scores, rows, moves)
+    for a, b in zip(rows[:-1], rows[1:], strict=True):
+        assert np.allclose(got[a:b], uncut(scores[a:b], moves), rtol=1e-9, atol=1e-12)
+    want = None
+    for at in range(3, 1100):  # a span has the same marginals at every place
+        scores = np.full(1200, -4.0)
+        scores[at : at + 3] = 5.0
+        around = toxicity.marginals(scores, np.array([0, 1200]), moves)[at - 3 : at + 6]
+        inner = around if 100 < at < 1000 else None
+        want = inner if want is None else want
+        if inner is not None:
+            assert np.allclose(inner, want, rtol=1e-9)
+        if at % 97 == 0:
+            assert np.allclose(around, uncut(scores, moves)[at - 3 : at + 6], rtol=1e-9)
+
+
+def test_no_feature_hides_another():
+    known = np.unique(np.concatenate([np.arange(5, dtype=np.uint64) + np.uint64(7 << 50), np.random.default_rng(2).integers(0, 2**63, 3000, dtype=np.uint64)]))
+    weights = np.arange(1, len(known) + 1, dtype=np.float32)
+    table = toxicity.Table(known, weights)
+    assert (table.weight(known) == weights).all() and (table.weight(known + np.uint64(1000)) == 0).all()
+    assert (toxicity.Table(known[:0], weights[:0]).weight(known) == 0).all()
 
 
 def test_held_out_accuracy(spark):
@@ -70,6 +108,18 @@ def test_held_out_accuracy(spark):
     assert kept.columns == table.columns and kept.count() == sum(r.predicted == 0 for r in tagged)
 
 
+def test_all_texts_are_learned_from(spark):
+    """Long texts, repeated ids and null texts enter the fit; the sample bounds ids, one text of each."""
+    rows = [(i, " ".join(random_texts(60, i, vocabulary=400, length=80)) + t[len(t) // 2 :]) for i, t, _ in corpus(160)]
+    assert min(len(t) for _, t in rows) > 5000
+    labels = spark.createDataFrame([(i, y) for i, _, y in corpus(160)], "doc_id long, toxic int")
+    rows = [(i, t + " grompf zutwat " * (i % 4 == 0) + t[:99] + " zutwaty grompfish" * (i % 4 == 0)) for i, t in rows]
+    model = toxicity.train(docs(spark, rows + [(7, "zzz grompf")] * 50 + [(6, None)]), labels)
+    asked = [(900, rows[0][1]), (901, rows[1][1])]
+    got = {r.doc_id: r.predicted for r in toxicity.tag(docs(spark, asked), model).collect()}
+    assert got == {900: 1, 901: 0}
+
+
 def test_without_labels(spark):
     table = docs(spark, [(1, "a b"), (2, None)])
     for rows in ([], [(1, 0)]):
