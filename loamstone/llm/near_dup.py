@@ -1,16 +1,20 @@
 """MinHash near-duplicates: one-permutation hashing, optimal densification, star-shaped candidate edges.
 
- 1. A text's set is its distinct n-word shingles, hashed to 64 bits. Equal
-    sets form a class, and one document stands for it.
+ 1. A text's set is its distinct n-word shingles, hashed to 64 bits for the
+    sketch. Texts of the same words in the same order (told by SHA-256 of the
+    words) form a class, and one document stands for it.
  2. One permutation deals the hashes to bins and keeps each bin's smallest;
     an empty bin borrows from the bins that a universal hash walks to until
     one is filled (optimal densification), the same walk for all documents.
  3. Bands of bins are hashed into buckets. A bucket does not emit its pairs:
-    it links a centre to its members. Links are confirmed on the full sets.
+    it links a centre to its members.
  4. In buckets whose members are then in several components, the members outside
-    the centre's component are compared with all others, in blocks that
-    return a spanning set of links. So every pair that shares a bucket is either linked through a component
+    the centre's component are compared with those of all others whose size allows
+    a link, in blocks bounded in rows and shingles that propose a spanning set of links. So every
+    pair that shares a bucket is either linked through a component
     or compared, large groups of copies cost a star, and no pairs are emitted.
+ 5. Every link, of a star or of a block, is confirmed on the full sets of the two
+    texts, word by word; no hash decides it.
 
 With 42 bands of 6 bins a pair of similarity s shares no bucket with
 probability (1 - s^6)^42, 3e-6 at 0.8.
@@ -20,11 +24,12 @@ Defined results:
  - fewer words than a shingle: the whole sequence is the one shingle;
  - null doc_id: linked with nothing, kept, component_id null;
  - rows that repeat a doc_id are one node, linked if any of its texts is;
- - very long texts: whole; an empty table gives an empty result; other columns are not read.
+ - very long texts: whole, a block of their own; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,29 +88,34 @@ def _list_column(flat: np.ndarray, sizes) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def _sets_of(batch: pa.RecordBatch, words: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+def _sets_of(batch: pa.RecordBatch, words: int) -> Iterator[tuple[pa.Array, list[np.ndarray], list[bytes]]]:
+    """Ids, sets and texts of runs of rows."""
     for first, data, offsets in textvec.chunks(batch.column("text")):
         starts, stops, rows = textvec.words(data, offsets)
         sets = list(textvec.shingle_sets(textvec.word_hashes(data, starts, stops), rows, words))
-        yield batch.column("doc_id").slice(first, len(sets)), sets
+        texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+        yield batch.column("doc_id").slice(first, len(sets)), sets, texts
+
+
+def _digest(text: bytes) -> bytes:
+    """SHA-256 of the words; bytes.lower and bytes.split know A-Z and the six blanks alone."""
+    return hashlib.sha256(b" ".join(text.lower().split())).digest()
 
 
 def sketch(docs: DataFrame, words: int, bands: int = BANDS, band_bins: int = BAND_BINS) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n, f1, f2 (a fingerprint of the set), keys (bucket keys, empty for an empty set)."""
+    """docs (doc_id, text) -> doc_id, n, digest (of the words), keys (bucket keys, empty for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, sets in _sets_of(batch, words):
+            for ids, sets, texts in _sets_of(batch, words):
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 some = [s for s in sets if len(s)]
                 keys = band_keys(signatures(some, bands * band_bins), bands) if some else np.zeros((0, bands), dtype=U)
-                f1 = np.array([textvec.mix64(s).sum(dtype=U) for s in sets], dtype=U)
-                f2 = np.array([textvec.mix64(s ^ U(0xA0761D6478BD642F)).sum(dtype=U) for s in sets], dtype=U)
-                columns = [ids, pa.array(n), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64))]
+                columns = [ids, pa.array(n), pa.array(list(map(_digest, texts)), pa.binary())]
                 columns.append(_list_column(keys.ravel(), np.where(n > 0, bands, 0)))
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "f1", "f2", "keys"])
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "digest", "keys"])
 
-    schema = "doc_id long, n long, f1 long, f2 long, keys array<long>"
+    schema = "doc_id long, n long, digest binary, keys array<long>"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
@@ -114,7 +124,7 @@ def shingled(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, sets in _sets_of(batch, words):
+            for ids, sets, _ in _sets_of(batch, words):
                 column = _list_column(np.concatenate(sets), [len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([ids, column], ["doc_id", "shingles"])
 
@@ -123,23 +133,51 @@ def shingled(docs: DataFrame, words: int) -> DataFrame:
     )
 
 
+def _texts_of(docs: DataFrame, nodes: DataFrame, broadcast_rows: int) -> DataFrame:
+    """docs (doc_id, text) of the nodes."""
+    small = F.broadcast(nodes) if nodes.limit(broadcast_rows + 1).count() <= broadcast_rows else nodes
+    return docs.join(small, F.col("doc_id").cast("long") == F.col("node"), "left_semi").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, broadcast_rows: int) -> DataFrame:
-    """Those of the pairs (a, b) with 100 * intersection >= percent * union of their full sets."""
+    """Those of the pairs (a, b) with 100 * intersection >= percent * union of their full sets, by their words."""
+
+    def linked(pairs: list[tuple[int, int, bytes, bytes]]) -> Iterator[tuple[int, int]]:
+        place: dict[bytes, int] = {}
+        at = [(place.setdefault(x, len(place)), place.setdefault(y, len(place))) for _, _, x, y in pairs]
+        sets = textvec.exact_sets(list(place), words)
+        for (a, b, _, _), (i, j) in zip(pairs, at, strict=True):
+            x, y = sets[i], sets[j]
+            if 100 * min(len(x), len(y)) >= percent * max(len(x), len(y)) > 0:
+                shared = len(x) if i == j else len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * shared >= percent * (len(x) + len(y) - shared):
+                    yield a, b
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size, found = [], 0, []
+            texts = [batch.column(c).cast(pa.large_binary()) for c in (2, 3)]
+            for i, (a, b) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                x, y = (t[i].as_py() or b"" for t in texts)
+                held.append((a, b, x, y))
+                size += len(x) + len(y)
+                if size >= textvec.CHUNK_BYTES:
+                    found.extend(linked(held))
+                    held, size = [], 0
+            found.extend(linked(held))
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
     nodes = materialise(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "nodes")
-    small = F.broadcast(nodes) if nodes.limit(broadcast_rows + 1).count() <= broadcast_rows else nodes
-    texts = docs.join(small, F.col("doc_id").cast("long") == F.col("node"), "left_semi")
-    sets = materialise(shingled(texts, words), "sets")
-    of = lambda name: sets.select(F.col("doc_id").alias(name), F.col("shingles").alias(f"s{name}"))
-    both = pairs.join(of("a"), "a").join(of("b"), "b")
-    shared = F.size(F.array_intersect("sa", "sb")).cast("long")
-    sized = both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).cast("long").alias("t"))
-    links = materialise(sized.where(100 * F.col("i") >= percent * (F.col("t") - F.col("i"))).select("a", "b").distinct(), "links")
-    discard(nodes, sets)
+    texts = materialise(_texts_of(docs, nodes, broadcast_rows).where("text IS NOT NULL").distinct(), "texts")
+    of = lambda name: texts.select(F.col("doc_id").alias(name), F.col("text").alias(f"t{name}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "ta", "tb")
+    links = materialise(both.mapInArrow(run, "a long, b long").distinct(), "links")
+    discard(nodes, texts)
     return links
 
 
 def _compare(table: pa.Table, percent: int) -> pa.Table:
-    """One block pair: side 0 against side 1, as (a, b) links from each node to the smallest that it reaches here."""
+    """One block pair: side 0 against side 1, as links (a, b) that connect the components which any of its links connects."""
     side = np.asarray(table["side"].combine_chunks())
     rep, comp = np.asarray(table["rep"].combine_chunks()), np.asarray(table["component"].combine_chunks())
     lists = table["shingles"].combine_chunks()
@@ -166,76 +204,105 @@ def _compare(table: pa.Table, percent: int) -> pa.Table:
     union = sizes[home][:, None] + sizes[other][None, :] - shared
     linked = (100 * shared.astype(np.float64) >= percent * union) & (comp[home][:, None] != comp[other][None, :])
     x, y = np.nonzero(linked)
-    ids, x = np.unique(np.concatenate([rep[home[x]], rep[other[y]]]), return_inverse=True)
-    x, y = x[: len(y)], x[len(y) :]
-    label = np.arange(len(ids))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return pa.table({"a": ids[label], "b": ids})
+    chosen = _forest(comp[home[x]], comp[other[y]])
+    return pa.table({"a": rep[home[x[chosen]]], "b": rep[other[y[chosen]]]})
+
+
+def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The places of some of the edges (a, b) that connect what all of them do: in each round every tree takes its first edge outwards."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b = ends[: len(a)], ends[len(a) :]
+    label, edge = np.arange(len(names)), np.arange(len(a))
+    taken = []
+    while len(edge):
+        first = np.full(len(names), len(a) + len(edge))
+        np.minimum.at(first, label[a[edge]], edge)
+        np.minimum.at(first, label[b[edge]], edge)
+        pick = np.unique(first[first < len(a)])
+        taken.append(pick)
+        while True:  # what the picked edges connect gets one label
+            low = np.minimum(label[a[pick]], label[b[pick]])
+            new = label.copy()
+            np.minimum.at(new, label[a[pick]], low)
+            np.minimum.at(new, label[b[pick]], low)
+            new = new[new[label]]
+            if (new == label).all():
+                break
+            label = new
+        edge = edge[label[a[edge]] != label[b[edge]]]
+    return np.unique(np.concatenate(taken)) if taken else np.zeros(0, dtype=np.int64)
 
 
 def across(
-    members: DataFrame, component: DataFrame, docs: DataFrame, words: int, percent: int, block: int, broadcast_rows: int
+    members: DataFrame, component: DataFrame, docs: DataFrame, words: int, percent: int, block: int, block_shingles: int, broadcast_rows: int
 ) -> DataFrame:
-    """Links (a, b) between different components that share a bucket.
-
-    A bucket's members outside its centre's component are compared with all
-    its members, a block of each in a task. A large group of copies is one
-    component by now, so the cost is that of the few which are not in it, and
-    a block returns at most one link for each of its rows.
+    """Candidate links (a, b) between different components that share a bucket; by hashes, so still to be confirmed.
+
+    A bucket's members outside its centre's component are compared with its
+    members of like size, a block of each in a task: sets whose sizes differ by more than the
+    similarity allows are never brought together. Sizes are told by steps of 100 / percent, so only equal and
+    neighbouring steps meet. A block has about `block` rows and `block_shingles` shingles at most, or one text. A large
+    group of copies is one component by now, so the cost is that of the few
+    which are not in it, and a block returns fewer links than it has components.
     """
     placed = members.join(component, F.col("rep") == F.col("node"), "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component")
+        "key", "rep", "n", F.coalesce("component", "rep").alias("component")
     )
     placed = materialise(placed, "placed")
     spans = placed.groupBy("key").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.min(F.struct("rep", "component"))["component"].alias("main")
     )
     spans = materialise(spans.where("lo < hi").select("key", "main"), "spans")
-    rest = materialise(placed.join(spans, "key"), "rest")
+    step = F.floor(F.log(F.col("n").cast("double")) / np.log(100 / percent) + 1e-9).cast("int")
     apart = F.col("component") != F.col("main")
-    counts = rest.groupBy("key").agg(F.count_if(apart).alias("n_home"), F.count("*").alias("n_all"))
-    blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
-    counts = materialise(counts.select("key", blocks("n_home").alias("hbs"), blocks("n_all").alias("cbs")), "counts")
-    rest2 = rest.join(counts, "key")
-    luck = F.xxhash64("rep")
-    group = lambda h, c, side: F.struct(h.cast("int").alias("h"), c.cast("int").alias("c"), F.lit(side).alias("side"))
-    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
-    as_home = F.transform(upto("cbs"), lambda c: group(F.pmod(luck, F.col("hbs")), c, 0))
-    as_other = F.transform(upto("hbs"), lambda h: group(h, F.pmod(luck, F.col("cbs")), 1))
-    roles = F.when(apart, F.concat(as_home, as_other)).otherwise(as_other)
-    visits = rest2.select("key", "rep", "component", F.explode(roles).alias("g")).select("key", "rep", "component", "g.*")
-
-    nodes = materialise(rest.select(F.col("rep").alias("node")).distinct(), "nodes")
-    small = F.broadcast(nodes) if nodes.limit(broadcast_rows + 1).count() <= broadcast_rows else nodes
-    sets = shingled(docs.join(small, F.col("doc_id").cast("long") == F.col("node"), "left_semi"), words)
-    sets = materialise(sets, "sets")
+    rest = materialise(placed.join(spans, "key").select("key", "rep", "component", step.alias("step"), "n", apart.alias("apart")), "rest")
+    rows = lambda on: F.count_if(on) if on is not None else F.count("*")
+    blocks = lambda count, size: F.greatest(F.ceil(count / block), F.ceil(size / block_shingles)).cast("int")
+    counts = rest.groupBy("key", "step").agg(
+        blocks(rows(F.col("apart")), F.sum(F.when(F.col("apart"), F.col("n")).otherwise(0))).alias("hbs"), blocks(rows(None), F.sum("n")).alias("cbs")
+    )
+    # A row a bucket: its few steps (sizes up to 2^31 make 96 of them at 80 %) with the blocks of each.
+    counts = counts.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("step", F.struct("hbs", "cbs")))).alias("blocks"))
+    counts = materialise(counts, "counts")
+    luck, none = F.xxhash64("rep"), F.array().cast("array<struct<hs:int,h:int,os:int,c:int,side:int>>")
+    own = F.col("blocks")[F.col("step")]
+
+    def upto(n, of):
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), of)).otherwise(none)
+
+    def group(hs, h, os, c, side):
+        return F.struct(hs.alias("hs"), h.cast("int").alias("h"), os.alias("os"), c.cast("int").alias("c"), F.lit(side).alias("side"))
+
+    def visits_to(d: int):
+        there = (F.col("step") + d).cast("int")
+        that = F.col("blocks")[there]
+        home = upto(that["cbs"], lambda c: group(F.col("step"), F.pmod(luck, own["hbs"]), there, c, 0))
+        guest = upto(that["hbs"], lambda h: group(there, h, F.col("step"), F.pmod(luck, own["cbs"]), 1))
+        return F.concat(F.when(F.col("apart"), home).otherwise(none), guest)
+
+    near = [F.coalesce(visits_to(d), none) for d in (-1, 0, 1)]
+    visits = rest.join(counts, "key").select("key", "rep", "component", F.explode(F.concat(*near)).alias("g")).select("key", "rep", "component", "g.*")
+
+    nodes = materialise(visits.select(F.col("rep").alias("node")).distinct(), "nodes")
+    sets = materialise(shingled(_texts_of(docs, nodes, broadcast_rows), words), "sets")
     full = visits.join(sets.withColumnRenamed("doc_id", "s"), F.col("rep") == F.col("s")).drop("s")
 
     def compare(table: pa.Table) -> pa.Table:
         return _compare(table, percent)
 
-    return full.groupBy("key", "h", "c").applyInArrow(compare, "a long, b long").where("a < b").distinct()
+    return full.groupBy("key", "hs", "h", "os", "c").applyInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(
     docs: DataFrame, *, words: int = 5, percent: int = 80, bands: int = BANDS, band_bins: int = BAND_BINS,
-    block: int = 1024, broadcast_rows: int = 500_000,
+    block: int = 1024, block_shingles: int = 1 << 21, broadcast_rows: int = 500_000,
 ) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept; one row for each row of docs."""
     docs = docs.select("doc_id", "text")
     sketches = materialise(sketch(docs, words, bands, band_bins), "sketches")
     linked = sketches.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    same = ["n", "f1", "f2"]
-    classes = materialise(linked.groupBy(*same).agg(F.min("doc_id").alias("rep")), "classes")
-    member = linked.join(classes, same)
+    classes = materialise(linked.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
+    member = linked.join(classes, "digest")
 
     # Buckets of the representatives that hold more than one.
     buckets = materialise(
@@ -260,14 +327,15 @@ def near_duplicates(
     component = materialise(components(links), "components")
 
     # What the stars leave apart is compared in blocks.
-    more = materialise(across(members, component, docs, words, percent, block, broadcast_rows), "across")
+    more = materialise(across(members, component, docs, words, percent, block, block_shingles, broadcast_rows), "across")
     if not more.isEmpty():
+        more = confirmed(more, docs, words, percent, broadcast_rows)
         component = materialise(components(links.unionByName(more)), "components")
 
     # Each class with its component, then each document with its class.
     named = classes.join(component, F.col("rep") == F.col("node"), "left")
-    named = materialise(named.select(*same, F.coalesce("component", "rep").alias("component")), "named")
-    out = sketches.select("doc_id", *same).join(named.hint("merge"), same, "left")
+    named = materialise(named.select("digest", F.coalesce("component", "rep").alias("component")), "named")
+    out = sketches.select("doc_id", "n", "digest").join(named.hint("merge"), "digest", "left")
     # A null doc_id is no node, though its text may equal that of a class.
     ident = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from loamstone.llm import near_dup
+from loamstone.llm import near_dup, textvec
 from loamstone.llm.graph import components
 from tests.llm.helpers import docs, edited, random_texts, shingles, smallest_reachable
 
@@ -85,3 +85,52 @@ def test_components_of_long_paths(spark):
     found = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     nodes = {n for link in links[:-1] for n in link}
     assert found == smallest_reachable(nodes, links[:-1])
+
+
+def thue_morse(letters, n=1024):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_collide_under_polynomial_hashes(spark):
+    """Complementary words of this kind hash alike modulo 2^64 for every byte table and odd base."""
+    check(spark, [(1, thue_morse("ab")), (2, thue_morse("ba")), (3, thue_morse("ab", 128) + " x"), (4, thue_morse("ba", 128) + " x")], 2)
+
+
+def test_links_are_confirmed_by_words(monkeypatch):
+    """Where all words hash alike, words are still told apart."""
+    texts = [b"Alpha beta gamma", b"alpha  BETA gamma", b"alpha beta delta", b"alpha", b"", b"x" * 300 + b" y", b"x" * 301 + b" y"]
+    want = [shingles(t.decode(), 2) for t in texts]
+    for collide in (False, True):
+        if collide:
+            monkeypatch.setattr(textvec, "span_hashes", lambda data, starts, stops, seed=0: np.full(len(starts), 7, dtype=np.uint64))
+        got = textvec.exact_sets(texts, 2)
+        for i in range(len(texts)):
+            for j in range(len(texts)):
+                assert len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j])
+
+
+def test_exact_sets_of_five_words():
+    r = random.Random(2)
+    texts = [" ".join(r.choice("abc") for _ in range(r.randint(0, 30))) for _ in range(40)]
+    got, want = textvec.exact_sets([t.encode() for t in texts], 5), [shingles(t, 5) for t in texts]
+    for i in range(40):
+        for j in range(40):
+            assert len(np.intersect1d(got[i], got[j])) == len(want[i] & want[j])
+
+
+def test_forest_connects_what_the_edges_do():
+    r = random.Random(4)
+    for n in (1, 5, 40):
+        edges = [(r.randint(0, n), r.randint(0, n) + 100) for _ in range(3 * n)]
+        chosen = near_dup._forest(np.array([e[0] for e in edges]), np.array([e[1] for e in edges]))
+        nodes = {x for e in edges for x in e}
+        assert smallest_reachable(nodes, [edges[i] for i in chosen]) == smallest_reachable(nodes, edges)
+        assert len(chosen) < len(nodes)
+    assert len(near_dup._forest(np.zeros(0, int), np.zeros(0, int))) == 0
+
+
+def test_blocks_hold_few_shingles(spark):
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(90)]
+    rows = [(i, edited(" ".join(base[: 50 + i % 40]), r, 0.05)) for i in range(90)]
+    check(spark, rows, 2, block=8, block_shingles=300)
