@@ -3,14 +3,18 @@
 On unit vectors cosine >= c is a Euclidean distance of at most
 r = sqrt(2 - 2c). The join has four steps:
  1. equal vectors become one with a multiplicity, so copies cost nothing;
- 2. pivots, farthest first among a bounded sample, partition the vectors: each goes to its nearest pivot's cell;
+ 2. pivots, farthest first among a bounded sample, partition the vectors: each goes to its nearest pivot's cell. A cell
+    with far more than `block` vectors is split again by pivots of its own, unless it is so small in
+    diameter that all its vectors link, or the pivots, which are sent to every task, would exceed PIVOT_BYTES;
  3. a vector b of cell i is replicated to cell j if it may have a partner there, by the triangle
-    inequality: |b pj| <= |b pi| + 2r, |b pj| <= radius of j + r, and the same bound
+    inequality: among the cells of one split, with pi nearest to b, |b pj| <= |b pi| + 2r, |b pj| <= radius of j + r, and the same bound
     for the plane halfway between the pivots, |b pj|^2 - |b pi|^2 <= 2 r |pi pj|. Of two cells only
     one receives the other's vectors;
  4. cells join independently, in blocks of at most about `block` vectors a side, so a cell that
-    holds most of the data costs more tasks and not more memory. Products are taken in single
-    precision with a margin, and what passes is recomputed in double precision.
+    holds most of the data costs more tasks and not more memory. A cell of radius at most r / 2
+    links all its own vectors without comparing them. Products are taken in single
+    precision with a margin, and what passes is decided in double precision from the components as they
+    are given, as dot / sqrt(|a|^2 |b|^2), so that ties at the threshold count as links.
 
 The pivots are the only fitted part; they change the cost and never the result.
 A block reports counts and the components of its own links, so its output is
@@ -18,6 +22,7 @@ linear in its rows however many links there are.
 
 Defined results:
  - null, empty or zero vectors, or with null or non-finite components: linked with nothing, component their own id;
+ - components keep the type of the column, float or double; other numbers are taken as doubles;
  - vectors of different lengths: not linked;
  - null vec_id: linked with nothing and counted by nobody, component null, kept;
  - rows that repeat a vec_id: vectors of their own for the counts, one node for the components;
@@ -33,10 +38,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamstone.llm.common import materialise
+from loamstone.llm.common import discard, materialise
 from loamstone.llm.graph import components
 
+#: Pivots of one split, and bytes of all pivots together.
 MAX_PIVOTS = 1024
+PIVOT_BYTES = 64 << 20
+#: Distances of unit vectors are known to about this; bounds are widened by it.
+SLACK = 1e-6
 
 
 def valid(v: Column) -> Column:
@@ -52,7 +61,13 @@ def _matrix(column) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
 
+def _scaled(m: np.ndarray) -> np.ndarray:
+    """Rows times powers of two, so that the largest component is about one: cosines stay the same to the bit and nothing overflows."""
+    return np.ldexp(m, -np.frexp(np.abs(m).max(axis=1))[1][:, None])
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
+    m = _scaled(m)
     return m / np.linalg.norm(m, axis=1, keepdims=True)
 
 
@@ -60,17 +75,109 @@ def _distances(u: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * (u @ pivots.T), 0))
 
 
-def choose_pivots(vectors: DataFrame, count: int, sample: int = 4) -> np.ndarray:
-    """`count` pivots, farthest first, among sample * count vectors taken by hash."""
-    rows = vectors.orderBy(F.xxhash64("rep"), "rep").limit(sample * count).select("vec").collect()
-    pool = _unit(np.array([r["vec"] for r in rows], dtype=np.float64))
+def choose_pivots(pool: np.ndarray, count: int) -> np.ndarray:
+    """`count` pivots, farthest first, among the unit vectors of the pool."""
     chosen, near = [0], _distances(pool, pool[:1])[:, 0]
-    while len(chosen) < min(count, len(pool)):
+    while len(chosen) < min(count, len(pool)) and near.max() > 0:
         chosen.append(int(near.argmax()))
         near = np.minimum(near, _distances(pool, pool[chosen[-1:]])[:, 0])
     return pool[chosen]
 
 
+class Cells:
+    """A tree of cells. Node 0 holds all vectors; a node that was split has a pivot and a covering radius for each child."""
+
+    def __init__(self):
+        self.pivots: dict[int, np.ndarray] = {}
+        self.children: dict[int, np.ndarray] = {}
+        self.radius: dict[int, float] = {0: 0.0}
+        self.count = 1
+
+    def split(self, node: int, pivots: np.ndarray) -> None:
+        self.pivots[node], self.children[node] = pivots, np.arange(self.count, self.count + len(pivots))
+        self.count += len(pivots)
+
+    def bytes(self) -> int:
+        return sum(p.nbytes for p in self.pivots.values())
+
+    def assign(self, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The leaf of each vector and its distance to the leaf's pivot."""
+        leaf, far = np.zeros(len(unit), dtype=np.int64), np.zeros(len(unit))
+        todo = [(0, np.arange(len(unit)))]
+        while todo:
+            node, at = todo.pop()
+            leaf[at] = node
+            if node in self.pivots and len(at):
+                d = _distances(unit[at], self.pivots[node])
+                best = d.argmin(axis=1)
+                far[at] = d[np.arange(len(at)), best]
+                todo += [(int(self.children[node][c]), at[best == c]) for c in np.unique(best)]
+        return leaf, far
+
+    def reached(self, unit: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+        """(row, leaf) for each leaf that may hold a vector within the radius of the row's."""
+        rows, leaves = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        todo = [(0, np.arange(len(unit)))]
+        while todo:
+            node, at = todo.pop()
+            if node not in self.pivots:
+                rows.append(at)
+                leaves.append(np.full(len(at), node))
+                continue
+            pivots, children = self.pivots[node], self.children[node]
+            d = _distances(unit[at], pivots)
+            best = d.argmin(axis=1)
+            near = d[np.arange(len(at)), best][:, None]
+            to = d <= np.array([self.radius.get(int(c), -9.0) for c in children]) + radius
+            to &= d <= near + 2 * radius
+            to &= d * d - near * near <= 2 * radius * _distances(pivots, pivots)[best] + SLACK
+            todo += [(int(children[c]), at[to[:, c]]) for c in np.flatnonzero(to.any(axis=0))]
+        return np.concatenate(rows), np.concatenate(leaves)
+
+
+def _cells(vectors: DataFrame, radius: float, block: int, least_cells: int) -> tuple[Cells, DataFrame, dict[int, tuple[int, int]]]:
+    """The tree; vectors with their cell; of each cell, how many vectors and copies it has."""
+    cells, kind = Cells(), vectors.schema["vec"].dataType.simpleString()
+    n = vectors.count()
+    rows = vectors.orderBy(F.xxhash64("rep", "tag")).limit(4 * max(least_cells, min(MAX_PIVOTS, -(-n // block)))).select("vec").collect()
+    cells.split(0, choose_pivots(_unit(np.array([r["vec"] for r in rows], dtype=np.float64)), max(least_cells, min(MAX_PIVOTS, -(-n // block)))))
+    while True:
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if len(batch):
+                    leaf, far = cells.assign(_unit(_matrix(batch.column("vec"))))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf.astype(np.int32)), pa.array(far)], ["rep", "tag", "mult", "vec", "cell", "far"])
+
+        homes = vectors.select("rep", "tag", "mult", "vec").mapInArrow(assign, f"rep long, tag long, mult long, vec {kind}, cell int, far double")
+        homes = materialise(homes, "homes")
+        sizes = {}
+        for r in homes.groupBy("cell").agg(F.count("*").alias("n"), F.sum("mult").alias("copies"), F.max("far").alias("far")).collect():
+            cells.radius[r["cell"]], sizes[r["cell"]] = r["far"], (r["n"], r["copies"])
+        dim, room = next(iter(cells.pivots.values())).shape[1], PIVOT_BYTES - cells.bytes()
+        big = {}
+        for cell, (m, _) in sorted(sizes.items(), key=lambda x: -x[1][0]):
+            want = min(MAX_PIVOTS, -(-m // block))
+            if m > 4 * block and 2 * cells.radius[cell] > radius and 8 * dim * want <= room:
+                big[cell], room = want, room - 8 * dim * want
+        if not big:
+            return cells, homes, sizes
+        # About 4 vectors for each pivot, by hash: at most 4 times the pivots' bytes in all.
+        luck = F.pmod(F.xxhash64("rep", "tag", F.lit(1)), F.lit(1 << 30)) / float(1 << 30)
+        share = F.create_map(*[F.lit(x) for cell, want in big.items() for x in (cell, 4.0 * want / sizes[cell][0])])
+        pools: dict[int, list] = {}
+        for r in homes.where(luck < F.coalesce(share[F.col("cell")], F.lit(0.0))).select("cell", "vec").collect():
+            pools.setdefault(r["cell"], []).append(r["vec"])
+        before = cells.count
+        for cell, pool in sorted(pools.items()):
+            pivots = choose_pivots(_unit(np.array(pool, dtype=np.float64)), big[cell])
+            if len(pivots) > 1:
+                cells.split(cell, pivots)
+        if cells.count == before:
+            return cells, homes, sizes
+        discard(homes)
+
+
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest index that each of n nodes reaches over the links (a, b)."""
     label = np.arange(n)
@@ -91,10 +198,12 @@ def _join_block(table: pa.Table, cosine: float, own: bool) -> pa.Table:
     rep, mult = np.asarray(table["rep"].combine_chunks()), np.asarray(table["mult"].combine_chunks())
     order = np.lexsort((rep, side))
     rep, mult, side = rep[order], mult[order], side[order]
-    unit = _unit(_matrix(table["vec"]))[order]
+    exact = _scaled(_matrix(table["vec"])[order])
+    square = np.einsum("ij,ij->i", exact, exact)
+    unit = exact / np.sqrt(square)[:, None]
     homes = int((side == 0).sum())
     f32 = unit.astype(np.float32)
-    margin = 1e-6 * max(unit.shape[1], 64)
+    margin = 4e-6 * max(unit.shape[1], 64)
     links = np.zeros(len(rep), dtype=np.int64)
     rank = np.argsort(np.argsort(rep, kind="stable"), kind="stable")
     label = np.arange(len(rep))  # by rank of id
@@ -109,7 +218,7 @@ def _join_block(table: pa.Table, cosine: float, own: bool) -> pa.Table:
             a, b = a[a < b], b[a < b]
         for k in range(0, len(a), 1 << 18):
             x, y = a[k : k + (1 << 18)], b[k : k + (1 << 18)]
-            good = np.einsum("ij,ij->i", unit[x], unit[y]) >= cosine
+            good = np.einsum("ij,ij->i", exact[x], exact[y]) / np.sqrt(square[x] * square[y]) >= cosine
             x, y = x[good], y[good]
             links += np.bincount(x, weights=mult[y], minlength=len(rep)).astype(np.int64)
             links += np.bincount(y, weights=mult[x], minlength=len(rep)).astype(np.int64)
@@ -128,53 +237,39 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _range_join(vectors: DataFrame, cosine: float, block: int, least_cells: int) -> tuple[DataFrame, DataFrame]:
     """vectors (rep, tag, mult, vec) of one length -> (node, tag, links), (a, b): counts without own copies; links for components."""
-    radius = float(np.sqrt(2 - 2 * cosine)) + 1e-6
-    n = vectors.count()
-    pivots = choose_pivots(vectors, max(least_cells, min(MAX_PIVOTS, -(-n // block))))
-    between = _distances(pivots, pivots)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            d = _distances(_unit(_matrix(batch.column("vec"))), pivots)
-            cell = d.argmin(axis=1)
-            columns = [*batch.columns, pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])]
-            yield pa.RecordBatch.from_arrays(columns, ["rep", "tag", "mult", "vec", "cell", "far"])
-
-    homes = vectors.select("rep", "tag", "mult", "vec").mapInArrow(assign, "rep long, tag long, mult long, vec array<float>, cell int, far double")
-    homes = materialise(homes, "homes")
-    cells = {r["cell"]: r for r in homes.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
-    reach = np.array([cells[j]["far"] + radius if j in cells else -1.0 for j in range(len(pivots))])
+    radius = float(np.sqrt(2 - 2 * cosine)) + SLACK
+    kind = vectors.schema["vec"].dataType.simpleString()
+    cells, homes, sizes = _cells(vectors, radius, block, least_cells)
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        j = np.arange(len(pivots))
         for batch in batches:
             if not len(batch):
                 continue
-            d = _distances(_unit(_matrix(batch.column("vec"))), pivots)
-            home, far = np.asarray(batch.column("cell")), np.asarray(batch.column("far"))
-            to = (d <= reach) & (d <= far[:, None] + 2 * radius)
-            to &= d * d - (far * far)[:, None] <= 2 * radius * between[home] + 1e-6
-            i = home[:, None]
-            to &= (i < j) == ((i + j) % 2 == 0)  # of two cells one takes the other's
-            to &= i != j
-            rows, targets = np.nonzero(to)
-            offsets = np.searchsorted(rows, np.arange(len(batch) + 1)).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(targets.astype(np.int32)))
+            rows, leaves = cells.reached(_unit(_matrix(batch.column("vec"))), radius)
+            home = np.asarray(batch.column("cell"))[rows]
+            to = (home < leaves) == ((home + leaves) % 2 == 0)  # of two cells one takes the other's
+            to &= home != leaves
+            rows, leaves = rows[to], leaves[to]
+            order = np.argsort(rows, kind="stable")
+            offsets = np.searchsorted(rows[order], np.arange(len(batch) + 1)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(leaves[order].astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "targets"])
 
-    homes = homes.mapInArrow(
-        replicate, "rep long, tag long, mult long, vec array<float>, cell int, far double, targets array<int>"
-    )
+    homes = homes.drop("far").mapInArrow(replicate, f"rep long, tag long, mult long, vec {kind}, cell int, targets array<int>")
     homes = materialise(homes, "replicated")
     guests = {r[0]: r[1] for r in homes.select(F.explode("targets").alias("t")).groupBy("t").count().collect()}
     spark = vectors.sparkSession
-    plan = [(j, -(-r["n"] // block), -(-guests.get(j, 0) // block)) for j, r in cells.items()]
-    plan = F.broadcast(spark.createDataFrame(plan, "c int, nb int, rb int"))  # a row for each of at most MAX_PIVOTS cells
+    dense = {j for j in sizes if 2 * (cells.radius[j] + SLACK) <= radius - 2 * SLACK}
+    plan = [(j, -(-m // block), -(-guests.get(j, 0) // block), j in dense, c) for j, (m, c) in sizes.items()]
+    # A row for each cell: they are fewer than the pivots, whose bytes are bounded.
+    plan = F.broadcast(spark.createDataFrame(plan, "c int, nb int, rb int, dense boolean, copies long"))
 
     luck = F.xxhash64("rep", "tag")
     at_home = homes.join(plan, F.col("cell") == F.col("c")).withColumn("h", F.pmod(luck, F.col("nb")).cast("int"))
+    all_linked = at_home.where("dense")
+    own_counts = all_linked.select(F.col("rep").alias("node"), "tag", (F.col("copies") - F.col("mult")).alias("links"))
+    centre = all_linked.groupBy("cell").agg(F.min("rep").alias("root"))
+    own_links = all_linked.join(centre, "cell").select("root", F.col("rep").alias("node"))
 
     def pairs(n: Column, of) -> Column:
         return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), of)).otherwise(
@@ -184,9 +279,11 @@ def _range_join(vectors: DataFrame, cosine: float, block: int, least_cells: int)
     def group(hb, cb, side):
         return F.struct(hb.cast("int").alias("hb"), cb.cast("int").alias("cb"), F.lit(side).alias("side"))
 
-    as_home = pairs(F.col("nb") - F.col("h") + F.col("rb"), lambda k: group(F.col("h"), F.col("h") + k, 0))
-    as_other = pairs(F.col("h"), lambda k: group(k, F.col("h"), 1))
-    own = at_home.select("rep", "tag", "mult", "vec", "cell", F.explode(F.concat(as_home, as_other)).alias("g"))
+    among = F.when(F.col("dense"), 0).otherwise(F.col("nb") - F.col("h"))
+    as_home = pairs(among, lambda k: group(F.col("h"), F.col("h") + k, 0))
+    as_host = pairs(F.col("rb"), lambda k: group(F.col("h"), F.col("nb") + k, 0))
+    as_other = pairs(F.when(F.col("dense"), 0).otherwise(F.col("h")), lambda k: group(k, F.col("h"), 1))
+    own = at_home.select("rep", "tag", "mult", "vec", "cell", F.explode(F.concat(as_home, as_host, as_other)).alias("g"))
     visit = homes.select("rep", "tag", "mult", "vec", F.explode("targets").alias("t")).join(plan, F.col("t") == F.col("c"))
     visit = visit.withColumn("k", F.pmod(luck, F.col("rb")).cast("int"))
     visit = visit.select(
@@ -201,12 +298,15 @@ def _range_join(vectors: DataFrame, cosine: float, block: int, least_cells: int)
 
     found = blocks.groupBy("cell", "hb", "cb").applyInArrow(join, "node long, tag long, links long, root long")
     found = materialise(found, "found")
-    return found.groupBy("node", "tag").agg(F.sum("links").alias("links")), found.select(F.col("root").alias("a"), F.col("node").alias("b"))
+    counts = found.select("node", "tag", "links").unionByName(own_counts).groupBy("node", "tag").agg(F.sum("links").alias("links"))
+    return counts, found.select("root", "node").unionByName(own_links).select(F.col("root").alias("a"), F.col("node").alias("b"))
 
 
 def cosine_join(vectors: DataFrame, *, cosine: float = 0.9, block: int = 4096, least_cells: int = 8) -> DataFrame:
     """vectors (vec_id, embedding, ...) -> vec_id, n_links, component_id, kept; one row for each row of vectors."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("vec"))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind = kind if kind == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vec"))
     able = rows.where(F.col("vec_id").isNotNull() & valid(F.col("vec")))
     classes = able.groupBy("vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("mult"))
     classes = materialise(classes.withColumn("tag", F.xxhash64("vec")), "classes")  # (rep, tag) names a class

@@ -39,6 +39,57 @@ def check(spark, rows, **params):
     assert sorted(map(tuple, found.collect()), key=repr) == brute([(i, None if v is None else [None if x is None else f32(x) for x in v]) for i, v in rows])
 
 
+def check_doubles(spark, rows, **params):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, vector_join.cosine_join(df, **params).collect()), key=repr) == brute(rows)
+
+
+def test_ties_at_the_threshold_link(spark):
+    """Integer vectors whose cosine is 9/10 exactly."""
+    first = ([7, 7, 7, 7], [5, 1, 5, 7])
+    r = random.Random(9)
+    ties = []
+    while len(ties) < 30:
+        a, b = ([r.randint(-9, 9) for _ in range(4)] for _ in range(2))
+        dot, aa, bb = (sum(x * y for x, y in zip(p, q)) for p, q in ((a, b), (a, a), (b, b)))
+        if dot > 0 and 100 * dot * dot == 81 * aa * bb:
+            ties.append((a, b))
+    for kind in ("float", "double"):
+        rows = [(2 * i + k, [float(x) for x in v] + [0.0] * (i % 3)) for i, pair in enumerate([first, *ties]) for k, v in enumerate(pair)]
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+        got = {r.vec_id: r for r in vector_join.cosine_join(df).collect()}
+        assert sorted(map(tuple, got.values()), key=repr) == brute(rows)
+        assert all(got[i].n_links > 0 and got[i ^ 1].component_id == got[i].component_id for i in got)
+
+
+def test_doubles_stay_doubles(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1e300, 0.0]), (3, [1e-320, 0.0]), (4, [0.0, 1e308]), (5, [1.0, 1e-9]), (6, [1.0, 1.0000000001])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vector_join.cosine_join(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (3, 1), 5: (3, 1), 4: (0, 4), 6: (0, 6)}
+
+
+def test_large_cells_are_split_again_and_dense_ones_compared_with_nobody(spark, monkeypatch):
+    r = random.Random(11)
+    rows = [(i, [1 + r.gauss(0, 0.01), r.gauss(0, 0.01), r.gauss(0, 0.01)]) for i in range(150)]  # one dense cell
+    rows += [(200 + i, [r.gauss(0, 1), 5 + r.gauss(0, 1), r.gauss(0, 1)]) for i in range(150)]
+    monkeypatch.setattr(vector_join, "MAX_PIVOTS", 4)
+    compared = []
+    real = vector_join.materialise
+
+    def watched(df, label, **options):
+        out = real(df, label, **options)
+        compared.append((label, out.where("node < 200").count() if label == "found" else 0))
+        return out
+
+    monkeypatch.setattr(vector_join, "materialise", watched)
+    check_doubles(spark, rows, block=8, least_cells=2)
+    assert sum(label == "homes" for label, _ in compared) > 1
+    assert dict(compared)["found"] == 0  # all 150 * 149 links of the dense cell without a block
+    monkeypatch.setattr(vector_join, "PIVOT_BYTES", 0)
+    check_doubles(spark, rows, block=8, least_cells=2)
+
+
 def f32(x):
     import struct
 
