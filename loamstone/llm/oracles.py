@@ -184,15 +184,29 @@ WITH sized AS (
          least(cap, weight * (SELECT arg_min(lvl, rank) FROM levels WHERE cap / weight >= lvl)) AS target
   FROM levels
 ), runs AS (
-  SELECT s.doc_id, s.size, a.source_size, a.target, round(a.target)::BIGINT AS words,
+  SELECT row_number() OVER () AS r, s.doc_id, s.source, s.size, a.source_size, a.target,
          coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY md5('0|' || coalesce(s.doc_id::VARCHAR, '')), s.doc_id, s.size
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
   FROM sized s JOIN aimed a ON s.source IS NOT DISTINCT FROM a.source
+), epochs AS (
+  SELECT source, source_size, round(target)::BIGINT AS words,
+         unnest(generate_series(0, (round(target)::BIGINT - 1) // source_size)) AS epoch
+  FROM aimed WHERE source_size > 0 AND round(target) > 0
+), blocks AS (
+  SELECT *, least(4096, source_size - block * 4096) AS n, least(source_size, words - epoch * source_size) AS goal
+  FROM (SELECT *, unnest(generate_series(0, (source_size - 1) // 4096)) AS block FROM epochs)
+), drawn AS (
+  SELECT source, block, CASE WHEN goal = source_size THEN n ELSE greatest(0, least(n, goal - coalesce(sum(n) OVER
+           (PARTITION BY source, epoch ORDER BY md5('0|' || coalesce(source, '') || '|' || epoch || '|' || block)
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))) END AS upto
+  FROM blocks
+), pieces AS (
+  SELECT r, sum(greatest(0, least(o.block * 4096 + d.upto, o.start + o.size) - greatest(o.block * 4096, o.start))) AS taken
+  FROM (SELECT *, unnest(generate_series(start::BIGINT // 4096, (start::BIGINT + size - 1) // 4096)) AS block FROM runs WHERE size > 0) o
+  JOIN drawn d ON o.source IS NOT DISTINCT FROM d.source AND o.block = d.block GROUP BY r
 )
-SELECT doc_id, size::BIGINT AS size, source_size, target::DOUBLE AS target,
-       (greatest(0, least(size, words - start)) + greatest(0, least(size, words - start - source_size))
-        + greatest(0, least(size, words - start - 2 * source_size)))::BIGINT AS taken
-FROM runs
+SELECT doc_id, size::BIGINT AS size, source_size, target::DOUBLE AS target, coalesce(taken, 0)::BIGINT AS taken
+FROM runs LEFT JOIN pieces USING (r)
 """
 
 ORACLES: dict[str, str] = {

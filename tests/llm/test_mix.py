@@ -49,19 +49,72 @@ def test_targets_and_words(spark):
     assert sorted(map(repr, again.select(*key).collect())) == sorted(map(repr, taken.select(*key).collect()))
 
 
-def test_shards_are_even_and_disjoint(spark):
-    rows, pieces, _ = run(spark, table(spark), block_words=16, blocks_a_shard=50)
+@pytest.mark.parametrize("group_sources", [256, 2, 1])
+def test_shards_are_even_and_disjoint(spark, group_sources):
     goal = mix.targets(table(spark).select("source", "size"))
-    quota = goal.select("source", F.ceil(F.col("words") / 16).cast("long").alias("blocks"))
-    leaves = mix.splitting_tree(quota, 4, 0)
+    items = mix.draw_epochs(goal, 16, 0)
+    quota = items.groupBy("source").agg(F.count("*").alias("blocks"))
+    leaves = mix.splitting_tree(quota, 4, 0, group_sources)
     sizes = [r[0] for r in leaves.groupBy("shard").agg(F.sum("blocks")).select("sum(blocks)").collect()]
     assert len(sizes) == 16 and max(sizes) - min(sizes) <= 1
     back = leaves.groupBy("source").agg(F.sum("blocks").alias("n"))
-    assert {r.source: r.n for r in back.collect()} == {r.source: r.blocks for r in quota.collect() if r.blocks}
-    drawn = mix.draw_blocks(leaves)
-    assert drawn.select("source", "block").distinct().count() == drawn.count() == sum(sizes)
-    both = drawn.groupBy("source").agg(F.min("block").alias("lo"), F.max("block").alias("hi"), F.count("*").alias("n"))
-    assert all(r.lo == 0 and r.hi == r.n - 1 for r in both.collect())
+    assert {r.source: r.n for r in back.collect()} == {r.source: r.blocks for r in quota.collect()}
+    drawn = mix.draw_blocks(items, leaves, 0).collect()
+    assert sorted((repr(r.source), r.epoch, r.block, r.n) for r in drawn) == sorted((repr(r.source), r.epoch, r.block, r.n) for r in items.collect())
+    dealt = {}
+    for r in drawn:
+        dealt[r.shard, r.source] = dealt.get((r.shard, r.source), 0) + 1
+    assert dealt == {(r.shard, r.source): r.blocks for r in leaves.collect()}
+
+
+def test_blocks_of_the_last_epoch_are_drawn_at_random(spark):
+    """Each target to the word; of an epoch in part, blocks in no order and others for another seed."""
+    goal = spark.createDataFrame([("a", 1600, 100.0, 100), (None, 1601, 1701.0, 1701), ("c", 7, 21.0, 21), ("d", 0, 0.0, 0)], "source string, source_size long, target double, words long")
+    picked = {}
+    for seed in (0, 1):
+        rows = mix.draw_epochs(goal, 16, seed).collect()
+        for name, _, _, words in goal.collect():
+            assert sum(r.n for r in rows if r.source == name) == words
+        assert len({(r.source, r.epoch, r.block) for r in rows}) == len(rows)
+        picked[seed] = sorted(r.block for r in rows if r.source == "a")
+        assert len(picked[seed]) == 7 and picked[seed] != list(range(7))
+        assert sorted(r.block for r in rows if r.source is None and r.epoch == 0) == list(range(101))
+    assert picked[0] != picked[1]
+
+
+def test_what_is_taken_comes_through_the_tree(spark, monkeypatch):
+    """Without some leaves, their words are not taken; by a plain version that walks the shards."""
+    df, real = table(spark), mix.splitting_tree
+    rows, pieces, taken = run(spark, df, block_words=16, blocks_a_shard=50)
+    per = {}
+    for p in pieces.collect():
+        per.setdefault((p.source, p.bucket, p.slot), []).append((p.shard, p.epoch, p.first, p.n))
+    for r in taken.collect():
+        own = per.get((r.source, r.bucket, r.slot), [])
+        assert r.taken == sum(n for _, _, _, n in own)
+        for epoch in range(3):  # no word twice in an epoch
+            spans = sorted((first, first + n) for _, e, first, n in own if e == epoch)
+            assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:], strict=False)) and all(0 <= a < b <= r.size for a, b in spans)
+    every = taken.agg(F.sum("taken")).first()[0]
+    monkeypatch.setattr(mix, "splitting_tree", lambda *a: real(*a).where("shard % 2 = 0"))
+    half = run(spark, df, block_words=16, blocks_a_shard=50)[2].agg(F.sum("taken")).first()[0]
+    assert 0.3 * every < half < 0.7 * every
+
+
+def test_permutation_is_no_identity(spark):
+    for count in (2, 6, 7, 18, 77, 151):
+        goal = spark.createDataFrame([("a", 16 * count, 0.0, 16 * count)], "source string, source_size long, target double, words long")
+        items = mix.draw_epochs(goal, 16, 0)
+        leaves = spark.createDataFrame([(i, "a", 1) for i in range(count)], "shard long, source string, blocks long")
+        order = [r.block for r in mix.draw_blocks(items, leaves, 0).orderBy("shard").collect()]
+        assert sorted(order) == list(range(count)) and (count == 2 or order != sorted(order))
+
+
+def test_clashing_columns_are_not_read(spark):
+    df = table(spark).select("*", *[F.lit(7).alias(c) for c in ("h", "bucket", "slot", "local", "offset", "words", "s", "b", "before", "carried")])
+    key = ["doc_id", "source", "size", "taken"]
+    got = run(spark, df, block_words=16)[2].select(*key)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, run(spark, table(spark), block_words=16)[2].select(*key).collect()))
 
 
 def test_hypergeometric_draws_have_their_distribution(spark):
