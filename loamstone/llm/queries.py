@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamstone.llm import chat, decontaminate, line_dedup, mix, near_dup, pii, token_counts, toxicity, url_filter, vector_join
-from loamstone.llm.common import materialise
+from loamstone.llm.common import materialise, scratch_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,12 +69,16 @@ END_OF_DOCUMENT = 50256
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    streams = token_counts.encode(table(spark, sf_dir, "documents"), RANKS_PATH, end=END_OF_DOCUMENT)
-    streams = materialise(streams, "tokens", compression="zstd")
-    found = token_counts.separators(streams.where("block IS NOT NULL"), END_OF_DOCUMENT)
+    folder = f"{scratch_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    order = token_counts.write_files(table(spark, sf_dir, "documents"), folder, RANKS_PATH, end=END_OF_DOCUMENT)
+    order = materialise(order, "order")
+    if order.isEmpty():
+        return order.select("doc_id", F.lit(0).cast("long").alias("n_tokens"))
+    found = token_counts.separators(token_counts.read_files(spark, folder), END_OF_DOCUMENT)
     lengths = token_counts.document_lengths(materialise(found, "separators"))
-    order = streams.where("place IS NOT NULL").select("stream", "place", "doc_id")
-    return order.join(lengths, ["stream", "place"]).select("doc_id", "n_tokens")
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    order = order.select(name(F.col("file")).alias("stream"), "place", "doc_id")
+    return order.join(lengths.withColumn("stream", name(F.col("stream"))), ["stream", "place"]).select("doc_id", "n_tokens")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

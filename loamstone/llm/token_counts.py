@@ -1,34 +1,40 @@
 """Token counts of documents in flat token files, by scanning for separators.
 
 A token file is a stream of fixed-width token ids; an end-of-document id
-follows each document and nothing else says where documents lie. The stream
-is read in blocks:
+follows each document and nothing else says where documents lie. A file
+is read in byte ranges of whole blocks, each by a task of its own:
  1. in each block a vectorised comparison finds the separators;
  2. prefix sums of tokens and separators and a prefix maximum of the last
     separator's place run over the blocks, inside groups of GROUP blocks first and then over the groups,
-    so that one long stream is not one task's work;
+    so that one long file is not one task's work;
  3. a block's first document starts where the last separator before it was,
     in whichever block; the others lie between separators of the block.
 
-`encode` writes such streams, cut in blocks, with the order of the documents
-beside them; `read_files` reads flat files that others wrote.
+`write_files` writes such files, one for each partition of documents, and returns
+their names with the order of the documents in them; `read_files` reads them, or flat files that others wrote.
+Files are reached through the file system of their URI (local or mounted, HDFS, S3, GCS), which all executors must share.
+A task writes under a name of its own, which only the rows of its committed attempt mention; what a lost executor left is read for nothing.
 
 Defined results:
  - null or empty text: no tokens; text that spells a special token is ordinary text;
  - null or repeated doc_id: each row is a document of its own;
  - empty documents, and separators at block ends: count 0 where nothing lies between;
  - tokens after the last separator: one more document, not closed;
- - very long texts: whole, over as many blocks as they take; an empty table gives an empty result;
+ - very long texts and files: whole, over as many blocks and ranges as they take; an empty table or file gives an empty result;
+ - an id that does not fit the width, or a file that is no whole number of tokens, is an error;
  - other columns are not read.
 """
 
 from __future__ import annotations
 
 import base64
+import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -53,71 +59,77 @@ def encoder(ranks_file: bytes, pattern: str = PATTERN):
     return _encoders[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, *, end: int = 50256, block_tokens: int = 8192, pattern: str = PATTERN) -> DataFrame:
-    """docs (doc_id, text) -> rows of two kinds: blocks (stream, block, tokens) and order (stream, place, doc_id).
+def _open(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", re.sub("^file:/+", "/", uri)))
 
-    Each partition is a stream. The file of ranks is read by the driver and
-    sent along, so executors need no copy. Tokens are little-endian uint16.
+
+def write_files(
+    docs: DataFrame, folder: str, ranks_path: str, *, end: int = 50256, width: int = 2, pattern: str = PATTERN
+) -> DataFrame:
+    """docs (doc_id, text) -> file, place, doc_id: a row for each document; the file of each partition holds its tokens.
+
+    The file of ranks is read by the driver and sent along, so executors need
+    no copy. Tokens are little-endian and `width` bytes wide. The files are written when
+    the rows are, so write the rows once.
     """
     with open(ranks_path, "rb") as f:
         ranks_file = f.read()
+    kind = np.dtype(f"<u{width}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, stream = encoder(ranks_file, pattern), TaskContext.get().partitionId()
-        block = place = 0
-        held, size = [], 0
-
-        def cut(all_: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal block, held, size
-            flat = np.concatenate(held) if held else np.zeros(0, np.uint16)
-            stop = len(flat) if all_ else len(flat) - len(flat) % block_tokens
-            data = [flat[i : min(i + block_tokens, stop)].tobytes() for i in range(0, stop, block_tokens)]
-            n = len(data)
-            if n:
-                columns = [
-                    pa.array([stream] * n, pa.int32()), pa.array(range(block, block + n), pa.int64()),
-                    pa.array(data, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names)
-            block += n
-            held, size = [flat[stop:]], len(flat) - stop
-
-        names = ["stream", "block", "tokens", "place", "doc_id"]
-        for batch in batches:
-            n = len(batch)
-            if not n:
-                continue
-            columns = [
-                pa.array([stream] * n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()),
-                pa.array(range(place, place + n), pa.int64()), batch.column(0),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names)
-            place += n
-            for text in batch.column(1):
-                held.append(np.array([*enc.encode_ordinary(text.as_py() or ""), end], dtype=np.uint16))
-                size += len(held[-1])
-                if size >= 64 * block_tokens:
-                    yield from cut(False)
-        yield from cut(True)
+        enc, place = encoder(ranks_file, pattern), 0
+        name = f"{folder}/{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tokens"
+        system, path = _open(name)
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(path) as out:
+            for batch in batches:
+                for text in batch.column(1):
+                    ids = np.array([*enc.encode_ordinary(text.as_py() or ""), end], dtype=np.uint64)
+                    if int(ids.max()) >> (8 * width):
+                        raise ValueError(f"token id {int(ids.max())} does not fit into {width} bytes")
+                    out.write(ids.astype(kind).tobytes())
+                n = len(batch)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([name] * n, pa.string()), pa.array(range(place, place + n), pa.int64()), batch.column(0)], ["file", "place", "doc_id"]
+                )
+                place += n
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(run, "stream int, block long, tokens binary, place long, doc_id long")
+    return slim.mapInArrow(run, "file string, place long, doc_id long")
+
+
+def file_ranges(spark: SparkSession, path: str, range_bytes: int) -> DataFrame:
+    """file, first byte and length of each range of the files that a path or a list of paths names; lists names and lengths alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), "length")
+    starts = F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))
+    ranges = files.where("length > 0").select("file", "length", F.explode(starts).alias("first"))
+    return ranges.select("file", "first", F.least(F.lit(range_bytes).cast("long"), F.col("length") - F.col("first")).alias("n"))
 
 
-def read_files(spark: SparkSession, path: str, *, width: int = 2, block_tokens: int = 8192) -> DataFrame:
-    """Flat token files -> stream (the file), block, tokens. Each file is read by one task and so must fit in it."""
+def read_files(spark: SparkSession, path, *, width: int = 2, block_tokens: int = 8192, range_blocks: int = 512) -> DataFrame:
+    """Flat token files -> stream (the file), block, tokens. A range of range_blocks blocks is a unit of work, whatever the size of its file."""
+    step = block_tokens * width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        step = block_tokens * width
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                data = content.as_py()
-                parts = [data[i : i + step] for i in range(0, len(data), step)]
-                columns = [pa.array([name] * len(parts), pa.string()), pa.array(range(len(parts)), pa.int64()), pa.array(parts, pa.binary())]
+            for name, first, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if n % width:
+                    raise ValueError(f"{name} is no whole number of tokens of {width} bytes")
+                system, inner = _open(name)
+                with system.open_input_file(inner) as f:
+                    f.seek(first)
+                    data = f.read(n)
+                if len(data) != n:
+                    raise OSError(f"{name}: {len(data)} of {n} bytes at {first}")
+                parts = [data[i : i + step] for i in range(0, n, step)]
+                number = range(first // step, first // step + len(parts))
+                columns = [pa.array([name] * len(parts), pa.string()), pa.array(number, pa.int64()), pa.array(parts, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["stream", "block", "tokens"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(run, "stream string, block long, tokens binary")
+    ranges = file_ranges(spark, path, step * range_blocks)
+    tasks = max(1, min(ranges.count(), 4 * spark.sparkContext.defaultParallelism, 1 << 15))
+    return ranges.repartition(tasks, "file", "first").mapInArrow(run, "stream string, block long, tokens binary")
 
 
 def separators(blocks: DataFrame, end: int, width: int = 2) -> DataFrame:

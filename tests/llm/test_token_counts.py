@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from loamstone.llm import token_counts
-from loamstone.llm.queries import END_OF_DOCUMENT, RANKS_PATH
+from loamstone.llm.queries import END_OF_DOCUMENT, RANKS_PATH, op7_token_counts
 from tests.llm.helpers import docs, random_texts
 
 
@@ -40,15 +40,45 @@ def test_flat_files(spark, tmp_path):
         assert sorted((x.place, x.n_tokens, x.closed) for x in got if x.stream.endswith(name)) == brute(t, 0)
 
 
-def test_documents_against_the_tokenizer(spark):
+def test_one_file_is_many_tasks(spark, tmp_path):
+    r = np.random.default_rng(1)
+    t = r.integers(0, 50, 20_011).astype("<u2")
+    t.tofile(tmp_path / "long.bin")
+    (tmp_path / "empty.bin").write_bytes(b"")
+    for block, ranges in ((1, 4096), (7, 64), (64, 16), (8192, 1), (1 << 20, 512)):
+        blocks = token_counts.read_files(spark, [str(tmp_path / "long.bin"), str(tmp_path / "empty.bin")], block_tokens=block, range_blocks=ranges)
+        want = -(-len(t) // (block * ranges))
+        assert token_counts.file_ranges(spark, str(tmp_path), 2 * block * ranges).count() == want
+        assert blocks.rdd.getNumPartitions() == min(want, 4 * spark.sparkContext.defaultParallelism)
+        got = token_counts.document_lengths(token_counts.separators(blocks, 0)).collect()
+        assert sorted((x.place, x.n_tokens, x.closed) for x in got) == brute(t, 0)
+
+
+def test_ids_beyond_the_width(spark, tmp_path):
+    one = docs(spark, [(1, "a b c")])
+    with pytest.raises(Exception, match="does not fit into 1 bytes"):
+        token_counts.write_files(one, str(tmp_path / "a"), RANKS_PATH, width=1).collect()
+    (tmp_path / "odd.bin").write_bytes(b"abc")
+    with pytest.raises(Exception, match="no whole number of tokens"):
+        token_counts.read_files(spark, str(tmp_path / "odd.bin")).collect()
+
+
+@pytest.mark.parametrize("width", [2, 4])
+def test_documents_against_the_tokenizer(spark, tmp_path, width):
     rows = list(enumerate(random_texts(80, 5))) + [(90, None), (91, ""), (92, "<|endoftext|>"), (None, "x"), (93, "é " * 60_000), (92, "twice")]
     table = docs(spark, rows).repartition(3)
     with open(RANKS_PATH, "rb") as f:
         enc = token_counts.encoder(f.read())
-    streams = token_counts.encode(table, RANKS_PATH, block_tokens=256).cache()
-    lengths = token_counts.document_lengths(token_counts.separators(streams.where("block IS NOT NULL"), END_OF_DOCUMENT))
-    order = streams.where("place IS NOT NULL").select("stream", "place", "doc_id")
-    got = sorted(((r.doc_id, r.n_tokens) for r in order.join(lengths, ["stream", "place"]).collect()), key=repr)
+    order = token_counts.write_files(table, str(tmp_path / "t"), RANKS_PATH, width=width).collect()
+    blocks = token_counts.read_files(spark, str(tmp_path / "t"), width=width, block_tokens=256, range_blocks=4)
+    lengths = token_counts.document_lengths(token_counts.separators(blocks, END_OF_DOCUMENT, width)).collect()
+    by = {(r.stream.rpartition("/")[2], r.place): r.n_tokens for r in lengths}
+    got = sorted(((r.doc_id, by[r.file.rpartition("/")[2], r.place]) for r in order), key=repr)
     assert got == sorted(((i, len(enc.encode_ordinary(t or ""))) for i, t in rows), key=repr)
-    empty = token_counts.encode(table.limit(0), RANKS_PATH)
-    assert token_counts.document_lengths(token_counts.separators(empty.where("block IS NOT NULL"), END_OF_DOCUMENT)).count() == 0
+
+
+def test_query(spark, tmp_path):
+    for name, rows in (("some", [(1, "a b"), (2, None)]), ("none", [])):
+        docs(spark, rows).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = sorted(map(tuple, op7_token_counts(spark, f"{tmp_path}/{name}").collect()))
+        assert got == ([(1, 2), (2, 0)] if rows else [])
