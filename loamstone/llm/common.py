@@ -50,19 +50,49 @@ def _delete_quietly(jvm, conf, path: str) -> None:
         _delete(jvm, conf, path)
 
 
-def materialise(df: DataFrame, label: str, **options: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, *, partition_by: tuple[str, ...] = (), **options: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage is cut and lost executors cost no rework."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    df.write.options(**options).partitionBy(*partition_by).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._loamstone_path = path
     return back
 
 
+def materialise_sorted(df: DataFrame, label: str, keys: tuple[str, ...], buckets: int) -> DataFrame:
+    """Write df as a table of `buckets` sorted files, dealt by a hash of the keys, in the shared folder, and read it back.
+
+    df should come from an aggregate or join by the keys, in as many shuffle
+    partitions, so that each bucket is one file. A merge join or an aggregate by the
+    keys then reads such tables without an exchange, and inside sorted_reads() without a sort.
+    """
+    spark = df.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}"
+    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    back = spark.table(name)
+    back._loamstone_path, back._loamstone_table = path, name
+    return back
+
+
+@contextlib.contextmanager
+def sorted_reads(spark: SparkSession):
+    """While this is open, plans rely on the order inside bucket files."""
+    key = "spark.sql.legacy.bucketedTableScan.outputOrdering"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def discard(*frames: DataFrame) -> None:
-    """Delete what materialise() wrote for these frames; frames that it did not make are left alone."""
+    """Delete what was materialised for these frames; other frames are left alone."""
     for df in frames:
+        if table := getattr(df, "_loamstone_table", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
         path = getattr(df, "_loamstone_path", None)
         if path:
             _delete(*_files(df.sparkSession), path)

@@ -1,16 +1,18 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-A `LineRuns` store holds runs (key hash, number of documents, largest
-doc_id), each sorted by hash. A batch of documents is ingested in three steps:
-its lines are hashed into postings (hash, doc_id); the postings are
-aggregated, merge-anti-joined with the runs' decided keys, and the rest is
-added as a run of level 0. Whenever a level holds `fanout` runs they are
-merged into one run of the next level, so a key is rewritten once a level.
-
-Batches are ranges of doc_id, largest first. A key that has been seen in
-`min_docs` documents is decided then: later batches only have smaller ids, so
+One pass over the texts hashes their lines into postings (hash, doc_id), dealt to batches. A `LineRuns` store holds
+runs (key hash, number of documents, largest doc_id); a run is a table of buckets
+by hash, each bucket a sorted file. A batch is ingested in two steps:
+its postings are aggregated, which deals them into the same buckets, and
+merge-anti-joined with every run's decided keys, bucket by bucket; the rest is
+added as a run of level 0. The runs' side of these joins is neither shuffled nor sorted, so
+a batch costs its own rows and one sequential read of the runs. Whenever a level holds `fanout` runs they are
+merged, again bucket by bucket, into one run of the next level, so a key is rewritten once a level.
+
+Batches are ranges of doc_id, largest first. A key that a run has counted in
+`min_docs` documents is decided: later batches only have smaller ids, so
 neither its fate nor the document that keeps it can change, and its further
-postings need no room in the runs.
+postings need no room in the runs. The texts are read twice, to hash lines and to drop them, however many batches there are.
 
 Defined results:
  - null or empty text: one empty line, kept;
@@ -23,10 +25,10 @@ Defined results:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm.common import WHITESPACE, ascii_fold, discard, materialise
+from loamstone.llm.common import WHITESPACE, ascii_fold, discard, materialise, materialise_sorted, sorted_reads
 
 #: Stands for a null doc_id inside the operator.
 NO_ID = -(2**63)
@@ -44,76 +46,80 @@ def _id(col: Column) -> Column:
     return F.coalesce(col.cast("long"), F.lit(NO_ID))
 
 
+def postings_of(docs: DataFrame, cuts: list[int], min_chars: int) -> DataFrame:
+    """docs (doc_id, text) -> k1, k2, doc, batch: a row for each distinct long line of a row; batch 0 has the largest ids."""
+    long_lines = F.filter(F.transform(lines_of(F.col("text")), stripped), lambda x: F.length(x) >= min_chars)
+    keys = F.transform(
+        F.transform(long_lines, ascii_fold), lambda x: F.struct(F.xxhash64(x).alias("k1"), F.hash(x).alias("k2"))
+    )
+    doc = _id(F.col("doc_id"))
+    batch = F.lit(0)
+    for cut in cuts:
+        batch = batch + (doc <= cut).cast("int")
+    return docs.select(doc.alias("doc"), batch.alias("batch"), F.explode(F.array_distinct(keys)).alias("k")).select("k.k1", "k.k2", "doc", "batch")
+
+
 class LineRuns:
-    """The levelled store; every run is a sorted Parquet table in the shared folder."""
+    """The levelled store; every run is a bucketed, sorted table in the shared folder."""
 
-    def __init__(self, min_docs: int = 5, min_chars: int = 40, fanout: int = 4):
-        self.min_docs, self.min_chars, self.fanout = min_docs, min_chars, fanout
+    KEYS = ("k1", "k2")
+
+    def __init__(self, spark: SparkSession, min_docs: int = 5, fanout: int = 2):
+        self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = [[]]
-        self.postings: list[DataFrame] = []
 
-    def runs(self) -> DataFrame | None:
-        out = None
-        for run in (r for level in self.levels for r in level):
-            out = run if out is None else out.unionByName(run)
+    def runs(self) -> list[DataFrame]:
+        return [r for level in self.levels for r in level]
+
+    def merged(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """Two runs as one: a full outer merge join, in which buckets of equal number meet in a task, so nothing is shuffled.
+
+        A union would not do: Spark 4.1 takes a union of bucketed tables as dealt by their key, but sets their buckets side by side.
+        """
+        a, b = (r.select(*self.KEYS, F.col("n").alias(f"n{i}"), F.col("last").alias(f"l{i}")) for i, r in enumerate((a, b)))
+        n = F.coalesce("n0", F.lit(0)) + F.coalesce("n1", F.lit(0))
+        return a.join(b.hint("merge"), list(self.KEYS), "full_outer").select(*self.KEYS, n.alias("n"), F.greatest("l0", "l1").alias("last"))
+
+    def _merge(self, runs: list[DataFrame], label: str) -> DataFrame:
+        """One run of several, written after each merge; the runs are deleted."""
+        out = runs[0]
+        for r in runs[1:]:
+            with sorted_reads(self.spark):
+                both = materialise_sorted(self.merged(out, r), label, self.KEYS, self.buckets)
+            discard(out, r)
+            out = both
         return out
 
-    def _merged(self, runs: DataFrame) -> DataFrame:
-        return runs.groupBy("k1", "k2").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
-
-    def ingest(self, batch: DataFrame) -> None:
-        """batch: (doc_id, text); its ids must all be smaller than those ingested before."""
-        long_lines = F.filter(F.transform(lines_of(F.col("text")), stripped), lambda x: F.length(x) >= self.min_chars)
-        keys = F.transform(
-            F.transform(long_lines, ascii_fold), lambda x: F.struct(F.xxhash64(x).alias("k1"), F.hash(x).alias("k2"))
-        )
-        postings = materialise(
-            batch.select(_id(F.col("doc_id")).alias("doc"), F.explode(F.array_distinct(keys)).alias("k")).select(
-                "k.k1", "k.k2", "doc"
-            ),
-            "postings",
-        )
-        self.postings.append(postings)
-        run = (
-            postings.distinct().groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("doc").alias("last"))
-        )
-        if (runs := self.runs()) is not None:
-            decided = self._merged(runs).where(F.col("n") >= self.min_docs).select("k1", "k2")
-            run = run.join(decided, ["k1", "k2"], "left_anti")
-        self._add(run)
-
-    def _add(self, run: DataFrame, level: int = 0) -> None:
-        self.levels[level].append(materialise(run.sortWithinPartitions("k1", "k2"), f"run{level}"))
+    def undecided(self, postings: DataFrame) -> DataFrame:
+        """What a batch adds: its keys with counts, merge-anti-joined with each run's decided keys."""
+        run = postings.select("k1", "k2", "doc").distinct().groupBy(*self.KEYS).agg(F.count("*").alias("n"), F.max("doc").alias("last"))
+        for held in self.runs():
+            decided = held.where(F.col("n") >= self.min_docs).select(*self.KEYS)
+            run = run.join(decided.hint("merge"), list(self.KEYS), "left_anti")
+        return run
+
+    def ingest(self, postings: DataFrame) -> None:
+        """postings (k1, k2, doc) of a batch; its ids must all be smaller than those ingested before."""
+        with sorted_reads(self.spark):
+            self._add(materialise_sorted(self.undecided(postings), "run0", self.KEYS, self.buckets), 0)
+
+    def _add(self, run: DataFrame, level: int) -> None:
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(run)
         if len(self.levels[level]) == self.fanout:
             full, self.levels[level] = self.levels[level], []
-            if level + 1 == len(self.levels):
-                self.levels.append([])
-            merged = full[0]
-            for r in full[1:]:
-                merged = merged.unionByName(r)
-            self._add(self._merged(merged), level + 1)
-            discard(*full)
+            self._add(self._merge(full, f"run{level + 1}"), level + 1)
 
     def repeated(self) -> DataFrame:
-        """(k1, k2, last) of the keys found in at least min_docs documents."""
-        return self._merged(self.runs()).where(F.col("n") >= self.min_docs).select("k1", "k2", "last")
-
-    def drops(self) -> DataFrame:
-        """(doc, hashes): the keys that a document loses; documents that lose none have no row."""
-        postings = self.postings[0]
-        for p in self.postings[1:]:
-            postings = postings.unionByName(p)
-        repeated = materialise(self.repeated(), "repeated")  # both sides of the join are then plain scans, split where skewed
-        return (
-            postings.join(repeated, ["k1", "k2"])
-            .where(F.col("doc") != F.col("last"))
-            .groupBy("doc")
-            .agg(F.collect_set("k1").alias("hashes"))
-        )
+        """(k1, k2, last) of the keys found in at least min_docs documents; all runs become one."""
+        self.levels = [[self._merge(self.runs(), "all")]]
+        return self.runs()[0].where(F.col("n") >= self.min_docs).select("k1", "k2", "last")
 
 
 def drop_repeated_lines(
-    docs: DataFrame, *, batches: int = 4, min_docs: int = 5, min_chars: int = 40, fanout: int = 4
+    docs: DataFrame, *, batches: int = 4, min_docs: int = 5, min_chars: int = 40, fanout: int = 2
 ) -> DataFrame:
     """docs (doc_id, text, ...) -> struct column `row` of all its columns, `lines` and `kept` arrays of strings."""
     slim = docs.select("doc_id", "text")
@@ -121,17 +127,15 @@ def drop_repeated_lines(
         F.percentile_approx(_id(F.col("doc_id")), [i / batches for i in range(batches - 1, 0, -1)], 10000).alias("cuts")
     ).first()["cuts"]
     cuts = sorted(set(cuts or []), reverse=True)
-    store = LineRuns(min_docs, min_chars, fanout)
-    ident = _id(F.col("doc_id"))
-    for hi, lo in zip([None, *cuts], [*cuts, None], strict=True):
-        part = slim
-        if hi is not None:
-            part = part.where(ident <= hi)
-        if lo is not None:
-            part = part.where(ident > lo)
-        store.ingest(part)
-    drops = materialise(store.drops(), "drops")
-    discard(*store.postings, *(r for level in store.levels for r in level))
+    postings = materialise(postings_of(slim, cuts, min_chars), "postings", partition_by=("batch",))
+    store = LineRuns(docs.sparkSession, min_docs, fanout)
+    for batch in range(len(cuts) + 1):
+        store.ingest(postings.where(F.col("batch") == batch))
+    repeated = materialise(store.repeated(), "repeated")  # both sides of the join are then plain scans, split where skewed
+    # (doc, hashes): the keys that a document loses; documents that lose none have no row.
+    drops = postings.join(repeated, ["k1", "k2"]).where(F.col("doc") != F.col("last"))
+    drops = materialise(drops.groupBy("doc").agg(F.collect_set("k1").alias("hashes")), "drops")
+    discard(postings, repeated, *store.runs())
     rows = docs.select(_id(docs["doc_id"]).alias("doc"), docs["text"].alias("text"), F.struct("*").alias("row"))
     # A merge join at every size: the shuffle then follows the input, whether or not the drops are few.
     split = rows.join(drops.hint("merge"), "doc", "left").select(

@@ -1,7 +1,10 @@
 import hashlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from loamstone.llm import line_dedup
+from loamstone.llm.common import sorted_reads
 from tests.llm.helpers import SPACE, ascii_lower, docs
 
 LONG = "This is a line of more than forty characters in all"
@@ -53,10 +56,54 @@ def test_texts_keep_their_columns(spark):
     assert kept[0].n_chars == len(kept[0].text) and LONG + "\n" not in kept[0].text and kept[0].row == "x"
 
 
-def test_runs_are_compacted(spark):
-    store = line_dedup.LineRuns(fanout=2)
+def batches_of(spark):
     for lo in (30, 20, 10, 0):
-        store.ingest(docs(spark, [(lo + i, f"{LONG}\n{LONG} {lo + i}") for i in range(3)]))
-    assert [len(level) for level in store.levels] == [0, 0, 1]
+        yield line_dedup.postings_of(docs(spark, [(lo + i, f"{LONG}\n{LONG} {lo + i}") for i in range(3)]), [], 40)
+
+
+def test_runs_are_compacted(spark):
+    store, sizes = line_dedup.LineRuns(spark, fanout=2), []
+    for postings in batches_of(spark):
+        store.ingest(postings)
+        sizes.append([len(level) for level in store.levels])
+    assert sizes == [[1], [0, 1], [1, 1], [0, 0, 1]]
     top = store.repeated().collect()
     assert len(top) == 1 and top[0]["last"] == 32
+    assert store.runs()[0].where(F.col("last") == 32).count() == 2  # the repeated line, decided in the second level, and a line of its own
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_runs_are_neither_shuffled_nor_sorted(spark):
+    """Merge-anti-joins and merges read buckets as they lie; only the batch itself is shuffled."""
+    store, postings = line_dedup.LineRuns(spark, fanout=3), list(batches_of(spark))
+    store.ingest(postings[0])
+    store.ingest(postings[1])
+    with sorted_reads(spark):
+        join = plan_of(store.undecided(postings[2]))
+        merge = plan_of(store.merged(*store.runs()))
+    assert join.count("SortMergeJoin") == 2 and join.count("Bucketed: true") == 2
+    run_lines = [line for line in join.splitlines() if "Bucketed: true" in line]
+    lines = join.splitlines()
+    for line in run_lines:  # from the scan up to its join there is a filter and a projection, no more
+        at, up = lines.index(line), []
+        for above in reversed(lines[:at]):
+            depth = len(above) - len(above.lstrip(" :+-"))
+            if depth < len(line) - len(line.lstrip(" :+-")) - 3 * len(up):
+                up.append(above.strip(" :+-").split(" ")[0])
+                if "SortMergeJoin" in above:
+                    break
+        assert "Exchange" not in up and "Sort" not in up
+    assert "Exchange" not in merge and " Sort " not in merge and merge.count("Bucketed: true") == 2
+
+
+def test_texts_are_read_twice_however_many_batches(spark, monkeypatch):
+    hashed = []
+    real = line_dedup.postings_of
+    monkeypatch.setattr(line_dedup, "postings_of", lambda *a: hashed.append(1) or real(*a))
+    for batches in (1, 6):
+        hashed.clear()
+        assert found(line_dedup.drop_repeated_lines(docs(spark, rows()), batches=batches)) == brute(rows())
+        assert len(hashed) == 1
