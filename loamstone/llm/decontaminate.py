@@ -13,10 +13,9 @@ Items shorter than `window` words are one window each. They hold too few words
 for the guarantee, so each of their lengths (fewer than `window`) is compared
 at every position of the documents.
 
-Fingerprints of the items are broadcast only if their counted number is at
-most `broadcast_rows`; beyond that the join shuffles. Hits are joined by
-window text, distinct for each document, so a passage that many documents and
-items share costs a row a document and not one for each pair of places.
+What is broadcast has been counted: at most `broadcast_rows` rows and BROADCAST_BYTES bytes; beyond that the join
+shuffles. Items are gathered by window before documents meet them, so a passage that D documents and M items share
+makes D rows and not D * M.
 
 Defined results:
  - null or empty text, or one without words: no words, never contaminated; an item without words matches nothing;
@@ -43,29 +42,44 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(ascii_fold(text), F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def count_words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(ascii_fold(text), F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def positions(n: Column, span: Column | int) -> Column:
     """1 .. n - span + 1, empty if the text is shorter."""
     return F.when(n >= span, F.sequence(F.lit(1), n - span + 1)).otherwise(F.array().cast("array<int>"))
 
 
-def window_minima(words: Column, window: int, k: int) -> Column:
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda x: F.xxhash64(x))
+
+
+def gram_hashes(hashes: Column, span: int) -> Column:
+    """Hashes of the runs of `span` words, by first word; of single elements, as slices would copy every word span times."""
+    return F.transform(positions(F.size(hashes), span), lambda i: F.xxhash64(*[F.element_at(hashes, i + j) for j in range(span)]))
+
+
+def window_minima(hashes: Column, window: int, k: int) -> Column:
     """The smallest hash among the k-grams of each run of `window` words, by its first word."""
+    per = window - k + 1
+    if per == 1:
+        return gram_hashes(hashes, k)
 
     def minima(grams: Column) -> Column:
-        per = window - k + 1
-        return F.transform(positions(F.size(grams), per), lambda i: F.array_min(F.slice(grams, i, per)))
+        return F.transform(positions(F.size(grams), per), lambda i: F.least(*[F.element_at(grams, i + j) for j in range(per)]))
 
-    grams = F.transform(positions(F.size(words), k), lambda i: F.xxhash64(F.slice(words, i, k)))
-    return let(grams, minima)
+    return let(gram_hashes(hashes, k), minima)
 
 
-def gram_hashes(words: Column, span: int) -> Column:
-    return F.transform(positions(F.size(words), span), lambda i: F.xxhash64(F.slice(words, i, span)))
+#: Bytes that are broadcast at most.
+BROADCAST_BYTES = 64 << 20
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether df has at most so many rows; reads no more than that."""
-    return df.limit(rows + 1).count() <= rows
+def fits(df: DataFrame, rows: int, size: Column | None = None) -> bool:
+    """Whether df, which must be materialised, has at most so many rows and, by the size of each, BROADCAST_BYTES bytes."""
+    found = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.lit(16) if size is None else size), F.lit(0)).alias("bytes")).first()
+    return found["n"] <= rows and found["bytes"] <= BROADCAST_BYTES
 
 
 def contamination(
@@ -78,33 +92,39 @@ def contamination(
     window, and item_ids is the sorted array of the items found, as strings.
     """
 
-    def small(df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if fits(df, broadcast_rows) else df
+    def small(df: DataFrame, size: Column | None = None) -> DataFrame:
+        return F.broadcast(df) if fits(df, broadcast_rows, size) else df
 
     item_words = items.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("w"))
     item_words = materialise(item_words.where(F.size("w") > 0), "items")
     span = F.least(F.size("w"), F.lit(window))
     spans = F.transform(positions(F.size("w"), span), lambda i: F.concat_ws(" ", F.slice("w", i, span)))
-    windows = item_words.select("item", span.alias("span"), F.explode(spans).alias("win")).distinct()
-    windows = materialise(windows, "windows")
+    windows = item_words.select("item", span.alias("span"), F.explode(spans).alias("win"))
+    windows = materialise(windows.groupBy("span", "win").agg(F.collect_set("item").alias("items")), "windows")
     # At most window - 1 numbers: the lengths of items that are shorter than a window.
     short = sorted(r[0] for r in item_words.where(F.size("w") < window).select(F.size("w")).distinct().collect())
-    own = F.when(F.size("w") < window, F.array(F.xxhash64("w"))).otherwise(window_minima(F.col("w"), window, k))
-    prints = materialise(item_words.select(F.explode(own).alias("print")).distinct(), "prints")
 
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    def prints_of(w: Column) -> Column:
+        return let(word_hashes(w), lambda h: F.array_distinct(F.concat(window_minima(h, window, k), *[gram_hashes(h, n) for n in short])))
+
+    def own(h: Column) -> Column:
+        whole = F.lit(None)  # a short item's print is that of all its words
+        for n in short:
+            whole = F.when(F.size(h) == n, gram_hashes(h, n)).otherwise(whole)
+        return F.when(F.size(h) < window, whole).otherwise(window_minima(h, window, k))
 
-    def doc_prints(w: Column) -> Column:
-        return F.array_distinct(F.concat(window_minima(w, window, k), *[gram_hashes(w, n) for n in short]))
+    prints = materialise(item_words.select(F.explode(let(word_hashes(F.col("w")), own)).alias("print")).distinct(), "prints")
 
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     hits = (
-        texts.select("doc_id", "text_hash", F.explode(let(words_of(F.col("text")), doc_prints)).alias("print"))
+        texts.select("doc_id", "text_hash", F.explode(let(words_of(F.col("text")), prints_of)).alias("print"))
         .join(small(prints), "print")
         .groupBy("doc_id", "text_hash")
         .agg(F.collect_set("print").alias("hits"))
     )
     hits = materialise(hits.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("h"), "hits"), "hits")
-    hit_texts = texts.join(small(hits), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h")))
+    small_hits = small(hits, 32 + 8 * F.size("hits"))
+    hit_texts = texts.join(small_hits, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("h")))
     hit_texts = hit_texts.select("doc_id", "text_hash", "text", "hits").dropDuplicates(["doc_id", "text_hash"])
 
     def candidates(w: Column) -> Column:
@@ -122,22 +142,24 @@ def contamination(
             )
             return F.filter(marked, lambda x: x.isNotNull())
 
-        return F.concat(of(window, window_minima(w, window, k)), *[of(n, gram_hashes(w, n)) for n in short])
+        return let(word_hashes(w), lambda h: F.concat(of(window, window_minima(h, window, k)), *[of(n, gram_hashes(h, n)) for n in short]))
 
     at = hit_texts.select("doc_id", "text_hash", F.explode(let(words_of(F.col("text")), candidates)).alias("c"))
-    found = at.select("doc_id", "text_hash", "c.first", "c.span", "c.win").join(small(windows), ["span", "win"])
+    names = F.aggregate("items", F.lit(0), lambda s, x: s + 16 + F.length(x))
+    found = at.select("doc_id", "text_hash", "c.first", "c.span", "c.win").join(small(windows, 32 + F.length("win") + names), ["span", "win"])
     covered = F.flatten(F.transform("places", lambda p: F.sequence(p["first"], p["first"] + p["span"] - 1)))
+    # Windows of one passage have one array of items, which collect_set keeps once.
     found = found.groupBy("doc_id", "text_hash").agg(
-        F.collect_set(F.struct("first", "span")).alias("places"), F.array_sort(F.collect_set("item")).alias("item_ids")
-    )
-    return found.select(
-        "doc_id", "text_hash", F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), "item_ids"
+        F.collect_set(F.struct("first", "span")).alias("places"), F.collect_set("items").alias("items")
     )
+    ids = F.array_sort(F.array_distinct(F.flatten("items")))
+    return found.select("doc_id", "text_hash", F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), ids.alias("item_ids"))
 
 
 def judged(docs: DataFrame, found: DataFrame, how: str, broadcast_rows: int = 200_000) -> DataFrame:
     """docs joined with what contamination() found, which must be materialised."""
-    small = F.broadcast(found) if fits(found, broadcast_rows) else found
+    names = F.aggregate("item_ids", F.lit(0), lambda s, x: s + 16 + F.length(x))
+    small = F.broadcast(found) if fits(found, broadcast_rows, 32 + names) else found
     small = small.select(F.col("doc_id").alias("_found_id"), F.col("text_hash").alias("_found_hash"), "n_hit", "item_ids")
     same = docs["doc_id"].eqNullSafe(small["_found_id"]) & (F.xxhash64(docs["text"]) == small["_found_hash"])
     return docs.join(small, same, how)

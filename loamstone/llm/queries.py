@@ -87,7 +87,7 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = F.coalesce("item_ids", F.array().cast("array<string>"))
     return decontaminate.judged(docs, found, "left").select(
         "doc_id",
-        F.size(decontaminate.words_of(F.col("text"))).cast("long").alias("n_words"),
+        decontaminate.count_words(F.col("text")).alias("n_words"),
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"),

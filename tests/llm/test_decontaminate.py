@@ -79,3 +79,29 @@ def test_contaminated_rows_go(spark):
     assert sorted((r.doc_id for r in kept.collect()), key=repr) == sorted(
         (d for d, t in rows if d not in bad or (d, t) == (104, "none")), key=repr
     )
+
+
+def test_a_passage_of_many_documents_and_items_makes_a_row_a_document(spark, monkeypatch):
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"before{i} {passage} after{i}") for i in range(40)]
+    items = [(i, f"{passage} item{i} " + " ".join(f"own{i}w{k}" for k in range(9))) for i in range(40)]
+    sizes, real = {}, decontaminate.materialise
+
+    def watched(df, label, **options):
+        out = real(df, label, **options)
+        sizes[label] = out.count()
+        return out
+
+    monkeypatch.setattr(decontaminate, "materialise", watched)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert found(decontaminate.contamination(docs(spark, rows), table)) == brute(rows, items)
+    assert sizes["windows"] == 21 + 40 * 10  # the shared windows once, and each item's own
+    assert sizes["hits"] == 40
+
+
+def test_broadcasts_are_bounded_in_bytes(spark, monkeypatch):
+    rows, items = tables()
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 100)
+    assert not decontaminate.fits(spark.range(7), 100) and decontaminate.fits(spark.range(6), 100)
+    table = spark.createDataFrame(items, "item_id long, text string")
+    assert found(decontaminate.contamination(docs(spark, rows), table)) == brute(rows, items)
