@@ -13,7 +13,7 @@ Items shorter than `window` words are one window each. They hold too few words
 for the guarantee, so each of their lengths (fewer than `window`) is compared
 at every position of the documents.
 
-What is broadcast has been counted: at most `broadcast_rows` rows and BROADCAST_BYTES bytes; beyond that the join
+What is broadcast has been counted: at most `broadcast_rows` rows and common.BROADCAST_BYTES bytes; beyond that the join
 shuffles. Items are gathered by window before documents meet them, so a passage that D documents and M items share
 makes D rows and not D * M.
 
@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamstone.llm.common import ascii_fold, let, materialise
+from loamstone.llm.common import ascii_fold, fits, let, materialise
 
 #: Runs of word characters of the byte image of a text: digits, small letters and all that is not ASCII.
 #: Each is listed, since Java looks up single characters in a bit set but tries ranges one by one.
@@ -72,16 +72,6 @@ def window_minima(hashes: Column, window: int, k: int) -> Column:
     return let(gram_hashes(hashes, k), minima)
 
 
-#: Bytes that are broadcast at most.
-BROADCAST_BYTES = 64 << 20
-
-
-def fits(df: DataFrame, rows: int, size: Column | None = None) -> bool:
-    """Whether df, which must be materialised, has at most so many rows and, by the size of each, BROADCAST_BYTES bytes."""
-    found = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.lit(16) if size is None else size), F.lit(0)).alias("bytes")).first()
-    return found["n"] <= rows and found["bytes"] <= BROADCAST_BYTES
-
-
 def contamination(
     docs: DataFrame, items: DataFrame, *, window: int = 10, k: int = 5, broadcast_rows: int = 200_000
 ) -> DataFrame:

@@ -1,8 +1,10 @@
 """PII: patterns find protected entities; terms that reveal them are found by what they tell about them.
 
  1. Patterns find email addresses, IP addresses, card and phone numbers. Each value is a protected entity.
- 2. The words around each occurrence are counted by entity, once for each distinct context, so that
-    copies of a passage count once. Every such word is a candidate, however rare the entity.
+ 2. The `words` nearest words on each side of an occurrence, however long they are, are counted by entity, once for each distinct
+    context, so that copies of a passage count once. A word is a run of letters and digits outside all spans. Every such
+    word is a candidate, however short or rare and however rare the entity; words are terms without regard to case,
+    which Spark alone folds, so that all counts speak of the same terms.
  3. A candidate t discloses entity e by P(e|t) and by log2(P(e|t) / P(e)) bits. Terms beyond both thresholds are
     generalised to a placeholder; those that all but name the entity are removed.
      - In at least `support` contexts of e, P(e|t) = n(e, t) / n(t), with n(t) the texts of the whole corpus
@@ -26,6 +28,7 @@ Defined results:
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -36,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loamstone.llm.common import discard, materialise
+from loamstone.llm.common import discard, fits, materialise
 
 KINDS = ("email", "ip", "card", "phone", "term")
 LOCAL_PART = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -45,7 +48,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")  # a match only
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]")
-TERM = regex.compile(r"\p{L}{3,}")
+#: The words that may disclose, for both regular expression engines.
+WORD = r"[\p{L}\p{N}]+"
+TERM = regex.compile(WORD)
 
 Span = tuple[int, int, int]  # start, number in KINDS, end
 
@@ -90,16 +95,22 @@ def entity_of(text: str, span: Span) -> int:
     return xxhash.xxh3_64_intdigest(f"{KINDS[span[1]]}:{value}") - (1 << 63)
 
 
-def context_of(text: str, span: Span, spans: list[Span], words: int, reach: int = 40) -> list[str]:
-    """The distinct terms among the `words` words on each side; words inside any span of the text do not count."""
-    size = words * reach
-    start, end = max(0, span[0] - size), min(len(text), span[2] + size)
-    inside = [s for s in spans if s[0] < end and s[2] > start]
-    free = lambda m: all(m.end() <= s[0] or m.start() >= s[2] for s in inside)
-    near = [m for m in TERM.finditer(text, start, end) if free(m)]
-    left = [m for m in near if m.end() <= span[0] and (start == 0 or m.start() > start)][-words:]
-    right = [m for m in near if m.start() >= span[2] and (end == len(text) or m.end() < end)][:words]
-    return sorted({m[0].lower() for m in left + right})
+def contexts_of(text: str, spans: list[Span], words: int) -> list[list[str]]:
+    """For each span the `words` words before it and behind it, of those that touch no span of the text."""
+    if not spans:
+        return []
+    free, at, end = [], 0, 0  # at, end: the next span and how far those before it reach
+    for m in TERM.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            end, at = max(end, spans[at][2]), at + 1
+        if m.start() >= end:
+            free.append(m)
+    starts, ends = [m.start() for m in free], [m.end() for m in free]
+    out = []
+    for a, _, b in spans:
+        i, j = bisect.bisect_right(ends, a), bisect.bisect_left(starts, b)
+        out.append([m[0] for m in (*free[max(i - words, 0) : i], *free[j : j + words])])
+    return out
 
 
 def contexts(docs: DataFrame, words: int) -> DataFrame:
@@ -107,33 +118,33 @@ def contexts(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kind, entity, context, hashes, terms = [], [], [], [], []
+            kind, entity, hashes, around = [], [], [], []
             for text, text_hash in zip(batch.column(0), batch.column(1), strict=True):
                 text = text.as_py() or ""
                 spans = base_spans(text)
-                for s in spans:
-                    around = context_of(text, s, spans, words)
+                for s, near in zip(spans, contexts_of(text, spans, words), strict=True):
                     kind.append(s[1])
                     entity.append(entity_of(text, s))
-                    context.append(xxhash.xxh3_64_intdigest("\n".join(around)) - (1 << 63))
                     hashes.append(text_hash.as_py())
-                    terms.append(around)
-            columns = [pa.array(kind, pa.int32()), *(pa.array(c, pa.int64()) for c in (entity, context, hashes)), pa.array(terms, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, ["kind", "entity", "context", "text_hash", "terms"])
+                    around.append(near)
+            columns = [pa.array(kind, pa.int32()), *(pa.array(c, pa.int64()) for c in (entity, hashes)), pa.array(around, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, ["kind", "entity", "text_hash", "words"])
 
     docs = docs.select("text", F.xxhash64("text").alias("text_hash"))
-    return docs.mapInArrow(run, "kind int, entity long, context long, text_hash long, terms array<string>")
+    found = docs.mapInArrow(run, "kind int, entity long, text_hash long, words array<string>")
+    found = found.select("kind", "entity", "text_hash", F.array_sort(F.array_distinct(F.transform("words", F.lower))).alias("terms"))
+    return found.withColumn("context", F.xxhash64("terms"))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _small(df: DataFrame, rows: int, size: Column | None = None) -> DataFrame:
+    return F.broadcast(df) if fits(df, rows, size) else df
 
 
 def revealing_terms(
     docs: DataFrame, *, words: int = 8, support: int = 3, generalise: float = 0.5, remove: float = 0.9, bits: float = 4.0,
     prior: float = 1.0, broadcast_rows: int = 200_000,
 ) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, text_hash, terms: array of (term, remove), for the texts that hold revealing terms."""
+    """docs (doc_id, text) -> doc_id, text_hash, terms: array of (word as it is written, remove), for the texts that hold revealing terms."""
     docs = docs.select("doc_id", "text")
     total = docs.select(F.xxhash64("text")).distinct().count()
     seen = materialise(contexts(docs, words), "contexts")
@@ -161,14 +172,12 @@ def revealing_terms(
     pairs = materialise(pairs.where(discloses(F.col("x_kt"))), "pairs")
     # A term has at least as many texts as bits of the corpus set in 64; frequent terms are out by that before texts are looked up.
     holds = docs.select(
-        "doc_id",
-        F.xxhash64("text").alias("text_hash"),
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{3,}"), F.lit(0)))).alias("term"),
-    )
+        "doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("word")
+    ).withColumn("term", F.lower("word"))
     marks = holds.groupBy("term").agg(F.expr("bit_count(bit_or(shiftleft(1L, CAST(text_hash & 63 AS INT))))").alias("least"))
     pairs_left = materialise(pairs.join(marks, "term").where(discloses(F.greatest("x_kt", "least"))), "pairs_left")
     candidates = materialise(pairs_left.select("term").distinct(), "candidates")
-    held = materialise(holds.join(_small(candidates, broadcast_rows), "term"), "held")
+    held = materialise(holds.join(_small(candidates, broadcast_rows, 32 + F.length("term")), "term"), "held")
     n_t = held.select("term", "text_hash").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     flagged = (
         pairs_left.join(n_t, "term")
@@ -178,9 +187,9 @@ def revealing_terms(
     )
     flagged = materialise(flagged, "flagged")
     terms = (
-        held.join(_small(flagged, broadcast_rows), "term")
+        held.join(_small(flagged, broadcast_rows, 32 + F.length("term")), "term")
         .groupBy("doc_id", "text_hash")
-        .agg(F.array_sort(F.collect_set(F.struct("term", "remove"))).alias("terms"))
+        .agg(F.array_sort(F.collect_set(F.struct("word", "remove"))).alias("terms"))
     )
     terms = materialise(terms, "terms")
     discard(seen, near, pairs, pairs_left, candidates, held, flagged)
@@ -193,7 +202,8 @@ def find(docs: DataFrame, *, with_text: bool = False, broadcast_rows: int = 200_
     terms = revealing_terms(docs, broadcast_rows=broadcast_rows, **params)
     terms = terms.select(F.col("doc_id").alias("id"), "text_hash", "terms")
     same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.xxhash64("text") == F.col("text_hash"))
-    joined = docs.join(_small(terms, broadcast_rows), same, "left").select("doc_id", "text", "terms")
+    words = F.aggregate("terms", F.lit(48), lambda s, x: s + 32 + F.length(x["word"]))
+    joined = docs.join(_small(terms, broadcast_rows, words), same, "left").select("doc_id", "text", "terms")
     written = lambda spans: ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,12 +212,12 @@ def find(docs: DataFrame, *, with_text: bool = False, broadcast_rows: int = 200_
             for doc_id, text, terms in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
                 text = text.as_py() or ""
                 base = base_spans(text)
-                known = {t["term"]: t["remove"] for t in terms.as_py() or ()}
+                known = {t["word"]: t["remove"] for t in terms.as_py() or ()}
                 drop: dict[Span, bool] = {}
                 if known:
                     for m in TERM.finditer(text):
-                        if (low := m[0].lower()) in known:
-                            drop[(m.start(), 4, m.end())] = known[low]
+                        if m[0] in known:
+                            drop[(m.start(), 4, m.end())] = known[m[0]]
                 spans = sorted([*base, *drop])
                 counts = [sum(1 for s in base if s[1] == k) for k in range(4)]
                 digest = hashlib.sha256(written(base).encode()).hexdigest()

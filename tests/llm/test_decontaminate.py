@@ -1,7 +1,7 @@
 import random
 import re
 
-from loamstone.llm import decontaminate
+from loamstone.llm import common, decontaminate
 from tests.llm.helpers import ascii_lower, docs, random_texts
 
 
@@ -101,7 +101,7 @@ def test_a_passage_of_many_documents_and_items_makes_a_row_a_document(spark, mon
 
 def test_broadcasts_are_bounded_in_bytes(spark, monkeypatch):
     rows, items = tables()
-    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 100)
-    assert not decontaminate.fits(spark.range(7), 100) and decontaminate.fits(spark.range(6), 100)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 100)
+    assert not common.fits(spark.range(7), 100) and common.fits(spark.range(6), 100)
     table = spark.createDataFrame(items, "item_id long, text string")
     assert found(decontaminate.contamination(docs(spark, rows), table)) == brute(rows, items)
