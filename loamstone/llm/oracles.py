@@ -14,8 +14,8 @@ WITH parsed AS (
   SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS bare FROM hosts
 ), split AS (
   SELECT *, string_split(bare, '.') AS parts, regexp_matches(bare, '^[0-9.]+$|^\[') AS address,
-         array_to_string(parts[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'net.au', 'org.au', 'co.nz', 'co.jp',
-         'com.br', 'com.cn', 'co.in', 'co.za') AND len(parts) > 2 AS wide
+         len(parts) > 2 AND regexp_matches(parts[-1], '^[a-z][a-z]$') AND parts[-2] IN ('ac', 'co', 'com', 'edu', 'go', 'gob', 'gouv',
+         'gov', 'mil', 'ne', 'net', 'nom', 'or', 'org', 'sch') AS wide
   FROM bare
 ), named AS (
   SELECT *, CASE WHEN address THEN bare WHEN wide THEN array_to_string(parts[-3:], '.') ELSE array_to_string(parts[-2:], '.') END AS domain,
@@ -41,8 +41,17 @@ WITH parsed AS (
   SELECT 1 / least(greatest(sum((good - n * m) ** 2 - n * m * (1 - m)) / sum(n * (n - 1) * m * (1 - m)), 0.001), 0.999) - 1 AS v FROM b WHERE n > 0
 ), post AS (
   SELECT bare, good + v * m AS x, n - good + v * (1 - m) AS y FROM b, s3
+), sided AS (
+  SELECT bare, CASE WHEN swap THEN y ELSE x END AS a, CASE WHEN swap THEN x ELSE y END AS b, swap
+  FROM (SELECT *, 0.5 > (x + 1) / (x + y + 2) AS swap FROM post)
+), fraction AS (
+  SELECT bare, swap, exp(lgamma(a + b) - lgamma(a) - lgamma(b) + (a + b) * ln(0.5)) / a / list_reduce(
+      list_prepend(1.0::DOUBLE, list_transform(range(2000, 0, -1), lambda m: CASE WHEN m % 2 = 1
+        THEN -(a + m // 2) * (a + b + m // 2) * 0.5 / ((a + 2 * (m // 2)) * (a + 2 * (m // 2) + 1))
+        ELSE (m // 2) * (b - m // 2) * 0.5 / ((a + m - 1) * (a + m)) END)), lambda f, d: 1 + d / f) AS i
+  FROM sided
 ), upper_bound AS (
-  SELECT bare, x / (x + y) + 1.645 * sqrt(x * y / ((x + y) * (x + y) * (x + y + 1))) AS u FROM post
+  SELECT bare, (CASE WHEN swap THEN 1 - i ELSE i END) > 0.95 AS bad FROM fraction
 ), rules(action, rule, rh, rp) AS (
   VALUES ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'),
          ('block', 'example.org/en/1', 'example.org', '/en/1'), ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')
@@ -50,7 +59,7 @@ WITH parsed AS (
 SELECT n.page_id, n.host, n.path,
        (SELECT arg_max(rule, length(rule)) FROM rules WHERE (n.host = rh OR ends_with(n.host, '.' || rh)) AND starts_with(n.path, rp)) AS rule,
        coalesce((SELECT arg_max(action, length(rule)) FROM rules WHERE (n.host = rh OR ends_with(n.host, '.' || rh)) AND starts_with(n.path, rp)),
-                CASE WHEN u.u < 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+                CASE WHEN u.bad THEN 'block' ELSE 'allow' END) AS verdict
 FROM named n LEFT JOIN upper_bound u ON n.bare = u.bare
 """
 

@@ -1,6 +1,8 @@
 import math
 import re
 
+import numpy as np
+
 from loamstone.llm import url_filter
 from loamstone.llm.queries import URL_RULES
 
@@ -56,15 +58,64 @@ def test_reputation_shrinks_and_blocks(spark):
 
 
 def test_domains(spark):
-    rows = spark.createDataFrame([(h,) for h in ("a.b.com", "b.com", "com", "x.y.co.uk", "co.uk", "1.2.3.4", "")], "h string")
-    d, s = url_filter.domain_and_suffix(rows["h"])
+    rows = spark.createDataFrame([(h,) for h in ("a.b.com", "b.com", "com", "x.y.co.uk", "co.uk", "1.2.3.4", "", "a.co.kr", "b.a.com.tr", "x.co.example", "u.github.io")], "h string")
+    d, s = url_filter.domain_and_suffix(rows["h"], url_filter.suffix_labels(rows["h"]))
     got = {r.h: (r.d, r.s) for r in rows.select("h", d.alias("d"), s.alias("s")).collect()}
     assert got == {
         "a.b.com": ("b.com", "com"), "b.com": ("b.com", "com"), "com": ("com", "com"), "x.y.co.uk": ("y.co.uk", "co.uk"),
         "co.uk": ("co.uk", "uk"), "1.2.3.4": ("1.2.3.4", "1.2.3.4"), "": ("", ""),
+        "a.co.kr": ("a.co.kr", "co.kr"), "b.a.com.tr": ("a.com.tr", "com.tr"), "x.co.example": ("co.example", "example"), "u.github.io": ("github.io", "io"),
     }
 
 
 def test_empty_table(spark):
     pages, outcomes = tables(spark, [(1, 1)])
     assert url_filter.judge_urls(pages.limit(0), outcomes, URL_RULES).count() == 0
+
+
+def test_table_of_suffixes(spark):
+    urls = [f"http://bad.github.io/{i}" for i in range(30)] + [f"http://good{i % 9}.github.io/{i}" for i in range(90)] + ["http://q.r.city.kobe.jp/", "http://github.io/", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    outcomes = spark.createDataFrame([(i, int(i >= 30)) for i in range(120)], "page_id long, good int")
+    listed = spark.createDataFrame([("github.io",), ("github.io",), (None,), ("kobe.jp",), ("city.kobe.jp",)], "suffix string")
+    hosts = spark.createDataFrame([("bad.github.io",), ("github.io",), ("q.r.city.kobe.jp",), ("x.com",)], "host string")
+    assert {tuple(r) for r in url_filter.listed_labels(hosts, listed).collect()} == {("bad.github.io", 2), ("github.io", 2), ("q.r.city.kobe.jp", 3)}
+    known = {r.host: r for r in url_filter.reputations(pages, outcomes, suffixes=listed).collect()}
+    assert known["bad.github.io"].upper < 0.5 < known["good1.github.io"].lower and len(known) == 13
+    assert {r.verdict for r in url_filter.judge_urls(pages, outcomes, (), suffixes=listed.limit(0)).collect()} == {"allow", "block"}
+
+
+def simpson(a, b, x, n=20_000):
+    """The beta distribution function by a plain sum, for a, b >= 1."""
+    norm = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b))
+    f = lambda t: norm * t ** (a - 1) * (1 - t) ** (b - 1)
+    h = x / n
+    return h / 3 * (f(0) + f(x) + 4 * sum(f((i + 0.5) * h * 2) for i in range(n // 2)) + 2 * sum(f(i * h * 2) for i in range(1, n // 2)))
+
+
+def test_posterior_bounds_are_beta_quantiles():
+    a, b = np.array([1.0, 1.0, 2.5, 30.0, 400.0, 0.01, 7.0]), np.array([1.0, 9.0, 1.5, 2.0, 350.0, 0.5, 100_000.0])
+    for p in (0.05, 0.5, 0.95):
+        x = url_filter.beta_quantile(p, a, b)
+        assert np.allclose(url_filter.beta_cdf(x, a, b)[[0, 1, 2, 3, 4, 6]], p, atol=1e-8)
+        for i in range(5):
+            assert abs(simpson(a[i], b[i], x[i]) - p) < 1e-6
+        assert abs(x[0] - p) < 1e-9 and abs(x[1] - (1 - (1 - p) ** (1 / 9))) < 1e-9
+    # The normal approximation would let such a host pass: mean + 1.645 sd is above a half.
+    mean, sd = 0.5 / 3, math.sqrt(0.5 * 2.5 / 9 / 4)
+    assert mean + 1.645 * sd > 0.45 and url_filter.beta_quantile(0.95, np.array([0.5]), np.array([2.5]))[0] > 0.5
+
+
+def test_null_and_repeated_page_ids(spark):
+    pages = spark.createDataFrame([(1, "http://a.x/1"), (1, "http://b.x/1"), (None, "http://a.x/2"), (None, None)], "page_id long, url string")
+    outcomes = spark.createDataFrame([(1, 0), (1, 1), (None, 0), (2, 0)], "page_id long, good int")
+    known = {r.host: (r.n, r.good) for r in url_filter.reputations(pages, outcomes).collect()}
+    assert known == {"a.x": (2, 1), "b.x": (2, 1), "": (0, 0)}
+    assert url_filter.judge_urls(pages, outcomes, ()).count() == 4
+
+
+def test_rules_of_equal_length(spark):
+    pages = spark.createDataFrame([(1, "http://a.b.c/d")], "page_id long, url string")
+    none = spark.createDataFrame([], "page_id long, good int")
+    for rules in ((("block", "b.c/"), ("allow", "b.c/")), (("allow", "b.c/"), ("block", "b.c/"))):
+        assert url_filter.judge_urls(pages, none, rules).first().verdict == rules[0][0]
