@@ -2,84 +2,100 @@
 
 Rejected requests leave no trace, so whether one is admitted depends on which
 earlier ones were: a range frame over all requests gives other results. The
-rule is run in time order over each tenant's requests.
+requests of a tenant are therefore taken one by one, in time order. What a
+decision needs of the past is small: with a limit of n a minute, the n-th last
+admission tells whether the minute is full, so only the last n are kept.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 WINDOW_SECONDS = 60.0
+OUTPUT = "request_id long, tenant_id string, ts timestamp, kind string, admitted boolean"
 
 
-class Limiter:
-    """The state of one tenant: when the admitted requests of the last minute came, and how many run."""
+def decide(
+    seconds: list[float], kinds: list[str], per_minute: int | None, concurrent: int | None, recent: list[float], running: int
+) -> tuple[list[bool | None], int]:
+    """Whether each start is admitted (None for an end), and how many requests run afterwards.
 
-    def __init__(self, per_minute: int, concurrent: int, times: list[float] | None = None, active: int = 0):
-        self.per_minute, self.concurrent = per_minute, concurrent
-        self.times, self.active = list(times or ()), active
-
-    def start(self, now: float) -> bool:
-        self.times = [t for t in self.times if now - t < WINDOW_SECONDS]
-        if len(self.times) >= self.per_minute or self.active >= self.concurrent:
-            return False
-        self.times.append(now)
-        self.active += 1
-        return True
-
-    def end(self) -> None:
-        self.active = max(0, self.active - 1)
-
-
-def _run(limiter: Limiter, rows: pd.DataFrame) -> pd.DataFrame:
-    seconds = rows["ts"].to_numpy("datetime64[us]").astype("int64") / 1e6
-    admitted = []
-    for kind, now in zip(rows["kind"], seconds, strict=True):
-        if kind == "start":
-            admitted.append(limiter.start(now))
-        else:
-            limiter.end()
-            admitted.append(None)
-    return rows.assign(admitted=admitted)
+    recent, ascending, holds the last admissions, at most per_minute; it is brought up to date. No limits: an unknown tenant, all rejected.
+    """
+    verdicts: list[bool | None] = []
+    for now, kind in zip(seconds, kinds, strict=True):
+        if kind != "start":
+            running -= running > 0
+            verdicts.append(None)
+            continue
+        full = not per_minute or (len(recent) >= per_minute and now - recent[-per_minute] < WINDOW_SECONDS)
+        free = not full and running < concurrent
+        if free:
+            bisect.insort(recent, now)
+            del recent[:-per_minute]
+            running += 1
+        verdicts.append(free)
+    return verdicts, running
 
 
 def admit(requests: DataFrame, tenants: DataFrame) -> DataFrame:
     """requests (request_id, tenant_id, ts, kind start or end) -> with admitted; unknown tenants are rejected.
 
-    Batch form: a sorted merge of each tenant's requests with its limits. A tenant's requests form one sequence.
+    Batch form: each tenant's requests are one sequence, which its task reads in batches and never holds as a whole.
+    """
+    limits = tenants.select(F.col("tenant_id").alias("_tenant"), "max_requests_per_min", "max_concurrent")
+    joined = requests.select("request_id", "tenant_id", "ts", "kind").join(limits, F.col("tenant_id") == F.col("_tenant"), "left")
+    rows = joined.select(
+        F.col("request_id").cast("long"), F.col("tenant_id").cast("string"), F.col("ts").cast("timestamp"), "kind",
+        F.col("max_requests_per_min").cast("int"), F.col("max_concurrent").cast("int"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tenant, recent, running = object(), [], 0
+        for batch in batches:
+            names = batch.column(1).to_pylist()
+            kinds, most, together, seconds = (batch.column(i).to_pylist() for i in (3, 4, 5, 6))
+            verdicts: list[bool | None] = []
+            while len(verdicts) < len(names):  # a run of one tenant's rows after another
+                a = len(verdicts)
+                b = next((k for k in range(a, len(names)) if names[k] != names[a]), len(names))
+                if names[a] != tenant:
+                    tenant, recent, running = names[a], [], 0
+                made, running = decide(seconds[a:b], kinds[a:b], most[a], together[a], recent, running)
+                verdicts += made
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdicts, pa.bool_())], [*batch.schema.names[:4], "admitted"])
+
+    ordered = rows.repartition("tenant_id").sortWithinPartitions("tenant_id", "ts", "request_id")
+    return ordered.mapInArrow(run, OUTPUT)
+
+
+def admit_stream(requests: DataFrame, per_minute: int = 60, concurrent: int = 50, idle_seconds: int = 3600, late: str = "1 hour") -> DataFrame:
+    """The same over a stream of requests; each micro-batch is taken in time order and the state goes from one to the next.
+
+    By the time of the requests, a tenant that sends nothing for idle_seconds is forgotten, and with it requests of its that never
+    ended; requests that come later than `late` behind the newest are dropped.
     """
-    limits = tenants.select("tenant_id", "max_requests_per_min", "max_concurrent")
-
-    def run(requests: pd.DataFrame, limits: pd.DataFrame) -> pd.DataFrame:
-        rows = requests.sort_values(["ts", "request_id"])[["request_id", "tenant_id", "ts", "kind"]]
-        if not len(limits):
-            return rows.assign(admitted=[False if k == "start" else None for k in rows["kind"]])
-        first = limits.iloc[0]
-        return _run(Limiter(int(first["max_requests_per_min"]), int(first["max_concurrent"])), rows)
-
-    schema = "request_id long, tenant_id string, ts timestamp, kind string, admitted boolean"
-    slim = requests.select("request_id", "tenant_id", "ts", "kind")
-    return slim.groupBy("tenant_id").cogroup(limits.groupBy("tenant_id")).applyInPandas(run, schema).where("request_id IS NOT NULL")
-
-
-def admit_stream(requests: DataFrame, per_minute: int = 60, concurrent: int = 50) -> DataFrame:
-    """The same over a stream of requests; each micro-batch is taken in time order and the state goes from one to the next."""
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(parts)).sort_values(["ts", "request_id"])
-        times, active = state.get if state.exists else ([], 0)
-        limiter = Limiter(per_minute, concurrent, times, active)
-        yield _run(limiter, rows[["request_id", "tenant_id", "ts", "kind"]])
-        state.update(([float(t) for t in limiter.times], limiter.active))
-
-    return requests.groupBy("tenant_id").applyInPandasWithState(
-        run,
-        "request_id long, tenant_id string, ts timestamp, kind string, admitted boolean",
-        "times array<double>, active int",
-        "append",
-        GroupStateTimeout.NoTimeout,
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(parts)).sort_values(["ts", "request_id"])[["request_id", "tenant_id", "ts", "kind"]]
+        recent, running = state.get if state.exists else ([], 0)
+        recent = [float(t) for t in recent]
+        seconds = (rows["ts"].to_numpy("datetime64[us]").astype("int64") / 1e6).tolist()
+        verdicts, running = decide(seconds, rows["kind"].tolist(), per_minute, concurrent, recent, running)
+        state.update((recent, running))
+        state.setTimeoutTimestamp(int(max(seconds) + idle_seconds) * 1000)
+        yield rows.assign(admitted=verdicts)
+
+    return requests.withWatermark("ts", late).groupBy("tenant_id").applyInPandasWithState(
+        run, OUTPUT, "recent array<double>, running int", "append", GroupStateTimeout.EventTimeTimeout
     )

@@ -83,6 +83,59 @@ def test_cache_stream(spark, tmp_path):
     assert [r.outcome for r in spark.table("cached").orderBy("seq").collect()] == WANT
 
 
+def test_slots_against_a_plain_cache():
+    """Random operations against a list of entries in order of use."""
+    r = random.Random(3)
+    profile, vectors = cache.Profile(4, 20.0, 0.9), [None, [0.0, 0.0], [1.0, 0.0], [1.0, 0.2], [0.0, 1.0], [0.3, 1.0], [2.0, 0.0]]
+    entries, slots, now, order = [], cache.Slots(profile), 0.0, 0
+
+    def cosine(a, b):
+        na, nb = (sum(x * x for x in v) ** 0.5 for v in (a, b))
+        return sum(x * y for x, y in zip(a, b, strict=True)) / (na * nb) if na and nb else 0.0
+
+    for step in range(3000):
+        now += r.choice([0.0, 1.0, 3.0])
+        op, query, vector = r.choice(["get"] * 6 + ["put"] * 4 + ["drop"]), f"q{r.randrange(7)}", r.choice(vectors)
+        if op == "get":
+            entries = [e for e in entries if now - e["created"] <= profile.ttl_seconds]
+            hit, kind = next((e for e in entries if e["query"] == query), None), "l1"
+            if hit is None and vector is not None and any(vector):
+                near = [(-cosine(e["vector"], vector), e["order"], e["query"], e) for e in entries]
+                near = sorted(near, key=lambda x: (round(x[0], 12), x[1]))
+                hit, kind = (near[0][3], "l2") if near and -near[0][0] >= profile.threshold else (None, "miss")
+            kind = kind if hit else "miss"
+            if hit:
+                entries.remove(hit)
+                entries.append(hit)
+            assert slots.look_up(now, query, vector) == (kind, hit["result"] if hit else None), step
+        elif op == "put":
+            order += 1
+            known = [e for e in entries if e["query"] == query]
+            entries = [e for e in entries if e["query"] != query]
+            entries.append({"query": query, "vector": vector or [0.0, 0.0], "result": str(step), "created": now, "order": order})
+            if not known and len(entries) > profile.max_entries:
+                entries.pop(0)
+            slots.store(now, query, vector, str(step))
+        elif r.random() < 0.2:
+            query = query if r.random() < 0.7 else None
+            entries = [] if query is None else [e for e in entries if e["query"] != query]
+            slots.forget(query)
+        assert len(entries) == len(slots.place)
+        if step % 50 == 0:
+            slots = cache.Slots.restored(profile, slots.state())
+
+
+def test_streams_forget_idle_groups(spark, tmp_path):
+    rows = [(1, "a", 1.0, "start"), (2, "a", 2.0, "start"), (3, "b", 40_000.0, "start"), (4, "b", 90_000.0, "start"), (5, "a", 100_000.0, "start")]
+    for k, row in enumerate(rows):
+        frame(spark, [row]).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    source = spark.readStream.schema(frame(spark, rows).schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = admission.admit_stream(source, 5, 2).writeStream.format("memory").queryName("idle").trigger(availableNow=True)
+    query.option("checkpointLocation", f"{tmp_path}/c").start().awaitTermination()
+    # Two requests of a run on without end; a day later they are forgotten, or the last one would be rejected.
+    assert {r.request_id: r.admitted for r in spark.table("idle").collect()} == {i: True for i in range(1, 6)}
+
+
 def test_ingest_stream(spark, tmp_path):
     docs = tmp_path / "docs"
     docs.mkdir()
