@@ -1,5 +1,7 @@
 """The corpus pipeline: its stages, in order, each over all that the one before kept.
 
+It is part of the subpackage loamstone.llm and cannot be imported without it.
+
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and
 returns a DataFrame. All but the last return the columns of documents. run()
 writes what a stage returns to the shared folder and reads it for the next.
