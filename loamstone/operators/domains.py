@@ -42,7 +42,22 @@ def merged(domains: DataFrame, column: str, default: list[str] | None = None) ->
         others = spark.createDataFrame([(v, i) for i, v in enumerate(default)], "value string, pos int")
         others = others.select("value", F.struct(F.lit(0).alias("ord"), "pos").alias("first"))
         found = found.unionByName(others.join(found.agg(F.count("*").alias("n")), F.col("n") == 0).drop("n"))
-    return found.orderBy("first").select("value")
+    return found.orderBy("first").select("value", "first")
+
+
+def _as_list(domains: DataFrame, column: str) -> DataFrame:
+    """One row with the merged values of a column as an array, in order."""
+    return merged(domains, column).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "value"))), lambda x: x["value"]).alias(column))
+
+
+def link_keywords(domains: DataFrame) -> DataFrame:
+    """One row: the keywords of links that a crawl for these domains follows."""
+    return _as_list(domains, "keywords")
+
+
+def blocked_patterns(domains: DataFrame) -> DataFrame:
+    """One row: the patterns that bar a link or source from these domains."""
+    return _as_list(domains, "blocked")
 
 
 def enhanced(query: Column, names: Column, universal: Column) -> Column:

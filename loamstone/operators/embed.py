@@ -7,10 +7,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from loamstone.operators.domains import enhanced
+
 Model = Callable[[list[str]], np.ndarray]
 
 
@@ -51,6 +53,18 @@ def embedded(df: DataFrame, load: Callable[[], Model], *, batch: int = 512, lazy
     return df.withColumn("vector", encode("text"))
 
 
+def embed_queries(queries: DataFrame, load: Callable[[], Model], *, names: Column | None = None, universal: Column | None = None, batch: int = 32) -> DataFrame:
+    """queries (query, ...) with vector, in micro-batches; questions are enhanced by the domains' names first, where these are given."""
+    text = F.col("query") if names is None else enhanced(F.col("query"), names, F.lit(False) if universal is None else universal)
+    return embedded(queries.withColumn("text", text), load, batch=batch).drop("text")
+
+
+def embed_query(spark: SparkSession, query: str, load: Callable[[], Model], **params) -> list[float] | None:
+    """The vector of one question, or None if the model fails on it."""
+    one = embed_queries(spark.createDataFrame([(query,)], "query string"), load, **params).first()["vector"]
+    return None if one is None else list(one)
+
+
 def with_vectors(df: DataFrame) -> DataFrame:
     """Rows whose text could be embedded."""
     return df.where(F.col("vector").isNotNull())

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loamstone.operators.joins import small_side
+
 K1, B = 1.2, 0.75
 TERM = r"[a-z0-9]+"
 
@@ -15,14 +17,16 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0))
 
 
-def postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs (key, text) -> term, key, tf, len."""
+def postings(docs: DataFrame, key: str = "doc_id", only: DataFrame | None = None) -> DataFrame:
+    """docs (key, text) -> term, key, tf, len; of the terms of `only` (term) alone, where it is given: others are never grouped."""
     each = docs.select(key, terms(F.col("text")).alias("t")).select(key, F.size("t").alias("len"), F.explode("t").alias("term"))
+    if only is not None:
+        each = each.join(small_side(only.select("term").distinct()), "term", "left_semi")
     return each.groupBy("term", key, "len").agg(F.count("*").alias("tf"))
 
 
 def doc_stats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    return docs.select(key, F.size(terms(F.col("text"))).alias("len"))
+    return docs.select(key, F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM)).alias("len"))
 
 
 def build_index(docs: DataFrame, path: str, key: str = "doc_id") -> None:
@@ -34,12 +38,13 @@ def build_index(docs: DataFrame, path: str, key: str = "doc_id") -> None:
 def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, k: int, key: str = "doc_id") -> DataFrame:
     """queries (qid, term), distinct -> qid, key, score, rank of the best k of each; ties by key.
 
-    The query terms prune the postings before anything is joined or summed.
+    The query terms prune the postings before anything is joined or summed, and what is left of them is found once: the
+    largest tf is asked for so that both uses have the same columns and share one exchange.
     """
     size = stats.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    wanted = F.broadcast(queries)  # a batch of questions
-    found = index.join(wanted, "term")
-    df = found.select("term", key).distinct().groupBy("term").agg(F.count("*").alias("df"))
+    hits = index.join(small_side(queries.select("term").distinct()), "term", "left_semi").select("term", key, "len", "tf")
+    df = hits.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("_most"), F.max("len").alias("_len")).where("_most > 0 AND _len > 0").drop("_most", "_len")
+    found = hits.join(small_side(queries), "term")
     scored = found.join(df, "term").join(F.broadcast(size))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))

@@ -12,6 +12,23 @@ from pyspark.sql import functions as F
 
 from loamstone.functions.sources import DEFAULT_BOOST
 from loamstone.functions.vectors import is_usable
+from loamstone.streaming.cache import expired
+
+
+#: Rows of a side that is sent to all tasks, at most.
+BROADCAST_ROWS = 100_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df to be broadcast if it has so few rows, as it is otherwise; reads no more rows than that."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def dimension(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A table of patterns to be broadcast, as only a nested loop can match them; too many are an error."""
+    if df.limit(rows + 1).count() > rows:
+        raise ValueError(f"a table of patterns has at most {rows} rows")
+    return F.broadcast(df)
 
 
 def unseen(files: DataFrame, existing: DataFrame, key: str = "source") -> DataFrame:
@@ -25,9 +42,9 @@ def boosted(df: DataFrame, patterns: DataFrame, blocked: DataFrame) -> DataFrame
     patterns (pattern, boost, ord) and blocked (pattern) are dimensions of a few rows; distinct sources are matched, not rows.
     """
     sources = df.select("source").distinct()
-    hit = sources.join(F.broadcast(patterns), F.lower("source").contains(F.col("pattern")))
+    hit = sources.join(dimension(patterns), F.lower("source").contains(F.col("pattern")))
     first = hit.groupBy("source").agg(F.min_by("boost", "ord").alias("b"))
-    barred = sources.join(F.broadcast(blocked), F.lower("source").contains(F.col("pattern")), "left_semi")
+    barred = sources.join(dimension(blocked), F.lower("source").contains(F.col("pattern")), "left_semi")
     barred = barred.withColumn("barred", F.lit(True))
     value = F.when(F.col("barred"), 0.0).otherwise(F.coalesce("b", F.lit(DEFAULT_BOOST)))
     by_source = sources.join(first, "source", "left").join(barred, "source", "left").select("source", value.alias("boost"))
@@ -45,16 +62,38 @@ def tenants_of_keys(requests: DataFrame, tenants: DataFrame, *, multi_tenant: bo
     return requests.withColumn("_key", key).join(enabled, F.col("_key") == F.col("_hash"), "left").drop("_key", "_hash")
 
 
+def exact_cached(queries: DataFrame, entries: DataFrame, ttl_seconds: float) -> DataFrame:
+    """queries (qid, query, ts), entries (query, result, created) -> qid, result: that of the last entry of the same
+    query stored by then, if it is not over age. An equi-join; equal times go to the greatest result."""
+    stored = entries.select(F.col("query").alias("_q"), "result", "created")
+    hit = queries.join(stored, (F.col("query") == F.col("_q")) & (F.col("created") <= F.col("ts")))
+    last = hit.groupBy("qid", "ts").agg(F.max(F.struct("created", "result")).alias("e"))
+    return last.where(~expired(F.col("e.created"), F.col("ts"), ttl_seconds)).select("qid", F.col("e.result").alias("result"))
+
+
 def nearest_cached(queries: DataFrame, cache: DataFrame, threshold: float, max_entries: int = 1000) -> DataFrame:
     """queries (qid long, vector), cache (entry long, vector) -> qid, entry, similarity of the most similar entry at or above threshold.
 
     A cache is bounded by its profile, so its matrix goes to the tasks with
     the function; queries meet it in matrix products (Arrow UDF). Equal similarities go to the earlier entry.
+    A table of more entries than max_entries is taken in parts of so many, a pass over the queries for each.
     """
-    rows = cache.select("entry", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
-    rows = sorted(rows.limit(max_entries + 1).collect(), key=lambda r: r["entry"])
-    if len(rows) > max_entries:
-        raise ValueError(f"a cache has at most {max_entries} entries")
+    usable = cache.select(F.col("entry").cast("long").alias("entry"), F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    rows = usable.limit(max_entries + 1).collect()
+    if len(rows) <= max_entries:
+        return _nearest_of_part(queries, rows, threshold)
+    parts = -(-usable.count() // max_entries)
+    found = None
+    for i in range(parts):
+        some = usable.where(F.pmod(F.xxhash64("entry"), F.lit(parts)) == i).collect()
+        part = _nearest_of_part(queries, some, threshold)
+        found = part if found is None else found.unionByName(part)
+    best = found.groupBy("qid").agg(F.max(F.struct("similarity", -F.col("entry"))).alias("b"))
+    return best.select("qid", (-F.col("b.col2")).alias("entry"), F.col("b.similarity").alias("similarity"))
+
+
+def _nearest_of_part(queries: DataFrame, rows: list, threshold: float) -> DataFrame:
+    rows = sorted(rows, key=lambda r: r["entry"])
     entries = np.array([r["entry"] for r in rows], dtype=np.int64)
     matrix = _unit_rows(np.array([r["vector"] for r in rows], dtype=np.float64)) if rows else None
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamstone.functions.sources import is_blocked, is_noise
-from loamstone.functions.text import contains_any, strip, strip_html, post_text
+from loamstone.functions.text import contains_any, post_text, strip, strip_html
+from loamstone.operators.joins import dimension
 
 MIN_INDEX_CHARS = 30
 MIN_HIT_CHARS = 25
@@ -39,9 +40,13 @@ def within_distance(distance: Column, limit: float = MAX_DISTANCE) -> Column:
     return distance <= limit
 
 
+def similar_enough(similarity: Column, least: float = MIN_SIMILARITY) -> Column:
+    return similarity >= least
+
+
 def not_blocked(df: DataFrame, patterns: DataFrame) -> DataFrame:
     """df without rows whose lower-cased source contains a pattern of the table; the table is a dimension of a few rows."""
-    return df.join(F.broadcast(patterns), F.lower(df["source"]).contains(patterns["pattern"]), "left_anti")
+    return df.join(dimension(patterns), F.lower(df["source"]).contains(patterns["pattern"]), "left_anti")
 
 
 def wiki_pages(pages: DataFrame, *, batch: bool = True, blocked=()) -> DataFrame:

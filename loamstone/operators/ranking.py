@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 
 from loamstone.functions.sources import short
 from loamstone.functions.text import head, strip
-from loamstone.functions.vectors import hamming, is_usable, sign_bits, squared_l2
+from loamstone.functions.vectors import is_usable, squared_l2
 from loamstone.operators.predicates import low_quality
 
 TOP_K_FETCH, TOP_K_CONTEXT, TOP_K_USER = 32, 8, 4
 MAX_CONTEXT_CHARS = 14_000
 NO_DISTANCE = 999.0
+#: Bytes of question vectors that are sent to the tasks at once, and questions in one matrix product.
+QUESTION_BYTES = 32 << 20
+TILE = 2048
 
 
 def top_k(chunks: DataFrame, query: list[float], k: int = TOP_K_FETCH, key: str = "id") -> DataFrame:
@@ -27,29 +30,45 @@ def top_k(chunks: DataFrame, query: list[float], k: int = TOP_K_FETCH, key: str
     return scored.orderBy("_distance", key).limit(k)
 
 
-def top_k_join(queries: DataFrame, chunks: DataFrame, k: int, key: str = "id", block: int = 2048, *, quantised: bool = False) -> DataFrame:
+def top_k_join(queries: DataFrame, chunks: DataFrame, k: int, key: str = "id", block: int | None = None, *, quantised: bool = False) -> DataFrame:
     """queries (qid long, vector) against all chunks -> qid, key, _distance, rank; vectors of one length.
 
-    Queries are sent to the chunks in blocks of a counted size, one pass over
-    the chunks for each. A batch of chunks is compared by matrix products
+    Queries are sent to the chunks in blocks of QUESTION_BYTES, one pass over
+    the chunks for each, so a batch of questions takes one pass and chunks are never shuffled. A batch of chunks is compared by matrix products
     (Arrow UDF) and gives the best k of each query it holds, so that only these are shuffled.
     With quantised, sign bits leave out the chunks that they prove to be too far; the result is the same.
     """
     nearest = _nearest_by_bits if quantised else _nearest_of
     usable = chunks.where(is_usable(F.col("vector"))).select(F.col(key).cast("long").alias("id"), F.col("vector").cast("array<double>").alias("vector"))
     asked = queries.where(is_usable(F.col("vector"))).select(F.col("qid").cast("long").alias("qid"), F.col("vector").cast("array<double>").alias("vector"))
-    n = -(-asked.count() // block)
-    near = None
-    for part in range(n):
-        some = asked.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == part)
-        found = usable.mapInArrow(nearest(some.orderBy("qid").collect(), k), "qid long, id long, _distance double")
-        near = found if near is None else near.unionByName(found)
-    if near is None:
-        near = usable.sparkSession.createDataFrame([], "qid long, id long, _distance double")
+    first = asked.first()
+    block = block or QUESTION_BYTES // (8 * max(len(first["vector"]) if first else 1, 1))
+    rows = asked.limit(block + 1).collect()
+    n = 1 if len(rows) <= block else -(-asked.count() // block)
+    near = usable.sparkSession.createDataFrame([], "qid long, id long, _distance double")
+    for part in range(n if rows else 0):
+        some = rows if n == 1 else asked.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == part).collect()
+        some = sorted(some, key=lambda r: r["qid"])
+        tiles = [nearest(some[i : i + TILE], k) for i in range(0, len(some), TILE)]  # one scan, products of bounded size
+        made = usable.mapInArrow(_in_turn(tiles), "qid long, id long, _distance double")
+        near = made if n == 1 else near.unionByName(made)
     rank = F.row_number().over(W.partitionBy("qid").orderBy("_distance", "id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= k).withColumnRenamed("id", key)
 
 
+def _in_turn(functions: list):
+    """Each batch through every one of the batch functions."""
+    if len(functions) == 1:
+        return functions[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for f in functions:
+                yield from f(iter([batch]))
+
+    return run
+
+
 def _nearest_of(rows: list, k: int):
     """A batch function for one block of queries."""
     qid = np.array([r["qid"] for r in rows], dtype=np.int64)
@@ -173,19 +192,6 @@ def two_branch(hits: DataFrame, user: Column, k: int = TOP_K_CONTEXT, k_user: in
     return ranked.where(F.col("branch_rank") <= F.when(F.col("branch") == "user", k_user).otherwise(k))
 
 
-def quantised_top_k(chunks: DataFrame, query: list[float], k: int, *, oversample: int = 8, key: str = "id") -> DataFrame:
-    """Two stages: by Hamming distance of sign bits to oversample * k rows, then exactly among these.
-
-    Approximate: neighbours beyond the first stage are lost, more of them the larger the table.
-    top_k_join(..., quantised=True) loses none.
-    """
-    dim = len(query)
-    q = F.array(*[F.lit(float(x)) for x in query])
-    usable = chunks.where(is_usable(F.col("vector")))
-    coarse = usable.withColumn("_h", hamming(sign_bits(F.col("vector"), dim), sign_bits(q, dim))).orderBy("_h", key).limit(oversample * k)
-    return coarse.withColumn("_distance", squared_l2(F.col("vector"), q)).orderBy("_distance", key).limit(k).drop("_h")
-
-
 def latest_release(files: DataFrame, fallback: str) -> DataFrame:
     """The largest name in string order, else the fallback."""
     return files.agg(F.coalesce(F.max("filename"), F.lit(fallback)).alias("filename"))

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from loamstone.functions import sources, text
 from loamstone.operators import chunking, domains, embed, joins, predicates, stats
-from loamstone.plans.registry import query, table
+from loamstone.plans.registry import folder, query, table
 from loamstone.plans.search import BLOCKED, BOOSTS, SQL_BOOST
-from loamstone.sources import catalog
+from loamstone.sources import catalog, files
 
 STRIP = r"regexp_replace({}, '^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '', 'g')"
 
@@ -136,21 +136,21 @@ def safe_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, sha256('# ' || source || chr(10) || chr(10) || 'Tags: ' || replace(replace('<' || lang || '><' || source || '>', '<', ''), '>', ' ')
-  || chr(10) || chr(10) || text) AS text_sha256 FROM documents WHERE text IS NOT NULL""")
+  || chr(10) || chr(10) || coalesce(text, '')) AS text_sha256 FROM documents""")
 def post_template(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.format_string("<%s><%s>", "lang", "source")
-    made = text.post_text(F.col("source"), tags, F.col("text"))
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.sha2(made.cast("binary"), 256).alias("text_sha256"))
+    made = text.post_text(F.col("source"), tags, F.coalesce("text", F.lit("")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(made.cast("binary"), 256).alias("text_sha256"))
 
 
 @query(f"""SELECT doc_id, length(text) > 100 AND NOT starts_with(text, '#REDIRECT') AND NOT starts_with(text, '#WEITERLEITUNG')
     AND length({STRIP.format('text')}) > 50 AS batch,
   length(text) > 100 AND NOT starts_with(text, '#REDIRECT') AS direct FROM (
-  SELECT doc_id, CASE doc_id % 10 WHEN 3 THEN '#REDIRECT ' WHEN 4 THEN '#WEITERLEITUNG ' ELSE '' END || text AS text FROM documents WHERE text IS NOT NULL)""")
+  SELECT doc_id, CASE doc_id % 10 WHEN 3 THEN '#REDIRECT ' WHEN 4 THEN '#WEITERLEITUNG ' ELSE '' END || coalesce(text, '') AS text FROM documents)""")
 def wiki_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both page filters over documents, some of them made redirects."""
     prefix = F.expr("CASE doc_id % 10 WHEN 3 THEN '#REDIRECT ' WHEN 4 THEN '#WEITERLEITUNG ' ELSE '' END")
-    pages = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.col("source").alias("title"), F.concat(prefix, "text").alias("text"))
+    pages = table(spark, sf_dir, "documents").fillna({"text": ""}).select("doc_id", F.col("source").alias("title"), F.concat(prefix, "text").alias("text"))
     batch = predicates.wiki_pages(pages).select("doc_id", F.lit(True).alias("batch"))
     direct = predicates.wiki_pages(pages, batch=False).select("doc_id", F.lit(True).alias("direct"))
     both = pages.select("doc_id").join(batch, "doc_id", "left").join(direct, "doc_id", "left")
@@ -158,17 +158,17 @@ def wiki_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT 'stackexchange:' || source || ':' || doc_id AS source, sha256(t) AS text_sha256 FROM (
-  SELECT doc_id, source, doc_id % 6 AS score, '# ' || lang || chr(10) || chr(10) || 'Tags: ' || lang || ' ' || chr(10) || chr(10)
-    || trim(regexp_replace(regexp_replace(replace(replace(replace(replace(text, '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
+  SELECT doc_id, source, lang, n_chars // 100 AS score, '# ' || lang || chr(10) || chr(10) || 'Tags: ' || lang || ' ' || chr(10) || chr(10)
+    || trim(regexp_replace(regexp_replace(replace(replace(replace(replace(coalesce(text, ''), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
     '<[^>]+>', ' ', 'g'), '[\\s\\x{a0}]+', ' ', 'g')) AS t
-  FROM documents WHERE text IS NOT NULL AND doc_id % 2 = 1) WHERE score >= 3 AND length(t) >= 120""")
+  FROM documents) WHERE score >= 3 AND lang <> 'fr' AND length(t) >= 120""")
 def question_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in the shape of posts: odd ids are questions, scores go from 0 to 5."""
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    """Documents in the shape of posts: French ones are answers, and a question has a point for each hundred characters."""
+    docs = table(spark, sf_dir, "documents")
     posts = docs.select(
         F.col("doc_id").cast("string").alias("_Id"),
-        F.expr("CASE doc_id % 2 WHEN 1 THEN '1' ELSE '2' END").alias("_PostTypeId"),
-        F.expr("CAST(doc_id % 6 AS STRING)").alias("_Score"),
+        F.when(F.col("lang") == "fr", "2").otherwise("1").alias("_PostTypeId"),
+        F.floor(F.col("n_chars") / 100).cast("string").alias("_Score"),
         F.col("lang").alias("_Title"), F.col("text").alias("_Body"), F.format_string("<%s>", "lang").alias("_Tags"), "source",
     )
     made = predicates.question_posts(posts, F.col("source"))
@@ -177,12 +177,12 @@ def question_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT 'stackexchange:' || source || ':' || doc_id AS source, sha256(t) AS text_sha256 FROM (
   SELECT doc_id, source, '# ' || lang || chr(10) || chr(10) || 'Tags: ' || lang || ' ' || chr(10) || chr(10)
-    || trim(regexp_replace(regexp_replace(replace(replace(replace(replace(text, '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
+    || trim(regexp_replace(regexp_replace(replace(replace(replace(replace(coalesce(text, ''), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'),
     '<[^>]+>', ' ', 'g'), '[\\s\\x{a0}]+', ' ', 'g')) AS t
-  FROM documents WHERE text IS NOT NULL) WHERE length(t) >= 120""")
+  FROM documents) WHERE length(t) >= 120""")
 def question_posts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document in the shape of a question that is scored well enough, so that all texts are stripped."""
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    docs = table(spark, sf_dir, "documents")
     posts = docs.select(
         F.col("doc_id").cast("string").alias("_Id"), F.lit("1").alias("_PostTypeId"), F.lit("3").alias("_Score"),
         F.col("lang").alias("_Title"), F.col("text").alias("_Body"), F.format_string("<%s>", "lang").alias("_Tags"), "source",
@@ -209,9 +209,21 @@ def quick_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
 def domain_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds of the active domains, each once, in order of first appearance."""
     chosen = domains.active(domains.domain_table(spark), ["law", "it", "no such domain"])
-    rows = chosen.select("ord", F.posexplode("seeds").alias("pos", "value"))
-    first = rows.groupBy("value").agg(F.min(F.struct("ord", "pos")).alias("first"))
-    return first.select("value", (F.row_number().over(W.orderBy("first")) - 1).alias("pos"))
+    return domains.merged(chosen, "seeds").select("value", (F.row_number().over(W.orderBy("first")) - 1).alias("pos"))
+
+
+@query("""SELECT doc_id, contains(lower(text), 'software') OR contains(lower(text), 'network') OR contains(lower(text), 'der') AS followed,
+  contains(lower(source), 'src1') AS barred FROM documents""")
+def wiki_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which texts hold a keyword of the active domains, and which sources a blocked pattern; a domain of our own is active."""
+    mine = [(0, "x", "X", ["src1"], [], ["network", "der"], []), (1, "y", "Y", [], [], ["software", "network"], [])]
+    chosen = domains.active(spark.createDataFrame(mine, f"ord int, {domains.COLUMNS}"), ["x", "y"])
+    keywords, barred = domains.link_keywords(chosen), domains.blocked_patterns(chosen)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    hold = lambda values, column: F.exists(values, lambda v: F.lower(column).contains(v))
+    return docs.crossJoin(F.broadcast(keywords)).crossJoin(F.broadcast(barred)).select(
+        "doc_id", hold(F.col("keywords"), F.col("text")).alias("followed"), hold(F.col("blocked"), F.col("source")).alias("barred")
+    )
 
 
 @query("""SELECT doc_id, (contains(lower(text), 'server')::INT + contains(lower(text), 'the')::INT + contains(lower(text), 'der')::INT) AS n FROM documents""")
@@ -220,20 +232,21 @@ def content_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", domains.signal_count(F.col("text"), signals).alias("n"))
 
 
-@query("""SELECT count(*) AS done, 0::BIGINT AS skipped, sum(n_chars)::BIGINT AS chunks FROM documents WHERE n_chars > 0""")
+@query("""SELECT count(*) FILTER (WHERE n_chars >= 100) AS done, count(*) FILTER (WHERE coalesce(n_chars, 0) < 100) AS skipped, sum(n_chars // 100)::BIGINT AS chunks FROM documents""")
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counters of an ingest run, a document's characters standing for its records."""
-    runs = table(spark, sf_dir, "documents").where("n_chars > 0").select(F.col("n_chars").alias("n_records"), F.lit(1.0).alias("seconds"))
+    """Counters of an ingest run, a document giving a record for each hundred characters; short ones give none."""
+    runs = table(spark, sf_dir, "documents").select(F.floor(F.col("n_chars") / 100).alias("n_records"), F.lit(1.0).alias("seconds"))
     return stats.run_counts(runs).select("done", "skipped", "chunks")
 
 
-@query("""SELECT source, sha256(string_agg(text, chr(10) ORDER BY doc_id)) AS sha256 FROM documents WHERE text IS NOT NULL GROUP BY source""")
+@query("""SELECT n_nationkey, length(n_name) + 1 AS length, sha256(n_name || chr(10)) AS sha256 FROM nation""")
 def artefact_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A digest of each source's texts in order; few sources."""
-    docs = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    whole = docs.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("t"))
-    joined = F.array_join(F.transform("t", lambda x: x["text"]), "\n")
-    return whole.select("source", F.sha2(joined.cast("binary"), 256).alias("sha256"))
+    """Digests of files: each nation's name is written to one."""
+    path = folder(spark, "artefacts")
+    table(spark, sf_dir, "nation").select("n_nationkey", "n_name").write.partitionBy("n_nationkey").text(path)
+    found = files.artefacts(spark, f"{path}/*/*.txt")
+    key = F.regexp_extract("path", r"n_nationkey=(\d+)", 1).cast("int")
+    return found.select(key.alias("n_nationkey"), "length", "sha256")
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")

@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamstone.functions import sources, vectors
-from loamstone.operators import fts, joins, predicates, ranking, stats
-from loamstone.plans.registry import query, table
+from loamstone.operators import embed, fts, joins, predicates, ranking, stats
+from loamstone.plans.registry import folder, query, table
 from loamstone.streaming.cache import PROFILES
 
 #: Stand-ins for domain dimensions that suit the fixtures' source labels.
@@ -103,14 +103,11 @@ def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(vectors.norm(F.col("embedding")), 9).alias("norm"))
 
 
-@query(f"""WITH h AS (
-  SELECT vec_id, list_sum(list_transform(list_zip(e.embedding, q.v), lambda x: CASE WHEN (x[1] > 0) <> (x[2] > 0) THEN 1 ELSE 0 END)) AS h,
-         {SQL_DISTANCE} AS d FROM embeddings e, {SQL_Q}
-), coarse AS (SELECT * FROM h ORDER BY h, vec_id LIMIT 160)
-SELECT vec_id, round(d, 9) AS distance FROM coarse ORDER BY d, vec_id LIMIT 20""")
+@query(f"""SELECT vec_id, round({SQL_DISTANCE}, 9) AS distance FROM embeddings e, {SQL_Q} ORDER BY {SQL_DISTANCE}, vec_id LIMIT 20""")
 def binary_quantised_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One question by the two stages of its SQL, which lose neighbours; the batch below loses none."""
-    near = ranking.quantised_top_k(_chunks(spark, sf_dir), _question(spark, sf_dir), 20, key="vec_id")
+    """One question: sign bits leave out only what they prove to be too far, so no neighbour is lost."""
+    one = spark.createDataFrame([(0, _question(spark, sf_dir))], "qid long, vector array<float>")
+    near = ranking.top_k_join(one, _chunks(spark, sf_dir), 20, key="vec_id", quantised=True)
     return near.select("vec_id", F.round("_distance", 9).alias("distance"))
 
 
@@ -175,7 +172,7 @@ QUESTIONS = [(1, "the"), (1, "of"), (2, "der"), (2, "scum"), (3, "que")]
 def _bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     questions = spark.createDataFrame(QUESTIONS, "qid int, term string")
-    return fts.bm25(fts.postings(docs), fts.doc_stats(docs), questions, 10)
+    return fts.bm25(fts.postings(docs, only=questions), fts.doc_stats(docs), questions, 10)
 
 
 @query(SQL_BM25)
@@ -220,3 +217,41 @@ def hit_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     best = stats.hit_summary(hits, sources.boost(F.col("source"), BOOSTS, BLOCKED))
     return best.select("qid", F.round("score", 9).alias("score"), F.round("distance", 9).alias("distance"), "label")
+
+
+@query(SQL_BM25)
+def bm25_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index that was built and stored."""
+    path = folder(spark, "index")
+    fts.build_index(table(spark, sf_dir, "documents"), path)
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    found = fts.bm25(read("postings"), read("docstats"), spark.createDataFrame(QUESTIONS, "qid int, term string"), 10)
+    return found.select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
+
+
+@query("""WITH m AS (SELECT d.doc_id, min(o.doc_id) AS first FROM documents d JOIN documents o
+  ON coalesce(d.text, '') = coalesce(o.text, '') GROUP BY d.doc_id)
+SELECT doc_id AS qid, first = doc_id AS is_first, 0.0::DOUBLE AS distance FROM m WHERE doc_id % 100 = 0 AND EXISTS (
+  SELECT 1 FROM documents x WHERE x.doc_id = m.doc_id AND length(trim(coalesce(x.text, ''))) > 0)""")
+def asked_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of every hundredth document as questions, embedded in micro-batches and asked of all embedded documents: each finds a text
+    of its own vector, the first one among equal texts unless another text has the same vector."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce("text", F.lit("")).alias("t"))
+    load = lambda: embed.hashing_model(64)
+    chunks = embed.embedded(docs, load).select(F.col("doc_id").alias("id"), "vector", "t")
+    asked = embed.embed_queries(docs.where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.col("t").alias("query")), load, names=F.array(), universal=F.lit(True))
+    near = ranking.top_k_join(asked, chunks, 1).where(F.col("_distance") < 1e-9)
+    text = docs.select(F.col("doc_id").alias("id"), "t")
+    first = text.groupBy("t").agg(F.min("id").alias("first")).join(text, "t").select("id", "first")
+    return near.join(first.withColumnRenamed("id", "qid"), "qid").select("qid", (F.col("first") == F.col("qid")).alias("is_first"), F.round("_distance", 6).alias("distance"))
+
+
+@query("""WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t FROM events), pairs AS (
+  SELECT q.event_id AS qid, max((p.t, p.event_id::VARCHAR)) AS e, any_value(q.t) AS t FROM e q JOIN e p
+  ON q.event_type = p.event_type AND q.user_id = p.user_id AND q.event_id % 3 <> 0 AND p.event_id % 3 = 0 AND p.t <= q.t GROUP BY q.event_id)
+SELECT qid, e[2] AS result FROM pairs WHERE t - e[1] <= 5 * 86400000000""")
+def exact_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third event stores its id under its user and type; the others look that up, and live five days."""
+    e = table(spark, sf_dir, "events").select("event_id", F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("query"), F.col("ts").cast("timestamp").alias("ts"))
+    stored = e.where("event_id % 3 = 0").select("query", F.col("event_id").cast("string").alias("result"), F.col("ts").alias("created"))
+    return joins.exact_cached(e.where("event_id % 3 <> 0").select(F.col("event_id").alias("qid"), "query", "ts"), stored, 5 * 86400)

@@ -16,18 +16,18 @@ SAMPLES = (
     "yaml.load(f)", "innerHTML = y", "```py\nexec(a)\n``` and eval(b)",
 )
 SQL_SAMPLES = "['" + "', '".join(s.replace("'", "''").replace("\n", "' || chr(10) || '") for s in SAMPLES) + "']"
-SQL_TEXT = f"CASE WHEN doc_id % 2 = 1 THEN ({SQL_SAMPLES})[(doc_id % {len(SAMPLES)}) + 1] || ' ' ELSE '' END || text"
+SQL_TEXT = f"CASE WHEN doc_id % 2 = 1 THEN ({SQL_SAMPLES})[(doc_id % {len(SAMPLES)}) + 1] || ' ' ELSE '' END || coalesce(text, '')"
 _RULES_SQL = ", ".join("('" + name.replace("'", "''") + f"', '{severity}', '" + p.replace("'", "''") + "')" for p, name, severity in audit.RULES)
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = F.element_at(F.array(*[F.lit(s) for s in SAMPLES]), (F.col("doc_id") % len(SAMPLES) + 1).cast("int"))
     prefix = F.when(F.col("doc_id") % 2 == 1, F.concat(sample, F.lit(" "))).otherwise("")
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.concat(prefix, "text").alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(prefix, F.coalesce("text", F.lit(""))).alias("text"))
 
 
 @query(f"""SELECT rule, severity, sum(len(regexp_extract_all(t, p, 0, 'i')))::BIGINT AS n
-FROM (SELECT {SQL_TEXT} AS t FROM documents WHERE text IS NOT NULL), (VALUES {_RULES_SQL}) r(rule, severity, p) GROUP BY rule, severity""")
+FROM (SELECT {SQL_TEXT} AS t FROM documents), (VALUES {_RULES_SQL}) r(rule, severity, p) GROUP BY rule, severity""")
 def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _answers(spark, sf_dir).select(F.inline(audit.rule_counts(F.col("text"))))
     return rows.groupBy("rule", "severity").agg(F.sum("n").alias("n"))
@@ -40,6 +40,21 @@ def audit_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.*")
 
 
+_RULE_LIST = "[" + ", ".join("{'rule': '" + name.replace("'", "''") + "', 'p': '" + p.replace("'", "''") + "'}" for p, name, _ in audit.RULES) + "]"
+
+
+@query(f"""WITH t AS (SELECT doc_id, {SQL_TEXT} AS t FROM documents), f AS (
+  SELECT doc_id, t, array_to_string(regexp_extract_all(t, '(?s)```\\w*\\n(.*?)```', 1), chr(0)) AS fenced FROM t
+), r AS (SELECT doc_id, t, fenced, unnest({_RULE_LIST}) AS r FROM f
+), n AS (SELECT doc_id, r.rule AS rule, len(regexp_extract_all(t, r.p, 0, 'i')) AS n_all, len(regexp_extract_all(fenced, r.p, 0, 'i')) AS n_fenced FROM r
+), w AS (SELECT *, sum(n_fenced) OVER (PARTITION BY doc_id) AS any_fenced FROM n)
+SELECT doc_id, rule, (CASE WHEN any_fenced > 0 THEN n_fenced ELSE n_all END)::BIGINT AS n FROM w WHERE CASE WHEN any_fenced > 0 THEN n_fenced ELSE n_all END > 0""")
+def audit_finding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many findings of each rule a document has, from its fences or else the whole text."""
+    found = audit.audited(_answers(spark, sf_dir)).select("doc_id", F.explode("findings").alias("f"))
+    return found.groupBy("doc_id", F.col("f.rule").alias("rule")).agg(F.count("*").alias("n"))
+
+
 @query()
 def audit_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = audit.audited(_answers(spark, sf_dir)).where("size(findings) > 0")
@@ -51,30 +66,33 @@ _FORBIDDEN_SQL = " OR ".join(f"contains(t, '{k}')" for k in predicates.FORBIDDEN
 
 @query(f"""SELECT conv_id, turn, NOT ({_FORBIDDEN_SQL}) AS safe FROM (
   SELECT conv_id, turn, lower(CASE conv_id % 5 WHEN 1 THEN 'Drop Table ' WHEN 2 THEN '/code keylogger ' ELSE '' END || text) AS t
-  FROM conversations WHERE role = 'user' AND text IS NOT NULL)""")
+  FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM conversations) WHERE role = 'user')""")
 def intent_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gate sees the raw question with its mode."""
     prefix = F.expr("CASE conv_id % 5 WHEN 1 THEN 'Drop Table ' WHEN 2 THEN '/code keylogger ' ELSE '' END")
-    asked = table(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL")
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").fillna({"text": ""})
     return asked.select("conv_id", "turn", predicates.safe_intent(F.concat(prefix, "text")).alias("safe"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN conv_id % 3 = 1 THEN 'review' ELSE 'support' END AS mode, sha256(text) AS question_sha256
-FROM conversations WHERE role = 'user' AND text IS NOT NULL""")
+FROM (SELECT * REPLACE (coalesce(text, '') AS text) FROM conversations) WHERE role = 'user'""")
 def mode_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL")
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").fillna({"text": ""})
     raw = F.concat(F.expr("CASE conv_id % 3 WHEN 1 THEN '/review ' ELSE '' END"), "text")
     mode, question = text.mode_of(raw)
     return asked.select("conv_id", "turn", mode.alias("mode"), F.sha2(question.cast("binary"), 256).alias("question_sha256"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN conv_id % 4 = 1 THEN 'informatics ' || trim(text) ELSE 'Informatics Law: ' || trim(text) END AS enhanced
-FROM conversations WHERE role = 'user' AND text IS NOT NULL""")
+@query("""SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN trim(q) WHEN starts_with(lower(trim(q)), 'inform') OR starts_with(lower(trim(q)), 'law')
+  THEN trim(q) ELSE 'Informatics Law: ' || trim(q) END AS enhanced
+FROM (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 1 THEN 'informatics ' ELSE '' END || coalesce(text, '') AS q FROM conversations WHERE role = 'user')""")
 def enhance_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third conversation is in universal mode, which leaves questions as they are."""
     names = F.array(F.lit("Informatics"), F.lit("Law"))
-    asked = table(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL")
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").fillna({"text": ""})
     raw = F.concat(F.expr("CASE conv_id % 4 WHEN 1 THEN 'informatics ' ELSE '' END"), "text")
-    universal = domains.is_universal(F.array(F.lit("it"), F.lit("law")))
+    ids = F.array(F.lit("it"), F.when(F.col("conv_id") % 3 == 0, "universal").otherwise("law"))
+    universal = domains.is_universal(ids)
     return asked.select("conv_id", "turn", domains.enhanced(raw, names, universal).alias("enhanced"))
 
 
@@ -119,9 +137,19 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
+SQL_REQUESTS = """r AS (SELECT event_id, user_id, event_id % 4 = 3 AS is_end, epoch_us(ts) // 3600 AS t,
+  row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 3600, event_id) AS n FROM events)"""
+
+
+@query(f"""WITH RECURSIVE {SQL_REQUESTS}, run AS (
+  SELECT user_id, n, event_id, [t] AS recent, true AS admitted FROM r WHERE n = 1
+  UNION ALL
+  SELECT r.user_id, r.n, r.event_id, CASE WHEN len(recent) < 3 OR r.t - recent[-3] >= 60000000 THEN list_append(recent, r.t) ELSE recent END,
+         len(recent) < 3 OR r.t - recent[-3] >= 60000000
+  FROM run JOIN r ON r.user_id = run.user_id AND r.n = run.n + 1
+) SELECT event_id AS request_id, user_id::VARCHAR AS tenant_id, admitted FROM run""")
 def rate_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Admission of every request in time order; what is rejected leaves no trace, which SQL windows cannot say."""
+    """Admission of every request in time order; what is rejected leaves no trace, which SQL windows cannot say but a recursion can."""
     requests = _requests(spark, sf_dir)
     tenants = requests.select("tenant_id").distinct().withColumns(
         {"max_requests_per_min": F.lit(3), "max_concurrent": F.lit(1_000_000)}
@@ -129,6 +157,41 @@ def rate_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
     return admission.admit(requests, tenants).select("request_id", "tenant_id", "admitted")
 
 
+@query(f"""WITH RECURSIVE {SQL_REQUESTS}, run AS (
+  SELECT user_id, n, event_id, is_end, CASE WHEN is_end OR user_id % 5 = 0 THEN 0 ELSE 1 END AS running, user_id % 5 <> 0 AS admitted FROM r WHERE n = 1
+  UNION ALL
+  SELECT r.user_id, r.n, r.event_id, r.is_end, CASE WHEN r.is_end THEN greatest(running - 1, 0) WHEN running < 2 AND r.user_id % 5 <> 0 THEN running + 1 ELSE running END,
+         running < 2 AND r.user_id % 5 <> 0
+  FROM run JOIN r ON r.user_id = run.user_id AND r.n = run.n + 1
+) SELECT event_id AS request_id, user_id::VARCHAR AS tenant_id, CASE WHEN NOT is_end THEN admitted END AS admitted FROM run""")
+def release_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cap on running requests: every fourth event ends one, below none there is nothing to end; every fifth tenant is unknown."""
+    requests = _requests(spark, sf_dir).withColumn("kind", F.when(F.col("request_id") % 4 == 3, "end").otherwise("start"))
+    tenants = requests.where("CAST(tenant_id AS LONG) % 5 <> 0").select("tenant_id").distinct().withColumns(
+        {"max_requests_per_min": F.lit(1_000_000), "max_concurrent": F.lit(2)}
+    )
+    return admission.admit(requests, tenants).select("request_id", "tenant_id", "admitted")
+
+
+@query("""WITH o AS (SELECT event_id AS seq, user_id, event_type AS q, epoch_us(ts) / 1e6 AS t,
+    CASE WHEN event_id % 50 = 7 THEN 'drop' WHEN event_id % 3 = 0 THEN 'put' ELSE 'get' END AS op FROM events
+), s AS (
+  SELECT *, count(*) FILTER (WHERE op = 'drop') OVER w AS era, max(CASE WHEN op = 'put' THEN seq END) OVER (PARTITION BY user_id, q ORDER BY seq) AS put_seq FROM o
+  WINDOW w AS (PARTITION BY user_id ORDER BY seq)
+) SELECT s.seq, s.op, CASE WHEN s.op <> 'get' THEN NULL WHEN p.seq IS NOT NULL AND p.era = s.era AND s.t - p.t <= 864000 THEN 'l1' ELSE 'miss' END AS outcome,
+  CASE WHEN s.op = 'get' AND p.seq IS NOT NULL AND p.era = s.era AND s.t - p.t <= 864000 THEN p.seq::VARCHAR END AS result
+FROM s LEFT JOIN s p ON p.seq = s.put_seq AND p.op = 'put'""")
+def cache_exact_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of events replayed against caches, one a user: stores, lookups without vectors and wipes; ten days to live."""
+    e, seq = table(spark, sf_dir, "events"), F.col("event_id")
+    op = F.when(seq % 50 == 7, "drop").when(seq % 3 == 0, "put").otherwise("get")
+    log = e.select(
+        seq.alias("seq"), F.col("user_id").cast("string").alias("cache"), op.alias("op"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"),
+        F.when(op != "drop", F.col("event_type")).alias("query"), F.lit(None).cast("array<double>").alias("vector"), seq.cast("string").alias("result"),
+    )
+    return cache.replay(log, cache.Profile(500, 10 * 86400.0, 0.95)).select("seq", "op", "outcome", "result")
+
+
 @query()
 def cache_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A log of lookups and stores replayed against the cache."""
@@ -163,7 +226,7 @@ def cache_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Age counts from creation, and an entry of exactly the limit is alive."""
     events = table(spark, sf_dir, "events")
     now = events.agg(F.max(F.col("ts").cast("timestamp"))).first()[0]
-    old = F.unix_micros(F.lit(now)) - F.unix_micros(F.col("ts").cast("timestamp")) > 10 * 86_400_000_000
+    old = cache.expired(F.col("ts"), F.lit(now), 10 * 86400)
     return events.agg(F.count_if(~old).alias("live"), F.count_if(old).alias("expired"))
 
 
@@ -204,15 +267,23 @@ def model_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("p_partkey", prompts.context_window(F.col("m")).alias("context"), prompts.batch_size(F.col("f"), F.col("b")).alias("batch"))
 
 
-@query("""SELECT conv_id, turn, 2 AS n_messages, 'system,user' AS roles, contains(q, 'Question: ') AS asks FROM (SELECT conv_id, turn, 'Question: ' || text AS q FROM conversations WHERE role = 'user' AND text IS NOT NULL)""")
+_SYSTEM_SQL = "CASE conv_id % 4 " + " ".join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(prompts.SYSTEM.values())) + " END"
+
+
+@query(f"""SELECT conv_id, turn, 'system,user' AS roles, sha256({_SYSTEM_SQL} || chr(10) || 'Context:' || chr(10) || '[1] ' || source || chr(10) || chr(10) || chr(10) || 'Sources:' || chr(10)
+  || array_to_string([source || '#' || i FOR i IN generate_series(1, least(10, conv_id % 14))], chr(10)) || chr(10) || chr(10) || 'Question: ' || text) AS sha256
+FROM (SELECT conv_id, turn, coalesce(text, '') AS text, 'src' || turn AS source FROM conversations WHERE role = 'user')""")
 def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = table(spark, sf_dir, "conversations").where("role = 'user' AND text IS NOT NULL")
-    messages = prompts.chat_messages(F.lit("code"), F.col("text"), F.lit("[1] a\nb\n"), F.array(F.lit("a")))
+    """All modes, contexts, and from none to more sources than are cited; the digest is of the whole messages."""
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").fillna({"text": ""})
+    mode = F.element_at(F.array(*[F.lit(m) for m in prompts.SYSTEM]), (F.col("conv_id") % 4 + 1).cast("int"))
+    source = F.concat(F.lit("src"), F.col("turn").cast("string"))
+    numbers = F.filter(F.sequence(F.lit(0).cast("long"), F.col("conv_id") % 14), lambda i: i > 0)
+    cited = F.transform(numbers, lambda i: F.concat(source, F.lit("#"), i.cast("string")))
+    messages = prompts.chat_messages(mode, F.col("text"), F.concat(F.lit("[1] "), source, F.lit("\n")), cited)
     made = asked.select("conv_id", "turn", messages.alias("m"))
-    return made.select(
-        "conv_id", "turn", F.size("m").alias("n_messages"), F.array_join(F.transform("m", lambda x: x["role"]), ",").alias("roles"),
-        F.element_at("m", 2)["content"].contains("Question: ").alias("asks"),
-    )
+    whole = F.array_join(F.transform("m", lambda x: x["content"]), "\n")
+    return made.select("conv_id", "turn", F.array_join(F.transform("m", lambda x: x["role"]), ",").alias("roles"), F.sha2(whole.cast("binary"), 256).alias("sha256"))
 
 
 @query("""SELECT bool_and(n > 0) AS ok FROM (SELECT count(*) AS n FROM documents UNION ALL SELECT count(*) FROM embeddings UNION ALL SELECT count(*) FROM pages)""")
