@@ -76,12 +76,23 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(basename(path), r"(?<=.)\.[^.]+$", "")
 
 
-def mode_of(query: Column) -> tuple[Column, Column]:
-    """(mode, question) of `/mode question`; support without one."""
+def detected_mode(question: Column) -> Column:
+    """The mode that a question's words suggest, by rules of our own."""
+    q = F.lower(question)
+    return (
+        F.when(contains_any(q, ("security audit", "vulnerab", "cve-")), "audit")
+        .when(contains_any(q, ("review this", "review my", "code review")), "review")
+        .when(contains_any(q, ("```", "write a function", "write a script", "implement ")), "code")
+        .otherwise("support")
+    )
+
+
+def mode_of(query: Column, detect: bool = False) -> tuple[Column, Column]:
+    """(mode, question) of `/mode question`; without one support or, if asked, what is detected."""
     pattern = r"(?s)^/(code|review|audit|support)\s+(.*)$"
     named = query.rlike(pattern)
     return (
-        F.when(named, F.regexp_extract(query, pattern, 1)).otherwise("support"),
+        F.when(named, F.regexp_extract(query, pattern, 1)).otherwise(detected_mode(query) if detect else F.lit("support")),
         F.when(named, F.regexp_extract(query, pattern, 2)).otherwise(query),
     )
 

@@ -45,7 +45,7 @@ def split_recursively(text: str, size: int, overlap: int, separators: Sequence[s
             chunks.append(chunk)
 
     for piece in pieces:
-        if len(piece) > size and finer:
+        if len(piece) >= size and finer:  # only shorter pieces are packed as they are
             close()
             window, length = [], 0
             chunks += split_recursively(piece, size, overlap, finer)

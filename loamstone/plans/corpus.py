@@ -10,7 +10,7 @@ from loamstone.functions import sources, text
 from loamstone.operators import chunking, domains, embed, joins, predicates, stats
 from loamstone.plans.registry import folder, query, table
 from loamstone.plans.search import BLOCKED, BOOSTS, SQL_BOOST
-from loamstone.sources import catalog, files
+from loamstone.sources import api, catalog, files
 
 STRIP = r"regexp_replace({}, '^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '', 'g')"
 
@@ -194,9 +194,8 @@ def question_posts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT lang, doc_id, n FROM (SELECT lang, doc_id, n_chars AS n, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS rn FROM documents) WHERE rn <= 20""")
 def top_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best 20 of each tag; languages and lengths stand for tags and votes."""
-    docs = table(spark, sf_dir, "documents").select("lang", "doc_id", F.col("n_chars").alias("n"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "doc_id"))
-    return docs.withColumn("rn", rank).where("rn <= 20").drop("rn")
+    items = table(spark, sf_dir, "documents").select(F.col("lang").alias("topic"), F.col("doc_id").alias("title"), F.col("n_chars").alias("votes"))
+    return api.best_of_topic(items, 20).select(F.col("topic").alias("lang"), F.col("title").alias("doc_id"), F.col("votes").alias("n"))
 
 
 @query("""SELECT * FROM (VALUES ('security.stackexchange.com', 0), ('serverfault.com', 1)) t(site, ord)""")

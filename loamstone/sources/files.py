@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from loamstone import schema
-from loamstone.functions.sources import site_of
+from loamstone.functions.sources import is_blocked, site_of
 from loamstone.functions.text import drop_replacement
 
 TEXT_SUFFIXES = ("txt", "md", "rst")
@@ -28,6 +31,8 @@ PROJECT_SKIP_DIRS = (
     "lancedb_index", "data/processed", "data/dumps", "data/mdn-web-docs",
     ".cursor", "target", "vendor", ".next", ".cache",
 )
+#: Folders whose files are indexed as they are.
+PASSTHROUGH = ("gutenberg", "linux-docs")
 MAX_PROJECT_BYTES = 512 * 1024
 
 
@@ -49,13 +54,14 @@ def text_tree(spark: SparkSession, path: str, suffixes=TEXT_SUFFIXES, skip=SKIP_
     return named.where(_outside(F.col("source"), skip))
 
 
-def priority_text(spark: SparkSession, path: str, roots) -> DataFrame:
-    """Only the files below the given roots of path."""
-    out = None
-    for r in roots:
-        part = text_tree(spark, f"{path}/{r}")
-        out = part if out is None else out.unionByName(part)
-    return out
+def priority_text(spark: SparkSession, path: str, roots, blocked=()) -> DataFrame:
+    """Only the files below the given roots of path whose source is not blocked; roots that are not there are left out."""
+    return text_tree(spark, f"{path}/{{{','.join(roots)}}}").where(~is_blocked(F.col("source"), blocked))
+
+
+def passthrough_text(spark: SparkSession, path: str) -> DataFrame:
+    """Texts that need no preparation, read from where they are."""
+    return priority_text(spark, path, PASSTHROUGH)
 
 
 def project_files(spark: SparkSession, path: str, max_bytes: int = MAX_PROJECT_BYTES) -> DataFrame:
@@ -78,6 +84,22 @@ def posts(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("*", site_of(F.col("_metadata.file_path")).alias("site"))
 
 
+def site_posts(spark: SparkSession, root: str) -> DataFrame:
+    """The posts of every site, a folder of root: of its Posts.xml, or else of the first one in its folders. One path a site is listed."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "Posts.xml").load(root).select("path")
+    inside = F.element_at(F.split("path", re.escape("/" + root.rstrip("/").rpartition("/")[2] + "/"), 2), 2)
+    site = F.substring_index(inside, "/", 1)
+    nested = inside != F.concat(site, F.lit("/Posts.xml"))
+    first = found.groupBy(site.alias("site")).agg(F.min(F.struct(nested, "path"))["path"].alias("path"))
+    paths = {r["path"]: r["site"] for r in first.collect()}
+    if not paths:
+        return spark.createDataFrame([], T.StructType([*schema.POST.fields, T.StructField("site", T.StringType())]))
+    rows = spark.read.format("xml").option("rowTag", "row").schema(schema.POST).load(list(paths))
+    names = F.create_map(*[F.lit(x) for p, s in paths.items() for x in (p.partition(":")[2].lstrip("/"), s)])
+    key = F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9]+:/+", "")
+    return rows.select("*", names[key].alias("site"))
+
+
 def api_items(spark: SparkSession, path: str) -> DataFrame:
     """Saved answers of a question API, an item a row."""
     kind = "items array<" + schema.API_ITEM.simpleString() + ">"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,10 +45,17 @@ def jsonl(chunks: DataFrame, path: str, compression: str = "gzip") -> None:
 
 
 def articles(pages: DataFrame, path: str) -> None:
-    """One text file for each article, in a folder by its safe name; of equal names the first page by pos is written."""
+    """One text file for each article, in a folder by its safe name; of equal names the first page by pos is written, and what is there stays."""
     named = pages.withColumn("name", safe_filename(F.col("title")))
-    once = first_by(named, ["name"], "pos")
-    once.select("name", titled(F.col("title"), F.col("text")).alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+    once = first_by(named, ["name"], "pos").select("name", titled(F.col("title"), F.col("text")).alias("value"))
+    try:
+        there = pages.sparkSession.read.schema("value string, name string").text(path).select("name").distinct()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        once = unseen(once, there, "name")
+    once.write.mode("append").partitionBy("name").text(path)
 
 
 def compacted(df: DataFrame, path: str, rows_a_file: int = 1_000_000) -> None:

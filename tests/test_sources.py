@@ -102,7 +102,58 @@ def test_catalogues(spark):
     paths = spark.createDataFrame([("wikipedia/a.txt",), ("gutenberg/b.txt",), ("rfcs/c.txt",), ("nowhere/d.txt",)], "path string")
     got = catalog.prioritised(paths, spark).orderBy("ord").collect()
     assert [r.path for r in got] == ["rfcs/c.txt", "wikipedia/a.txt"]
-    assert catalog.wiki_dumps(spark, ["de", "en"], ["wikibooks"]).first().url.endswith("/dewikibooks/latest/dewikibooks-latest-pages-articles.xml.bz2")
+    dumps = catalog.wiki_dumps(spark).orderBy("ord").collect()
+    assert len(dumps) == 8 and dumps[0].url.endswith("/dewikibooks/latest/dewikibooks-latest-pages-articles.xml.bz2") and dumps[0].file == "dewikibooks-articles.xml.bz2"
+    assert catalog.wiki_dumps(spark, full=True).where("wiki = 'frwiki'").first().url.endswith("/frwiki/latest/frwiki-latest-pages-articles-multistream.xml.bz2")
+    state = spark.createDataFrame([([str(i) for i in range(9)], [str(i) for i in range(9)], {"python": 29, "linux": 30})], "wiki_queue array<string>, wiki_done array<string>, so_progress map<string,int>")
+    few = catalog.capped(state, 2, 3).first()
+    assert few.wiki_queue == ["0", "1"] and few.wiki_done == ["6", "7", "8"]
+    assert {tuple(r) for r in catalog.tag_pages(state, ["python", "linux", "rust"]).collect()} == {("python", 30), ("rust", 1)}
+
+
+def test_sites_with_nested_posts(spark, tmp_path):
+    row = '<posts><row Id="{}" PostTypeId="1" Score="5" Title="T" Body="b" Tags="" /></posts>'
+    for path, i in (("se/a/Posts.xml", 1), ("se/a/x/Posts.xml", 2), ("se/b/y/Posts.xml", 3), ("se/b/z/Posts.xml", 4), ("se/c/Other.xml", 5)):
+        put(f"{tmp_path}/{path}", row.format(i).encode())
+    assert sorted((r.site, r._Id) for r in files.site_posts(spark, f"{tmp_path}/se").select("site", "_Id").collect()) == [("a", "1"), ("b", "3")]
+
+
+def test_passthrough_and_blocked_roots(spark, tmp_path):
+    for path in ("gutenberg/a.txt", "wikipedia/b.txt", "rfcs/c.txt", "rfcs/bad.txt"):
+        put(f"{tmp_path}/{path}", b"text")
+    names = lambda df: sorted(os.path.basename(r.source) for r in df.collect())
+    assert names(files.passthrough_text(spark, str(tmp_path))) == ["a.txt"]
+    assert names(files.priority_text(spark, str(tmp_path), ["rfcs", "nowhere"], ["bad"])) == ["c.txt"]
+
+
+def test_articles_that_are_there_stay(spark, tmp_path):
+    pages = lambda *rows: spark.createDataFrame(rows, "title string, text string, pos int")
+    sinks.articles(pages(("007", "old", 1), ("a/b", "old", 1)), f"{tmp_path}/out")
+    sinks.articles(pages(("007", "new", 1), ("a_b", "new", 1), ("c", "new", 1)), f"{tmp_path}/out")
+    read = spark.read.schema("value string, name string").text(f"{tmp_path}/out", wholetext=True)
+    assert sorted((r.name, r.value.strip().rpartition("\n")[2]) for r in read.collect()) == [("007", "old"), ("a_b", "old"), ("c", "new")]
+
+
+def test_one_question_is_embedded(spark):
+    load = lambda: embed.hashing_model(16)
+    want = [float(x) for x in embed.hashing_model(16)(["it: a question"])[0]]
+    assert embed.embed_query(spark, " a question", load, names=F.array(F.lit("it"))) == want
+    asked = spark.createDataFrame([(1, "x y"), (2, None)], "qid int, query string")
+    assert embed.embed_queries(asked, load, batch=1).where("vector IS NOT NULL").count() == 2
+
+
+def test_patterns_are_a_dimension(spark):
+    many = spark.range(5).selectExpr("CAST(id AS STRING) AS pattern")
+    with pytest.raises(ValueError, match="at most 4 rows"):
+        joins.dimension(many, 4)
+
+
+def test_a_cache_of_any_size(spark):
+    rows = [(i, [float(i % 7 + 1), float(i % 5)]) for i in range(60)]
+    entries = spark.createDataFrame(rows, "entry long, vector array<double>")
+    asked = spark.createDataFrame(rows[:20], "qid long, vector array<double>")
+    key = lambda df: sorted((r.qid, r.entry, round(r.similarity, 9)) for r in df.collect())
+    assert key(joins.nearest_cached(asked, entries, 0.5, max_entries=7)) == key(joins.nearest_cached(asked, entries, 0.5))
 
 
 def test_embedding_failures_and_backfill(spark):
