@@ -174,7 +174,9 @@ def revealing_terms(
     holds = docs.select(
         "doc_id", F.xxhash64("text").alias("text_hash"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))).alias("word")
     ).withColumn("term", F.lower("word"))
-    marks = holds.groupBy("term").agg(F.expr("bit_count(bit_or(shiftleft(1L, CAST(text_hash & 63 AS INT))))").alias("least"))
+    possible = materialise(pairs.select("term").distinct(), "possible")
+    asked = holds.join(_small(possible, broadcast_rows, 32 + F.length("term")), "term")
+    marks = asked.groupBy("term").agg(F.expr("bit_count(bit_or(shiftleft(1L, CAST(text_hash & 63 AS INT))))").alias("least"))
     pairs_left = materialise(pairs.join(marks, "term").where(discloses(F.greatest("x_kt", "least"))), "pairs_left")
     candidates = materialise(pairs_left.select("term").distinct(), "candidates")
     held = materialise(holds.join(_small(candidates, broadcast_rows, 32 + F.length("term")), "term"), "held")
@@ -192,7 +194,7 @@ def revealing_terms(
         .agg(F.array_sort(F.collect_set(F.struct("word", "remove"))).alias("terms"))
     )
     terms = materialise(terms, "terms")
-    discard(seen, near, pairs, pairs_left, candidates, held, flagged)
+    discard(seen, near, pairs, possible, pairs_left, candidates, held, flagged)
     return terms
 
 
