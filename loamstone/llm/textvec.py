@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -182,3 +184,9 @@ def _runs(single: np.ndarray, n: int) -> np.ndarray:
     """Numbers of the runs of n words, by first word."""
     many = max(len(single) - n + 1, 0)
     return _rank(*[single[j : j + many] for j in range(n)]) if many else np.zeros(0, dtype=np.int64)
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system, as a Python worker lives on after its task; where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)

@@ -230,6 +230,35 @@ def seed_labels(f: list[np.ndarray], rows: np.ndarray, toxic: np.ndarray) -> np.
     return label * bad.astype(np.int8)
 
 
+def _parts(chain: np.ndarray, words: int = 1 << 19) -> list[tuple[int, int]]:
+    """Runs of chains of about so many words, by their first and last bounds."""
+    cuts = np.unique(np.searchsorted(chain, np.arange(0, chain[-1], words)))
+    cuts = np.unique(np.concatenate([[0], cuts, [len(chain) - 1]]))
+    return list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+
+
+def _add_gradient(
+    label: np.ndarray, number: list[np.ndarray], chain: np.ndarray, w: np.ndarray, moves: np.ndarray, grad: np.ndarray, g_theta: np.ndarray
+) -> None:
+    """Add labels minus marginals of some chains, by feature and by kind of step."""
+    lo, hi = int(chain[0]), int(chain[-1])
+    columns, y = [c[lo:hi] for c in number], label[lo:hi].astype(float)
+    scores = np.full(hi - lo, OFFSET)
+    for c in columns:
+        scores += w[c]
+    own, ahead, behind = odds(scores, chain - lo, moves)
+    both = ahead * behind / own
+    miss = y - both / (1 + both)
+    for c in columns:
+        grad += np.bincount(c, weights=miss, minlength=len(w))
+    pair = np.ones(max(hi - lo - 1, 0))  # 0 where a chain ends
+    pair[chain[1:-1] - lo - 1] = 0.0
+    r, x, a, b = ahead[:-1], behind[1:], y[:-1], y[1:]
+    total = moves[0] + moves[1] * x + moves[2] * r + moves[3] * r * x
+    seen = (((1 - a) * b) @ pair, (a * (1 - b)) @ pair, (a * b) @ pair)
+    g_theta += np.array(seen) - np.array([(moves[1] * x / total) @ pair, (moves[2] * r / total) @ pair, (moves[3] * r * x / total) @ pair])
+
+
 def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 60) -> Model:
     model = Model(np.zeros(0, dtype=U), np.zeros(0, dtype=np.float32), np.ones(4), np.zeros(3))
     n, n1 = len(toxic), int(toxic.sum())
@@ -241,7 +270,11 @@ def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 60) -> Model:
         starts, stops, rows = textvec.words(data, offsets, SEPARATOR)
         parts.append(features(data, starts, stops))
         bounds.append(rows[1:] + bounds[-1][-1])
-    f, rows = [np.concatenate(column) for column in zip(*parts, strict=True)], np.concatenate(bounds)
+    f, rows = [], np.concatenate(bounds)
+    for i in range(1 + len(PREFIXES)):
+        f.append(np.concatenate([p[i] for p in parts]))
+        for p in parts:
+            p[i] = None
     del parts
     label = seed_labels(f, rows, toxic)
 
@@ -251,42 +284,31 @@ def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 60) -> Model:
     seeds = np.zeros(n, dtype=np.int64)
     seeds[some] = np.add.reduceat(label.astype(np.int64), rows[some]) if len(some) else 0
     use = (sizes > 0) & ((toxic == 0) | (seeds > 0))
-    words = np.flatnonzero(np.repeat(use, sizes))
-    y, chain = label[words].astype(float), np.concatenate([[0], np.cumsum(sizes[use])])
-    pair = np.ones(len(words), dtype=bool)
-    pair[chain[1:] - 1] = False
-    pair = np.flatnonzero(pair)  # words that have a next one in their row
+    words = np.repeat(use, sizes)
+    y, chain = label[words], np.concatenate([[0], np.cumsum(sizes[use])])
     known, number = [], []
-    for column in f:
-        names, at, times = np.unique(column[words], return_inverse=True, return_counts=True)
+    for i in range(len(f)):
+        names, at, times = np.unique(f[i][words], return_inverse=True, return_counts=True)
         frequent = times >= 3  # what is rarer says nothing that carries over
         place = np.where(frequent, np.cumsum(frequent) + sum(map(len, known)), 0)  # 0 is the feature without weight
         known.append(names[frequent])
-        number.append(place[at].astype(np.int32))
+        number.append(place.astype(np.int32)[at])
+        f[i] = None  # the features are made again where they are scored
     known = np.concatenate(known)
+    del names, at, times, frequent, place, label, words
 
     w, theta = np.zeros(len(known) + 1), np.zeros(3)  # theta: log potentials relative to staying clean
     state = [np.zeros(len(w)), np.zeros(len(w)), np.zeros(3), np.zeros(3)]
-    scale = 64 / max(len(words), 1)
-    a, b = y[pair], y[pair + 1]
-    seen = np.array([((1 - a) * b).sum(), (a * (1 - b)).sum(), (a * b).sum()])
+    scale = 64 / max(len(y), 1)
+    parts = _parts(chain)
     for step in range(1, steps + 1):
         moves = np.exp(np.array([0.0, *theta]))
-        scores = np.full(len(words), OFFSET)
-        for column in number:
-            scores += w[column]
-        own, ahead, behind = odds(scores, chain, moves)
-        both = ahead * behind / own
-        miss = y - both / (1 + both)
-        grad = np.zeros(len(w))
-        for column in number:
-            grad += np.bincount(column, weights=miss, minlength=len(w))
+        grad, g_theta = np.zeros(len(w)), np.zeros(3)
+        for first, last in parts:
+            _add_gradient(y, number, chain[first : last + 1], w, moves, grad, g_theta)
         grad = grad * scale - 1e-5 * w
         grad[0] = 0.0
-        r, x = ahead[pair], behind[pair + 1]
-        joint = [moves[1] * x, moves[2] * r, moves[3] * r * x]
-        total = moves[0] + joint[0] + joint[1] + joint[2]
-        g_theta = (seen - np.array([(j / total).sum() for j in joint])) * scale - 1e-3 * theta
+        g_theta = g_theta * scale - 1e-3 * theta
         for value, g, m1, m2, rate in ((w, grad, state[0], state[1], 0.15), (theta, g_theta, state[2], state[3], 0.1)):
             m1 += 0.1 * (g - m1)
             m2 += 0.01 * (g * g - m2)
@@ -294,9 +316,14 @@ def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 60) -> Model:
     order = np.argsort(known, kind="stable")
     model.known, model.weights = known[order], w[1:][order].astype(np.float32)
     model.moves = np.exp(np.array([0.0, *theta]))
+    del y, number, state
 
-    p = marginals(word_scores(f, model.table()), rows, model.moves)
-    x = np.column_stack([np.ones(n), summaries(p, rows)])
+    table = model.table()
+    found = []
+    for _, data, offsets in textvec.chunks(texts):
+        starts, stops, some = textvec.words(data, offsets, SEPARATOR)
+        found.append(summaries(marginals(word_scores(features(data, starts, stops), table), some, model.moves), some))
+    x = np.column_stack([np.ones(n), np.concatenate(found)])
     beta = np.zeros(3)
     for _ in range(50):  # Newton steps of a ridge logistic regression
         q = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -349,6 +376,8 @@ def train(docs: DataFrame, labels: DataFrame, *, sample: int = 1500) -> Model:
         if found:
             table = pa.Table.from_batches(found).sort_by("doc_id").combine_chunks()
             model = fit(table["text"].combine_chunks(), np.asarray(table["toxic"]))
+            del table, found
+            textvec.release_memory()
         else:
             model = fit(pa.array([], pa.string()), np.zeros(0))
         data = [model.known.tobytes(), model.weights.tobytes(), model.moves.tobytes(), model.logit.tobytes()]
