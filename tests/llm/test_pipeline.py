@@ -79,12 +79,20 @@ def plain_mix(rows, source):
     total = {}
     for i in size:
         total[source[i]] = total.get(source[i], 0) + size[i]
-    taken = {}
+    taken = dict.fromkeys(size, 0)
     for s, target in brute_targets(total).items():
-        start, words = 0, round(target)
+        stream = []  # the document of each word of the source, in order
         for i in sorted((i for i in size if source[i] == s), key=lambda i: hashlib.md5(f"0|{i}".encode()).hexdigest()):
-            taken[i] = sum(max(0, min(size[i], words - start - k * total[s])) for k in range(3))
-            start += size[i]
+            stream += [i] * size[i]
+        left, epoch = round(target), 0
+        while left > 0:
+            blocks = range(-(-len(stream) // 4096))
+            for b in sorted(blocks, key=lambda b: hashlib.md5(f"0|{s or ''}|{epoch}|{b}".encode()).hexdigest()):
+                block = stream[b * 4096 : b * 4096 + 4096][:left]
+                left -= len(block)
+                for i in block:
+                    taken[i] += 1
+            epoch += 1
     return {i: n for i, n in taken.items() if n}
 
 
