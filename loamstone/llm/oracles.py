@@ -218,6 +218,38 @@ SELECT doc_id, size::BIGINT AS size, source_size, target::DOUBLE AS target, coal
 FROM runs LEFT JOIN pieces USING (r)
 """
 
+OP13 = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), marks AS (
+  SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id
+), fails AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(w) < 100 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN x.doc_id > min(x.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS f
+  FROM texts x LEFT JOIN marks ON x.doc_id = marks.doc_id
+), l(x) AS (
+  VALUES ('A'), ('B'), ('C'), ('D'), ('E')
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), grouped AS (
+  SELECT part, f, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM fails GROUP BY part, f
+), gone AS (
+  SELECT *, CASE WHEN f = '' THEN 6 ELSE list_min(list_transform(string_split(f, ''), lambda c: strpos(o, c))) END AS place FROM grouped, orders
+), steps AS (
+  SELECT part, o AS filter_order, s AS step, coalesce(sum(n) FILTER (WHERE place > s), 0) AS kept, coalesce(sum(n) FILTER (WHERE place = s), 0) AS removed,
+         coalesce(sum(n) FILTER (WHERE place < s AND contains(f, o[s])), 0) AS redundant, coalesce(sum(n) FILTER (WHERE f = o[s]), 0) AS unique_fails,
+         coalesce(sum(good) FILTER (WHERE place = s), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE place = s), 0) AS toxic_lost
+  FROM gone, generate_series(1, 5) g(s) GROUP BY part, o, s
+)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+       unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+       sum(removed) OVER (PARTITION BY part, filter_order[step])::BIGINT AS shapley
+FROM steps
+"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filter": OP1,
     "op2_near_dup": OP2,
@@ -226,4 +258,5 @@ ORACLES: dict[str, str] = {
     "op5_vector_join": OP5,
     "op8_decontaminate": OP8,
     "op9_mix_sources": OP9,
+    "op13_filter_audit": OP13,
 }

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm import chat, decontaminate, line_dedup, mix, near_dup, pii, token_counts, toxicity, url_filter, vector_join
+from loamstone.llm import chat, decontaminate, filter_audit, line_dedup, mix, near_dup, pii, token_counts, toxicity, url_filter, vector_join
 from loamstone.llm.common import materialise, scratch_dir
 
 
@@ -106,6 +106,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_near_dup": op2_near_dup,
@@ -117,4 +121,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_mix_sources": op9_mix_sources,
     "op10_pii": op10_pii,
+    "op13_filter_audit": op13_filter_audit,
 }
