@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm import chat, decontaminate, filter_audit, line_dedup, mix, near_dup, pii, token_counts, toxicity, url_filter, vector_join
+from loamstone.llm import chat, decontaminate, filter_audit, line_dedup, lm_score, mix, near_dup, pii, token_counts, toxicity, url_filter, vector_join, whitening
 from loamstone.llm.common import materialise, scratch_dir
 
 
@@ -106,6 +106,22 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm_score.train(docs.where(lm_score.trains(F.col("doc_id"))))
+    done = lm_score.score(docs, model)
+    return done.select(
+        "doc_id", (~lm_score.trains(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known",
+        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation that is beyond long, which the operator gives as a decimal, is null."""
+    done = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return done.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -121,5 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_mix_sources": op9_mix_sources,
     "op10_pii": op10_pii,
+    "op11_lm_score": op11_lm_score,
+    "op12_whitening": op12_whitening,
     "op13_filter_audit": op13_filter_audit,
 }
