@@ -72,16 +72,34 @@ def project_files(spark: SparkSession, path: str, max_bytes: int = MAX_PROJECT_B
     return small.select(F.concat(F.lit("user:"), "path").alias("source"), text.alias("text"))
 
 
-def wiki_dump(spark: SparkSession, path: str) -> DataFrame:
+def elements(spark: SparkSession, path, tag: str, closing: str, row: T.StructType) -> DataFrame:
+    """file, x: the elements of a name in XML files, parsed by a schema; null where one is malformed.
+
+    The text reader cuts files where an element begins, so a file, or one packed by bzip2, is as many tasks as it has
+    splits, and an element over the end of a split belongs to the one in which it begins; gzip can only be read as a whole. What begins an
+    element cannot stand in a text or an attribute, where `<` is escaped. closing: a pattern up to the end of an element;
+    one without its end, as in a dump that was cut off, is left out.
+    """
+    parts = spark.read.option("lineSep", f"<{tag}").text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    # What follows a name that only starts like this one, and what stands before the first element, is none.
+    inside = F.regexp_extract("value", rf"(?s)\A([\s/>]{closing})", 1)
+    whole = parts.select("file", F.concat(F.lit(f"<{tag}"), inside).alias("value")).where(F.length("value") > len(tag) + 1)
+    return whole.select("file", F.from_xml("value", row, {"rowTag": tag}).alias("x"))
+
+
+def wiki_dump(spark: SparkSession, path) -> DataFrame:
     """title, text of the pages of a (compressed) dump."""
-    pages = spark.read.format("xml").option("rowTag", "page").schema(schema.WIKI_PAGE).load(path)
-    return pages.select("title", F.col("revision.text").alias("text"))
+    return elements(spark, path, "page", ".*?</page\\s*>", schema.WIKI_PAGE).select("x.title", F.col("x.revision.text").alias("text"))
 
 
-def posts(spark: SparkSession, path: str) -> DataFrame:
+def post_rows(spark: SparkSession, path) -> DataFrame:
+    """file and the columns of the rows of Posts.xml files."""
+    return elements(spark, path, "row", ".*(?:/>|</row\\s*>)", schema.POST).select("file", "x.*")
+
+
+def posts(spark: SparkSession, path) -> DataFrame:
     """The rows of Posts.xml files with the site, the folder that holds the file."""
-    rows = spark.read.format("xml").option("rowTag", "row").schema(schema.POST).load(path)
-    return rows.select("*", site_of(F.col("_metadata.file_path")).alias("site"))
+    return post_rows(spark, path).withColumn("site", site_of(F.col("file"))).drop("file")
 
 
 def site_posts(spark: SparkSession, root: str) -> DataFrame:
@@ -94,10 +112,9 @@ def site_posts(spark: SparkSession, root: str) -> DataFrame:
     paths = {r["path"]: r["site"] for r in first.collect()}
     if not paths:
         return spark.createDataFrame([], T.StructType([*schema.POST.fields, T.StructField("site", T.StringType())]))
-    rows = spark.read.format("xml").option("rowTag", "row").schema(schema.POST).load(list(paths))
     names = F.create_map(*[F.lit(x) for p, s in paths.items() for x in (p.partition(":")[2].lstrip("/"), s)])
-    key = F.regexp_replace(F.col("_metadata.file_path"), "^[a-z0-9]+:/+", "")
-    return rows.select("*", names[key].alias("site"))
+    key = F.regexp_replace("file", "^[a-z0-9]+:/+", "")
+    return post_rows(spark, list(paths)).withColumn("site", names[key]).drop("file")
 
 
 def api_items(spark: SparkSession, path: str) -> DataFrame:
