@@ -1,7 +1,8 @@
 """Chat formatting with schema fingerprints.
 
 A record is a JSON object in any of several layouts. Its schema is the set of
-its nested field paths with their kinds (`messages[].role:string`); the hash
+its nested field paths with their kinds (`messages[].role:string`), in which names have
+their dots, brackets, colons, line ends and backslashes escaped, so that no two schemas read alike; the hash
 of that set selects a declarative mapping, and the mapping turns the record
 into canonical turns (role, text). Turns are then written with a template
 whose control strings cannot come from a text: backslash and `<|` are escaped
@@ -10,7 +11,8 @@ a list of code point ranges, one for each assistant text.
 
 Defined results:
  - a record that is null, not JSON, or of no known schema: no turns, with its fingerprint and the error;
- - null text or role: empty; null fields have no path, like missing ones;
+ - null text or role: empty; null fields have no path, like missing ones, and null items of a list are no turns;
+ - null conv_id, where turns are rows: an id like any other, so its rows are one conversation;
  - a conversation without turns: the empty string;
  - rows of equal turn: by role, then text; repeated rows: each is a turn;
  - very long texts: whole; an unpaired surrogate from a JSON escape: U+FFFD;
@@ -87,16 +89,21 @@ MAPPINGS = (
 )
 
 
-def paths_of(value, prefix: str = "") -> set[str]:
+def escape_name(name: str) -> str:
+    return re.sub(r"[\\.\[\]:\n]", lambda m: "\\n" if m[0] == "\n" else "\\" + m[0], name)
+
+
+def paths_of(value, prefix: str | None = None) -> set[str]:
     """The nested field paths of a JSON value with the kinds of its leaves."""
     if isinstance(value, dict):
-        return set().union(*(paths_of(v, f"{prefix}.{k}" if prefix else k) for k, v in value.items()))
+        inside = {escape_name(k) if prefix is None else f"{prefix}.{escape_name(k)}": v for k, v in value.items()}
+        return set().union(*(paths_of(v, p) for p, v in inside.items()))
     if isinstance(value, list):
-        return set().union(*(paths_of(v, f"{prefix}[]") for v in value)) if value else {f"{prefix}[]:empty"}
+        return set().union(*(paths_of(v, f"{prefix or ''}[]") for v in value)) if value else {f"{prefix or ''}[]:empty"}
     if value is None:
         return set()
     kind = "string" if isinstance(value, str) else "boolean" if isinstance(value, bool) else "number"
-    return {f"{prefix}:{kind}"}
+    return {f"{prefix or ''}:{kind}"}
 
 
 def canonical(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
@@ -106,7 +113,7 @@ def canonical(record: dict, mapping: Mapping) -> list[tuple[str, str]]:
         if parts or (role != "system" and any(n in record for n in names)):
             turns.append((role, "\n\n".join(parts)))
     for name in mapping.turns.split("+") if mapping.turns else ():
-        for item in record.get(name) or ():
+        for item in filter(None, record.get(name) or ()):
             role = item.get(mapping.role) or ""
             turns.append((ROLES.get(role, role), item.get(mapping.text) or ""))
     return turns

@@ -1,8 +1,9 @@
 """Line deduplication over levelled sorted runs of line hashes.
 
-One pass over the texts hashes their lines into postings (hash, doc_id), dealt to batches. A `LineRuns` store holds
-runs (key hash, number of documents, largest doc_id); a run is a table of buckets
-by hash, each bucket a sorted file. A batch is ingested in two steps:
+One pass over the texts turns their lines into postings (digest, doc_id), dealt to batches. The digest is the first half of
+the SHA-256 of the folded line, so no two lines that anybody can name share one. A `LineRuns` store holds
+runs (digest, number of documents, largest doc_id); a run is a table of buckets
+by digest, each bucket a sorted file. A batch is ingested in two steps:
 its postings are aggregated, which deals them into the same buckets, and
 merge-anti-joined with every run's decided keys, bucket by bucket; the rest is
 added as a run of level 0. The runs' side of these joins is neither shuffled nor sorted, so
@@ -42,27 +43,30 @@ def stripped(line: Column) -> Column:
     return F.btrim(line, F.lit(WHITESPACE))
 
 
+def digest(line: Column) -> Column:
+    """128 bits of the SHA-256 of a folded line, as hex: strings are told apart by a hash table, binary values pair by pair."""
+    return F.substring(F.sha2(line.cast("binary"), 256), 1, 32)
+
+
 def _id(col: Column) -> Column:
     return F.coalesce(col.cast("long"), F.lit(NO_ID))
 
 
 def postings_of(docs: DataFrame, cuts: list[int], min_chars: int) -> DataFrame:
-    """docs (doc_id, text) -> k1, k2, doc, batch: a row for each distinct long line of a row; batch 0 has the largest ids."""
+    """docs (doc_id, text) -> k, doc, batch: a row for each distinct long line of a row; batch 0 has the largest ids."""
     long_lines = F.filter(F.transform(lines_of(F.col("text")), stripped), lambda x: F.length(x) >= min_chars)
-    keys = F.transform(
-        F.transform(long_lines, ascii_fold), lambda x: F.struct(F.xxhash64(x).alias("k1"), F.hash(x).alias("k2"))
-    )
+    keys = F.transform(F.transform(long_lines, ascii_fold), digest)
     doc = _id(F.col("doc_id"))
     batch = F.lit(0)
     for cut in cuts:
         batch = batch + (doc <= cut).cast("int")
-    return docs.select(doc.alias("doc"), batch.alias("batch"), F.explode(F.array_distinct(keys)).alias("k")).select("k.k1", "k.k2", "doc", "batch")
+    return docs.select(doc.alias("doc"), batch.alias("batch"), F.explode(F.array_distinct(keys)).alias("k")).select(F.unhex("k").alias("k"), "doc", "batch")
 
 
 class LineRuns:
     """The levelled store; every run is a bucketed, sorted table in the shared folder."""
 
-    KEYS = ("k1", "k2")
+    KEYS = ("k",)
 
     def __init__(self, spark: SparkSession, min_docs: int = 5, fanout: int = 2):
         self.spark, self.min_docs, self.fanout = spark, min_docs, fanout
@@ -93,14 +97,14 @@ class LineRuns:
 
     def undecided(self, postings: DataFrame) -> DataFrame:
         """What a batch adds: its keys with counts, merge-anti-joined with each run's decided keys."""
-        run = postings.select("k1", "k2", "doc").distinct().groupBy(*self.KEYS).agg(F.count("*").alias("n"), F.max("doc").alias("last"))
+        run = postings.select(*self.KEYS, "doc").distinct().groupBy(*self.KEYS).agg(F.count("*").alias("n"), F.max("doc").alias("last"))
         for held in self.runs():
             decided = held.where(F.col("n") >= self.min_docs).select(*self.KEYS)
             run = run.join(decided.hint("merge"), list(self.KEYS), "left_anti")
         return run
 
     def ingest(self, postings: DataFrame) -> None:
-        """postings (k1, k2, doc) of a batch; its ids must all be smaller than those ingested before."""
+        """postings (k, doc) of a batch; its ids must all be smaller than those ingested before."""
         with sorted_reads(self.spark):
             self._add(materialise_sorted(self.undecided(postings), "run0", self.KEYS, self.buckets), 0)
 
@@ -113,9 +117,9 @@ class LineRuns:
             self._add(self._merge(full, f"run{level + 1}"), level + 1)
 
     def repeated(self) -> DataFrame:
-        """(k1, k2, last) of the keys found in at least min_docs documents; all runs become one."""
+        """(k, last) of the keys found in at least min_docs documents; all runs become one."""
         self.levels = [[self._merge(self.runs(), "all")]]
-        return self.runs()[0].where(F.col("n") >= self.min_docs).select("k1", "k2", "last")
+        return self.runs()[0].where(F.col("n") >= self.min_docs).select(*self.KEYS, "last")
 
 
 def drop_repeated_lines(
@@ -132,22 +136,22 @@ def drop_repeated_lines(
     for batch in range(len(cuts) + 1):
         store.ingest(postings.where(F.col("batch") == batch))
     repeated = materialise(store.repeated(), "repeated")  # both sides of the join are then plain scans, split where skewed
-    # (doc, hashes): the keys that a document loses; documents that lose none have no row.
-    drops = postings.join(repeated, ["k1", "k2"]).where(F.col("doc") != F.col("last"))
-    drops = materialise(drops.groupBy("doc").agg(F.collect_set("k1").alias("hashes")), "drops")
+    # (doc, digests): the keys that a document loses; documents that lose none have no row.
+    drops = postings.join(repeated, "k").where(F.col("doc") != F.col("last"))
+    drops = materialise(drops.groupBy("doc").agg(F.collect_set(F.lower(F.hex("k"))).alias("digests")), "drops")
     discard(postings, repeated, *store.runs())
     rows = docs.select(_id(docs["doc_id"]).alias("doc"), docs["text"].alias("text"), F.struct("*").alias("row"))
     # A merge join at every size: the shuffle then follows the input, whether or not the drops are few.
     split = rows.join(drops.hint("merge"), "doc", "left").select(
-        "row", lines_of(F.col("text")).alias("lines"), F.coalesce("hashes", F.array().cast("array<long>")).alias("hashes")
+        "row", lines_of(F.col("text")).alias("lines"), F.coalesce("digests", F.array().cast("array<string>")).alias("digests")
     )
 
     def stays(line: Column) -> Column:
-        return ~F.array_contains(F.col("hashes"), F.xxhash64(ascii_fold(stripped(line)))) | (
+        return ~F.array_contains(F.col("digests"), digest(ascii_fold(stripped(line)))) | (
             F.length(stripped(line)) < min_chars
         )
 
-    kept = F.when(F.size("hashes") == 0, F.col("lines")).otherwise(F.filter("lines", stays))
+    kept = F.when(F.size("digests") == 0, F.col("lines")).otherwise(F.filter("lines", stays))
     return split.select("row", "lines", kept.alias("kept"))
 
 

@@ -1,7 +1,7 @@
 """MinHash near-duplicates: one-permutation hashing, optimal densification, star-shaped candidate edges.
 
  1. A text's set is its distinct n-word shingles, hashed to 64 bits for the
-    sketch. Texts of the same words in the same order (told by SHA-256 of the
+    sketch with a key drawn for each run, so that no text can be made to hold shingles that collide. Texts of the same words in the same order (told by SHA-256 of the
     words) form a class, and one document stands for it.
  2. One permutation deals the hashes to bins and keeps each bin's smallest;
     an empty bin borrows from the bins that a universal hash walks to until
@@ -30,6 +30,7 @@ Defined results:
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -88,11 +89,11 @@ def _list_column(flat: np.ndarray, sizes) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
 
 
-def _sets_of(batch: pa.RecordBatch, words: int) -> Iterator[tuple[pa.Array, list[np.ndarray], list[bytes]]]:
+def _sets_of(batch: pa.RecordBatch, words: int, key: int) -> Iterator[tuple[pa.Array, list[np.ndarray], list[bytes]]]:
     """Ids, sets and texts of runs of rows."""
     for first, data, offsets in textvec.chunks(batch.column("text")):
         starts, stops, rows = textvec.words(data, offsets)
-        sets = list(textvec.shingle_sets(textvec.word_hashes(data, starts, stops), rows, words))
+        sets = list(textvec.shingle_sets(textvec.span_hashes(textvec.folded(data), starts, stops, key), rows, words))
         texts = [data[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         yield batch.column("doc_id").slice(first, len(sets)), sets, texts
 
@@ -102,12 +103,12 @@ def _digest(text: bytes) -> bytes:
     return hashlib.sha256(b" ".join(text.lower().split())).digest()
 
 
-def sketch(docs: DataFrame, words: int, bands: int = BANDS, band_bins: int = BAND_BINS) -> DataFrame:
+def sketch(docs: DataFrame, words: int, bands: int = BANDS, band_bins: int = BAND_BINS, key: int = 0) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n, digest (of the words), keys (bucket keys, empty for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, sets, texts in _sets_of(batch, words):
+            for ids, sets, texts in _sets_of(batch, words, key):
                 n = np.array([len(s) for s in sets], dtype=np.int64)
                 some = [s for s in sets if len(s)]
                 keys = band_keys(signatures(some, bands * band_bins), bands) if some else np.zeros((0, bands), dtype=U)
@@ -120,12 +121,12 @@ def sketch(docs: DataFrame, words: int, bands: int = BANDS, band_bins: int = BAN
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
-def shingled(docs: DataFrame, words: int) -> DataFrame:
+def shingled(docs: DataFrame, words: int, key: int = 0) -> DataFrame:
     """docs (doc_id, text) -> doc_id, shingles (array of distinct hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, sets, _ in _sets_of(batch, words):
+            for ids, sets, _ in _sets_of(batch, words, key):
                 column = _list_column(np.concatenate(sets), [len(s) for s in sets])
                 yield pa.RecordBatch.from_arrays([ids, column], ["doc_id", "shingles"])
         textvec.release_memory()
@@ -237,7 +238,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def across(
-    members: DataFrame, component: DataFrame, docs: DataFrame, words: int, percent: int, block: int, block_shingles: int, broadcast_rows: int
+    members: DataFrame, component: DataFrame, docs: DataFrame, words: int, percent: int, block: int, block_shingles: int, broadcast_rows: int, key: int = 0
 ) -> DataFrame:
     """Candidate links (a, b) between different components that share a bucket; by hashes, so still to be confirmed.
 
@@ -287,7 +288,7 @@ def across(
     visits = rest.join(counts, "key").select("key", "rep", "component", F.explode(F.concat(*near)).alias("g")).select("key", "rep", "component", "g.*")
 
     nodes = materialise(visits.select(F.col("rep").alias("node")).distinct(), "nodes")
-    sets = materialise(shingled(_texts_of(docs, nodes, broadcast_rows), words), "sets")
+    sets = materialise(shingled(_texts_of(docs, nodes, broadcast_rows), words, key), "sets")
     full = visits.join(sets.withColumnRenamed("doc_id", "s"), F.col("rep") == F.col("s")).drop("s")
 
     def compare(table: pa.Table) -> pa.Table:
@@ -302,7 +303,8 @@ def near_duplicates(
 ) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, kept; one row for each row of docs."""
     docs = docs.select("doc_id", "text")
-    sketches = materialise(sketch(docs, words, bands, band_bins), "sketches")
+    key = secrets.randbits(64)
+    sketches = materialise(sketch(docs, words, bands, band_bins, key), "sketches")
     linked = sketches.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     classes = materialise(linked.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     member = linked.join(classes, "digest")
@@ -330,7 +332,7 @@ def near_duplicates(
     component = materialise(components(links), "components")
 
     # What the stars leave apart is compared in blocks.
-    more = materialise(across(members, component, docs, words, percent, block, block_shingles, broadcast_rows), "across")
+    more = materialise(across(members, component, docs, words, percent, block, block_shingles, broadcast_rows, key), "across")
     if not more.isEmpty():
         more = confirmed(more, docs, words, percent, broadcast_rows)
         component = materialise(components(links.unionByName(more)), "components")

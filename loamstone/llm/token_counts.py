@@ -20,6 +20,8 @@ Defined results:
  - null or repeated doc_id: each row is a document of its own;
  - empty documents, and separators at block ends: count 0 where nothing lies between;
  - tokens after the last separator: one more document, not closed;
+ - very long runs of blanks, which the splitting pattern cannot match in one go: cut out as the pattern would (all of a run but
+   its last blank, or all of it at the end of a text) and encoded as the one piece that they are, so ids are those of the whole;
  - very long texts and files: whole, over as many blocks and ranges as they take; an empty table or file gives an empty result;
  - an id that does not fit the width, or a file that is no whole number of tokens, is an error;
  - other columns are not read.
@@ -45,6 +47,9 @@ GROUP = 4096
 #: The public byte-level BPE splitting pattern (a fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Blanks as the pattern's \\s knows them (Unicode's White_Space, fixed values), in runs that are too long for its lookahead to step back over.
+LONG_BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{50000,}")
+
 _encoders: dict[int, object] = {}
 
 
@@ -59,6 +64,21 @@ def encoder(ranks_file: bytes, pattern: str = PATTERN):
     return _encoders[key]
 
 
+def encode(enc, text: str) -> list[int]:
+    """The ids of a text by an encoder of PATTERN, whatever its length and its runs.
+
+    The pattern backtracks over a run of blanks one by one and gives up on about a million. Before such a run a piece always ends;
+    the run is one piece, without the last blank if more text follows, which goes with what follows.
+    """
+    out, at = [], 0
+    for run in LONG_BLANKS.finditer(text):
+        cut = run.end() if run.end() == len(text) else run.end() - 1
+        out += enc.encode_ordinary(text[at : run.start()])
+        out += enc._encode_single_piece(text[run.start() : cut])
+        at = cut
+    return out + enc.encode_ordinary(text[at:])
+
+
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, and the path in it."""
     return fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", re.sub("^file:/+", "/", uri)))
@@ -70,7 +90,7 @@ def write_files(
     """docs (doc_id, text) -> file, place, doc_id: a row for each document; the file of each partition holds its tokens.
 
     The file of ranks is read by the driver and sent along, so executors need
-    no copy. Tokens are little-endian and `width` bytes wide. The files are written when
+    no copy. With a pattern of one's own, texts are encoded as that pattern can. Tokens are little-endian and `width` bytes wide. The files are written when
     the rows are, so write the rows once.
     """
     with open(ranks_path, "rb") as f:
@@ -85,7 +105,7 @@ def write_files(
         with system.open_output_stream(path) as out:
             for batch in batches:
                 for text in batch.column(1):
-                    ids = np.array([*enc.encode_ordinary(text.as_py() or ""), end], dtype=np.uint64)
+                    ids = np.array([*(encode(enc, text.as_py() or "") if pattern == PATTERN else enc.encode_ordinary(text.as_py() or "")), end], dtype=np.uint64)
                     if int(ids.max()) >> (8 * width):
                         raise ValueError(f"token id {int(ids.max())} does not fit into {width} bytes")
                     out.write(ids.astype(kind).tobytes())

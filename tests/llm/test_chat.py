@@ -50,3 +50,27 @@ def test_conversations_by_turn(spark):
     assert got[1].loss_chars == 10 and got[1].loss_sha256 == sha("<|im_end|>")
     assert got[2].n_turns == 2 and got[2].loss_sha256 == sha("éé") and got[None].n_turns == 1
     assert chat.digests(chat.format_records(chat.records_of_turns(df.limit(0)))).count() == 0
+
+
+def test_names_cannot_spell_the_path_of_another_schema(spark):
+    records = [
+        {"messages[].role": "user", "messages[].content": "x"},
+        {"messages[]": {"role": "user", "content": "x"}},
+        {"prompt:string\ncompletion": "x"},
+        {"": {"prompt": "x", "completion": "y"}},
+        {"": "x", "prompt": "x", "completion": "y"},
+        {"prompt": "x", "completion\\": "y"},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id long, record string")
+    assert {r.error for r in chat.format_records(df).collect()} == {"unknown schema"}
+    paths = [frozenset(chat.paths_of(x)) for x in ({"a.b": "x"}, {"a": {"b": "x"}}, {"a[]": "x"}, {"a": ["x"]}, {"a\\.b": "x"}, {"a": {".b": "x"}}, {"": {"a": "x"}}, {"a": "x"})]
+    assert len(set(paths)) == len(paths)
+
+
+def test_null_items_and_null_ids(spark):
+    records = [(None, json.dumps({"messages": [{"role": "user", "content": "x"}, None]}))]
+    df = spark.createDataFrame(records, "conv_id long, record string")
+    assert chat.digests(chat.format_records(df)).first().n_turns == 1
+    turns = spark.createDataFrame([(None, 2, "assistant", "b"), (None, 1, "user", "a"), (1, 1, "user", "c")], "conv_id long, turn long, role string, text string")
+    made = {r.conv_id: json.loads(r.record)["messages"] for r in chat.records_of_turns(turns).collect()}
+    assert [m["content"] for m in made[None]] == ["a", "b"] and len(made[1]) == 1

@@ -107,3 +107,13 @@ def test_texts_are_read_twice_however_many_batches(spark, monkeypatch):
         hashed.clear()
         assert found(line_dedup.drop_repeated_lines(docs(spark, rows()), batches=batches)) == brute(rows())
         assert len(hashed) == 1
+
+
+def test_lines_whose_64_bit_hashes_are_made_to_collide(spark):
+    a = "h/v^.~-6the same middle part xyz!9_~+nbvand the same end as well"
+    b = "{}16?_)mthe same middle part xyz/x}]65z3and the same end as well"
+    given = [(i, a + ("\n" + b if i == 1 else "")) for i in range(1, 6)]
+    hashes = {r[0] for r in spark.createDataFrame([(a,), (b,)], "x string").select(F.xxhash64("x")).collect()}
+    assert len(hashes) == 1
+    made = found(line_dedup.drop_repeated_lines(docs(spark, given)))
+    assert made == brute(given) and made[0][:3] == (1, 2, 1)

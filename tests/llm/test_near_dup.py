@@ -134,3 +134,14 @@ def test_blocks_hold_few_shingles(spark):
     base = [f"w{i}" for i in range(90)]
     rows = [(i, edited(" ".join(base[: 50 + i % 40]), r, 0.05)) for i in range(90)]
     check(spark, rows, 2, block=8, block_shingles=300)
+
+
+def test_words_that_are_made_to_collide(spark):
+    """Two words with one hash under the key 0: sizes stay exact and no link is lost."""
+    w, v = "7;9n1|d45aaa!da0", "[x!9m|60@moi_@.]"
+    a = " ".join(f"{w} c{i} {v} c{i}" for i in range(10))
+    rows = [(1, f"{w} z {v} z"), (2, a), (3, a + " " + " ".join(f"new{i}" for i in range(8)))]
+    got = {r.doc_id: r for r in near_dup.near_duplicates(docs(spark, rows), words=2).collect()}
+    sets = {i: shingles(t, 2) for i, t in rows}
+    assert {i: r.n_shingles for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
+    assert 100 * len(sets[2] & sets[3]) >= 80 * len(sets[2] | sets[3]) and got[3].component_id == 2

@@ -1,3 +1,5 @@
+import unicodedata
+
 import numpy as np
 import pytest
 
@@ -82,3 +84,53 @@ def test_query(spark, tmp_path):
         docs(spark, rows).write.parquet(f"{tmp_path}/{name}/documents.parquet")
         got = sorted(map(tuple, op7_token_counts(spark, f"{tmp_path}/{name}").collect()))
         assert got == ([(1, 2), (2, 0)] if rows else [])
+
+
+def pieces(text):
+    """PATTERN as a loop over the characters, so that no run is too long."""
+    blank = set("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
+    kind = lambda c: " " if c in blank else {"L": "L", "N": "N"}.get(unicodedata.category(c)[0], "S")
+    at, n = 0, len(text)
+    kinds = [kind(c) for c in text]
+    while at < n:
+        first, end = at, at
+        if kinds[at] == " ":
+            while end < n and kinds[end] == " ":
+                end += 1
+            if end < n and end - at > 1:
+                end -= 1
+            elif end < n and text[at] == " ":  # one blank goes with what follows
+                first = end
+        if first == end:
+            end = first + 1
+            while end < n and kinds[end] == kinds[first]:
+                end += 1
+        yield text[at:end]
+        at = end
+
+
+RUNS = {"blank": " ", "line end": "\n", "wide": "\u3000", "letter": "a", "digit": "7", "sign": "!"}
+
+
+def long_texts():
+    for c in RUNS.values():
+        yield from (c * 1_000_000, "x" + c * 60_000 + "y", c * 60_000 + " b", "b " + c * 60_000)
+    yield " \n\t\u2003" * 250_000 + "end"
+    yield "".join(c * 55_000 for c in RUNS.values()) * 3
+    yield ("word" + " " * 50_001) * 3 + "\u2003" * 50_000 + "7"
+
+
+def test_runs_of_any_length_give_the_ids_of_the_pieces():
+    enc = token_counts.encoder(open(RANKS_PATH, "rb").read())
+    for text in ["", " ", "a", " a", "a ", "  a b  ", "a\n\n b", "\u3000a", "1 2!? x"]:
+        assert [i for p in pieces(text) for i in enc._encode_single_piece(p)] == enc.encode_ordinary(text)
+    for text in long_texts():
+        assert token_counts.encode(enc, text) == [i for p in pieces(text) for i in enc._encode_single_piece(p)]
+
+
+def test_a_million_blanks_in_a_job(spark, tmp_path):
+    rows = [(1, " " * 1_000_000), (2, "a" + "\n" * 1_000_000 + "b")]
+    order = token_counts.write_files(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}", RANKS_PATH)
+    assert order.count() == 2
+    found = token_counts.separators(token_counts.read_files(spark, f"file://{tmp_path}"), 50256)
+    assert sorted(r.n_tokens for r in token_counts.document_lengths(found).collect())[0] > 0
