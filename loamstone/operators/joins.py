@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from loamstone.functions.sources import DEFAULT_BOOST
 from loamstone.functions.vectors import is_usable
-from loamstone.streaming.cache import expired
+from loamstone.operators.asof import as_of, micros
+from loamstone.operators.patterns import first_matches
 
 
 #: Rows of a side that is sent to all tasks, at most.
 BROADCAST_ROWS = 100_000
+#: Patterns that are matched by a nested loop of expressions; more go into automata.
+FEW_PATTERNS = 32
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -25,7 +28,7 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def dimension(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A table of patterns to be broadcast, as only a nested loop can match them; too many are an error."""
+    """A table of few patterns to be broadcast to a nested loop; too many are an error."""
     if df.limit(rows + 1).count() > rows:
         raise ValueError(f"a table of patterns has at most {rows} rows")
     return F.broadcast(df)
@@ -36,16 +39,32 @@ def unseen(files: DataFrame, existing: DataFrame, key: str = "source") -> DataFr
     return files.join(existing.select(key).distinct(), key, "left_anti")
 
 
+def few(patterns: DataFrame) -> bool:
+    """Whether a nested loop is good enough for so many; reads no more rows than that."""
+    return patterns.limit(FEW_PATTERNS + 1).count() <= FEW_PATTERNS
+
+
+def matching(sources: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The distinct rows of sources (source) whose lower-cased name contains one of the patterns (pattern)."""
+    if few(patterns):
+        return sources.join(dimension(patterns, FEW_PATTERNS), F.lower("source").contains(F.col("pattern")), "left_semi")
+    return first_matches(sources.select(F.col("source").alias("text")), patterns.select("pattern", F.lit(0).alias("ord"))).select(F.col("text").alias("source"))
+
+
 def boosted(df: DataFrame, patterns: DataFrame, blocked: DataFrame) -> DataFrame:
     """df with `boost`: 0 if blocked, else the boost of the first pattern by `ord` that its source contains.
 
-    patterns (pattern, boost, ord) and blocked (pattern) are dimensions of a few rows; distinct sources are matched, not rows.
+    patterns (pattern, boost, ord) and blocked (pattern) may be of any size; distinct sources are matched, not rows. Of equal
+    ord the least boost is taken.
     """
     sources = df.select("source").distinct()
-    hit = sources.join(dimension(patterns), F.lower("source").contains(F.col("pattern")))
-    first = hit.groupBy("source").agg(F.min_by("boost", "ord").alias("b"))
-    barred = sources.join(dimension(blocked), F.lower("source").contains(F.col("pattern")), "left_semi")
-    barred = barred.withColumn("barred", F.lit(True))
+    if few(patterns):
+        hit = sources.join(dimension(patterns, FEW_PATTERNS), F.lower("source").contains(F.col("pattern")))
+        first = hit.groupBy("source").agg(F.min(F.struct("ord", "boost"))["boost"].alias("b"))
+    else:
+        ranked = first_matches(sources.select(F.col("source").alias("text")), patterns).withColumnRenamed("text", "source")
+        first = ranked.join(patterns.groupBy("ord").agg(F.min("boost").alias("b")), "ord").select("source", "b")
+    barred = matching(sources, blocked).withColumn("barred", F.lit(True))
     value = F.when(F.col("barred"), 0.0).otherwise(F.coalesce("b", F.lit(DEFAULT_BOOST)))
     by_source = sources.join(first, "source", "left").join(barred, "source", "left").select("source", value.alias("boost"))
     return df.join(by_source, "source", "left").withColumn("boost", F.coalesce("boost", F.lit(DEFAULT_BOOST)))
@@ -64,11 +83,14 @@ def tenants_of_keys(requests: DataFrame, tenants: DataFrame, *, multi_tenant: bo
 
 def exact_cached(queries: DataFrame, entries: DataFrame, ttl_seconds: float) -> DataFrame:
     """queries (qid, query, ts), entries (query, result, created) -> qid, result: that of the last entry of the same
-    query stored by then, if it is not over age. An equi-join; equal times go to the greatest result."""
-    stored = entries.select(F.col("query").alias("_q"), "result", "created")
-    hit = queries.join(stored, (F.col("query") == F.col("_q")) & (F.col("created") <= F.col("ts")))
-    last = hit.groupBy("qid", "ts").agg(F.max(F.struct("created", "result")).alias("e"))
-    return last.where(~expired(F.col("e.created"), F.col("ts"), ttl_seconds)).select("qid", F.col("e.result").alias("result"))
+    query stored by then, if it is not over age. A row for each row of queries that has one; equal times go to the greatest result.
+
+    An as-of join: a query asked and stored a million times is a merge of two logs and not their pairs."""
+    asked = queries.select("qid", F.col("query").alias("key"), micros(F.col("ts")).alias("t"))
+    stored = entries.select(F.col("query").alias("key"), micros(F.col("created")).alias("t"), F.col("result").alias("value"))
+    hit = asked.join(as_of(asked, stored).where("found IS NOT NULL"), ["key", "t"])
+    fresh = F.col("t") - F.col("found.t") <= int(ttl_seconds * 1_000_000)
+    return hit.where(fresh).select("qid", F.col("found.value").alias("result"))
 
 
 def nearest_cached(queries: DataFrame, cache: DataFrame, threshold: float, max_entries: int = 1000) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loamstone.functions.sources import is_blocked, is_noise
 from loamstone.functions.text import contains_any, post_text, strip, strip_html
-from loamstone.operators.joins import dimension
+from loamstone.operators.joins import FEW_PATTERNS, dimension, few, matching
 
 MIN_INDEX_CHARS = 30
 MIN_HIT_CHARS = 25
@@ -45,8 +45,10 @@ def similar_enough(similarity: Column, least: float = MIN_SIMILARITY) -> Column:
 
 
 def not_blocked(df: DataFrame, patterns: DataFrame) -> DataFrame:
-    """df without rows whose lower-cased source contains a pattern of the table; the table is a dimension of a few rows."""
-    return df.join(dimension(patterns), F.lower(df["source"]).contains(patterns["pattern"]), "left_anti")
+    """df without rows whose lower-cased source contains a pattern of the table, whatever its size; null sources stay."""
+    if not few(patterns):
+        return df.join(matching(df.select("source").distinct(), patterns), "source", "left_anti").select(*df.columns)
+    return df.join(dimension(patterns, FEW_PATTERNS), F.lower(df["source"]).contains(patterns["pattern"]), "left_anti")
 
 
 def wiki_pages(pages: DataFrame, *, batch: bool = True, blocked=()) -> DataFrame:

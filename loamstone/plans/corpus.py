@@ -252,3 +252,20 @@ def artefact_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     return events.select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("""SELECT page_id, CASE WHEN EXISTS (SELECT 1 FROM labels WHERE toxic = 1 AND contains(lower(url), '/' || doc_id)) THEN 0.0
+  ELSE coalesce((SELECT arg_min(d.n_chars / 100.0, d.doc_id) FROM documents d WHERE contains(lower(p.url), '/' || d.doc_id)), 0.95) END::DOUBLE AS boost FROM pages p""")
+def boost_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A pattern a document, boosted by its length, and a blocked one for each toxic document, against the addresses of pages."""
+    name = F.concat(F.lit("/"), F.col("doc_id").cast("string")).alias("pattern")
+    patterns = table(spark, sf_dir, "documents").select(name, (F.col("n_chars") / 100.0).alias("boost"), F.col("doc_id").alias("ord"))
+    barred = table(spark, sf_dir, "labels").where("toxic = 1").select(name)
+    return joins.boosted(table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("source")), patterns, barred).select("page_id", "boost")
+
+
+@query("""SELECT page_id, url AS source FROM pages WHERE NOT EXISTS (SELECT 1 FROM documents WHERE lang = 'en' AND contains(lower(url), '/' || doc_id))""")
+def blocked_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of pages that contain the number of no English document."""
+    patterns = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.concat(F.lit("/"), F.col("doc_id").cast("string")).alias("pattern"))
+    return predicates.not_blocked(table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("source")), patterns)

@@ -255,3 +255,13 @@ def exact_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", F.concat_ws("/", F.col("user_id").cast("string"), "event_type").alias("query"), F.col("ts").cast("timestamp").alias("ts"))
     stored = e.where("event_id % 3 = 0").select("query", F.col("event_id").cast("string").alias("result"), F.col("ts").alias("created"))
     return joins.exact_cached(e.where("event_id % 3 <> 0").select(F.col("event_id").alias("qid"), "query", "ts"), stored, 5 * 86400)
+
+
+@query("""WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS t FROM events),
+p AS (SELECT event_type, t, max(event_id::VARCHAR) AS result FROM e WHERE event_id % 3 = 0 GROUP BY event_type, t)
+SELECT q.event_id AS qid, p.result FROM e q ASOF JOIN p ON q.event_type = p.event_type AND q.t >= p.t WHERE q.event_id % 3 <> 0 AND q.t - p.t <= 3600000000""")
+def exact_cache_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As exact_cache_lookup, with five questions that all users ask and store again and again; entries live an hour."""
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("query"), F.col("ts").cast("timestamp").alias("ts"))
+    stored = e.where("event_id % 3 = 0").select("query", F.col("event_id").cast("string").alias("result"), F.col("ts").alias("created"))
+    return joins.exact_cached(e.where("event_id % 3 <> 0").select(F.col("event_id").alias("qid"), "query", "ts"), stored, 3600)
