@@ -93,36 +93,30 @@ def trains(doc_id: Column) -> Column:
 
 @dataclass
 class Grams:
-    """The tokens of some texts: for each its n-grams of every order, as hashes; shorter at the start of a text."""
+    """The n-grams of some texts. A text is laid out as END, its words, END; its tokens are all of these but the first."""
 
-    #: [k][t]: the hash of the k + 1 tokens that end with token t; has[k][t]: whether the text has as many, its first END included.
+    #: [k][i]: the hash of the k + 1 entries that end with entry i, if the text has as many up to there.
     hashes: list[np.ndarray]
-    has: list[np.ndarray]
-    #: [k][t]: the history of that n-gram, the k tokens before t.
-    history: list[np.ndarray]
+    #: Of each entry, its place in its text.
+    place: np.ndarray
+    #: Of each word, its entry.
+    at: np.ndarray
     #: Of each text, its first token, and after the last text the number of all.
     rows: np.ndarray
 
 
 def grams(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, rows: np.ndarray, order: int) -> Grams:
-    """folded() bytes with words and each row's first word -> tokens: the words of each row and its END."""
+    """folded() bytes with words and each row's first word."""
     counts = np.diff(rows)
-    # Each text is laid out as END, its words, END.
     base = np.concatenate([[0], np.cumsum(counts + 2)]).astype(np.int64)
+    at = np.arange(len(starts)) + np.repeat(base[:-1] - rows[:-1] + 1, counts)
     laid = np.full(base[-1], _END_HASH, dtype=U)
-    row_of = np.repeat(np.arange(len(counts)), counts)
-    laid[np.arange(len(starts)) - rows[:-1][row_of] + base[:-1][row_of] + 1] = span_hashes(data, starts, stops)
-    place = np.arange(len(laid)) - np.repeat(base[:-1], counts + 2)
+    laid[at] = span_hashes(data, starts, stops)
     chained = [mix64(laid + U(1))]
     for k in range(1, order):
         before = np.concatenate([np.zeros(1, dtype=U), chained[-1][:-1]])
         chained.append(mix64(before * U(0xBF58476D1CE4E5B9) + laid + U(k + 1)))
-    token = place > 0
-    shifted = [np.concatenate([np.zeros(1, dtype=U), c[:-1]]) for c in chained]
-    return Grams(
-        [c[token] for c in chained], [(place >= k)[token] for k in range(order)],
-        [np.zeros(0, dtype=U), *(s[token] for s in shifted[: order - 1])], base - np.arange(len(base)),
-    )
+    return Grams(chained, np.arange(len(laid)) - np.repeat(base[:-1], counts + 2), at, base - np.arange(len(base)))
 
 
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple]:
@@ -133,15 +127,16 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple]:
             yield batch, first, folded(data), starts, stops, rows
 
 
-def _distinct_words(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[pa.Array, np.ndarray]:
-    """The distinct words, and for each word its number among them."""
+def _distinct_words(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words, the first place of each, and for each word its number among them."""
     number = word_numbers(data, starts, stops)
-    _, first, number = np.unique(number, return_index=True, return_inverse=True)
+    first = np.zeros(int(number.max(initial=-1)) + 1, dtype=np.int64)
+    first[number[::-1]] = np.arange(len(number))[::-1]
     a, size = starts[first], (stops - starts)[first]
     offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
     at = np.arange(offsets[-1]) + np.repeat(a - offsets[:-1], size)
     found = pa.Array.from_buffers(pa.large_binary(), len(a), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[at].tobytes())])
-    return found, number
+    return found, first, number
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -149,7 +144,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, data, starts, stops, rows in _texts(batches, 0):
-            found, number = _distinct_words(data, starts, stops)
+            found, _, number = _distinct_words(data, starts, stops)
             n = np.concatenate([np.bincount(number, minlength=len(found)), [len(rows) - 1]])
             found = pa.concat_arrays([found.cast(pa.binary()), pa.array([END], pa.binary())])
             yield pa.RecordBatch.from_arrays([found, pa.array(n, pa.int64())], ["word", "n"])
@@ -173,7 +168,7 @@ def head_words(counts: DataFrame, many: int = HEAD) -> DataFrame:
 
 
 def segment_of(hashes: np.ndarray, segments: int) -> np.ndarray:
-    return (mix64(hashes * _SEGMENT) % U(segments)).astype(np.int64)
+    return (((mix64(hashes * _SEGMENT) >> U(32)) * U(segments)) >> U(32)).astype(np.int64)
 
 
 def gram_counts(docs: DataFrame, order: int, segments: int) -> DataFrame:
@@ -196,7 +191,7 @@ def gram_counts(docs: DataFrame, order: int, segments: int) -> DataFrame:
         held, size = [], 0
         for _, _, data, starts, stops, rows in _texts(batches, 0):
             g = grams(data, starts, stops, rows, order)
-            held += [h[has] for h, has in zip(g.hashes, g.has, strict=True)]
+            held += [h[g.place >= max(k, 1)] for k, h in enumerate(g.hashes)]
             size += len(g.hashes[0])
             if size >= COUNTED:
                 yield packed(held)
@@ -218,10 +213,15 @@ def _summed(hashes: np.ndarray, counts: np.ndarray | None) -> tuple[np.ndarray,
     return hashes[first], np.add.reduceat(counts, first) if len(hashes) else counts
 
 
-def _places(hashes: np.ndarray, level: int, size: np.ndarray | np.uint64, k: int) -> np.ndarray:
-    """The k-th bit of the keys (n-gram, level) in segments of so many bits."""
+def _places(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the bits of the keys (n-gram, level) begin and how far they are apart, for _place()."""
     x = mix64(hashes + U(level * _STEP % (1 << 64)))
-    return (x + U(k) * (mix64(x) | U(1))) % size
+    return x, mix64(x) | U(1)
+
+
+def _place(x: np.ndarray, step: np.ndarray, k: int, size: np.ndarray | np.uint64) -> np.ndarray:
+    """The k-th bit of each key in segments of so many bits, fewer than 2^32."""
+    return (((x + U(k) * step) >> U(32)) * size) >> U(32)
 
 
 def build(counts: DataFrame, shape: Shape) -> DataFrame:
@@ -238,8 +238,9 @@ def build(counts: DataFrame, shape: Shape) -> DataFrame:
         bits = np.zeros(size, dtype=np.uint8)
         for level in range(1, int(levels.max()) + 1):
             h, levels = h[levels >= level], levels[levels >= level]
+            x, step = _places(h, level)
             for k in range(shape.hashes):
-                bits[_places(h, level, U(size), k)] = 1
+                bits[_place(x, step, k, U(size))] = 1
         out = np.packbits(bits, bitorder="little").tobytes()
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out], pa.binary())], ["segment", "bits"])
 
@@ -264,9 +265,11 @@ class Filter:
         at, level = np.flatnonzero(size > 0), 0
         while len(at):
             level += 1
+            x, step = _places(hashes[at], level)
             for k in range(self.shape.hashes):
-                place = first[at] + _places(hashes[at], level, size[at], k).astype(np.int64)
-                at = at[(data[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
+                place = first[at] + _place(x, step, k, size[at]).astype(np.int64)
+                there = (data[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+                at, x, step = at[there], x[there], step[there]
             found[at] = level
         return found
 
@@ -277,17 +280,21 @@ class Filter:
 Lookup = Callable[[np.ndarray], np.ndarray]
 
 
-def log_probabilities(g: Grams, lookup: Lookup, shape: Shape, tokens: int, distinct: int) -> np.ndarray:
-    """log10 of each token's probability. Each n-gram of the texts is looked up once."""
-    wanted = np.unique(np.concatenate([h[has] for h, has in zip([*g.hashes, *g.history[1:]], [*g.has, *g.has[1:]], strict=True)]))
-    counted = shape.estimates()[lookup(wanted)]
-    count = lambda h: counted[np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)]
-    p = (count(g.hashes[0]) + 0.1) / (tokens + 0.1 * (distinct + 1))
+def log_probabilities(g: Grams, unigrams: np.ndarray, lookup: Lookup, shape: Shape, tokens: int, distinct: int) -> np.ndarray:
+    """log10 of each token's probability; unigrams: the filter's count of each entry. Each n-gram of the texts is looked up once.
+
+    The history of an n-gram is the one, shorter by one, that ends at the entry before.
+    """
+    p, before = (unigrams + 0.1) / (tokens + 0.1 * (distinct + 1)), unigrams
     for k in range(1, shape.order):
-        has = g.has[k]
-        c, seen = count(g.history[k][has]), count(g.hashes[k][has])
-        p[has] = (np.minimum(c, seen) + shape.mu * p[has]) / (c + shape.mu)
-    return np.log10(p)
+        has = g.place >= k
+        wanted, number = np.unique(g.hashes[k][has], return_inverse=True)
+        counts = np.zeros(len(p))
+        counts[has] = seen = shape.estimates()[lookup(wanted)][number]
+        history = np.concatenate([[0.0], before[:-1]])[has]
+        p[has] = (np.minimum(seen, history) + shape.mu * p[has]) / (history + shape.mu)
+        before = counts
+    return np.log10(p[g.place > 0])
 
 
 @dataclass
@@ -350,9 +357,13 @@ def _scored(rows: DataFrame, model: Model) -> DataFrame:
             many = len(rows) - 1
             g = grams(data, starts, stops, rows, shape.order)
             lookup = own(batch, first, many) if filtered is None else filtered.value.level
-            logs = np.add.reduceat(log_probabilities(g, lookup, shape, tokens, distinct), g.rows[:-1])  # no text is without tokens
             row = np.repeat(np.arange(many), np.diff(rows))
-            found, number = _distinct_words(data, starts, stops)
+            found, first_at, number = _distinct_words(data, starts, stops)
+            words_and_end = np.concatenate([g.hashes[0][g.at[first_at]], g.hashes[0][:1]])
+            counts = shape.estimates()[lookup(words_and_end)]
+            unigrams = np.full(len(g.place), counts[-1])
+            unigrams[g.at] = counts[number]
+            logs = np.add.reduceat(log_probabilities(g, unigrams, lookup, shape, tokens, distinct), g.rows[:-1])  # no text is without tokens
             # END is a word of each text, the last one of the chunk's list.
             found = pa.concat_arrays([found.cast(pa.binary()), pa.array([END], pa.binary())])
             place = pc.index_in(found, value_set=names)
@@ -385,9 +396,9 @@ def _with_levels(docs: DataFrame, model: Model) -> DataFrame:
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, first, data, starts, stops, rows in _texts(batches, 1):
             g = grams(data, starts, stops, rows, order)
-            text = np.repeat(np.arange(len(rows) - 1), np.diff(g.rows))
-            h = np.concatenate([x[has] for x, has in zip([*g.hashes, *g.history[1:]], [*g.has, *g.has[1:]], strict=True)])
-            text = np.concatenate([text[has] for has in [*g.has, *g.has[1:]]])
+            entry = np.repeat(np.arange(len(rows) - 1), np.diff(rows) + 2)
+            h = np.concatenate([x[g.place >= k] for k, x in enumerate(g.hashes)])
+            text = np.concatenate([entry[g.place >= k] for k in range(order)])
             at = np.lexsort((h, text))
             h, text = h[at], text[at]
             new = np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])
