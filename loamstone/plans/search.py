@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamstone.functions import sources, vectors
-from loamstone.operators import embed, fts, joins, predicates, ranking, stats
-from loamstone.plans.registry import folder, query, table
+from loamstone.operators import cells, embed, fts, joins, predicates, ranking, stats
+from loamstone.plans.registry import ORACLES, folder, query, table
 from loamstone.streaming.cache import PROFILES
 
 #: Stand-ins for domain dimensions that suit the fixtures' source labels.
@@ -257,6 +257,29 @@ def exact_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.exact_cached(e.where("event_id % 3 <> 0").select(F.col("event_id").alias("qid"), "query", "ts"), stored, 5 * 86400)
 
 
+@query(ORACLES["vector_topk_batch"])
+def vector_cells_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As vector_topk_batch, from a stored index of cells: the questions visit the cells that may hold a neighbour."""
+    path, e = folder(spark, "cells"), table(spark, sf_dir, "embeddings")
+    cells.build(_chunks(spark, sf_dir), f"{path}/index", key="vec_id")
+    questions = e.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector"))
+    near = cells.search(questions, f"{path}/index", 5, f"{path}/scratch", key="vec_id")
+    return near.select("qid", "vec_id", F.col("rank").cast("long"), F.round("_distance", 9).alias("distance"))
+
+
+@query("""WITH pairs AS (
+  SELECT a.vec_id AS qid, b.vec_id AS entry, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s
+  FROM embeddings a JOIN embeddings b ON b.label < 5
+), best AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, entry) AS rn FROM pairs)
+SELECT qid, entry, round(s, 9) AS similarity FROM best WHERE rn = 1 AND s >= 0.3""")
+def cosine_cache_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector against a stored cache of any size, the vectors of five labels, in cells."""
+    path, e = folder(spark, "cache-cells"), table(spark, sf_dir, "embeddings").withColumnRenamed("embedding", "vector")
+    cells.build(cells.unit(e.where("label < 5").select(F.col("vec_id").alias("entry"), "vector")), f"{path}/index", key="entry")
+    found = cells.nearest_stored(e.select(F.col("vec_id").alias("qid"), "vector"), f"{path}/index", 0.3, f"{path}/scratch")
+    return found.select("qid", "entry", F.round("similarity", 9).alias("similarity"))
+
+
 @query("""WITH e AS (SELECT event_id, event_type, epoch_us(ts) AS t FROM events),
 p AS (SELECT event_type, t, max(event_id::VARCHAR) AS result FROM e WHERE event_id % 3 = 0 GROUP BY event_type, t)
 SELECT q.event_id AS qid, p.result FROM e q ASOF JOIN p ON q.event_type = p.event_type AND q.t >= p.t WHERE q.event_id % 3 <> 0 AND q.t - p.t <= 3600000000""")
