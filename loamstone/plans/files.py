@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loamstone.operators import joins, predicates
 from loamstone.plans.corpus import STRIP
 from loamstone.plans.registry import folder, query, table
-from loamstone.sources import build, catalog, files, sinks
+from loamstone.sources import build, catalog, files, sinks, versions
 
 
 @query("""SELECT n_nationkey, n_name || chr(10) AS text FROM nation""")
@@ -149,3 +149,17 @@ def unseen_project_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = table(spark, sf_dir, "pages").select("page_id", F.col("url"), label(F.col("page_id")).alias("source"))
     stored = table(spark, sf_dir, "documents").where("lang = 'en'").select(label(F.col("doc_id")).alias("source"))
     return joins.unseen(own, stored).select("page_id", F.col("url").alias("source"))
+
+
+@query("""SELECT doc_id, coalesce(lang <> 'en', false) AS in_first, coalesce(lang <> 'de', false) AS in_last FROM documents""")
+def versioned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended in two parts, rebuilt without one language, extended, compacted: each version still has its rows."""
+    path, docs = folder(spark, "versions"), table(spark, sf_dir, "documents").select("doc_id", "lang")
+    first = versions.append(docs.where("lang <> 'en'"), path)
+    versions.append(docs.where("lang = 'en'"), path)
+    versions.replace(versions.read(spark, path).where("lang NOT IN ('de', 'en')"), path)
+    versions.append(docs.where("lang = 'en'"), path)
+    last = versions.compact(spark, path)
+    held = lambda n, name: versions.read(spark, path, n).select("doc_id", F.lit(True).alias(name))
+    both = docs.join(held(first, "in_first"), "doc_id", "left").join(held(last, "in_last"), "doc_id", "left")
+    return both.select("doc_id", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("in_first", "in_last")))
