@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamstone.functions import sources, vectors
-from loamstone.operators import cells, embed, fts, joins, predicates, ranking, stats
+from loamstone.operators import cells, embed, fts, joins, predicates, ranking, segments, stats
 from loamstone.plans.registry import ORACLES, folder, query, table
 from loamstone.streaming.cache import PROFILES
 
@@ -229,6 +229,17 @@ def bm25_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
 
 
+@query(SQL_BM25)
+def bm25_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index of segments: documents are appended by language, levels merged, and ranges skipped that cannot matter."""
+    path, docs = folder(spark, "segments"), table(spark, sf_dir, "documents")
+    for part in ("lang = 'en'", "lang = 'de'", "lang = 'fr'", "lang NOT IN ('en', 'de', 'fr') OR lang IS NULL"):
+        segments.append(docs.where(part), f"{path}/index")
+    segments.merge_levels(spark, f"{path}/index")
+    found, _ = segments.search(spark, f"{path}/index", spark.createDataFrame(QUESTIONS, "qid int, term string"), 10, f"{path}/scratch")
+    return found.select("qid", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long"))
+
+
 @query("""WITH m AS (SELECT d.doc_id, min(o.doc_id) AS first FROM documents d JOIN documents o
   ON coalesce(d.text, '') = coalesce(o.text, '') GROUP BY d.doc_id)
 SELECT doc_id AS qid, first = doc_id AS is_first, 0.0::DOUBLE AS distance FROM m WHERE doc_id % 100 = 0 AND EXISTS (
