@@ -198,17 +198,28 @@ def top_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.best_of_topic(items, 20).select(F.col("topic").alias("lang"), F.col("title").alias("doc_id"), F.col("votes").alias("n"))
 
 
-@query("""SELECT * FROM (VALUES ('security.stackexchange.com', 0), ('serverfault.com', 1)) t(site, ord)""")
+def _mentions(spark: SparkSession, sf_dir: str, terms: DataFrame, name: str) -> DataFrame:
+    """terms (a few rows) with n_docs: how many documents hold the term in any case."""
+    docs = table(spark, sf_dir, "documents").select(F.lower("text").alias("_text"))
+    found = docs.join(joins.dimension(terms, 32), F.col("_text").contains(F.lower(F.col(name)))).groupBy(name).agg(F.count("*").alias("n_docs"))
+    return terms.join(found, name, "left").fillna({"n_docs": 0})
+
+
+@query("""SELECT site, ord, (SELECT count(*) FROM documents WHERE contains(lower(text), topic)) AS n_docs
+FROM (VALUES ('security.stackexchange.com', 0, 'security'), ('serverfault.com', 1, 'serverfault')) t(site, ord, topic)""")
 def quick_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two sites by quality, as a quick download takes them."""
-    return predicates.limited(catalog.ordered(spark, catalog.QUESTION_SITES, "site").orderBy("ord"), 2)
+    """The first two sites by quality, as a quick download takes them, with the documents that name their topic."""
+    sites = predicates.limited(catalog.ordered(spark, catalog.QUESTION_SITES, "site").orderBy("ord"), 2)
+    return _mentions(spark, sf_dir, sites.withColumn("topic", F.substring_index("site", ".", 1)), "topic").select("site", "ord", "n_docs")
 
 
-@query("""SELECT * FROM (VALUES ('Linux', 0), ('Databases', 1), ('Networks', 2), ('Contracts', 3)) t(value, pos)""")
+@query("""SELECT value, pos, (SELECT count(*) FROM documents WHERE contains(lower(text), lower(value))) AS n_docs
+FROM (VALUES ('Linux', 0), ('Databases', 1), ('Networks', 2), ('Contracts', 3)) t(value, pos)""")
 def domain_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seeds of the active domains, each once, in order of first appearance."""
+    """Seeds of the active domains, each once, in order of first appearance, with the documents that hold them."""
     chosen = domains.active(domains.domain_table(spark), ["law", "it", "no such domain"])
-    return domains.merged(chosen, "seeds").select("value", (F.row_number().over(W.orderBy("first")) - 1).alias("pos"))
+    seeds = domains.merged(chosen, "seeds").select("value", (F.row_number().over(W.orderBy("first")) - 1).alias("pos"))
+    return _mentions(spark, sf_dir, seeds, "value").select("value", "pos", "n_docs")
 
 
 @query("""SELECT doc_id, contains(lower(text), 'software') OR contains(lower(text), 'network') OR contains(lower(text), 'der') AS followed,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loamstone.operators import joins, predicates
@@ -128,10 +129,22 @@ def tenant_quota(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored.groupBy(F.col("tenant_id").cast("string").alias("tenant_id")).agg(F.count("*").alias("n"))
 
 
-@query("""SELECT 'en' || w AS wiki, 'https://dumps.wikimedia.org/en' || w || '/latest/en' || w || '-latest-pages-articles.xml.bz2' AS url, 'en' || w || '-articles.xml.bz2' AS file
-FROM (VALUES ('wikibooks'), ('wikiversity'), ('wikisource'), ('wiktionary')) t(w)""")
+@query("""SELECT 'en' || w AS wiki, 'https://dumps.wikimedia.org/en' || w || '/latest/en' || w || '-latest-pages-articles.xml.bz2' AS url, 'en' || w || '-articles.xml.bz2' AS file, n_docs
+FROM (VALUES ('wikibooks'), ('wikiversity'), ('wikisource'), ('wiktionary')) t(w), (SELECT count(*) AS n_docs FROM documents WHERE lang = 'en' HAVING count(*) > 0)""")
 def optional_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.wiki_dumps(spark).where(F.col("wiki").startswith("en")).select("wiki", "url", "file")
+    """The optional dumps of the English documents' language, with the number of these."""
+    langs = table(spark, sf_dir, "documents").where("lang = 'en'").groupBy("lang").agg(F.count("*").alias("n_docs"))
+    return catalog.wiki_dumps(spark).join(langs, F.substring("wiki", 1, 2) == F.col("lang")).select("wiki", "url", "file", "n_docs")
+
+
+@query("""SELECT 'rfcs/' || s AS path, 'rfcs' AS root, row_number() OVER (ORDER BY n DESC, s) AS place
+FROM (SELECT source AS s, count(*) AS n FROM documents GROUP BY source)""")
+def prioritised_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As prioritised_paths, with the root and the place by its priority, then by documents."""
+    names = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"))
+    paths = names.select("n", F.explode(F.transform(F.array(F.lit("other/"), F.lit("books/"), F.lit("rfcs/")), lambda p: F.concat(p, F.col("source")))).alias("path"))
+    kept = catalog.prioritised(paths.select("path"), spark).join(paths, "path")
+    return kept.select("path", "root", F.row_number().over(W.orderBy("ord", F.desc("n"), "path")).alias("place"))
 
 
 @query("""SELECT d.source AS path, length(d.source) AS n FROM (SELECT DISTINCT 'rfcs/' || source AS source FROM documents) d""")

@@ -29,6 +29,9 @@ TENANT = T.StructType(
     ]
 )
 
+#: What a tenant without limits of its own has.
+TENANT_DEFAULTS = {"max_requests_per_min": 60, "max_chunks": 500_000, "max_concurrent": 50, "enabled": True}
+
 FINDING = T.StructType(
     [T.StructField("severity", T.StringType()), T.StructField("rule", T.StringType()), T.StructField("excerpt", T.StringType())]
 )

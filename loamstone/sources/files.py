@@ -130,8 +130,7 @@ def jsonl_chunks(spark: SparkSession, path: str) -> DataFrame:
 def tenants(spark: SparkSession, path: str) -> DataFrame:
     kind = "tenants array<" + schema.TENANT.simpleString() + ">"
     raw = spark.read.option("multiLine", True).schema(kind).json(path).select(F.inline("tenants"))
-    defaults = {"max_requests_per_min": 60, "max_chunks": 500_000, "max_concurrent": 50, "enabled": True}
-    return raw.fillna(defaults)
+    return raw.fillna(schema.TENANT_DEFAULTS)
 
 
 def collector_state(spark: SparkSession, path: str) -> DataFrame:

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loamstone.schema import TENANT_DEFAULTS
+
 WINDOW_SECONDS = 60.0
 OUTPUT = "request_id long, tenant_id string, ts timestamp, kind string, admitted boolean"
 
@@ -46,11 +48,13 @@ def decide(
 
 
 def admit(requests: DataFrame, tenants: DataFrame) -> DataFrame:
-    """requests (request_id, tenant_id, ts, kind start or end) -> with admitted; unknown tenants are rejected.
+    """requests (request_id, tenant_id, ts, kind start or end) -> with admitted; unknown tenants are rejected, and a null limit of a
+    known one is the default.
 
     Batch form: each tenant's requests are one sequence, which its task reads in batches and never holds as a whole.
     """
-    limits = tenants.select(F.col("tenant_id").alias("_tenant"), "max_requests_per_min", "max_concurrent")
+    own = (F.coalesce(c, F.lit(TENANT_DEFAULTS[c])).alias(c) for c in ("max_requests_per_min", "max_concurrent"))
+    limits = tenants.select(F.col("tenant_id").alias("_tenant"), *own)
     joined = requests.select("request_id", "tenant_id", "ts", "kind").join(limits, F.col("tenant_id") == F.col("_tenant"), "left")
     rows = joined.select(
         F.col("request_id").cast("long"), F.col("tenant_id").cast("string"), F.col("ts").cast("timestamp"), "kind",

@@ -151,3 +151,12 @@ def test_ingest_stream(spark, tmp_path):
     assert spark.read.parquet(table).count() == n + 1
     ingest.ingest(ingest.text_stream(spark, str(docs), 2), table, f"{tmp_path}/other").awaitTermination()
     assert spark.read.parquet(table).count() == n + 1
+
+
+def test_null_limits_are_the_defaults(spark):
+    requests = spark.range(80).selectExpr("id AS request_id", "'t' AS tenant_id", "timestamp_seconds(id / 1000) AS ts", "'start' AS kind")
+    tenants = spark.createDataFrame([("t", None, None)], "tenant_id string, max_requests_per_min int, max_concurrent int")
+    assert admission.admit(requests, tenants).where("admitted").count() == 50
+    ended = requests.unionByName(requests.selectExpr("request_id + 1000 AS request_id", "tenant_id", "ts", "'end' AS kind"))
+    assert admission.admit(ended, tenants).where("admitted AND kind = 'start'").count() == 60
+    assert admission.admit(requests, tenants.limit(0)).where("admitted").count() == 0
