@@ -8,7 +8,8 @@ themselves, by the method of moments, once for each level. A host is blocked
 if even the upper bound of its posterior good rate, a quantile of its beta posterior, stays below a threshold, so
 a host with few or no outcomes is judged by its domain and suffix.
 
-A suffix is that of a table of public suffixes, where one is given, the longest that fits. Otherwise it is the last
+A suffix is that of a table of public suffixes, where one is given, the longest that fits, of any number of labels; the table's rules are
+names, `*.name` for every name one label longer, and `!name` for one that is no suffix in spite of such a rule. Otherwise it is the last
 label, or the last two where a country's two letters follow a label that registries use for kinds of names.
 
 Counts are partial aggregates; the join back to the pages is a plain equi-join
@@ -39,8 +40,6 @@ from loamstone.llm.common import materialise
 
 #: Labels under which registries of countries give names out, as in co.uk or com.br.
 KINDS_OF_NAMES = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "mil", "ne", "net", "nom", "or", "org", "sch")
-#: Labels of the longest public suffix that is looked up.
-SUFFIX_LABELS = 4
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -84,12 +83,17 @@ def domain_and_suffix(host: Column, labels: Column) -> tuple[Column, Column]:
 
 def listed_labels(hosts: DataFrame, suffixes: DataFrame) -> DataFrame:
     """hosts (host), suffixes (suffix) -> host, listed: the labels of the longest suffix listed; hosts without one have no row."""
-    parts = F.split("host", r"\.")
-    upto = F.sequence(F.lit(1), F.least(F.size(parts), F.lit(SUFFIX_LABELS)))
-    ends = F.transform(upto, lambda n: F.struct(n.alias("n"), F.array_join(F.slice(parts, F.size(parts) - n + 1, n), ".").alias("suffix")))
     known = suffixes.where(F.col("suffix").isNotNull()).select(F.col("suffix").alias("_s")).distinct()
-    each = hosts.select("host", F.inline(ends))
-    return each.join(known, F.col("suffix") == F.col("_s"), "left_semi").groupBy("host").agg(F.max("n").alias("listed"))
+    longest = known.agg(F.coalesce(F.max(F.size(F.split("_s", r"\."))), F.lit(1))).first()[0]
+    parts = F.split("host", r"\.")
+    last = lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), ".")
+    rule = lambda n, suffix, barred: F.struct(n.alias("n"), suffix.alias("suffix"), F.lit(barred).alias("barred"))
+    rules = lambda n: F.array(
+        rule(n, last(n), False), rule(n, F.when(n > 1, F.concat(F.lit("*."), last(n - 1))), False), rule(n - 1, F.concat(F.lit("!"), last(n)), True)
+    )
+    each = hosts.select("host", F.inline(F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.size(parts), F.lit(longest))), rules))))
+    fits = each.join(known, F.col("suffix") == F.col("_s"), "left_semi").groupBy("host")
+    return fits.agg(F.greatest(F.coalesce(F.max(F.when(F.col("barred"), F.col("n"))), F.max("n")), F.lit(1)).alias("listed"))
 
 
 def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -119,3 +119,15 @@ def test_rules_of_equal_length(spark):
     none = spark.createDataFrame([], "page_id long, good int")
     for rules in ((("block", "b.c/"), ("allow", "b.c/")), (("allow", "b.c/"), ("block", "b.c/"))):
         assert url_filter.judge_urls(pages, none, rules).first().verdict == rules[0][0]
+
+
+def test_suffixes_of_any_length_wildcards_and_exceptions(spark):
+    suffixes = ["com", "s3.dualstack.us-east-1.amazonaws.com", "ck", "*.ck", "!www.ck", "*.compute.example.com", "jp", "*.kobe.jp", "!city.kobe.jp"]
+    want = {
+        "a.b.s3.dualstack.us-east-1.amazonaws.com": 5, "s3.dualstack.us-east-1.amazonaws.com": 5, "dualstack.us-east-1.amazonaws.com": 1,
+        "shop.co.ck": 2, "www.ck": 1, "x.www.ck": 1, "ck": 1, "a.b.compute.example.com": 4, "compute.example.com": 1,
+        "a.b.kobe.jp": 3, "city.kobe.jp": 2, "x.city.kobe.jp": 2, "kobe.jp": 1, ".".join("a" * 3000) + ".com": 1,
+    }
+    hosts = spark.createDataFrame([(h,) for h in [*want, "no.such", ""]], "host string")
+    found = url_filter.listed_labels(hosts, spark.createDataFrame([(s,) for s in suffixes], "suffix string"))
+    assert {r.host: r.listed for r in found.collect()} == want
