@@ -119,6 +119,14 @@ def grams(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, rows: np.ndar
     return Grams(chained, np.arange(len(laid)) - np.repeat(base[:-1], counts + 2), at, base - np.arange(len(base)))
 
 
+def _hashes_of(given: list[bytes]) -> np.ndarray:
+    """The unigram hashes of words as they are, END among them."""
+    stops = np.cumsum([len(w) for w in given]).astype(np.int64)
+    starts = np.concatenate([[0], stops[:-1]])
+    hashes = span_hashes(folded(np.frombuffer(b"".join(given), dtype=np.uint8)), starts, stops)
+    return mix64(np.where(stops == starts, _END_HASH, hashes) + U(1))
+
+
 def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple]:
     """(batch, first row, folded bytes, starts, stops, rows) of runs of rows."""
     for batch in batches:
@@ -265,11 +273,16 @@ class Filter:
         at, level = np.flatnonzero(size > 0), 0
         while len(at):
             level += 1
+            begin, bits, left = first[at], size[at], np.arange(len(at))
             x, step = _places(hashes[at], level)
+            there = np.ones(len(at), dtype=bool)
             for k in range(self.shape.hashes):
-                place = first[at] + _place(x, step, k, size[at]).astype(np.int64)
-                there = (data[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                at, x, step = at[there], x[there], step[there]
+                place = begin + _place(x, step, k, bits).astype(np.int64)
+                there &= (data[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
+                if k in (0, 2):  # most of what is missing is told by one bit, and most of the rest by three
+                    x, step, begin, bits, left = x[there], step[there], begin[there], bits[there], left[there]
+                    there = np.ones(len(left), dtype=bool)
+            at = at[left[there]]
             found[at] = level
         return found
 
@@ -353,22 +366,26 @@ def _scored(rows: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, numbers = pa.array(head.value[0], pa.binary()), np.array(head.value[1], dtype=np.int64)
+        cached = None if filtered is None or not len(names) else filtered.value.level(_hashes_of(head.value[0]))  # once a task
         for batch, first, data, starts, stops, rows in _texts(batches, 1):
             many = len(rows) - 1
             g = grams(data, starts, stops, rows, shape.order)
             lookup = own(batch, first, many) if filtered is None else filtered.value.level
             row = np.repeat(np.arange(many), np.diff(rows))
             found, first_at, number = _distinct_words(data, starts, stops)
-            words_and_end = np.concatenate([g.hashes[0][g.at[first_at]], g.hashes[0][:1]])
-            counts = shape.estimates()[lookup(words_and_end)]
-            unigrams = np.full(len(g.place), counts[-1])
-            unigrams[g.at] = counts[number]
-            logs = np.add.reduceat(log_probabilities(g, unigrams, lookup, shape, tokens, distinct), g.rows[:-1])  # no text is without tokens
             # END is a word of each text, the last one of the chunk's list.
             found = pa.concat_arrays([found.cast(pa.binary()), pa.array([END], pa.binary())])
             place = pc.index_in(found, value_set=names)
-            known = np.asarray(place.is_valid())
-            count = np.where(known, numbers[np.asarray(place.fill_null(0))] if len(numbers) else 0, 0)
+            known, head_at = np.asarray(place.is_valid()), np.asarray(place.fill_null(0))
+            hashes = np.concatenate([g.hashes[0][g.at[first_at]], g.hashes[0][:1]])
+            levels = np.where(known, cached[head_at], 0) if cached is not None else np.zeros(len(found), dtype=np.int64)
+            probed = ~known if cached is not None else slice(None)
+            levels[probed] = lookup(hashes[probed])
+            counts = shape.estimates()[levels]
+            unigrams = np.full(len(g.place), counts[-1])
+            unigrams[g.at] = counts[number]
+            logs = np.add.reduceat(log_probabilities(g, unigrams, lookup, shape, tokens, distinct), g.rows[:-1])  # no text is without tokens
+            count = np.where(known, numbers[head_at] if len(numbers) else 0, 0)
             row, number = np.concatenate([row, np.arange(many)]), np.concatenate([number, np.full(many, len(found) - 1)])
             base = np.bincount(row, weights=np.where(known[number], np.log10(count[number] + 0.1) - total, 0.0), minlength=many)
             held = np.bincount(row[known[number]], minlength=many)
