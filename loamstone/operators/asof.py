@@ -14,12 +14,12 @@ def micros(at: Column) -> Column:
     return F.unix_micros(at.cast("timestamp"))
 
 
-def _slice_of(cuts: list[int], first: int = 0) -> str:
+def slice_of(cuts: list[int], first: int = 0) -> str:
     """SQL for the number of cuts that are less than t, by halving."""
     if not cuts:
         return str(first)
     half = len(cuts) // 2
-    return f"IF(t <= {cuts[half]}L, {_slice_of(cuts[:half], first)}, {_slice_of(cuts[half + 1 :], first + half + 1)})"
+    return f"IF(t <= {cuts[half]}L, {slice_of(cuts[:half], first)}, {slice_of(cuts[half + 1 :], first + half + 1)})"
 
 
 def as_of(probes: DataFrame, entries: DataFrame, slices: int = SLICES) -> DataFrame:
@@ -38,7 +38,7 @@ def as_of(probes: DataFrame, entries: DataFrame, slices: int = SLICES) -> DataFr
     log = stored.select("*", F.lit(0).alias("kind")).unionByName(asked.select("*", F.lit(None).cast(stored.schema["e"].dataType).alias("e"), F.lit(1).alias("kind")))
     times = entries.select("t").unionByName(probes.select("t"))
     cuts = times.agg(F.percentile_approx("t", [i / slices for i in range(1, slices)] or [0.5], 10_000).alias("cuts")).first()["cuts"]
-    log = log.withColumn("slice", F.expr(_slice_of(sorted(set(cuts or [])))))
+    log = log.withColumn("slice", F.expr(slice_of(sorted(set(cuts or [])))))
     last = F.max("e").over(W.partitionBy("key", "slice").orderBy("t", "kind").rowsBetween(W.unboundedPreceding, W.currentRow))
     inside = log.withColumn("own", last).where("kind = 1").select("key", "slice", "t", "own")
     earlier = F.max("e").over(W.partitionBy("key").orderBy("slice").rowsBetween(W.unboundedPreceding, -1))
