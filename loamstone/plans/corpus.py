@@ -249,6 +249,17 @@ def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.run_counts(runs).select("done", "skipped", "chunks")
 
 
+@query("""SELECT lang, count(*) FILTER (WHERE n_chars >= 100) AS done, round(count(*) / (sum(n_chars) / 1000.0), 6)::DOUBLE AS files_a_second,
+  round(sum(n_chars // 100) / (sum(n_chars) / 1000.0), 6)::DOUBLE AS chunks_a_second FROM documents WHERE lang IN (SELECT max(lang) FROM documents) GROUP BY lang""")
+def run_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of a run over the documents of the last language, a second for each thousand characters."""
+    docs = table(spark, sf_dir, "documents")
+    lang = docs.agg(F.max("lang")).first()[0]
+    runs = docs.where(F.col("lang") == lang).select(F.floor(F.col("n_chars") / 100).alias("n_records"), (F.col("n_chars") / 1000.0).alias("seconds"))
+    rate = lambda c: F.round(c, 6).alias(c)
+    return stats.run_counts(runs).select(F.lit(lang).alias("lang"), "done", rate("files_a_second"), rate("chunks_a_second"))
+
+
 @query("""SELECT n_nationkey, length(n_name) + 1 AS length, sha256(n_name || chr(10)) AS sha256 FROM nation""")
 def artefact_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of files: each nation's name is written to one."""

@@ -268,6 +268,14 @@ def exact_cache_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.exact_cached(e.where("event_id % 3 <> 0").select(F.col("event_id").alias("qid"), "query", "ts"), stored, 5 * 86400)
 
 
+@query(f"""SELECT label, count(*) AS n FROM embeddings e, {SQL_Q} WHERE list_cosine_similarity(e.embedding::DOUBLE[], q.v::DOUBLE[]) >= 0.42 GROUP BY label""")
+def similar_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many vectors of each label are similar enough to the question."""
+    q = F.array(*[F.lit(float(x)) for x in _question(spark, sf_dir)])
+    near = table(spark, sf_dir, "embeddings").where(predicates.similar_enough(vectors.cosine(F.col("embedding"), q)))
+    return near.groupBy("label").agg(F.count("*").alias("n"))
+
+
 @query(ORACLES["vector_topk_batch"])
 def vector_cells_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As vector_topk_batch, from a stored index of cells: the questions visit the cells that may hold a neighbour."""

@@ -83,6 +83,20 @@ def mode_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.select("conv_id", "turn", mode.alias("mode"), F.sha2(question.cast("binary"), 256).alias("question_sha256"))
 
 
+_DETECTED = ("Please review my text: ", "Is there a CVE-1 in ", "Write a function for ", "")
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN contains(q, 'security audit') OR contains(q, 'vulnerab') OR contains(q, 'cve-') THEN 'audit'
+  WHEN contains(q, 'review this') OR contains(q, 'review my') OR contains(q, 'code review') THEN 'review'
+  WHEN contains(q, '```') OR contains(q, 'write a function') OR contains(q, 'write a script') OR contains(q, 'implement ') THEN 'code' ELSE 'support' END AS mode
+FROM (SELECT conv_id, turn, lower({list(_DETECTED)}[conv_id % 4 + 1] || coalesce(text, '')) AS q FROM conversations WHERE role = 'user')""")
+def mode_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions without a mode of their own: it is detected."""
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").fillna({"text": ""})
+    start = F.get(F.array(*[F.lit(x) for x in _DETECTED]), (F.col("conv_id") % 4).cast("int"))
+    return asked.select("conv_id", "turn", text.mode_of(F.concat(start, F.col("text")), detect=True)[0].alias("mode"))
+
+
 @query("""SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN trim(q) WHEN starts_with(lower(trim(q)), 'inform') OR starts_with(lower(trim(q)), 'law')
   THEN trim(q) ELSE 'Informatics Law: ' || trim(q) END AS enhanced
 FROM (SELECT conv_id, turn, CASE WHEN conv_id % 4 = 1 THEN 'informatics ' ELSE '' END || coalesce(text, '') AS q FROM conversations WHERE role = 'user')""")
