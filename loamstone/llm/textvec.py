@@ -98,11 +98,6 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, seed: i
     return out
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word; A-Z and a-z hash alike."""
-    return span_hashes(folded(data), starts, stops)
-
-
 def shingle_sets(hashes: np.ndarray, rows: np.ndarray, n: int) -> Iterator[np.ndarray]:
     """For each row the sorted distinct hashes of its n-word shingles; with fewer words the whole row is one."""
 
