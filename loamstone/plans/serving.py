@@ -144,10 +144,10 @@ def api_key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as requests; hours count as seconds, so that limits bind."""
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 3600 / 1_000_000
+    micros = F.expr("timestamp_micros(unix_micros(CAST(ts AS TIMESTAMP)) DIV 3600)")
     return table(spark, sf_dir, "events").select(
         F.col("event_id").alias("request_id"), F.col("user_id").cast("string").alias("tenant_id"),
-        F.timestamp_seconds(seconds).alias("ts"), F.lit("start").alias("kind"),
+        micros.alias("ts"), F.lit("start").alias("kind"),
     )
 
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loamstone.schema import TENANT_DEFAULTS
+from loamstone.streaming.sequences import in_order
 
 WINDOW_SECONDS = 60.0
 OUTPUT = "request_id long, tenant_id string, ts timestamp, kind string, admitted boolean"
@@ -76,8 +77,7 @@ def admit(requests: DataFrame, tenants: DataFrame) -> DataFrame:
                 verdicts += made
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdicts, pa.bool_())], [*batch.schema.names[:4], "admitted"])
 
-    ordered = rows.repartition("tenant_id").sortWithinPartitions("tenant_id", "ts", "request_id")
-    return ordered.mapInArrow(run, OUTPUT)
+    return in_order(rows, "tenant_id", "ts", "request_id").mapInArrow(run, OUTPUT)
 
 
 def admit_stream(requests: DataFrame, per_minute: int = 60, concurrent: int = 50, idle_seconds: int = 3600, late: str = "1 hour") -> DataFrame:
