@@ -1,10 +1,10 @@
-"""Chunking: fixed windows in the JVM, recursive splitting as an Arrow UDF."""
+"""Chunking: fixed windows in the JVM, recursive splitting over Arrow batches."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from loamstone.functions.text import strip
 
 SEPARATORS = ("\n\n", "\n", " ", "")
+#: Texts that are Python strings at once.
+SLICE = 64
 
 
 def fixed_chunks(df: DataFrame, size: int = 1500) -> DataFrame:
@@ -63,13 +65,20 @@ def split_recursively(text: str, size: int, overlap: int, separators: Sequence[s
 def recursive_chunks(df: DataFrame, size: int = 1000, overlap: int = 200) -> DataFrame:
     """df (text, ...) -> its other columns, chunk_no, chunk."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def split(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for part in texts:
-            yield part.map(lambda t: split_recursively(t, size, overlap) if t else [])
-
     others = [c for c in df.columns if c != "text"]
-    return df.select(*others, F.posexplode(split("text")).alias("chunk_no", "chunk"))
+    kind = T.StructType([*(df.schema[c] for c in others), T.StructField("chunk_no", T.IntegerType()), T.StructField("chunk", T.StringType())])
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, len(batch), SLICE):  # so that neither the texts nor the chunks of a batch are held at once
+                part = batch.slice(first, SLICE)
+                cut = [split_recursively(t, size, overlap) if t else [] for t in part.column(len(others)).to_pylist()]
+                row = pa.array([i for i, chunks in enumerate(cut) for _ in chunks], pa.int64())
+                numbers = pa.array([n for chunks in cut for n in range(len(chunks))], pa.int32())
+                made = [*(c.take(row) for c in part.columns[:-1]), numbers, pa.array([c for chunks in cut for c in chunks], pa.string())]
+                yield pa.RecordBatch.from_arrays(made, [*others, "chunk_no", "chunk"])
+
+    return df.select(*others, "text").mapInArrow(split, kind)
 
 
 def chunk_records(df: DataFrame, vector: Column | None = None) -> DataFrame:
