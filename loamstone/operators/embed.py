@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,9 +36,9 @@ def embedded(df: DataFrame, load: Callable[[], Model], *, batch: int = 512, lazy
     if lazy:
         return df.withColumn("vector", F.lit(None).cast("array<float>"))
 
-    @F.pandas_udf(T.ArrayType(T.FloatType()))
-    def encode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = load()
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def encode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model, kind = load(), pa.list_(pa.float32())
 
         def safely(texts: list[str]) -> list:
             try:
@@ -46,10 +46,12 @@ def embedded(df: DataFrame, load: Callable[[], Model], *, batch: int = 512, lazy
             except Exception:
                 return [None] if len(texts) == 1 else [v for t in texts for v in safely([t])]
 
-        for part in parts:
-            texts = part.fillna("").tolist()
-            yield pd.Series([v for i in range(0, len(texts), batch) for v in safely(texts[i : i + batch])], dtype=object)
+        for part in parts:  # only the texts of a batch of the model are Python strings at a time
+            made = [pa.array(safely([t or "" for t in part.slice(i, batch).to_pylist()]), kind) for i in range(0, len(part), batch)]
+            yield pa.concat_arrays(made) if made else pa.array([], kind)
 
+    # Not deterministic as far as the optimizer knows, so that a filter on the vectors does not embed once more.
+    encode = encode.asNondeterministic()
     return df.withColumn("vector", encode("text"))
 
 

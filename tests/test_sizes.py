@@ -1,8 +1,9 @@
 """What bounds the memory of Python and the work of a task, seen in plans."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from loamstone.operators import audit, chunking
+from loamstone.operators import audit, chunking, embed
 
 
 def calls(df) -> int:
@@ -24,3 +25,11 @@ def test_chunks_are_cut_in_slices(spark):
     assert calls(made) == 0
     want = [(i, s, n, c) for i, t, s in texts for n, c in enumerate(chunking.split_recursively(t, 1000, 200) if t else [])]
     assert sorted(map(tuple, made.collect())) == want
+
+
+def test_texts_are_embedded_once(spark):
+    docs = spark.createDataFrame([(i, f"text {i}" if i % 3 else None) for i in range(40)], "i int, text string").coalesce(1)
+    made = embed.with_vectors(embed.embedded(docs, lambda: embed.hashing_model(8), batch=7))
+    assert calls(made) == 1
+    model = embed.hashing_model(8)
+    assert all(np.allclose(r.vector, model([r.text or ""])[0]) for r in made.collect()) and made.count() == 40
