@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from loamstone.operators import audit, chunking, embed
+from loamstone.operators import audit, chunking, embed, predicates
 
 
 def calls(df) -> int:
@@ -33,3 +33,10 @@ def test_texts_are_embedded_once(spark):
     assert calls(made) == 1
     model = embed.hashing_model(8)
     assert all(np.allclose(r.vector, model([r.text or ""])[0]) for r in made.collect()) and made.count() == 40
+
+
+def test_entities_of_posts_are_decoded_once(spark):
+    posts = spark.createDataFrame([("1", "1", "5", "t", "a &amp; b " * 30, "<x>")], "_Id string, _PostTypeId string, _Score string, _Title string, _Body string, _Tags string")
+    made = predicates.question_posts(posts, F.lit("x"))
+    assert calls(made) == 1
+    assert made.first().text.endswith("a & b")
