@@ -39,12 +39,17 @@ def jsonl_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.jsonl_chunks(spark, path).select("source", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
 
 
+def _dealt(df: DataFrame, rows: int = 5000) -> DataFrame:
+    """df in tasks of so many rows: a row of a few bytes may become a long text, so the bytes that are read do not tell the work."""
+    return df.repartition(max(1, -(-df.count() // rows)))
+
+
 @query("""SELECT p_partkey || ' ' || p_name AS title, sha256(t) AS text_sha256 FROM (
   SELECT *, CASE p_size % 7 WHEN 1 THEN '#REDIRECT ' WHEN 2 THEN '#WEITERLEITUNG ' ELSE '' END || repeat(p_name || ' & <' || p_brand || '> ', p_size) || '.' AS t FROM part
 ) WHERE length(t) > 100 AND p_size % 7 NOT IN (1, 2)""")
 def wiki_dump_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as pages of a compressed dump: redirects and short ones are no articles."""
-    path, part = folder(spark, "dump"), table(spark, sf_dir, "part")
+    path, part = folder(spark, "dump"), _dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size"))
     prefix = F.expr("CASE p_size % 7 WHEN 1 THEN '#REDIRECT ' WHEN 2 THEN '#WEITERLEITUNG ' ELSE '' END")
     text = F.concat(prefix, F.expr("repeat(concat(p_name, ' & <', p_brand, '> '), p_size)"), F.lit("."))
     pages = part.select(F.concat_ws(" ", F.col("p_partkey").cast("string"), "p_name").alias("title"), F.struct(text.alias("text")).alias("revision"))
@@ -58,7 +63,7 @@ def wiki_dump_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 ) WHERE p_size % 3 <> 0 AND p_size % 6 >= 3 AND length(t) >= 120""")
 def posts_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as posts: attributes of rows, bodies escaped twice, a missing score where it would be zero."""
-    path, part = folder(spark, "posts"), table(spark, sf_dir, "part")
+    path, part = folder(spark, "posts"), _dealt(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size"))
     body = F.concat(F.lit("<p>"), F.expr("repeat(concat(p_name, ' &amp; '), p_size)"), F.lit("</p>"))
     score = F.nullif((F.col("p_size") % 6).cast("string"), F.lit("0"))
     rows = part.select(

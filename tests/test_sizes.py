@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loamstone.operators import audit, chunking, embed, predicates
+from loamstone.plans import files
 
 
 def calls(df) -> int:
@@ -40,3 +41,7 @@ def test_entities_of_posts_are_decoded_once(spark):
     made = predicates.question_posts(posts, F.lit("x"))
     assert calls(made) == 1
     assert made.first().text.endswith("a & b")
+
+
+def test_short_rows_are_dealt_by_their_number(spark):
+    assert files._dealt(spark.range(0, 20_001, 1, 1)).rdd.getNumPartitions() == 5
