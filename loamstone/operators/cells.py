@@ -98,8 +98,9 @@ def cells_of(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/cells")
 
 
-def _distances(asked: DataFrame, cells: DataFrame) -> DataFrame:
-    """asked (qid, vector) -> a row for each question and cell with the distance to its centre and the least one to what it holds."""
+def _distances(asked: DataFrame, cells: DataFrame, k: int) -> DataFrame:
+    """asked (qid, vector) -> qid, cell: the cells nearest to each question that together hold k vectors; with a third column, bound, all
+    other cells that may hold something as near. Every cell is compared, but only what is visited leaves the task."""
     known = cells.orderBy("cell").collect()  # at most CENTRE_BYTES of centres
     number, n = np.array([r["cell"] for r in known], np.int32), np.array([r["n"] for r in known], np.int64)
     centres, radius = np.array([r["centre"] for r in known], np.float64), np.array([r["radius"] for r in known])
@@ -115,13 +116,13 @@ def _distances(asked: DataFrame, cells: DataFrame) -> DataFrame:
                 least = np.maximum(d - radius - SLACK * (1 + d + radius) - np.sqrt(SLACK * (1 + (q * q).sum(axis=1)))[:, None], 0)
                 order = np.argsort(d, axis=1, kind="stable")
                 before = np.cumsum(n[order], axis=1) - n[order]  # vectors in the cells nearer than this one
-                row = np.repeat(np.arange(len(part)), len(number))
-                take = lambda x: pa.array(np.take_along_axis(x, order, axis=1).ravel())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pa.array(row)), pa.array(number[order].ravel()), take(least), pa.array(before.ravel())], ["qid", "cell", "least", "before"]
-                )
+                visit = before < k
+                if part.num_columns > 2:
+                    visit = ~visit & (np.take_along_axis(least, order, axis=1) <= np.asarray(part.column(2))[:, None])
+                row, place = np.nonzero(visit)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array(number[order[row, place]])], ["qid", "cell"])
 
-    return asked.mapInArrow(run, "qid long, cell int, least double, before long")
+    return asked.mapInArrow(run, "qid long, cell int")
 
 
 def _visit(asked: DataFrame, visits: DataFrame, vectors: DataFrame, cells: DataFrame, k: int) -> DataFrame:
@@ -184,11 +185,10 @@ def search(queries: DataFrame, path: str, k: int, scratch: str, key: str = "id")
     vectors = spark.read.parquet(f"{path}/vectors") if not cells.isEmpty() else None
     if vectors is None:
         return spark.createDataFrame([], f"qid long, {key} long, _distance double, rank int")
-    away = keep(_distances(asked, cells), "away")
-    first = keep(_best(_visit(asked, away.where(F.col("before") < k).select("qid", "cell"), vectors, cells, k), k), "first")
-    bound = first.groupBy("qid").agg(F.count("*").alias("n"), F.sqrt(F.max("_distance")).alias("bound"))
-    more = away.where(F.col("before") >= k).join(bound, "qid").where((F.col("n") < k) | (F.col("least") <= F.col("bound")))
-    more = keep(more.select("qid", "cell"), "more")
+    away = keep(_distances(asked, cells, k), "away")
+    first = keep(_best(_visit(asked, away, vectors, cells, k), k), "first")
+    bound = first.groupBy("qid").agg(F.when(F.count("*") < k, float("inf")).otherwise(F.sqrt(F.max("_distance"))).alias("bound"))
+    more = keep(_distances(asked.join(bound, "qid").select("qid", "vector", "bound"), cells, k), "more")
     found = first.select("qid", "id", "_distance").unionByName(_visit(asked, more, vectors, cells, k))
     return _best(found, k).withColumnRenamed("id", key)
 
@@ -213,5 +213,5 @@ def visited(path: str, scratch: str, spark: SparkSession, k: int) -> DataFrame:
     """After a search: qid, cells, n_cells and n_vectors: how many cells each question visited, of all, and the vectors in them."""
     cells = cells_of(spark, path)
     away, more = spark.read.parquet(f"{scratch}/away"), spark.read.parquet(f"{scratch}/more")
-    every = away.where(F.col("before") < k).select("qid", "cell").unionByName(more).join(cells.select("cell", "n"), "cell")
+    every = away.unionByName(more).join(cells.select("cell", "n"), "cell")
     return every.groupBy("qid").agg(F.count("*").alias("n_cells"), F.sum("n").alias("n_vectors"))
