@@ -25,6 +25,27 @@ def postings(docs: DataFrame, key: str = "doc_id", only: DataFrame | None = None
     return each.groupBy("term", key, "len").agg(F.count("*").alias("tf"))
 
 
+def counted(docs: DataFrame, keys: list[str], marked: bool = False) -> DataFrame:
+    """docs (keys, text), dealt by some of the keys -> term, keys, len, tf: texts were shuffled, words are not.
+
+    Each document's terms are sorted and their runs counted in its own row. Rows of equal keys and length count as one document, as in
+    `postings`. If marked, each row of docs, with terms or without, also gives one row of the empty term, of frequency 0. The generators are
+    outer ones, as the optimizer would compute the array of another once more, in a filter for rows without elements.
+    """
+    texts = docs.groupBy(*keys).agg(F.collect_list(F.coalesce("text", F.lit(""))).alias("texts"))
+    lists = texts.select(*keys, F.transform("texts", terms).alias("lists"))
+    by_len = lists.select(*keys, "lists", F.explode_outer(F.array_distinct(F.transform("lists", F.size))).alias("len"))
+    alike = by_len.select(*keys, "len", F.filter("lists", lambda t: F.size(t) == F.col("len")).alias("alike"))
+    ordered = alike.select(*keys, "len", F.size("alike").alias("rows"), F.sort_array(F.flatten("alike")).alias("t"))
+    end = F.size("t")
+    at = F.filter(F.sequence(F.lit(0), end), lambda i: (i < end) & ~F.get("t", i).eqNullSafe(F.get("t", i - 1)))
+    if marked:
+        at = F.concat(at, F.array_repeat(end, F.col("rows")))
+    runs = ordered.select(*keys, "len", "t", at.alias("at")).select(*keys, "len", "t", "at", F.posexplode_outer("at").alias("j", "i"))
+    tf = F.coalesce(F.get("at", F.col("j") + 1), end) - F.col("i")
+    return runs.where("i IS NOT NULL").select(F.coalesce(F.get("t", F.col("i")), F.lit("")).alias("term"), *keys, "len", tf.cast("long").alias("tf"))
+
+
 def doc_stats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, F.regexp_count(F.lower(F.coalesce("text", F.lit(""))), F.lit(TERM)).alias("len"))
 

@@ -20,6 +20,8 @@ from loamstone.operators.patterns import first_matches
 BROADCAST_ROWS = 100_000
 #: Patterns that are matched by a nested loop of expressions; more go into automata.
 FEW_PATTERNS = 32
+#: Values that a scan is asked for by name, at most.
+FEW_VALUES = 1_000
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -27,6 +29,15 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def among(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows of df whose column is among that of keys: by a filter that reaches the scan of df if these are few, else by a semi-join."""
+    values = keys.select(column).where(F.col(column).isNotNull()).distinct()
+    few = [r[0] for r in values.limit(FEW_VALUES + 1).collect()]
+    if len(few) <= FEW_VALUES:
+        return df.where(F.col(column).isin(few))
+    return df.join(small_side(values), column, "left_semi")
+
+
 def dimension(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A table of few patterns to be broadcast to a nested loop; too many are an error."""
     if df.limit(rows + 1).count() > rows:

@@ -3,6 +3,7 @@
 A segment is an immutable folder of a versioned table (sources.versions). Its rows are blocks, the postings of a term in a range of
 WIDTH document numbers: at most WIDTH entries (document, length, term frequency) beside the largest frequency and the least length
 in it, which bound what any document of the block can score for the term. The documents themselves are the blocks of the empty term.
+Rows are dealt by range, so that texts are shuffled once and words never, and sorted by term, so that a scan skips the pages of other terms.
 
 Search reads those few numbers of the blocks of its terms first. The bound of a range is the sum over the question's terms; the best ranges
 that hold k documents are scored, and then only ranges whose bound reaches the k-th score so far. The result is that of scoring everything.
@@ -16,8 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loamstone.operators.fts import K1, B, doc_stats, postings
-from loamstone.operators.joins import small_side
+from loamstone.operators.fts import K1, B, counted
+from loamstone.operators.joins import among, small_side
 from loamstone.sources import versions
 
 #: Document numbers in a block.
@@ -27,19 +28,21 @@ SLACK = 1e-8
 
 
 def blocks(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs (key long, text) -> term, range, df, max_tf, min_len, entries. Rows with a null key are in no index."""
-    docs = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), "text")
-    each = postings(docs, "doc").unionByName(doc_stats(docs, "doc").select(F.lit("").alias("term"), "doc", "len", F.lit(0).cast("long").alias("tf")))
-    entry = F.struct("doc", F.col("len").cast("long").alias("len"), F.col("tf").cast("long").alias("tf"))
-    place = F.floor(F.col("doc") / WIDTH).alias("range")
-    return each.groupBy("term", place).agg(
-        F.count("*").alias("df"), F.max("tf").cast("long").alias("max_tf"), F.min("len").cast("long").alias("min_len"), F.sort_array(F.collect_list(entry)).alias("entries")
+    """docs (key long, text) -> term, range, df, max_tf, min_len, entries. Rows with a null key are in no index.
+
+    Texts are dealt by range, and all else happens where they are.
+    """
+    docs = docs.where(F.col(key).isNotNull()).select(F.floor(F.col(key).cast("long") / WIDTH).alias("range"), F.col(key).cast("long").alias("doc"), "text")
+    each = counted(docs.repartition("range"), ["range", "doc"], marked=True)
+    entry = F.struct("doc", F.col("len").cast("long").alias("len"), "tf")
+    return each.groupBy("term", "range").agg(
+        F.count("*").alias("df"), F.max("tf").alias("max_tf"), F.min("len").cast("long").alias("min_len"), F.sort_array(F.collect_list(entry)).alias("entries")
     )
 
 
 def _laid_out(df: DataFrame) -> DataFrame:
-    """By term, so that the blocks of a term are next to each other in few files."""
-    return df.repartitionByRange("term", "range").sortWithinPartitions("term", "range")
+    """By term in each file, of what is dealt by range: a search reads the pages of its terms in each."""
+    return df.sortWithinPartitions("term", "range")
 
 
 def append(docs: DataFrame, path: str, key: str = "doc_id") -> int:
@@ -68,7 +71,7 @@ def merge_levels(spark: SparkSession, path: str, fanout: int = 4) -> int:
         if full is None:
             return merges
         old = spark.read.parquet(*(f"{path}/data/{name}" for name in full))
-        joined = old.groupBy("term", "range").agg(
+        joined = old.repartition("range").groupBy("term", "range").agg(
             F.sum("df").alias("df"), F.max("max_tf").alias("max_tf"), F.min("min_len").alias("min_len"), F.sort_array(F.flatten(F.collect_list("entries"))).alias("entries")
         )
         versions.swap(_laid_out(joined), path, full)
@@ -92,7 +95,8 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, scratch:
     whole = table.where("term = ''").select("df", F.aggregate("entries", F.lit(0).cast("long"), lambda s, e: s + e["len"]).alias("len"))
     corpus = whole.agg(F.sum("df").alias("n"), (F.sum("len") / F.sum("df")).alias("avg_len"))
     asked = small_side(queries.select("qid", "term").where("term <> ''"))
-    heads = table.join(small_side(queries.select("term").distinct()), "term", "left_semi").where("term <> ''").select("term", "range", "df", "max_tf", "min_len")
+    postings = among(table, queries, "term").where("term <> ''")
+    heads = postings.select("term", "range", "df", "max_tf", "min_len")
     idf = F.log(1 + (F.col("n") - F.col("all_df") + 0.5) / (F.col("all_df") + 0.5))
     found_in = heads.groupBy("term").agg(F.sum("df").alias("all_df")).join(F.broadcast(corpus)).select("term", idf.alias("idf"), "avg_len")
     terms = keep(found_in, "terms")
@@ -105,7 +109,7 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int, scratch:
 
     def scored(ranges: DataFrame) -> DataFrame:
         wanted = ranges.select("qid", "range").join(asked, "qid")
-        hits = table.join(small_side(terms), "term").join(wanted, ["term", "range"]).select("qid", "idf", "avg_len", F.explode("entries").alias("e"))
+        hits = postings.join(small_side(terms), "term").join(wanted, ["term", "range"]).select("qid", "idf", "avg_len", F.explode("entries").alias("e"))
         return hits.groupBy("qid", F.col("e.doc").alias(key)).agg(F.sum(F.col("idf") * _weight(F.col("e.tf"), F.col("e.len"))).alias("score"))
 
     def best(scores: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """The segmented full-text index against scoring everything."""
 
 import random
+from collections import Counter
 
 import pytest
 
@@ -69,3 +70,23 @@ def test_empty_index(spark, tmp_path):
     segments.append(docs(spark, []), f"{tmp_path}/i")
     found, read = segments.search(spark, f"{tmp_path}/i", spark.createDataFrame([(1, "a")], "qid int, term string"), 3, f"{tmp_path}/s")
     assert found.count() == read.count() == 0
+
+
+def test_blocks_are_made_where_the_texts_are(spark, monkeypatch):
+    monkeypatch.setattr(segments, "WIDTH", 16)
+    rows = [*corpus(60), (3, "w1 W1 w2"), (7, "x y"), (7, "y z"), (7, "x"), (7, None), (None, "w1")]
+    made = segments._laid_out(segments.blocks(docs(spark, rows)))
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    counts, lengths = Counter(), Counter()
+    for doc, text in rows:
+        words = (text or "").lower().split()
+        if doc is not None:
+            lengths[doc, len(words)] += 1
+            counts.update((word, doc, len(words)) for word in words)
+    want = {}
+    for (word, doc, n), tf in counts.items():
+        want.setdefault((word, doc // 16), []).append((doc, n, tf))
+    for (doc, n), copies in lengths.items():
+        want.setdefault(("", doc // 16), []).extend([(doc, n, 0)] * copies)
+    found = {(r.term, r.range): (r.df, r.max_tf, r.min_len, [tuple(e) for e in r.entries]) for r in made.collect()}
+    assert found == {k: (len(e), max(x[2] for x in e), min(x[1] for x in e), sorted(e)) for k, e in want.items()}
