@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loamstone.operators.joins import small_side
+from loamstone.operators.joins import among, small_side
 
 K1, B = 1.2, 0.75
 TERM = r"[a-z0-9]+"
@@ -18,10 +18,11 @@ def terms(text: Column) -> Column:
 
 
 def postings(docs: DataFrame, key: str = "doc_id", only: DataFrame | None = None) -> DataFrame:
-    """docs (key, text) -> term, key, tf, len; of the terms of `only` (term) alone, where it is given: others are never grouped."""
-    each = docs.select(key, terms(F.col("text")).alias("t")).select(key, F.size("t").alias("len"), F.explode("t").alias("term"))
-    if only is not None:
-        each = each.join(small_side(only.select("term").distinct()), "term", "left_semi")
+    """docs (key, text) -> term, key, len, tf; of the terms of `only` (term) alone, where it is given: others are never grouped."""
+    if only is None:
+        return counted(docs.repartition(key), [key])
+    each = docs.select(key, terms(F.col("text")).alias("t")).select(key, F.size("t").alias("len"), F.explode_outer("t").alias("term"))
+    each = each.where("term IS NOT NULL").join(small_side(only.select("term").distinct()), "term", "left_semi")
     return each.groupBy("term", key, "len").agg(F.count("*").alias("tf"))
 
 
@@ -51,8 +52,8 @@ def doc_stats(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def build_index(docs: DataFrame, path: str, key: str = "doc_id") -> None:
-    """(Re)build both tables; postings are laid out by term, so that a query reads few files."""
-    postings(docs, key).repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    """(Re)build both tables; postings are dealt by document and sorted by term in each file, so that a query reads few pages of each."""
+    postings(docs, key).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
     doc_stats(docs, key).write.mode("overwrite").parquet(f"{path}/docstats")
 
 
@@ -63,7 +64,7 @@ def bm25(index: DataFrame, stats: DataFrame, queries: DataFrame, k: int, key: st
     largest tf is asked for so that both uses have the same columns and share one exchange.
     """
     size = stats.agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    hits = index.join(small_side(queries.select("term").distinct()), "term", "left_semi").select("term", key, "len", "tf")
+    hits = among(index, queries, "term").select("term", key, "len", "tf")
     df = hits.groupBy("term").agg(F.count("*").alias("df"), F.max("tf").alias("_most"), F.max("len").alias("_len")).where("_most > 0 AND _len > 0").drop("_most", "_len")
     found = hits.join(small_side(queries), "term")
     scored = found.join(df, "term").join(F.broadcast(size))

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from loamstone.operators import audit, chunking, embed, predicates
+from loamstone.operators import audit, chunking, embed, fts, joins, predicates
 from loamstone.plans import files
 
 
@@ -45,3 +45,28 @@ def test_entities_of_posts_are_decoded_once(spark):
 
 def test_short_rows_are_dealt_by_their_number(spark):
     assert files._dealt(spark.range(0, 20_001, 1, 1)).rdd.getNumPartitions() == 5
+
+
+def test_words_of_an_index_are_not_shuffled(spark):
+    rows = [(1, "b a B"), (2, None), (3, ""), (1, "c b a"), (1, "a"), (None, "z Z"), (5, "the the end")]
+    made = fts.postings(spark.createDataFrame(rows, "doc_id long, text string"))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(doc_id" in plan
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    want = [("a", 1, 1, 1), ("a", 1, 3, 2), ("b", 1, 3, 3), ("c", 1, 3, 1), ("end", 5, 3, 1), ("the", 5, 3, 2), ("z", None, 2, 2)]
+    assert sorted(made.collect()) == want and made.columns == ["term", "doc_id", "len", "tf"]
+
+
+def test_a_search_reads_its_terms(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, f"w{i} w{i % 3} common") for i in range(50)], "doc_id long, text string")
+    fts.build_index(docs, str(tmp_path))
+    asked = spark.createDataFrame([(1, "w1"), (1, "common"), (2, "w2"), (2, None)], "qid int, term string")
+    search = lambda: fts.bm25(spark.read.parquet(f"{tmp_path}/postings"), spark.read.parquet(f"{tmp_path}/docstats"), asked, 4)
+    found = search()
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("In(term, [") == plan.count("ReadSchema: struct<term") == 2
+    monkeypatch.setattr(joins, "FEW_VALUES", 1)
+    many = search()
+    assert "In(term, [" not in many._jdf.queryExecution().executedPlan().toString()
+    key = lambda df: sorted((r.qid, r["rank"], r.doc_id, round(r.score, 9)) for r in df.collect())
+    assert key(found) == key(many) and len(key(found)) == 8
