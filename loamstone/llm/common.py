@@ -62,7 +62,7 @@ def materialise(df: DataFrame, label: str, *, partition_by: tuple[str, ...] = ()
     return back
 
 
-def materialise_sorted(df: DataFrame, label: str, keys: tuple[str, ...], buckets: int) -> DataFrame:
+def materialise_sorted(df: DataFrame, label: str, keys: tuple[str, ...], buckets: int, **options: str) -> DataFrame:
     """Write df as a table of `buckets` sorted files, dealt by a hash of the keys, in the shared folder, and read it back.
 
     df should come from an aggregate or join by the keys, in as many shuffle
@@ -72,7 +72,7 @@ def materialise_sorted(df: DataFrame, label: str, keys: tuple[str, ...], buckets
     spark = df.sparkSession
     name = f"{label}_{uuid.uuid4().hex}"
     path = f"{scratch_dir(spark)}/{name}"
-    df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+    df.write.options(**options).bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
     back = spark.table(name)
     back._loamstone_path, back._loamstone_table = path, name
     return back

@@ -9,10 +9,17 @@ with all c read from the filter, a c(hw) above its c(h) taken as c(h), and N and
 The corpus is counted in tasks: each batch of texts gives its distinct n-grams with counts, grouped by the segment of
 the filter that their hash falls into; a segment is built in a task of its own from those and sized by its own keys. The number of
 segments follows the number of tokens, so a task's share stays the same at every size.
-Up to `filter_bytes` the filter is broadcast and texts are scored in one pass. Beyond that the distinct n-grams of the texts
-meet the segments in a shuffle, each n-gram once, and levels travel back to their documents; both ways give the same scores.
+train() and score() are apart, for a model that scores other texts than it learned from. Up to `filter_bytes` the filter is
+broadcast and texts are scored in one pass. Beyond that the distinct n-grams of a chunk of texts meet the segments in a shuffle,
+and levels travel back to their chunk; both ways give the same scores.
 
-The exact unigram sum needs exact counts of words, by the words themselves: those of the HEAD most frequent (short) words are
+fitted_scores() learns from some rows of a table and scores them all. There the n-grams are sent once, to be counted and asked for
+together: a segment is built and probed where it is built. Texts are stored once, by chunk; an n-gram of two words or more is
+sent as 40 bits within its segment, a word as it is, both once a chunk, and what comes back is a byte or so for each; a word that
+nothing was learned from is told by its exact count. Nothing is
+broadcast, so disk and memory grow with the input alone.
+
+The exact unigram sum needs exact counts of words, by the words themselves. In score() those of the HEAD most frequent (short) words are
 broadcast, the words beyond are joined by a shuffle; which word goes which way does not change a result.
 
 Defined results:
@@ -31,11 +38,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamstone.llm.common import discard, materialise
+from loamstone.llm.common import discard, materialise, materialise_sorted
 from loamstone.llm.textvec import chunks, folded, mix64, release_memory, span_hashes, word_numbers, words
 
 U = np.uint64
@@ -47,6 +54,10 @@ FILTER_BYTES = 128 << 20
 SEGMENT_TOKENS = 1 << 21
 #: Tokens that a task counts together.
 COUNTED = 1 << 21
+#: Bytes of the texts of a chunk, of which each distinct n-gram is sent once; a longer text is a chunk of its own.
+DEALT_BYTES = 12 << 20
+#: Bits of an n-gram's hash within its segment.
+KEY_BITS = U(40)
 #: Stands for the end of a text, in front of which there is one as well; words are never empty.
 END = b""
 _END_HASH = U(0x5851F42D4C957F2D)
@@ -232,6 +243,19 @@ def _place(x: np.ndarray, step: np.ndarray, k: int, size: np.ndarray | np.uint64
     return (((x + U(k) * step) >> U(32)) * size) >> U(32)
 
 
+def _bits(h: np.ndarray, n: np.ndarray, shape: Shape) -> bytes:
+    """The segment of these n-grams, with their counts."""
+    levels = shape.levels(n)
+    size = max(64, -(-int(levels.sum()) * shape.bits // 8) * 8)
+    bits = np.zeros(size, dtype=np.uint8)
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        h, levels = h[levels >= level], levels[levels >= level]
+        x, step = _places(h, level)
+        for k in range(shape.hashes):
+            bits[_place(x, step, k, U(size))] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
 def build(counts: DataFrame, shape: Shape) -> DataFrame:
     """What gram_counts() returns -> segment, bits: the filter, a row for each segment that has keys."""
 
@@ -240,16 +264,7 @@ def build(counts: DataFrame, shape: Shape) -> DataFrame:
         for t in tables:
             h += [np.frombuffer(x.as_buffer(), dtype=U) for x in t.column("hashes")]
             n += [np.frombuffer(x.as_buffer(), dtype="<i4") for x in t.column("counts")]
-        h, n = _summed(np.concatenate(h), np.concatenate(n).astype(np.int64))
-        levels = shape.levels(n)
-        size = max(64, -(-int(levels.sum()) * shape.bits // 8) * 8)
-        bits = np.zeros(size, dtype=np.uint8)
-        for level in range(1, int(levels.max()) + 1):
-            h, levels = h[levels >= level], levels[levels >= level]
-            x, step = _places(h, level)
-            for k in range(shape.hashes):
-                bits[_place(x, step, k, U(size))] = 1
-        out = np.packbits(bits, bitorder="little").tobytes()
+        out = _bits(*_summed(np.concatenate(h), np.concatenate(n).astype(np.int64)), shape)
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([out], pa.binary())], ["segment", "bits"])
 
     return counts.groupBy("segment").applyInArrow(run, "segment int, bits binary")
@@ -455,3 +470,200 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         "doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
     )
+
+
+# ---- learning and scoring at once
+
+
+def _dealt(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text, trains) stored with `chunk`, dealt by it, so that reading it by chunk takes no exchange."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, size = TaskContext.get().partitionId() << 32, 0
+        for batch in batches:
+            each = np.asarray(pc.binary_length(batch.column(1)).fill_null(0)).astype(np.int64)
+            before = size + np.cumsum(each) - each
+            size += int(each.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(each), pa.array(task + before // DEALT_BYTES)], ["doc_id", "text", "trains", "size", "chunk"])
+
+    cut = docs.mapInArrow(run, "doc_id long, text string, trains boolean, size long, chunk long")
+    return materialise_sorted(cut, "chunks", ("chunk",), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), compression="zstd")
+
+
+def _small(n: np.ndarray) -> bytes:
+    """Numbers that are mostly small: a byte each, and those beyond it after all bytes."""
+    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<i8").tobytes()
+
+
+def _numbers(data: bytes, many: int) -> np.ndarray:
+    """What _small() has made of so many."""
+    n = np.frombuffer(data, np.uint8, many).astype(np.int64)
+    n[n == 255] = np.frombuffer(data, "<i8", offset=many)
+    return n
+
+
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """The places of sorted numbers where another one begins."""
+    return np.flatnonzero(np.concatenate([np.ones(min(len(x), 1), bool), x[1:] != x[:-1]]))
+
+
+def _lengths(words: pa.Array) -> np.ndarray:
+    return np.asarray(pc.binary_length(words)).astype(np.int64)
+
+
+def _bytes_of(words: pa.Array) -> np.ndarray:
+    """The bytes of all words of a large_binary array, one after the other."""
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int64, len(words) + 1 + words.offset)[words.offset :]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)
+
+
+class _Chunk:
+    """The distinct n-grams of the texts of a chunk, in an order that does not depend on that of its rows.
+
+    keys: those of two words or more, a segment's number before the hash in it; words: the distinct words, END first, dealt to segments.
+    """
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], order: int, segments: int):
+        self.segments, self.pieces, found, hashes = segments, [], [pa.array([END], pa.large_binary())], [np.zeros(0, U)]
+        for batch, first, data, starts, stops, rows in _texts(batches, 1):
+            g = grams(data, starts, stops, rows, order)
+            own, first_at, number = _distinct_words(data, starts, stops)
+            found.append(own)
+            self.pieces.append((batch.slice(first, len(rows) - 1), g, rows, number))
+            hashes.append(g.hashes[0][g.at[first_at]])
+        coded = pa.concat_arrays(found).dictionary_encode()
+        self.words, index = coded.dictionary, np.asarray(coded.indices).astype(np.int64)
+        #: Of each piece, the places of its distinct words among those of the chunk.
+        self.index = np.split(index, np.cumsum([len(x) for x in found]))[1:-1]
+        self.hash = np.empty(len(self.words), U)
+        self.hash[index] = np.concatenate([_hashes_of([END]), *hashes])
+        self.segment = segment_of(self.hash, segments)
+        self.order = np.lexsort((self.hash, self.segment))
+        if (np.diff(self.hash[self.order]) == 0).any():  # words that hash alike go by themselves
+            names = self.words.to_pylist()
+            self.order = np.array(sorted(range(len(names)), key=lambda i: (self.segment[i], self.hash[i], names[i])))
+
+    def key(self, hashes: np.ndarray) -> np.ndarray:
+        return (segment_of(hashes, self.segments).astype(U) << KEY_BITS) | (hashes >> (U(64) - KEY_BITS))
+
+    def keys(self) -> np.ndarray:
+        """Of all n-grams of two words and more: the key, and in the last bit whether the text is learned from."""
+        out = [np.zeros(0, U)]
+        for batch, g, rows, _ in self.pieces:
+            trains = np.repeat(np.asarray(batch.column(2).fill_null(False)).astype(U), np.diff(rows) + 2)
+            out += [(self.key(h[g.place >= k]) << U(1)) | trains[g.place >= k] for k, h in enumerate(g.hashes) if k]
+        return np.sort(np.concatenate(out))
+
+    def times(self) -> np.ndarray:
+        """How often each word is in the texts that are learned from."""
+        out = np.zeros(len(self.words), np.int64)
+        for (batch, _, rows, number), index in zip(self.pieces, self.index, strict=True):
+            trains = np.asarray(batch.column(2).fill_null(False))
+            out[index] += np.bincount(number[np.repeat(trains, np.diff(rows))], minlength=len(index))
+            out[0] += trains.sum()
+        return out
+
+
+def _asked(dealt: DataFrame, order: int, segments: int) -> DataFrame:
+    """What _dealt() returns -> a row for each chunk and segment: the chunk's distinct n-grams there and how often each is learned from."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk = _Chunk(batches, order, segments)
+        keys = chunk.keys()
+        first = _firsts(keys >> U(1))
+        n = np.add.reduceat((keys & U(1)).astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+        keys = keys[first] >> U(1)
+        times, size, words = chunk.times()[chunk.order], _lengths(chunk.words)[chunk.order], _bytes_of(chunk.words.take(pa.array(chunk.order)))
+        marks = np.arange(segments + 1)
+        at, word_at = np.searchsorted(keys, marks.astype(U) << KEY_BITS), np.searchsorted(chunk.segment[chunk.order], marks)
+        byte_at = np.concatenate([[0], np.cumsum(size)])[word_at]
+        out = []
+        for s in np.flatnonzero((np.diff(at) > 0) | (np.diff(word_at) > 0)).tolist():
+            k, w = slice(at[s], at[s + 1]), slice(word_at[s], word_at[s + 1])
+            high, low = (keys[k] >> U(32)).astype(np.uint8), keys[k].astype("<u4")
+            out.append((s, high.tobytes() + low.tobytes(), _small(n[k]), words[byte_at[s] : byte_at[s + 1]].tobytes(), _small(size[w]), _small(times[w]), len(size[w])))
+        kinds = [pa.int32(), *[pa.binary()] * 5, pa.int32()]
+        columns = [pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(out), pa.int64()), *columns], ["chunk", "segment", "keys", "counts", "words", "sizes", "times", "n_words"])
+        release_memory()
+
+    return dealt.groupBy("chunk").applyInArrow(run, "chunk long, segment int, keys binary, counts binary, words binary, sizes binary, times binary, n_words int")
+
+
+def _answered(asked: DataFrame, shape: Shape) -> DataFrame:
+    """What _asked() returns -> for each of its rows the levels of n-grams and words, read from the segment's part of the filter, and
+    the exact counts of words; tokens and distinct words of a segment stand in one of its rows."""
+
+    def run(key: tuple[pa.Scalar, ...], tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, keys, counts, words, sizes, times = [], [], [], [], [], []
+        for t in tables:
+            chunk += t.column("chunk").to_pylist()
+            for k, n, w, size, time, many in zip(*(t.column(c).to_pylist() for c in ("keys", "counts", "words", "sizes", "times", "n_words")), strict=True):
+                grams = len(k) // 5
+                keys.append((np.frombuffer(k, np.uint8, grams).astype(U) << U(32)) | np.frombuffer(k, "<u4", offset=grams))
+                counts.append(_numbers(n, grams))
+                words.append(w)
+                sizes.append(_numbers(size, many))
+                times.append(_numbers(time, many))
+        ends, word_ends = np.cumsum([len(x) for x in keys])[:-1], np.cumsum([len(x) for x in sizes])[:-1]
+        offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int64)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(words))]).dictionary_encode()
+        word = np.asarray(coded.indices).astype(np.int64)
+        n_word = np.bincount(word, np.concatenate(times), len(coded.dictionary)).astype(np.int64)
+        own, gram = np.unique(np.concatenate(keys), return_inverse=True)
+        n_gram = np.bincount(gram, np.concatenate(counts), len(own)).astype(np.int64)
+        h = np.concatenate([mix64(own), _hashes_of(coded.dictionary.to_pylist())])
+        n = np.concatenate([n_gram, n_word])
+        levels = Filter({0: _bits(h[n > 0], n[n > 0], shape)}, 1, shape).level(h).astype(np.uint8)
+        levels[len(own) :][n_word == 0] = 0  # a word's exact count is known here
+        of_gram, of_word = np.split(levels[: len(own)][gram], ends), np.split(levels[len(own) :][word], word_ends)
+        once = [1] + [0] * (len(chunk) - 1)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(chunk, pa.int64()), pa.array([key[0].as_py()] * len(chunk), pa.int32()), pa.array([x.tobytes() for x in of_gram], pa.binary()),
+                pa.array([x.tobytes() for x in of_word], pa.binary()), pa.array([_small(x) for x in np.split(n_word[word], word_ends)], pa.binary()),
+                pa.array([int(n_word.sum()) * x for x in once], pa.int64()), pa.array([int((n_word > 0).sum()) * x for x in once], pa.int64()),
+            ],
+            ["chunk", "segment", "levels", "word_levels", "word_counts", "tokens", "distinct"],
+        )
+        release_memory()
+
+    return asked.groupBy("segment").applyInArrow(run, "chunk long, segment int, levels binary, word_levels binary, word_counts binary, tokens long, distinct long")
+
+
+def fitted_scores(docs: DataFrame, trains: Column, shape: Shape = Shape(), *, segment_tokens: int = SEGMENT_TOKENS) -> tuple[DataFrame, int]:
+    """docs (doc_id, text, ...) -> doc_id, n_tokens, n_known, base_score, score of all rows, by what those where `trains` holds teach; and their tokens."""
+    dealt = _dealt(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", trains.alias("trains")))
+    size = dealt.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
+    # A token takes two bytes or more, about six in prose.
+    segments = max(1, -(-(size[0] // 6 + size[1]) * shape.order // segment_tokens))
+    answers = materialise(_answered(_asked(dealt, shape.order, segments), shape), "levels", compression="zstd")
+    tokens, distinct = (int(x or 0) for x in answers.agg(F.sum("tokens"), F.sum("distinct")).first())
+    total = np.log10(tokens + 0.1 * (distinct + 1))
+
+    def run(texts: pa.Table, found: pa.Table) -> pa.Table:
+        chunk = _Chunk(iter(texts.combine_chunks().to_batches()), shape.order, segments)
+        keys = chunk.keys() >> U(1)
+        keys = keys[_firsts(keys)]
+        rows = sorted(zip(*(found.column(c).to_pylist() for c in ("segment", "levels", "word_levels", "word_counts")), strict=True))
+        levels = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).astype(np.int64)
+        word_levels, counts = np.empty(len(chunk.words), np.int64), np.empty(len(chunk.words), np.int64)
+        word_levels[chunk.order] = np.frombuffer(b"".join(r[2] for r in rows), np.uint8)
+        counts[chunk.order] = np.concatenate([_numbers(r[3], len(r[2])) for r in rows])
+        estimates, logs = shape.estimates()[word_levels], np.log10(counts + 0.1) - total
+        out = []
+        for (batch, g, rows, number), index in zip(chunk.pieces, chunk.index, strict=True):
+            many, number = len(rows) - 1, index[number]
+            unigrams = np.full(len(g.place), estimates[0])
+            unigrams[g.at] = estimates[number]
+            score = log_probabilities(g, unigrams, lambda h: levels[np.searchsorted(keys, chunk.key(h))], shape, tokens, distinct)
+            row = np.repeat(np.arange(many), np.diff(rows))
+            base = np.bincount(row, logs[number], many) + logs[0]
+            known = np.bincount(row, counts[number] > 0, many).astype(np.int64) + int(counts[0] > 0)
+            out.append(pa.table([batch.column(0), pa.array(np.diff(g.rows)), pa.array(known), pa.array(base), pa.array(np.add.reduceat(score, g.rows[:-1]))], ["doc_id", "n_tokens", "n_known", "base_score", "score"]))
+        release_memory()
+        return pa.concat_tables(out)
+
+    by_chunk = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    return by_chunk.applyInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double"), tokens

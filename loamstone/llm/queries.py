@@ -108,11 +108,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op11_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = lm_score.train(docs.where(lm_score.trains(F.col("doc_id"))))
-    done = lm_score.score(docs, model)
+    done, tokens = lm_score.fitted_scores(docs, lm_score.trains(F.col("doc_id")))
     return done.select(
         "doc_id", (~lm_score.trains(F.col("doc_id"))).alias("held_out"), "n_tokens", "n_known",
-        F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score",
+        F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score",
     )
 
 

@@ -131,3 +131,38 @@ def test_query_over_the_whole_table(spark):
 def test_held_out_texts_are_likelier_than_by_their_words_alone(spark):
     found = op11_lm_score(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert found[1] < found[0] < 0
+
+
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_learning_and_scoring_at_once(spark, monkeypatch, order):
+    """Chunks of few texts and segments of few n-grams: as by dictionaries, and as with the model apart."""
+    monkeypatch.setattr(lm_score, "DEALT_BYTES", 2_000)
+    shape, frame = Shape(order=order, **SURE), docs(spark, rows())
+    found, tokens = lm_score.fitted_scores(frame, lm_score.trains(F.col("doc_id")), shape, segment_tokens=5_000)
+    agree(sorted((tuple(r) for r in found.collect()), key=repr), brute(rows(), shape))
+    assert tokens == sum(len(split(t)) + 1 for i, t in rows() if not held_out(i))
+
+
+def test_nothing_to_learn_from_or_to_score(spark):
+    trains, alone = lm_score.trains(F.col("doc_id")), [(i, t) for i, t in rows() if held_out(i)][:3]
+    assert lm_score.fitted_scores(docs(spark, []), trains)[0].collect() == []
+    found = lm_score.fitted_scores(docs(spark, alone), trains)[0].collect()
+    agree(sorted((tuple(r) for r in found), key=repr), brute(alone, Shape()))
+
+
+def shuffled(spark, made):
+    """Bytes that go through exchanges while made() runs and its result is read."""
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    last = max((x.stageId() for x in map(stages().apply, range(stages().size()))), default=-1)
+    made().write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return sum(x.shuffleWriteBytes() for x in map(stages().apply, range(stages().size())) if x.stageId() > last)
+
+
+def test_a_few_bytes_are_sent_for_each_distinct_gram_of_a_chunk(spark):
+    """Not rows of n-grams, texts' numbers and segments, several times over: that was 12 bytes for each of the texts."""
+    given = [(i, t) for i, t in enumerate(random_texts(4_000, 4, vocabulary=5_000, length=400))]
+    frame = docs(spark, given).coalesce(2)
+    sent = shuffled(spark, lambda: lm_score.fitted_scores(frame, lm_score.trains(F.col("doc_id")))[0])
+    assert 0 < sent < 2 * sum(len(t) for _, t in given)
