@@ -11,6 +11,7 @@ from loamstone.llm import lm_score
 from loamstone.llm.lm_score import Shape
 from loamstone.llm.queries import op11_lm_score
 from tests.llm.helpers import ascii_lower, docs, random_texts
+from tests.measures import shuffled
 
 #: So many bits that no probe goes wrong.
 SURE = {"bits": 96, "hashes": 16}
@@ -150,16 +151,6 @@ def test_nothing_to_learn_from_or_to_score(spark):
     agree(sorted((tuple(r) for r in found), key=repr), brute(alone, Shape()))
 
 
-def shuffled(spark, made):
-    """Bytes that go through exchanges while made() runs and its result is read."""
-    store = spark.sparkContext._jsc.sc().statusStore()
-    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
-    last = max((x.stageId() for x in map(stages().apply, range(stages().size()))), default=-1)
-    made().write.format("noop").mode("overwrite").save()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-    return sum(x.shuffleWriteBytes() for x in map(stages().apply, range(stages().size())) if x.stageId() > last)
-
-
 def test_a_few_bytes_are_sent_for_each_distinct_gram_of_a_chunk(spark):
     """Not rows of n-grams, texts' numbers and segments, several times over: that was 12 bytes for each of the texts."""
     given = [(i, t) for i, t in enumerate(random_texts(4_000, 4, vocabulary=5_000, length=400))]

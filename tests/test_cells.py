@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from loamstone.operators import cells, joins, ranking
+from tests.measures import shuffled
 
 
 def frame(spark, m, name, first=0):
@@ -71,3 +72,34 @@ def test_most_similar_entry_of_a_cache_of_any_size(spark, tmp_path):
     found = cells.nearest_stored(questions, f"{tmp_path}/index", 0.5, f"{tmp_path}/scratch")
     key = lambda df: sorted((r.qid, r.entry, round(r.similarity, 9)) for r in df.collect())
     assert key(found) == key(joins.nearest_cached(questions, entries, 0.5))
+
+
+@pytest.mark.parametrize("k", [1, 4])
+@pytest.mark.parametrize("broadcast", ["-1", "10m"])
+def test_many_blocks_and_shelves_with_copies(spark, tmp_path, monkeypatch, k, broadcast):
+    """Shelves and blocks of a few vectors, joined either way; entries and questions that are equal, one of them far more often than a part holds."""
+    monkeypatch.setattr(cells, "SHELF_BYTES", 2_000)
+    monkeypatch.setattr(cells, "PART_ROWS", 40)
+    monkeypatch.setattr(cells, "PRODUCT", 100)
+    r = np.random.default_rng(6)
+    rows = r.normal(size=(250, 16))
+    rows = np.concatenate([rows, rows[:60], np.repeat(rows[:1], 150, axis=0)])
+    asked = np.concatenate([rows[:80], rows[:30], r.normal(size=(60, 16)), clustered(r, 20, 16)])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        same(spark, tmp_path, rows, asked, k)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    known = cells._Cells(cells.cells_of(spark, f"{tmp_path}/index"))
+    assert len(set(known.shelves().tolist())) > 10 and known.parts.max() > 1
+
+
+def test_what_is_sent_grows_with_the_vectors_and_not_with_the_visits(spark, tmp_path):
+    """Vectors without structure, of which each question visits nearly all cells: questions went to each of them."""
+    rows = frame(spark, np.random.default_rng(7).normal(size=(3000, 16)), "id").localCheckpoint()
+    cells.build(rows, f"{tmp_path}/index")
+    questions = rows.withColumnRenamed("id", "qid")
+    sent = shuffled(spark, lambda: cells.search(questions, f"{tmp_path}/index", 2, f"{tmp_path}/scratch"))
+    seen = cells.visited(f"{tmp_path}/index", f"{tmp_path}/scratch", spark, 2).groupBy().avg("n_cells").first()[0]
+    assert seen > 20 and 0 < sent < 8 * 3000 * 16 * 8
