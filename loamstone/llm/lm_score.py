@@ -421,36 +421,53 @@ def _scored(rows: DataFrame, model: Model) -> DataFrame:
 
 
 def _with_levels(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, text, hashes, levels, where the filter is too large to be broadcast."""
+    """docs (doc_id, text) -> doc_id, text, hashes, levels, where the filter is too large to be broadcast: each distinct n-gram of a chunk
+    is sent to its segment once, and levels come back in the order in which they were asked for."""
     order, segments, shape = model.shape.order, model.segments, model.shape
-    keyed = materialise(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("key")), "keyed")
+    dealt = _dealt(docs.select("doc_id", "text", F.lit(False).alias("trains")))
 
-    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, first, data, starts, stops, rows in _texts(batches, 1):
-            g = grams(data, starts, stops, rows, order)
-            entry = np.repeat(np.arange(len(rows) - 1), np.diff(rows) + 2)
-            h = np.concatenate([x[g.place >= k] for k, x in enumerate(g.hashes)])
-            text = np.concatenate([entry[g.place >= k] for k in range(order)])
-            at = np.lexsort((h, text))
-            h, text = h[at], text[at]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])
-            h, text = h[new], text[new]
-            keys = np.asarray(batch.column(0))[first:][text]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(h.view(np.int64)), pa.array(segment_of(h, segments), pa.int32())], ["key", "hash", "segment"])
+    def distinct(pieces: list[Grams]) -> tuple[np.ndarray, np.ndarray]:
+        """By segment; the segments."""
+        h = np.unique(np.concatenate([x[g.place >= k] for g in pieces for k, x in enumerate(g.hashes)]))
+        seg = segment_of(h, segments)
+        at = np.argsort(seg, kind="stable")
+        return h[at], seg[at]
+
+    def ask(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, seg = distinct([grams(*x[2:], order) for x in _texts(batches, 1)])
+        first = _firsts(seg)
+        sent = [x.tobytes() for x in np.split(h, first[1:])]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(first), pa.int64()), pa.array(seg[first].astype(np.int32)), pa.array(sent, pa.binary())], ["chunk", "segment", "hashes"])
+        release_memory()
 
     def probe(left: pa.Table, right: pa.Table) -> pa.Table:
-        hashes = np.asarray(left.column("hash")).view(U)
-        parts = {0: right.column("bits")[0].as_py()} if len(right) else {}
-        only = Filter(parts, 1, shape)
-        found = only.level(hashes) if len(right) else np.zeros(len(hashes), dtype=np.int64)
-        some = found > 0
-        return pa.table({"hash": pa.array(hashes[some].view(np.int64)), "level": pa.array(found[some], pa.int64())})
-
-    uses = materialise(keyed.select("key", "text").mapInArrow(distinct, "key long, hash long, segment int"), "uses")
-    once = uses.groupBy("segment", "hash").agg(F.count("*").alias("n"))
-    levels = once.groupBy("segment").cogroup(model.bits.groupBy("segment")).applyInArrow(probe, "hash long, level long")
-    back = uses.join(materialise(levels, "levels"), "hash").groupBy("key").agg(F.collect_list(F.struct("hash", "level")).alias("x"))
-    return keyed.join(back, "key", "left").select("doc_id", "text", F.col("x.hash").alias("hashes"), F.col("x.level").alias("levels"))
+        only = Filter({0: right.column("bits")[0].as_py()} if len(right) else {}, 1, shape)
+        found = [only.level(np.frombuffer(x, U)).astype(np.uint8).tobytes() if len(right) else bytes(len(x) // 8) for x in left.column("hashes").to_pylist()]
+        return pa.table([left.column("chunk"), left.column("segment"), pa.array(found, pa.binary())], ["chunk", "segment", "levels"])
+
+    def give(texts: pa.Table, found: pa.Table) -> pa.Table:
+        pieces = [(x[0], x[1], grams(*x[2:], order)) for x in _texts(iter(texts.combine_chunks().to_batches()), 1)]
+        h, _ = distinct([g for _, _, g in pieces])
+        rows = sorted(zip(found.column("segment").to_pylist(), found.column("levels").to_pylist(), strict=True))
+        levels = np.frombuffer(b"".join(r[1] for r in rows), np.uint8).astype(np.int64)
+        at = np.argsort(h)
+        h, levels, out = h[at], levels[at], []
+        for batch, first, g in pieces:
+            many = len(g.rows) - 1
+            text = np.repeat(np.arange(many), np.diff(g.rows) + 1)
+            text = np.concatenate([text[g.place >= k] for k in range(order)])
+            place = np.searchsorted(h, np.concatenate([x[g.place >= k] for k, x in enumerate(g.hashes)]))
+            pair = np.unique(text * len(h) + place)
+            text, place = pair // len(h), pair % len(h)
+            some = levels[place] > 0
+            ends = pa.array(np.searchsorted(text[some], np.arange(many + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(x[place[some]])) for x in (h.view(np.int64), levels)]
+            out.append(pa.table([*(batch.column(i).slice(first, many) for i in (0, 1)), *lists], ["doc_id", "text", "hashes", "levels"]))
+        return pa.concat_tables(out)
+
+    asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk long, segment int, hashes binary")
+    levels = asked.groupBy("segment").cogroup(model.bits.groupBy("segment")).applyInArrow(probe, "chunk long, segment int, levels binary")
+    return dealt.groupBy("chunk").cogroup(levels.groupBy("chunk")).applyInArrow(give, "doc_id long, text string, hashes array<long>, levels array<long>")
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -157,3 +157,10 @@ def test_a_few_bytes_are_sent_for_each_distinct_gram_of_a_chunk(spark):
     frame = docs(spark, given).coalesce(2)
     sent = shuffled(spark, lambda: lm_score.fitted_scores(frame, lm_score.trains(F.col("doc_id")))[0])
     assert 0 < sent < 2 * sum(len(t) for _, t in given)
+
+
+def test_a_model_beyond_its_broadcast_is_asked_once_a_chunk(spark):
+    frame = docs(spark, [(i, t) for i, t in enumerate(random_texts(2_000, 5, vocabulary=5_000, length=400))]).coalesce(2)
+    model = lm_score.train(frame.where(lm_score.trains(F.col("doc_id"))), filter_bytes=0)
+    sent = shuffled(spark, lambda: lm_score.score(frame, model))
+    assert 0 < sent < 4 * frame.agg(F.sum(F.length("text"))).first()[0]
