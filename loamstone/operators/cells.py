@@ -263,6 +263,23 @@ def _blocks(asked: DataFrame, vectors: DataFrame, known: _Cells, shelf: np.ndarr
     return left.groupBy("shelf", "block").cogroup(right.groupBy("shelf", "block")).applyInArrow(pack, kind)
 
 
+def _reached(blocks: DataFrame, known: _Cells) -> list[int]:
+    """The cells that some question may have to visit by its bound; at most as many as there are centres."""
+    shared, dims = blocks.sparkSession.sparkContext.broadcast(known), known.centres.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = np.arange(len(shared.value.number))
+        some = np.zeros(len(every), bool)
+        for batch in batches:
+            for asked, bounds in zip(*batch.columns, strict=True):
+                q, bound = _vectors_of(asked.as_py(), dims), np.sqrt(np.frombuffer(bounds.as_py()))
+                for a in range(0, len(q), 256):
+                    some |= (shared.value.least(q[a : a + 256], every) <= bound[a : a + 256, None]).any(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(shared.value.number[some])], ["cell"])
+
+    return [r["cell"] for r in blocks.select("asked", "bounds").mapInArrow(run, "cell int").distinct().collect()]
+
+
 def _nearest(blocks: DataFrame, shelved: DataFrame, known: _Cells, k: int) -> DataFrame:
     """Blocks of questions meet the shelves that may hold something as near as their bounds -> qid, id, _distance: the best k of each task."""
     shared, dims = blocks.sparkSession.sparkContext.broadcast(known), known.centres.shape[1]
@@ -316,6 +333,7 @@ def search(queries: DataFrame, path: str, k: int, scratch: str, key: str = "id")
     vectors, shelf = spark.read.parquet(f"{path}/vectors"), known.shelves()
     shelf_of = spark.createDataFrame([(int(c), int(s)) for c, s in zip(known.number, shelf, strict=True)], "cell int, shelf int")
     blocks = keep(_blocks(_rows(queries, "qid", "qid"), vectors, known, shelf, k), "blocks")
+    vectors = vectors.where(F.col("cell").isin(_reached(blocks, known)))  # the folders of other cells are not read
     shelved = keep(_shelved(vectors, shelf_of, k, known.centres.shape[1]), "shelves")
     return _best(_nearest(blocks, shelved, known, k), k).withColumnRenamed("id", key)
 

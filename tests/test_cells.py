@@ -103,3 +103,11 @@ def test_what_is_sent_grows_with_the_vectors_and_not_with_the_visits(spark, tmp_
     sent = shuffled(spark, lambda: cells.search(questions, f"{tmp_path}/index", 2, f"{tmp_path}/scratch"))
     seen = cells.visited(f"{tmp_path}/index", f"{tmp_path}/scratch", spark, 2).groupBy().avg("n_cells").first()[0]
     assert seen > 20 and 0 < sent < 8 * 3000 * 16 * 8
+
+
+def test_cells_that_no_question_reaches_are_not_shelved(spark, tmp_path):
+    rows = clustered(np.random.default_rng(8), 2000)
+    cells.build(frame(spark, rows, "id"), f"{tmp_path}/index", cells=40)
+    found = cells.search(frame(spark, rows[:3], "qid"), f"{tmp_path}/index", 2, f"{tmp_path}/scratch")
+    assert found.count() == 6
+    assert 6 <= spark.read.parquet(f"{tmp_path}/scratch/shelves").selectExpr("sum(octet_length(ids)) / 8").first()[0] < 1000
